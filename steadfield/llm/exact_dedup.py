@@ -8,7 +8,7 @@ the first byte to the last, so they are equal without any digest.
 A level is one partial/final aggregation by (group, digit, ended) and one join of its result to the members, so that a
 group with a third of all rows is summed up in each task before it is shuffled, and the join is one that adaptive
 execution can split. Only members of groups with two or more rows are carried on, and only they have their text read
-again. Level results are written to the shared folder, so a lost executor costs one level.
+again. Joins are always sort-merge joins, so that the plan at a small size is the plan at a large one. Level results are written to the shared folder, so a lost executor costs one level.
 
 Defined results: null text counts as empty; all empty texts form one group; of rows that tie on ``doc_id`` and text,
 one stays; a null ``doc_id`` sorts after all others; an empty table gives an empty result; other columns are ignored.
@@ -46,7 +46,7 @@ def _split(rows: DataFrame, by: list[str], level: int) -> DataFrame:
         f"radix{level}-groups",
     )
     on = [rows[c].eqNullSafe(groups[c]) if c == "grp" else rows[c] == groups[c] for c in [*by, "ended"]]
-    kept = rows.join(groups, on).select(
+    kept = rows.join(groups.hint("merge"), on).select(
         rows.uid, rows.doc_id, rows.n_bytes, rows.ended, groups["head.uid"].alias("grp"), groups["head.doc_id"].alias("keep_id"), groups.group_size
     )
     return common.materialize(kept, f"radix{level}-members")
@@ -67,15 +67,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     while not live.isEmpty():
         level += 1
         if text is None:
-            text = common.materialize(base.select("uid", "b").join(live.select("uid"), "uid", "left_semi"), "radix-text")
+            text = common.materialize(base.select("uid", "b").join(live.select("uid").hint("merge"), "uid", "left_semi"), "radix-text")
         start, width = next(widths)
         digits = text.select("uid", F.substring("b", start + 1, width).alias("digit"))
-        rows_now = live.select("uid", "doc_id", "n_bytes", "grp").join(digits, "uid")
+        rows_now = live.select("uid", "doc_id", "n_bytes", "grp").join(digits.hint("merge"), "uid")
         live = _split(rows_now.withColumn("ended", F.col("n_bytes") <= start + width), ["grp", "digit"], level)
         found = found.unionByName(live.filter("ended"))
         live = live.filter("not ended")
     found = found.select("uid", F.col("grp").alias("f_uid"), F.col("keep_id").alias("f_id"), F.col("group_size").alias("f_size"))
-    return rows.join(found, "uid", "left").select(
+    return rows.join(found.hint("merge"), "uid", "left").select(
         "doc_id",
         F.when(F.col("f_uid").isNull(), F.col("doc_id")).otherwise(F.col("f_id")).alias("keep_id"),
         F.coalesce("f_size", F.lit(1).cast("long")).alias("group_size"),
