@@ -4,11 +4,12 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. QUERIES and
 and its SQL, where SQL can express it.
 """
 
-from . import byte_bpe, exact_dedup, line_dedup, mixing, token_files
+from . import byte_bpe, exact_dedup, html_wrappers, line_dedup, mixing, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op5_token_files": token_files.query,
+    "op6_html_wrappers": html_wrappers.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
