@@ -4,7 +4,7 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. QUERIES and
 and its SQL, where SQL can express it.
 """
 
-from . import byte_bpe, exact_dedup, html_wrappers, line_dedup, mixing, token_files
+from . import byte_bpe, exact_dedup, html_wrappers, line_dedup, mixing, quality, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_html_wrappers": html_wrappers.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_mixing": mixing.query,
+    "op10_quality": quality.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
+    "op10_quality": quality.query,
     "op9_exact_dedup": exact_dedup.SQL,
 }
