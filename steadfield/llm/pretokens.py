@@ -17,6 +17,7 @@ _PAIR = re.compile(f"[{_CLASS}][{_CLASS}]")
 _RUNS = re.compile(f"([{_CLASS}]+)")
 #: Characters of text that are split, looked up and joined at a time.
 GROUP = 1_000_000
+_MARKS, _BEYOND_LATIN = ".,;:!?", "\u0250"
 
 
 def units(text: str) -> list[str]:
@@ -61,10 +62,23 @@ class CachedEncoder:
         if len(self.known) > self.most:
             self.known.clear()
         known, split = self.known, [units(t) for t in texts]
-        new = [u for u in set().union(*split) if u not in known]
-        known.update(zip(new, self.encode_many(new)))
-        for s in split:
-            yield b"".join(map(known.__getitem__, s))
+        found = [list(map(known.get, s)) for s in split]
+        new: set[str] = set()
+        for s, f in zip(split, found):
+            if None in f:
+                new.update([u for u, x in zip(s, f) if x is None])
+        self._learn(new)
+        for s, f in zip(split, found):
+            yield b"".join([known[u] if x is None else x for u, x in zip(s, f)] if None in f else f)
+
+    def _learn(self, new: set[str]) -> None:
+        """A mark after a Latin letter is split from it by the pattern, so most words with one are known without it."""
+        known = self.known
+        marked = {u for u in new if len(u) > 2 and u[-1] in _MARKS and u[-2] < _BEYOND_LATIN and u[-2].isalpha()}
+        needed = [u for u in (new - marked) | {u[:-1] for u in marked} | {u[-1] for u in marked} if u not in known]
+        known.update(zip(needed, self.encode_many(needed)))
+        for u in marked:
+            known[u] = known[u[:-1]] + known[u[-1]]
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         held, size = [], 0
