@@ -4,10 +4,11 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. QUERIES and
 and its SQL, where SQL can express it.
 """
 
-from . import byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, token_files
+from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, token_files
 
 QUERIES = {
     "op1_hnsw": hnsw.query,
+    "op2_bag_minhash": bag_minhash.query,
     "op3_line_dedup": line_dedup.query,
     "op5_token_files": token_files.query,
     "op6_html_wrappers": html_wrappers.query,
@@ -19,6 +20,5 @@ QUERIES = {
 
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
-    "op10_quality": quality.query,
     "op9_exact_dedup": exact_dedup.SQL,
 }
