@@ -4,12 +4,13 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. QUERIES and
 and its SQL, where SQL can express it.
 """
 
-from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, token_files
+from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, suffix_dedup, token_files
 
 QUERIES = {
     "op1_hnsw": hnsw.query,
     "op2_bag_minhash": bag_minhash.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_token_files": token_files.query,
     "op6_html_wrappers": html_wrappers.query,
     "op7_byte_bpe": byte_bpe.query,

@@ -7,7 +7,7 @@ rank. The split pattern is applied first and each match encoded by itself. Decod
 
 Defined results: null counts as the empty text, which has no ids; bytes outside the vocabulary can't occur, as every
 single byte must be a token of the file; repeated rows are encoded alike; an empty table gives an empty result; other
-columns are ignored by ``encode_documents`` and kept by ``with_tokens``.
+columns are ignored by ``encode_digests``, and those named are kept by ``with_tokens``.
 """
 
 from __future__ import annotations
@@ -129,8 +129,8 @@ def _digests(bpe: ByteBPE, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
 
-def _ids(bpe: ByteBPE, ids: np.ndarray) -> tuple[np.ndarray]:
-    return (ids.astype("int32"),)
+def _ids(bpe: ByteBPE, ids: np.ndarray) -> tuple:
+    return (ids.astype("int32"), *_digests(bpe, ids))
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -139,9 +139,9 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return _per_text(docs, ["doc_id"], _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary, pattern)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, ids)"""
-    return _per_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], _ids, "ids array<int>", vocabulary, pattern)
+def with_tokens(docs: DataFrame, columns: list[str], vocabulary: str, pattern: str) -> DataFrame:
+    """(*columns, ids, n_tokens, ids_sha256, decoded_sha256); the last is of the bytes that decoding the ids gives."""
+    return _per_text(docs, columns, _ids, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary, pattern)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

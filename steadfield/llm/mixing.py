@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,7 +101,7 @@ def land(p: list[float], sizes: list[float], held: list[int]) -> None:
 
 
 def _fly(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "size", "frac"], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["doc_id", "size", "uid"], kind="stable", na_position="last")
     key = f"{seed}/{pdf['source_no'].iat[0]}/{pdf['block'].iat[0]}/{pdf['level'].iat[0]}"
     rng = random.Random(hashlib.blake2b(key.encode(), digest_size=8).digest())
     order = list(range(len(pdf)))
@@ -121,17 +121,17 @@ def _round(rows: DataFrame, seed: int) -> DataFrame:
 def _blocks(rows: DataFrame, counts: DataFrame, level: int) -> DataFrame:
     """Deals each source's open rows to ceil(count / BLOCK) blocks by a hash of the row."""
     n = F.ceil(F.col("open") / F.lit(BLOCK)).cast("long")
-    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.greatest(n, F.lit(1)))
+    block = F.pmod(F.xxhash64("doc_id", "uid", F.lit(level)), F.greatest(n, F.lit(1)))
     return rows.drop("block", "last").join(F.broadcast(counts), "source_no").withColumns({"block": block, "last": n <= 1}).drop("open")
 
 
 def mix(
     docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 8
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken), one row for each row of docs."""
+    """(doc_id, size, source_size, target, copies, taken, uid), one row for each row of docs; uid is its place in them."""
     spark = docs.sparkSession
     ship(spark)
-    sized = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
+    sized = common.materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     found = per.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -142,11 +142,11 @@ def mix(
     plan = [(i, r.source, int(r.source_size), t, (min(limit, t / s) if (s := sizes[i]) else 0.0), int(r.n_docs)) for i, (r, t) in enumerate(zip(found, targets))]
     table = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, rate double, open long")
     rows = sized.join(F.broadcast(table), sized.source.eqNullSafe(table.source)).select(
-        "doc_id", "size", "source_size", "target", "source_no", "open", F.floor(F.col("rate") + _EPS).cast("long").alias("base"),
+        "uid", "doc_id", "size", "source_size", "target", "source_no", "open", F.floor(F.col("rate") + _EPS).cast("long").alias("base"),
         F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + _EPS)).alias("frac"), F.lit(0).alias("level"),
     )
     whole = rows.filter(F.col("frac") <= _EPS).withColumn("frac", F.lit(0.0))
-    columns = ["doc_id", "size", "source_size", "target", "source_no", "base", "frac", "level"]
+    columns = ["uid", "doc_id", "size", "source_size", "target", "source_no", "base", "frac", "level"]
     done = [whole.select(columns)]
     counts, open_rows, level = {i: n for i, _, _, _, _, n in plan}, rows.filter(F.col("frac") > _EPS).select(columns), 0
     while counts:
@@ -163,13 +163,15 @@ def mix(
     for d in done[1:]:
         out = out.unionByName(d)
     copies = F.col("base") + F.round("frac").cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "uid")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.read_table(spark, sf_dir, "documents"))
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with all its columns."""
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").cast("int").alias("__copies"))
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(taken.hint("merge"), "__uid")
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__uid", "__copies", "__copy")
 
 
-def expected_total(rows: Iterable[tuple[float, int]]) -> float:
-    """Sum of rate times size, for tests of the balance."""
-    return math.fsum(r * s for r, s in rows)
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(common.read_table(spark, sf_dir, "documents")).drop("uid")
