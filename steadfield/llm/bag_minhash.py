@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import common
 from .components import components
+from .hashing import BYTES as _BYTES
+from .hashing import mix as _mix
+from .hashing import powers as _powers
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -42,38 +45,11 @@ ESTIMATE, BLOCK, SALT_ROWS = 0.68, 2_048, 256
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, a public bijection of 64-bit words."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _PLACES = _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * _U(0xD1B54A32D192ED03)) | _U(1)
-_BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-class _Powers:
-    """Powers of _BASE and of its inverse, as long as the longest text so far."""
-
-    def __init__(self) -> None:
-        self.up, self.down = (np.ones(1, dtype=np.uint64) for _ in range(2))
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate(([_U(1)], np.full(n - 1, _BASE, dtype=np.uint64))), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate(([_U(1)], np.full(n - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64))), dtype=np.uint64)
-        return self.up, self.down
-
-
-_powers = _Powers()
-
-
 def word_hashes(text: str) -> np.ndarray:
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not len(b):

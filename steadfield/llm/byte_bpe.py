@@ -85,7 +85,7 @@ class ByteBPE:
         self.tokens = read_ranks(vocabulary)
         self._split = regex.compile(pattern).findall
         self._piece = sentencepiece.SentencePieceProcessor(model_proto=serialize_model(self.tokens))
-        self._cached = CachedEncoder(self._encode)
+        self._cached = CachedEncoder(self._encode, 4)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         matches = [self._split(p) for p in pieces]
@@ -93,8 +93,7 @@ class ByteBPE:
         return [np.array([i for _ in ms for i in next(ids)], dtype="<u4").tobytes() for ms in matches]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for b in self._cached(texts):
-            yield np.frombuffer(b, dtype="<u4")
+        return self._cached(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -10,31 +10,26 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+
+from .hashing import BYTES as _BYTES
+from .hashing import powers as _powers
+
 #: The code points of the Unicode property White_Space, as inclusive ranges.
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-_CLASS = "".join(f"{chr(a)}-{chr(b)}" for a, b in WHITE_SPACE)
-_PAIR = re.compile(f"[{_CLASS}][{_CLASS}]")
+_POINTS = [chr(c) for a, b in WHITE_SPACE for c in range(a, b + 1)]
+_CLASS, _OTHERS = "".join(_POINTS), "".join(c for c in _POINTS if c not in " \n")
+#: White space beside white space, or any but space and newline.
+_ODD = re.compile(f"[{_CLASS}][{_CLASS}]|[{_OTHERS}]")
 _RUNS = re.compile(f"([{_CLASS}]+)")
 #: Characters of text that are split, looked up and joined at a time.
-GROUP = 1_000_000
-_MARKS, _BEYOND_LATIN = ".,;:!?", "\u0250"
+GROUP = 3_000_000
+_MARKS, BEYOND_LATIN = ".,;:!?", "\u0250"
 
 
 def units(text: str) -> list[str]:
-    return _runs(text) if _PAIR.search(text) else _words(text)
-
-
-def _words(text: str) -> list[str]:
-    """Where no two white-space characters meet."""
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        first, *words = line.split(" ")
-        if first:
-            out.append(first)
-        out += [" " + w for w in words]
-    return out
+    """The pieces of any text."""
+    return _runs(text)
 
 
 def _runs(text: str) -> list[str]:
@@ -52,41 +47,92 @@ def _runs(text: str) -> list[str]:
 
 
 class CachedEncoder:
-    """encode_many: the ids of each of some pieces, as bytes. most: entries after which the cache is emptied, which
-    bounds its memory."""
+    """encode_many: the ids of each of some pieces, as bytes of little-endian numbers of the given width. most: entries
+    of a generation of the cache; when one is full the one before it goes, which bounds memory and keeps common pieces.
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], most: int = 1_000_000) -> None:
-        self.encode_many, self.most, self.known = encode_many, most, {}
+    Texts go in groups. Where a text's white space is single spaces and newlines, its pieces are found, told apart (by a
+    64-bit hash within the group) and put together again as arrays, so that Python handles each distinct piece of a
+    group once; other texts are cut piece by piece."""
 
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, split = self.known, [units(t) for t in texts]
-        found = [list(map(known.get, s)) for s in split]
-        new: set[str] = set()
-        for s, f in zip(split, found):
-            if None in f:
-                new.update([u for u, x in zip(s, f) if x is None])
-        self._learn(new)
-        for s, f in zip(split, found):
-            yield b"".join([known[u] if x is None else x for u, x in zip(s, f)] if None in f else f)
-
-    def _learn(self, new: set[str]) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], width: int, most: int = 800_000) -> None:
+        self.encode_many, self.kind, self.most = encode_many, np.dtype(f"<u{width}"), most
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        known = self.known
+        found = list(map(known.get, pieces))
+        if new := {p for p, f in zip(pieces, found) if f is None}:
+            if self.older:
+                again = {p: f for p in new if (f := self.older.get(p)) is not None}
+                known.update(again)
+                new -= again.keys()
+            self._learn(new)
+            found = [known[p] if f is None else f for p, f in zip(pieces, found)]
+        return found
+
+    def _learn(self, new: set[bytes]) -> None:
         """A mark after a Latin letter is split from it by the pattern, so most words with one are known without it."""
         known = self.known
-        marked = {u for u in new if len(u) > 2 and u[-1] in _MARKS and u[-2] < _BEYOND_LATIN and u[-2].isalpha()}
-        needed = [u for u in (new - marked) | {u[:-1] for u in marked} | {u[-1] for u in marked} if u not in known]
-        known.update(zip(needed, self.encode_many(needed)))
-        for u in marked:
-            known[u] = known[u[:-1]] + known[u[-1]]
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        words = {p: p.decode("utf-8", "surrogatepass") for p in new}
+        marked = {p for p, w in words.items() if len(w) > 2 and w[-1] in _MARKS and w[-2] < BEYOND_LATIN and w[-2].isalpha()}
+        needed = [p for p in (new - marked) | {p[:-1] for p in marked} | {p[-1:] for p in marked} if p not in known]
+        known.update(zip(needed, self.encode_many([p.decode("utf-8", "surrogatepass") for p in needed])))
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1:]]
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Texts without other white space than single spaces and newlines, laid end to end with a newline between."""
+        buffer = b"\n".join(texts)
+        b = np.frombuffer(buffer, dtype=np.uint8)
+        if not len(b):
+            return [np.empty(0, dtype=self.kind) for _ in texts]
+        lengths = np.array([len(t) for t in texts])
+        text_end = np.cumsum(lengths + 1) - 1  # the newline after each; the last has none
+        newline = b == 0x0A
+        begins = newline | (b == 0x20)
+        begins[0] = True
+        begins[1:] |= newline[:-1]
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(b))
+        up, down = _powers(len(b) + 1)
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[b] * up[: len(b)], dtype=np.uint64)))
+        key = (sums[end] - sums[start]) * down[start]
+        order = np.argsort(key)
+        ranked = key[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        which = np.empty(len(key), dtype=np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        some = order[first]
+        got = self._ids([buffer[a:z] for a, z in zip(start[some].tolist(), end[some].tolist())])
+        ids = np.frombuffer(b"".join(got), dtype=self.kind)
+        size = np.array([len(g) for g in got]) // self.kind.itemsize
+        offset = np.cumsum(size) - size
+        n = size[which]
+        n[np.searchsorted(start, text_end[:-1])] = 0  # the newlines between texts
+        upto = np.cumsum(n)
+        out = ids[np.repeat(offset[which] - (upto - n), n) + np.arange(int(upto[-1]))]
+        at = np.concatenate(([0], upto))[np.searchsorted(start, text_end)]
+        return np.split(out, at[:-1])
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [bool(_ODD.search(t)) for t in texts]
+        plain = iter(self._plain([t.encode("utf-8", "surrogatepass") for t, o in zip(texts, odd) if not o]))
+        for t, o in zip(texts, odd):
+            yield np.frombuffer(b"".join(self._ids([u.encode("utf-8", "surrogatepass") for u in units(t)])), dtype=self.kind) if o else next(plain)
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         held, size = [], 0
         for t in texts:
             held.append(t)
             size += len(t)
             if size >= GROUP:
-                yield from self._group(held)
+                yield from self._next(held)
                 held, size = [], 0
         if held:
-            yield from self._group(held)
+            yield from self._next(held)
+
+    def _next(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        return self._group(texts)

@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import common
+from .hashing import BYTES as _BYTES
+from .hashing import mix as _mix
 
 SPAN, GRAM = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
@@ -51,15 +53,6 @@ _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
 def _window_minima(b: np.ndarray) -> np.ndarray:
     """For each window of SPAN bytes the smallest hash of a GRAM-byte string inside it."""
     h, n, factor = _BYTES[b], 1, 0x5851F42D4C957F2D

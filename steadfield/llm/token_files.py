@@ -24,6 +24,7 @@ import functools
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import common
+from .pretokens import BEYOND_LATIN as _BEYOND_LATIN
 from .pretokens import CachedEncoder
 
 MAGIC = b"EFTOKEN1"
@@ -125,48 +127,45 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 letters for themselves, the other
+    bytes in order from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 @functools.lru_cache(maxsize=2)  # a Python worker keeps it, and what it has cached, from task to task
 def encoder(path: str, end_id: int, width: int) -> Callable[[list[str]], Iterator[bytes]]:
     """Ids of whole texts, each with the end id, as bytes."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    kind, end = f"<u{width}", np.array([end_id], dtype=f"<u{width}").tobytes()
+    model, split, letters = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str, _byte_letters()
+    code, end = {2: "H", 4: "I"}[width], np.array([end_id], dtype=f"<u{width}").tobytes()
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=kind).tobytes()
-
-    def together(pieces: list[str], before: str) -> list[bytes]:
-        """Pieces that a white-space character sets off from each other, in one call; offsets tell them apart."""
-        got = tokenizer.encode("".join(before + p for p in pieces), add_special_tokens=False)
-        ids, starts = np.array(got.ids, dtype=kind), np.array([a for a, _ in got.offsets], dtype=np.int64)
-        lengths = np.array([len(p) for p in pieces], dtype=np.int64) + len(before)
-        ends = np.cumsum(lengths)
-        cuts = np.searchsorted(starts, np.stack((ends - lengths + len(before), ends), axis=1))
-        return [ids[a:b].tobytes() for a, b in cuts.tolist()]
-
-    def many(pieces: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        kinds: dict[str, list[str]] = {"": [], "\n": []}
-        for p in pieces:
-            if p.isspace() or not p.strip():
-                out[p] = whole(p)
-            else:
-                kinds["" if p[0] == " " else "\n"].append(p)
-        for before, group in kinds.items():
-            for k in range(0, len(group), 5000):
-                out.update(zip(group[k : k + 5000], together(group[k : k + 5000], before)))
-        return [out[p] for p in pieces]
-
-    cached = CachedEncoder(many)
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{width}").tobytes()
+
+    def piece(p: str) -> bytes:
+        if (p[1:] if p[0] == " " else p).isalpha() and max(p) < _BEYOND_LATIN:  # one match of the split pattern
+            found = model(p.encode().decode("latin-1").translate(letters))
+        else:
+            found = [t for s, _ in split(p) for t in model(s)]
+        return array(code, [t.id for t in found]).tobytes()
+
+    def many(pieces: list[str]) -> Iterator[bytes]:
+        return map(piece, pieces)
+
+    cached = CachedEncoder(many, width)
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         # added tokens are looked for before the split, in the whole text
         special = [any(s in t for s in specials) for t in texts]
         rest = cached(t for t, s in zip(texts, special) if not s)
         for t, s in zip(texts, special):
-            yield (whole(t) if s else next(rest)) + end
+            yield whole(t) + end if s else next(rest).tobytes() + end
 
     return encode
 
