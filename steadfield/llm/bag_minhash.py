@@ -9,10 +9,10 @@ sample without bias. Points are made in growing time order until none can be fir
 Pairs. Texts of equal words are one class from the start and go on as one. ``BANDS`` bands of ``ROWS`` slots make
 buckets; at similarity 0.8 a pair misses all of them with probability 6e-5. In a bucket all are compared with its first
 member only, and what similarity 0.8 or more links becomes one component. Where a bucket still holds several components,
-its members are compared by their signatures, in blocks of ``BLOCK``, and pairs of different components that look alike
-(estimate ``ESTIMATE`` or more, over four standard errors below 0.8) are handed on as well. So no group's pairs are all
-written out, and no link that could join two components is left out. Every pair handed on is verified by the exact
-overlap of the two multisets of the whole texts.
+its members are compared by their signatures, in blocks of ``BLOCK``; pairs of different components that look alike
+(estimate ``ESTIMATE`` or more, over four standard errors below 0.8) are verified there, the most alike first, as long
+as their components have not met. So no group's pairs are written out, and no link that could join two components is
+left out. Every link is verified by the exact overlap of the two multisets of the whole texts.
 
 Defined results: null and empty texts have no words and form one class; texts of fewer than five words are in a class
 with their equals only; words are what stands between white space; the class is named by its smallest doc_id, a null
@@ -41,7 +41,7 @@ from .hashing import powers as _powers
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
-ESTIMATE, BLOCK, SALT_ROWS = 0.68, 2_048, 256
+ESTIMATE, BLOCK, SALT_ROWS = 0.68, 512, 256
 _U = np.uint64
 
 
@@ -151,20 +151,58 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1])
 
 
-def _between(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members (uid, component, sig, side) of a bucket's two blocks: pairs of different components that look alike."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, SIZE)
-    uid, comp, side = pdf["uid"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    found: list[np.ndarray] = []
+def _look_alike(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of left and right whose signatures agree in enough slots, and in how many: first by a third of the slots."""
+    head, enough = SIZE // 3, int((SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / (SIZE // 3)) ** 0.5) * (SIZE // 3))
+    short = np.ascontiguousarray(sig[right][:, :head])
     for at in range(0, len(left), 64):
         i = left[at : at + 64]
-        agree = np.count_nonzero(sig[i][:, None, :] == sig[right][None, :, :], axis=2)
-        p, q = np.nonzero((agree >= ESTIMATE * SIZE) & (comp[i][:, None] != comp[right][None, :]))
-        found.append(np.stack((uid[i[p]], uid[right[q]]), axis=1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        p, q = np.nonzero(np.count_nonzero(sig[i][:, None, :head] == short[None, :, :], axis=2) >= enough)
+        a, b = i[p], right[q]
+        agree = np.count_nonzero(sig[a] == sig[b], axis=1)
+        ok = agree >= ESTIMATE * SIZE
+        yield a[ok], b[ok], agree[ok]
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Members of a bucket's two blocks: links that join different components, verified on whole texts. The most alike
+    pairs come first, and a pair whose components have met meanwhile needs no look; so the links are a forest. Pairs
+    that share an earlier band as well are left to that band's bucket."""
+    pdf = pdf.sort_values("uid", kind="stable")
+    sig, key = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, SIZE), pdf["key"].iat[0]
+    uid, comp, side, text = pdf["uid"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy(), pdf["text"].tolist()
+    bands_ = np.stack(pdf["bands"].to_list())
+    own_band = np.argmax(bands_ == key, axis=1)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    found = []
+    for a, b, agree in _look_alike(sig, np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
+        ok = (comp[a] != comp[b]) & ((side[a] != 2) | (a < b))
+        a, b, agree = a[ok], b[ok], agree[ok]
+        before = (bands_[a] == bands_[b]) & (np.arange(BANDS) < own_band[a][:, None])
+        ok = ~before.any(axis=1)
+        found.append(np.stack((agree[ok], a[ok], b[ok])))
+    agree, a, b = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out = []
+    for k in np.argsort(-agree, kind="stable").tolist():
+        x, y = int(a[k]), int(b[k])
+        cx, cy = root(int(comp[x])), root(int(comp[y]))
+        if cx == cy:
+            continue
+        for z in (x, y):
+            if z not in sets:
+                sets[z] = shingles(word_hashes(text[z] or ""))
+        if (j := similarity(sets[x], sets[y])) >= SIMILARITY:
+            parent[max(cx, cy)] = min(cx, cy)
+            out.append((int(uid[x]), int(uid[y]), j))
+    return pd.DataFrame(out, columns=["u", "v", "similarity"]).astype({"u": "int64", "v": "int64", "similarity": "float64"})
 
 
 def _verified(members: pd.DataFrame, leader: pd.DataFrame) -> pd.DataFrame:
@@ -212,31 +250,31 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = common.materialize(named, "minhash-named")
     mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
     # beside its first member, which all were compared with
-    left = named.filter("uid <> leader").join(mixed.hint("merge"), "key", "left_semi").join(sig.hint("merge"), "uid")
+    left = named.filter("uid <> leader").join(mixed.hint("merge"), "key", "left_semi")
+    left = left.join(reps.select("uid", "sig", "bands").hint("merge"), "uid").join(texts.hint("merge"), "uid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     spread = left.withColumn("blocks", blocks).withColumn("own", own).withColumn("cell", F.explode(cells))
     side = F.when(F.col("cell.i") == F.col("cell.j"), 2).when(F.col("own") == F.col("cell.i"), 0).otherwise(1)
-    spread = spread.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "uid", "component", "sig", side.alias("side"))
-    rest = common.materialize(spread.groupBy("key", "i", "j").applyInPandas(_between, "a long, b long").distinct(), "minhash-rest")
-    return signed, firsts, links.unionByName(_verify(rest, texts, "minhash-links-rest"))
+    spread = spread.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "uid", "component", "sig", "bands", side.alias("side"), "text")
+    rest = common.materialize(spread.groupBy("key", "i", "j").applyInPandas(_joined, "u long, v long, similarity double"), "minhash-rest")
+    return signed, firsts, links.unionByName(rest)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, copy_of, n_links, uid), one row for each row of docs. class_id is the smallest
-    doc_id of the class, copy_of that of the rows with equal words, n_links the verified links of these to others."""
+    """(doc_id, class_id, class_size, copy_of, uid, class_uid), one row for each row of docs. class_id is the smallest
+    doc_id of the class, copy_of that of the rows with equal words."""
     ship(docs.sparkSession)
     signed, firsts, links = _links(docs)
     comp = components(links.select("u", "v"))
-    degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = firsts.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").join(degree.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = firsts.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     classes = common.materialize(classes, "minhash-classes")
     rows = signed.select("uid", "doc_id", "words").join(classes.hint("merge"), "words")
     names = rows.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("f"), F.count(F.lit(1)).alias("class_size"))
     names = common.materialize(names.select("component", F.col("f.doc_id").alias("class_id"), F.col("f.uid").alias("class_uid"), "class_size"), "minhash-names")
     return rows.join(names.hint("merge"), "component").select(
-        "doc_id", "class_id", "class_size", F.col("rep_doc").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "uid", "class_uid"
+        "doc_id", "class_id", "class_size", F.col("rep_doc").alias("copy_of"), "uid", "class_uid"
     )
 
 
