@@ -6,7 +6,8 @@ string inside them (its leftmost place; a property of the window's bytes alone,
 wherever they stand). Runs whose anchor stands in one document only can't hold a repeated window and leave here. The
 other runs, with the bytes of all their windows, are short strings of at most 2 * SPAN - GRAM bytes.
 
-How. Strings with anchors of one bucket meet in one task, each distinct one once. Their collection Burrows-Wheeler
+How. Strings with anchors of one bucket meet in one task, each distinct one once. For those that share their anchor
+with a different string, which alone can share windows, a collection Burrows-Wheeler
 transform and its common-prefix array are built from the right: round j inserts the suffix of length j of every string,
 one symbol for each string, by extending the arrays of round j - 1. A suffix's place is its predecessor's rank among
 equal symbols; its common prefix with its neighbours is one more than the least common prefix between the places of the
@@ -255,7 +256,25 @@ def _least_between(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For windows of distinct strings, the least of ids among all strings that hold the window: as runs (string,
-    first window, last window, least id)."""
+    first window, last window, least id), in order of string and window. All windows of a string have its anchor, so a
+    string that is the only one with its anchor has no window in common with another and is not ordered with them."""
+    lengths = np.array([len(s) for s in strings], dtype=np.int64)
+    symbols = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    anchors = np.concatenate([_window_minima(symbols[a : a + PIECE + SPAN - 1])[starts[(starts >= a) & (starts < a + PIECE)] - a] for a in range(0, len(symbols) - SPAN + 1, PIECE)])
+    _, group, members = np.unique(anchors, return_inverse=True, return_counts=True)
+    alone = members[group] == 1
+    rest = np.flatnonzero(~alone)
+    single = np.flatnonzero(alone)
+    s, first, last, value = single, np.zeros(len(single), dtype=np.int64), lengths[single] - SPAN, ids[single]
+    if len(rest):
+        found = _ordered_least([strings[k] for k in rest.tolist()], ids[rest])
+        s, first, last, value = (np.concatenate(x) for x in zip((s, first, last, value), (rest[found[0]], *found[1:])))
+    order = np.lexsort((first, s))
+    return s[order], first[order], last[order], value[order]
+
+
+def _ordered_least(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     symbols = np.frombuffer(b"".join(strings), dtype=np.uint8)
     _, lcp, who, size = build(symbols, lengths)
