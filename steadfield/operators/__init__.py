@@ -1 +1,2 @@
-
+"""Aggregates, solvers, maps, stencils and codecs as DataFrame transformations. None of them triggers a job unless its
+documentation says so."""

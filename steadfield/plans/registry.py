@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from . import coding, grids, invariants  # noqa: F401  they register their queries
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "q_conserve_mass_energy"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

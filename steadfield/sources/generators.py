@@ -1,0 +1,94 @@
+"""Test fields made on the executors from a row number; draws come from the seed, on the driver or by a hash."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import with_coordinates
+
+
+def uniform(seed: int, salt: int = 0) -> Column:
+    """A number in [0, 1) that depends on the row number, the seed and the salt alone."""
+    return F.pmod(F.xxhash64("i", F.lit(seed), F.lit(salt)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
+def normal(seed: int, salt: int = 0) -> Column:
+    return F.sqrt(-2 * F.ln(1 - uniform(seed, 2 * salt + 1000))) * F.cos(2 * math.pi * uniform(seed, 2 * salt + 1001))
+
+
+def _rows(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).withColumnRenamed("id", "i")
+
+
+def signals(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    """(i, smooth, weight, outliers, near_zero, heavy_tail): a slow curve with noise on a lattice of 0.02, weights between 0.5 and 1.5, values near 10 whose
+    first hundredth is 6 to 9 away, squares near 0, and exponentials of normals."""
+    t = F.col("i") / n
+    curve = F.rint((F.sin(20 * t) + 0.3 * t * t + 0.05 * uniform(seed, 1)) / 0.02) * 0.02
+    far = 10 + F.when(uniform(seed, 2) < 0.5, -1).otherwise(1) * (6 + 3 * uniform(seed, 3))
+    g = 2 * uniform(seed, 5) - 1
+    return _rows(spark, n).select(
+        "i", curve.cast("float").alias("smooth"), (1 + 0.5 * F.sin(0.37 * F.col("i"))).cast("float").alias("weight"),
+        F.when(F.col("i") < n / 100, far).otherwise(9 + 2 * uniform(seed, 4)).cast("float").alias("outliers"),
+        (g * g + 1e-6).cast("float").alias("near_zero"), F.exp(2 * normal(seed, 6)).cast("float").alias("heavy_tail"),
+    )
+
+
+def bound_fields(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(i, absolute, relative): normals about 10 with outliers, and squared normals above 1e-6."""
+    z = normal(seed, 1)
+    out = 10 + z + F.when(uniform(seed, 3) < 0.01, 8 * normal(seed, 4)).otherwise(0.0)
+    return _rows(spark, n).select("i", out.alias("absolute"), (normal(seed, 2) * normal(seed, 2) + 1e-6).alias("relative"))
+
+
+def precision_fields(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """(i, signed, offset, lognormal): a mean near 0, a mean of 280, and a heavy tail."""
+    return _rows(spark, n).select("i", normal(seed, 1).cast("float").alias("signed"), (280 + 10 * normal(seed, 2)).cast("float").alias("offset"), F.exp(2 * normal(seed, 3)).cast("float").alias("lognormal"))
+
+
+def turbulence(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(i, i0, i1, i2, u, v, w) on n * n * n: a periodic base flow, four octaves and six bursts. Draws are literals."""
+    rng = np.random.default_rng(seed)
+    grid = with_coordinates(_rows(spark, n**3), (n, n, n))
+    a, b, c = (F.col(f"i{k}") * (2 * math.pi / n) for k in range(3))
+    u, v, w = F.cos(a) * F.sin(b) * F.cos(c), -F.sin(a) * F.cos(b) * F.cos(c), F.lit(0.0)
+    for octave in range(1, 5):
+        p = [float(x) for x in rng.uniform(0, 2 * math.pi, size=3)]
+        size = 0.3 / octave
+        u = u + size * F.sin(octave * a + p[0]) * F.cos(octave * b)
+        v = v + size * F.cos(octave * b + p[1]) * F.sin(octave * c)
+        w = w + size * F.sin(octave * c + p[2]) * F.cos(octave * a)
+    for _ in range(6):
+        at = [int(x) for x in rng.integers(0, n, size=3)]
+        height = float(rng.uniform(1.5, 3.0))
+        square = sum((F.col(f"i{k}") - at[k]) * (F.col(f"i{k}") - at[k]) for k in range(1, 3)) + (F.col("i0") - at[0]) * (F.col("i0") - at[0])
+        burst = F.exp(-square / (2.0 * (n // 12) ** 2)) * height
+        u, v = u + burst, v + burst * float(rng.uniform(-1, 1))
+    return grid.select("i", "i0", "i1", "i2", u.cast("float").alias("u"), v.cast("float").alias("v"), w.cast("float").alias("w"))
+
+
+def low_modes(spark: SparkSession, n: int, seed: int = 0, modes: int = 6, bumps: int = 6) -> DataFrame:
+    """(i, i0, i1, i2, x): a random field of the lowest modes with unit deviation, and Gaussian bumps.
+
+    The field is a sum over modes**3 waves; it is taken axis by axis, as sums of 2 * modes**2, 2 * modes and 2 terms."""
+    rng = np.random.default_rng(seed)
+    shape = (modes,) * 3
+    f = rng.standard_normal(shape) + 1j * rng.standard_normal(shape)
+    axis = np.exp(2j * np.pi * np.outer(np.arange(n), np.arange(modes)) / n)
+    plane = np.einsum("xa,abc->xbc", axis, f)  # n * modes * modes numbers
+    field_var = sum(abs(f[k]) ** 2 for k in np.ndindex(shape) if k != (0, 0, 0)) / 2
+    table = [(int(x), b, c, float(plane[x, b, c].real), float(plane[x, b, c].imag)) for x in range(n) for b in range(modes) for c in range(modes)]
+    waves = spark.createDataFrame(table, "i0 long, kb int, kc int, re double, im double")
+    angle = 2 * math.pi / n * (F.col("i1") * F.col("kb") + F.col("i2") * F.col("kc"))
+    grid = with_coordinates(_rows(spark, n**3), (n, n, n))
+    base = grid.join(waves, "i0").groupBy("i", "i0", "i1", "i2").agg(F.sum(F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("s"))
+    x = F.col("s") / math.sqrt(field_var)
+    place = lambda k: F.col(f"i{k}") * (2.0 / (n - 1)) - 1
+    for _ in range(bumps):
+        at, width, height = [float(t) for t in rng.uniform(-0.6, 0.6, 3)], float(rng.uniform(0.05, 0.15)), float(rng.uniform(1, 4))
+        x = x + height * F.exp(-sum((place(k) - at[k]) * (place(k) - at[k]) for k in range(1, 3)) / (2 * width**2) - (place(0) - at[0]) * (place(0) - at[0]) / (2 * width**2))
+    return base.select("i", "i0", "i1", "i2", x.cast("float").alias("x"))
