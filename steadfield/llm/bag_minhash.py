@@ -280,8 +280,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The first row of each class, with all columns of docs."""
-    dropped = near_classes(docs).filter("uid <> class_uid").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped.hint("merge"), "__uid", "left_anti").drop("__uid")
+    uid = common.fresh(docs, "uid")
+    dropped = near_classes(docs).filter("uid <> class_uid").select(F.col("uid").alias(uid))
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped.hint("merge"), uid, "left_anti").drop(uid)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,8 +87,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_groups(docs).filter("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped, "__uid", "left_anti").drop("__uid")
+    uid = common.fresh(docs, "uid")
+    dropped = exact_groups(docs).filter("not kept").select(F.col("uid").alias(uid))
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped.hint("merge"), uid, "left_anti").drop(uid)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ box of the wrapper and in no menu, header, footer, side bar, notice, advert, for
 Only distinct folded streams of a host are aligned (they are found by one aggregation, which sums up a host with a
 third of all pages in each task first), in blocks of ``BLOCK`` whose wrappers are aligned in turn, so no task gathers
 a host's pages. Pages meet their wrapper in a join that adaptive execution can split or broadcast by measured size.
-A page that its wrapper does not accept, because the compiled form never backtracks, has its slots read from its own
+A page without the content box of its wrapper is read as a page of its own kind. A page that its wrapper does not accept, because the compiled form never backtracks, has its slots read from its own
 stream, by the same paths.
 
 Defined results: null html counts as empty and gives an empty text; null or odd addresses form a host of their own;
@@ -245,7 +245,10 @@ class Wrapper:
         m = self.pattern.fullmatch("".join(map(self.codes.__getitem__, keys)))
         if m is None:
             return None
-        return {at for n, path in enumerate(self.slots, 1) if _is_main(path, self.content) for at in m.starts(n)}
+        filled = [(path, m.starts(n)) for n, path in enumerate(self.slots, 1) if m.starts(n)]
+        inside = any(_is_main(path, self.content) for path, _ in filled)
+        content = self.content if inside else _content([path for path, _ in filled])
+        return {at for path, places in filled if _is_main(path, content) for at in places}
 
 
 def _boxes(path: str) -> list[tuple[str, set[str]]]:

@@ -57,21 +57,17 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, text: str = "text") -> DataFrame:
-    """``docs`` with the boilerplate lines gone from ``text``, and n_lines, n_removed. Adds no other column."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    hashes = rows.select("__uid", F.col(site).alias("site"), F.transform(_lines(text), _hash).alias("hs"))
-    once = common.materialize(hashes.select("__uid", "site", F.posexplode("hs").alias("pos", "h")).filter("h is not null"), "line-hashes")
+    """``docs`` with the boilerplate lines gone from ``text``, and n_lines, n_removed (which replace columns so named)."""
+    uid, gone = common.fresh(docs, "uid"), common.fresh(docs, "gone")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    hashes = rows.select(F.col(uid).alias("uid"), F.col(site).cast("string").alias("site"), F.transform(_lines(text), _hash).alias("hs"))
+    once = common.materialize(hashes.select("uid", "site", F.posexplode("hs").alias("pos", "h")).filter("h is not null"), "line-hashes")
     bad = common.materialize(boilerplate(once.select("h", "site"), min_sites), "line-boilerplate")
-    gone = once.join(bad, "h").groupBy("__uid").agg(F.collect_set("pos").alias("__gone"))
-    keep = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("__gone", p["i"]))
-    out = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(keep, lambda p: p["x"]), "\n"))
-    return (
-        rows.join(gone, "__uid", "left")
-        .withColumns({"n_lines": F.coalesce(F.size(_lines(text)), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)), text: out})
-        .withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")))
-        .withColumn("n_removed", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")))
-        .drop("__uid", "__gone")
-    )
+    places = once.join(bad, "h").groupBy(F.col("uid").alias(uid)).agg(F.collect_set("pos").alias(gone))
+    keep = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains(gone, p["i"]))
+    out = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(keep, lambda p: p["x"]), "\n"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return rows.join(places, uid, "left").withColumns({"n_lines": count(_lines(text)), "n_removed": count(F.col(gone)), text: out}).drop(uid, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,9 +168,10 @@ def mix(
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").cast("int").alias("__copies"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(taken.hint("merge"), "__uid")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__uid", "__copies", "__copy")
+    uid, copies, copy = (common.fresh(docs, n) for n in ("uid", "copies", "copy"))
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("uid").alias(uid), F.col("copies").cast("int").alias(copies))
+    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(taken.hint("merge"), uid)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(uid, copies, copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

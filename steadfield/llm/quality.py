@@ -3,8 +3,9 @@
 One raw-content dictionary is cut from texts labelled good and one from texts labelled bad. A text is compressed whole
 with either; how many bytes fewer the good dictionary needs, for each byte of text, says how good it is. That
 difference becomes a probability by a logistic calibration on labelled rows that are in neither dictionary; its terms
-are the normalised difference, the normalised smaller size and the logarithm of the length, up to second order, so
-that short texts and texts that compress to nothing by repeating themselves are judged as such.
+are the normalised difference, the normalised smaller size and the logarithm of the length with their second-order terms,
+so that short texts and texts that compress to nothing by repeating themselves are judged as such. The difference has no
+square: a text that is in a dictionary lies beyond all calibrated differences, and has to score further on its side.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from: mods 1 to 3 fill the dictionaries, mod 4
 calibrates. The samples are bounded: ``DICTIONARY_BYTES`` for each dictionary, from ``DICTIONARY_ROWS`` rows of each
@@ -35,7 +36,8 @@ LEVEL = 6
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 THRESHOLD = 0.3
 _PRIOR_BYTES = 32
-_RIDGE = 1e-2
+#: The ridge on standardised terms is this by the number of calibration rows.
+_RIDGE = 50.0
 
 
 def fold() -> Column:
@@ -60,31 +62,51 @@ class Compressors:
         return len(self.both[0].compress(b)), len(self.both[1].compress(b)), len(b)
 
 
-def terms(sizes: np.ndarray) -> np.ndarray:
+def features(sizes: np.ndarray) -> np.ndarray:
+    """The normalised difference, the normalised smaller size, the logarithm of the length."""
     bad, good, n = np.asarray(sizes, dtype=np.float64).reshape(-1, 3).T
-    d, r, length = (bad - good) / (n + _PRIOR_BYTES), np.minimum(bad, good) / (n + _PRIOR_BYTES), np.log(n + _PRIOR_BYTES)
-    return np.stack([np.ones_like(d), d, r, length, d * d, r * r, d * r, d * length, r * length, length * length], axis=1)
+    return np.stack([(bad - good) / (n + _PRIOR_BYTES), np.minimum(bad, good) / (n + _PRIOR_BYTES), np.log(n + _PRIOR_BYTES)], axis=1)
+
+
+def terms(f: np.ndarray) -> np.ndarray:
+    d, r, length = f.T
+    return np.stack([np.ones_like(d), d, r, length, r * r, r * length, length * length, d * length], axis=1)
 
 
 class Calibration:
     """A ridge logistic regression by Newton's method on standardised terms."""
 
     def __init__(self, sizes: np.ndarray, labels: np.ndarray) -> None:
-        x, y = terms(sizes), np.asarray(labels, dtype=np.float64)
+        f, y = features(sizes), np.asarray(labels, dtype=np.float64)
+        # beyond the sizes and lengths that it has seen, a text is judged as at their edge
+        self.low, self.high = (f.min(axis=0), f.max(axis=0)) if len(f) else (np.zeros(3), np.zeros(3))
+        self.low[0], self.high[0] = -np.inf, np.inf
+        x = terms(f)
         self.mean, self.scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
         if len(x):
             self.mean[1:] = x.mean(axis=0)[1:]
             spread = x.std(axis=0)
             self.scale[1:] = np.where(spread[1:] > 1e-12, spread[1:], 1.0)
         z, self.weights = (x - self.mean) / self.scale, np.zeros(x.shape[1])
-        for _ in range(60):
+        self.ridge = _RIDGE / max(1, len(x))
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
-            hessian = (z * (p * (1 - p))[:, None]).T @ z + _RIDGE * np.eye(len(self.weights))
-            step = np.linalg.solve(hessian, z.T @ (y - p) - _RIDGE * self.weights)
-            self.weights += np.clip(step, -5, 5)
+            gradient = z.T @ (y - p) - self.ridge * self.weights
+            hessian = (z * (p * (1 - p))[:, None]).T @ z + self.ridge * np.eye(len(self.weights))
+            step = np.linalg.solve(hessian, gradient)
+            loss, size = self._loss(z, y, self.weights), 1.0
+            while size > 1e-6 and self._loss(z, y, self.weights + size * step) > loss - 1e-4 * size * float(gradient @ step):
+                size /= 2
+            self.weights += size * step
+            if np.abs(size * step).max() < 1e-8:
+                break
+
+    def _loss(self, z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+        m = z @ w
+        return float((np.logaddexp(0, m) - y * m).sum() + self.ridge / 2 * (w @ w))
 
     def score(self, sizes: np.ndarray) -> np.ndarray:
-        z = (terms(sizes) - self.mean) / self.scale
+        z = (terms(np.clip(features(sizes), self.low, self.high)) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
