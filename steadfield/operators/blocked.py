@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, f32, f64, half_even
@@ -99,13 +99,14 @@ def quantize(grid: DataFrame, size: int, keys: list[str], specs: Sequence[Tier]
     if down not in ("none", "const", "tri"):
         raise ValueError(down)
     lowest = lowest if lowest is not None else min(t.bits for t in specs)
-    rows = with_blocks(grid, size)
-    st = block_stats(rows, keys, x).withColumn("bits", bits_for(F.col("amax"), specs))
+    # a block holds size ** 3 rows at most, so its figures are a window over them: one shuffle, and no join
+    v, block = F.col(x), Window.partitionBy(*keys, *BLOCK_AXES)
+    figures = {"n": F.count(F.lit(1)), "vmin": F.min(v), "vmax": F.max(v), "vmean": F.avg(f64(v)), "amax": F.max("att")}
+    st = with_blocks(grid, size).withColumns({k: c.over(block) for k, c in figures.items()}).withColumn("bits", bits_for(F.col("amax"), specs))
     low = F.lit(down != "none") & (F.col("bits") <= lowest)
     if down == "tri":
         low = low & (F.col("n") == size**3) & F.lit(size % 2 == 0)
-    st = st.withColumn("mode", F.when(F.col("bits") >= 32, RAW32).when(low, CONST if down == "const" else DOWN2).otherwise(FULL))
-    out = rows.join(st, [*keys, *BLOCK_AXES])
+    out = st.withColumn("mode", F.when(F.col("bits") >= 32, RAW32).when(low, CONST if down == "const" else DOWN2).otherwise(FULL))
     whole = _level(F.col(x), f64(F.col("vmin")), f64(F.col("vmax")), F.col("bits"))
     if down == "tri":
         halves = {f"c{k}": F.floor(F.col(f"r{k}") / 2).cast("long") for k in range(3)}
@@ -131,7 +132,7 @@ def energy_factor(coded: DataFrame, keys: list[str], x: str = "x", correctable:
 
 
 def correct_energy(coded: DataFrame, keys: list[str], x: str = "x", correctable: int = CORRECTABLE_BITS) -> DataFrame:
-    out = coded.join(energy_factor(coded, keys, x, correctable).select(*keys, "alpha"), keys)
+    out = correct.attach(coded, energy_factor(coded, keys, x, correctable).select(*keys, "alpha"), keys)
     return out.withColumn("xc", F.when(F.col("bits") <= correctable, f32(F.col("alpha") * f64(F.col("xh")))).otherwise(F.col("xh")))
 
 

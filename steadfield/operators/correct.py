@@ -1,9 +1,9 @@
 """Closed-form restoration of invariants: statistics of a reconstruction to parameters, parameters to a map.
 
 Every corrector is ``stats`` (one aggregation) -> ``params`` (a row for each field) -> ``apply`` (a projection). The
-parameters are joined back by broadcast: they are one row for each field, and ``attach`` checks their size against
-``BROADCAST_ROWS`` where a count is at hand, leaving the choice to the planner otherwise. Params that were stored at
-encoding make decoding a projection without any aggregation.
+parameters are one row for each field. ``attach`` runs the aggregation, and if it gives ``BROADCAST_ROWS`` rows or
+fewer, they are broadcast and the rows of the field never leave their tasks; beyond that it is a join of two shuffled
+sides, which adaptive execution may split. Params that were stored at encoding make decoding a projection.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from . import invariants as inv
 
 #: Fixed value: how often a cap is doubled, the last time to infinity.
 CAP_TRIES = 64
+#: Rows up to which parameters are sent to all tasks; a row is a few numbers.
+BROADCAST_ROWS = 50_000
 
 
 def stats(field: DataFrame, xh: str = "xh", x: str = "x", w: str | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -82,10 +84,13 @@ def relative_params(st: DataFrame, mode: int) -> DataFrame:
     return st.withColumns({"a": a, "b": b, "ok": F.lit(True)})
 
 
-def attach(field: DataFrame, p: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Joins parameters to rows. One row for each field is small unless there are very many fields, which the planner
-    sees from the size; it broadcasts below its threshold and shuffles above."""
-    return field.join(p, keys or ["field_id"])
+def attach(field: DataFrame, p: DataFrame, keys: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Joins parameters, one row for each value of keys, to rows. Runs a job for the parameters."""
+    keys = keys or ["field_id"]
+    rows = p.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return field.join(p, keys, how)
+    return field.join(F.broadcast(p.sparkSession.createDataFrame(rows, p.schema)), keys, how)
 
 
 def affine(xh: Column, a: Column, b: Column) -> Column:

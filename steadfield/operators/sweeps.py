@@ -21,7 +21,7 @@ def with_bounds(field: DataFrame, fractions: Sequence[float] = FRACTIONS, headro
     The ranges are one row for each field; the fractions are an array in the plan."""
     keys = keys or ["field_id"]
     span = field.groupBy(*keys).agg((f64(F.max("x")) - f64(F.min("x"))).alias("span"))
-    tried = field.join(span, keys).withColumn("frac", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
+    tried = correct.attach(field, span, keys).withColumn("frac", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
     return tried.withColumn("bound", F.col("frac") * F.col("span")).withColumn("bound_used", F.col("bound") * headroom).drop("span")
 
 

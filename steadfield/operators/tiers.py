@@ -78,7 +78,7 @@ def quantize(field: DataFrame, keys: list[str], tiers: Sequence[Tier] = DEFAULT_
     """field with tier: adds bits, lo, hi of the tier in its field, code and xh. The ranges are one row for each field
     and tier and are joined back."""
     ranges = field.groupBy(*keys, "tier").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    out = field.join(ranges, [*keys, "tier"]).withColumn("bits", bits_of(F.col("tier"), tiers))
+    out = correct.attach(field, ranges, [*keys, "tier"]).withColumn("bits", bits_of(F.col("tier"), tiers))
     out = out.withColumn("code", code(F.col(x), F.col("lo"), F.col("hi"), F.col("bits")))
     return out.withColumn("xh", decode(F.col("code"), F.col("lo"), F.col("hi"), F.col("bits"), F.col(x)))
 
@@ -99,4 +99,4 @@ def correct_energy(coded: DataFrame, keys: list[str], x: str = "x") -> DataFrame
     """Adds xc: the reconstruction with its correctable tiers rescaled."""
     report = energy_report(coded, keys, x).select(*keys, "alpha")
     scaled = f32(F.col("alpha") * f64(F.col("xh")))
-    return coded.join(report, keys).withColumn("xc", F.when(F.col("bits") <= CORRECTABLE_BITS, scaled).otherwise(F.col("xh")))
+    return correct.attach(coded, report, keys).withColumn("xc", F.when(F.col("bits") <= CORRECTABLE_BITS, scaled).otherwise(F.col("xh")))
