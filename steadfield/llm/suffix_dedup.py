@@ -43,9 +43,10 @@ from ..runtime import ship
 from . import common
 from .hashing import BYTES as _BYTES
 from .hashing import mix as _mix
+from .hashing import powers as _powers
 
 SPAN, GRAM = 50, 16
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Bytes that are hashed at a time, and symbols up to which a bucket's arrays stay in memory.
 PIECE, IN_MEMORY = 1 << 20, 64 << 20
 _END = 255  # never a byte of UTF-8
@@ -131,34 +132,24 @@ class Block:
         np.maximum.at(most, place, docs)
         return (distinct >> _U(40)).astype(np.int64), distinct & _LOW40, least != most, place
 
-    def strings(self, chosen: np.ndarray, place: np.ndarray, bucket: np.ndarray) -> tuple[dict[int, list[bytes]], dict[int, list[list[int]]], np.ndarray]:
-        """Of the runs with a chosen anchor: by bucket the distinct strings and [least, most] doc_id of each; and for
-        each run the number of its string, counted through the buckets in ascending order, or -1."""
-        runs = np.flatnonzero(chosen[place])
-        known: dict[int, dict[bytes, int]] = {}
-        spans: dict[int, list[list[int]]] = {}
-        data, own = self.b.tobytes(), np.full(len(place), -1, dtype=np.int64)
-        owner = bucket[place[runs]].tolist()
-        local: list[int] = []
-        for k, s, e, d in zip(owner, self.first[runs].tolist(), (self.last[runs] + SPAN).tolist(), self.doc_ids[self.text[runs]].tolist()):
-            table = known.setdefault(k, {})
-            at = table.setdefault(data[s:e], len(table))
-            seen = spans.setdefault(k, [])
-            if at == len(seen):
-                seen.append([d, d])
-            else:
-                x = seen[at]
-                if d < x[0]:
-                    x[0] = d
-                elif d > x[1]:
-                    x[1] = d
-            local.append(at)
-        start, total = {}, 0
-        for k in sorted(known):
-            start[k] = total
-            total += len(known[k])
-        own[runs] = np.array([start[k] for k in owner], dtype=np.int64) + np.array(local, dtype=np.int64) if len(runs) else 0
-        return {k: list(known[k]) for k in sorted(known)}, spans, own
+    def strings(self, chosen: np.ndarray, place: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs with a chosen anchor, the distinct strings in order of bucket: a run that holds each, the least
+        and most doc_id with it; and for each run of the block the number of its string, or -1. Strings are equal if
+        their anchors, lengths and 64-bit hashes are."""
+        runs, own = np.flatnonzero(chosen[place]), np.full(len(place), -1, dtype=np.int64)
+        if not len(runs):
+            return runs, runs, runs, own
+        up, down = _powers(len(self.b) + 1)
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[self.b] * up[: len(self.b)], dtype=np.uint64)))
+        first, end = self.first[runs], self.last[runs] + SPAN
+        keys = (_mix((sums[end] - sums[first]) * down[first]), (end - first).astype(np.uint64), self.anchor[runs], bucket[place[runs]].astype(np.uint64))
+        order = np.lexsort(keys)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+        start = np.flatnonzero(new)
+        own[runs[order]] = np.cumsum(new) - 1
+        docs = self.doc_ids[self.text[runs]][order]
+        return runs[order[start]], np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start), own
 
 
 def _pack40(h: np.ndarray) -> bytes:
@@ -365,17 +356,19 @@ def _strings(folder: str, buckets: int):
         number = t.column("block")[0].as_py()
         block = Block.read(folder, number)
         masks = dict(zip(t.column("bucket").to_pylist(), t.column("mask").to_pylist()))
-        strings, spans, _ = block.strings(*_chosen(block, buckets, masks))
+        chosen, place, bucket = _chosen(block, buckets, masks)
+        held, least, most, _ = block.strings(chosen, place, bucket)
         rows = {"bucket": [], "block": [], "start": [], "lengths": [], "symbols": [], "ids": []}
-        total = 0
-        for k, found in strings.items():
-            rows["bucket"].append(k)
+        data, owner = block.b.tobytes(), bucket[place[held]]
+        cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)]):
+            first, end = block.first[held[a:z]], block.last[held[a:z]] + SPAN
+            rows["bucket"].append(int(owner[a]))
             rows["block"].append(number)
-            rows["start"].append(total)
-            rows["lengths"].append(np.array([len(s) for s in found], dtype=np.uint8).tobytes())
-            rows["symbols"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(found)))
-            rows["ids"].append(np.array(spans[k], dtype="<i8").tobytes())
-            total += len(found)
+            rows["start"].append(a)
+            rows["lengths"].append((end - first).astype(np.uint8).tobytes())
+            rows["symbols"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(data[x:y] for x, y in zip(first.tolist(), end.tolist()))))
+            rows["ids"].append(np.stack((least[a:z], most[a:z]), axis=1).astype("<i8").tobytes())
         return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("ids", pa.binary())]))
 
     return run
@@ -424,7 +417,7 @@ def _cut(folder: str, buckets: int):
         number = masks_.column("block")[0].as_py()
         block = Block.read(folder, number)
         masks = dict(zip(masks_.column("bucket").to_pylist(), masks_.column("mask").to_pylist()))
-        _, _, own = block.strings(*_chosen(block, buckets, masks))
+        *_, own = block.strings(*_chosen(block, buckets, masks))
         covered = np.zeros(len(block.b) + 1, dtype=np.int32)
         if answers.num_rows:
             string, first, last, least = (
