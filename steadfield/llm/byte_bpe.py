@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _FIRST_LETTER = 0x100
 LETTERS = {b: _FIRST_LETTER + b for b in range(256)}
 _UNKNOWN = "<unk>"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:

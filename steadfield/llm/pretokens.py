@@ -23,7 +23,7 @@ _CLASS, _OTHERS = "".join(_POINTS), "".join(c for c in _POINTS if c not in " \n"
 _ODD = re.compile(f"[{_CLASS}][{_CLASS}]|[{_OTHERS}]")
 _RUNS = re.compile(f"([{_CLASS}]+)")
 #: Characters of text that are split, looked up and joined at a time.
-GROUP = 3_000_000
+GROUP = 1_000_000
 _MARKS, BEYOND_LATIN = ".,;:!?", "\u0250"
 
 
@@ -54,7 +54,7 @@ class CachedEncoder:
     64-bit hash within the group) and put together again as arrays, so that Python handles each distinct piece of a
     group once; other texts are cut piece by piece."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], width: int, most: int = 350_000) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], width: int, most: int = 250_000) -> None:
         self.encode_many, self.kind, self.most = encode_many, np.dtype(f"<u{width}"), most
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
