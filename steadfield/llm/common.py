@@ -26,22 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = DEFAULT_SHARED_DIR
         spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and root.startswith("/"):
-        root = f"file://{root}"
-    own = f"{root.rstrip('/')}/steadfield-{spark.sparkContext.applicationId}"
+    context = spark.sparkContext
+    if "://" not in root:  # the cluster's own file system, as Spark would take it
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        root = fs.getUri().resolve(fs.makeQualified(path).toUri()).toString()
+        root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file:///") else root
+    own = f"{root.rstrip('/')}/steadfield-{context.applicationId}"
     if own not in _made:
         _made.add(own)
-        atexit.register(remove, spark, own)
+        atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), own)
     return own
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of shared_dir(); at exit the JVM may be gone already, and the folder is then left."""
+def _remove(jvm, configuration, path: str) -> None:
+    """Deletes a folder through the JVM; if that has gone before, the folder is left."""
+    from py4j.protocol import Py4JError
+
     try:
-        jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the gateway raises many kinds once it is closed
+        target.getFileSystem(configuration).delete(target, True)
+    except (Py4JError, OSError):
         return
 
 
