@@ -16,7 +16,8 @@ table; beyond it the operator raises instead of collecting.
 
 Defined results: null text has size 0; null is a source of its own, after all others; a source of size 0 has target 0
 and none of its documents is taken; repeated rows are separate documents; an empty table gives an empty result; other
-columns of the input are kept. The choice depends on the rows and ``seed`` alone, not on their order or place.
+columns of the input are kept. The choice depends on the rows and ``seed`` alone, not on their order or place (but for
+rows without a ``doc_id``, which are told apart by their place).
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _round(rows: DataFrame, seed: int) -> DataFrame:
 def _blocks(rows: DataFrame, counts: DataFrame, level: int) -> DataFrame:
     """Deals each source's open rows to ceil(count / BLOCK) blocks by a hash of the row."""
     n = F.ceil(F.col("open") / F.lit(BLOCK)).cast("long")
-    block = F.pmod(F.xxhash64("doc_id", "uid", F.lit(level)), F.greatest(n, F.lit(1)))
+    block = F.pmod(F.xxhash64(F.coalesce("doc_id", "uid"), "size", F.lit(level)), F.greatest(n, F.lit(1)))
     return rows.drop("block", "last").join(F.broadcast(counts), "source_no").withColumns({"block": block, "last": n <= 1}).drop("open")
 
 

@@ -149,3 +149,12 @@ def test_graphs_of_few_points(n):
     if n:
         ids, _ = hnsw.Graph.build(p).search(p, 8)
         assert (ids[:, 0] >= 0).all() and {i for i in ids.ravel().tolist() if i >= 0} == set(range(n)) if n < 8 else True
+
+
+def test_the_mix_does_not_depend_on_the_layout(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(0, 40)), f"s{i % 3}") for i in range(150)]
+    one, other = write_docs(spark, str(tmp_path / "a"), rows, 1), write_docs(spark, str(tmp_path / "b"), rows[::-1], 7)
+    pick = lambda d: sorted((r.doc_id, r.taken) for r in mixing.mix(d).collect())
+    assert pick(one) == pick(other)
