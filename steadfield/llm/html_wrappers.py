@@ -99,9 +99,10 @@ def tokenize(page: str) -> tuple[list[str], list[str]]:
                 text(" ")
             continue
         if m[2]:
-            names = [x.partition(".")[0] for x in stack]
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            for n in range(len(stack) - 1, -1, -1):
+                if stack[n].partition(".")[0] == name:
+                    close(n)
+                    break
         else:
             if stack and stack[-1].partition(".")[0] in ("p", name if name in ("li", "dt", "dd", "tr", "td", "th", "option") else "p"):
                 close(len(stack) - 1)
@@ -135,32 +136,40 @@ def _kind(item: str | list) -> str:
 
 def fold(items: list) -> list:
     """Repeats of adjacent equal runs as repeated groups, shortest periods first, until none is left."""
-    changed = True
+    keys, changed = [_key(x) for x in items], True
     while changed:
         changed = False
         for period in range(1, min(PERIOD, len(items) // 2) + 1):
-            keys, out, i = [_key(x) for x in items], [], 0
+            if not any(map(str.__eq__, keys, keys[period:])):
+                continue
+            out, out_keys, i = [], [], 0
             while i < len(items):
-                group = items[i : i + period]
                 n = 1
-                while keys[i + n * period : i + (n + 1) * period] == keys[i : i + period] and len(group) == period:
-                    n += 1
+                if i + period < len(items) and keys[i] == keys[i + period]:
+                    group = keys[i : i + period]
+                    while keys[i + n * period : i + (n + 1) * period] == group:
+                        n += 1
                 if n > 1:
-                    out.append(group[0] if period == 1 and group[0][0] == "+" else ["+", group])
+                    x = items[i] if period == 1 and items[i][0] == "+" else ["+", items[i : i + period]]
                     i, changed = i + n * period, True
                 else:
-                    out.append(items[i])
-                    i += 1
-            items = out
+                    x, i = items[i], i + 1
+                out.append(x)
+                out_keys.append(_key(x))
+            items, keys = out, out_keys
     # a copy beside its repeated group belongs to the group
-    out: list = []
-    for x in items:
+    out, out_keys, groups = [], [], 0
+    for x, k in zip(items, keys):
         out.append(x)
-        if out[-1][0] != "+" or isinstance(out[-1], str):
-            for body, k in ((out[-1 - n][1], n) for n in range(1, min(PERIOD, len(out) - 1) + 1) if not isinstance(out[-1 - n], str) and out[-1 - n][0] == "+"):
-                if [_key(y) for y in out[-k:]] == [_key(y) for y in body]:
-                    del out[-k:]
-                    break
+        out_keys.append(k)
+        if not isinstance(x, str) and x[0] == "+":
+            groups += 1
+            continue
+        for n in range(1, min(PERIOD, len(out) - 1) + 1) if groups else ():
+            before = out[-1 - n]
+            if not isinstance(before, str) and before[0] == "+" and len(before[1]) == n and [_key(y) for y in before[1]] == out_keys[-n:]:
+                del out[-n:], out_keys[-n:]
+                break
     return out
 
 
