@@ -50,6 +50,14 @@ def _remove(jvm, configuration, path: str) -> None:
         return
 
 
+def file_system(uri: str):
+    """(file system, path) of an address of the shared folder, for reading and writing files in a task. Local, HDFS and
+    S3 addresses are known; Spark's name for the last is another than Arrow's."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3://" + uri.removeprefix("s3a://") if uri.startswith("s3a://") else uri)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

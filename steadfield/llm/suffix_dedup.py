@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +112,7 @@ class Block:
 
     @classmethod
     def read(cls, folder: str, block: int) -> Block:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = common.file_system(folder)
         with fs.open_input_stream(f"{base}/{block}") as f:
             data = zstandard.ZstdDecompressor().decompress(f.read())
         n = int(np.frombuffer(data, "<i8", 1)[0])
@@ -288,7 +287,7 @@ def _blocks(folder: str, buckets: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = common.file_system(folder)
         fs.create_dir(base, recursive=True)
         ids: list[int] = []
         texts: list[bytes] = []

@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +178,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = common.file_system(folder)
         fs.create_dir(base, recursive=True)
         encode = encoder(vocabulary, end_id, width)
         doc_ids: list[int | None] = []
@@ -224,7 +223,7 @@ def read_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, path = pafs.FileSystem.from_uri(row["path"])
+                fs, path = common.file_system(row["path"])
                 with fs.open_input_stream(path) as f:
                     shard = Shard(f.read())
                 ends = np.concatenate(([0], shard.ends.all().astype(np.int64)))
