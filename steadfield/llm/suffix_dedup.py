@@ -199,7 +199,7 @@ def build(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         active = np.flatnonzero(lengths >= j)
         asked = place[active]
         symbol = bwt[asked]
-        by = np.lexsort((asked, symbol))
+        by = np.argsort(symbol.astype(np.int64) << 48 | asked)
         active, asked, symbol = active[by], asked[by], symbol[by]
         cut = np.searchsorted(symbol, np.arange(257))
         t = np.empty(len(active), dtype=np.int64)
@@ -209,7 +209,7 @@ def build(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         low, high = edge[symbol], edge[symbol.astype(np.int64) + 1]
         before = np.where(t > low, order[np.maximum(t - 1, 0)], -1)
         after = np.where(t + 1 < high, order[np.minimum(t + 1, len(order) - 1)], -1)
-        own_lcp, next_lcp = _least_between(lcp, before, asked), _least_between(lcp, asked, after)
+        own_lcp, next_lcp = _new_prefixes(lcp, before, asked, after)
         # whole strings have no longer suffix; all others have one place behind the m ends of strings
         total, q = m + len(bwt) - int(count[_END]), m + t
         fresh = np.zeros(total, dtype=bool)
@@ -233,15 +233,16 @@ def build(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bwt, lcp, (tag >> 7).astype(np.int64), (tag & 127).astype(np.uint8)
 
 
-def _least_between(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One more than the least of lcp[a + 1 .. b], or 0 where a or b is -1."""
-    out = np.zeros(len(a), dtype=np.uint8)
-    ok = np.flatnonzero((a >= 0) & (b >= 0))
-    if len(ok):
-        ok = ok[np.argsort(a[ok], kind="stable")]
-        edges = np.stack((a[ok] + 1, b[ok] + 1), axis=1).ravel()
-        out[ok] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), edges)[::2] + np.uint8(1)
-    return out
+def _new_prefixes(lcp: np.ndarray, before: np.ndarray, at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more than the least of lcp[before + 1 .. at] and of lcp[at + 1 .. after]; 0 where before or after is -1."""
+    low, high = np.where(before >= 0, before, at), np.where(after >= 0, after, at)
+    by = np.argsort(low)
+    edges = np.stack((low[by], at[by], high[by]), axis=1).ravel() + 1
+    least = np.minimum.reduceat(np.append(lcp, np.uint8(0)), edges) + np.uint8(1)
+    own, following = np.empty(len(at), dtype=np.uint8), np.empty(len(at), dtype=np.uint8)
+    own[by], following[by] = least[0::3], least[1::3]
+    own[before < 0], following[after < 0] = 0, 0
+    return own, following
 
 
 def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -455,12 +456,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, folder = max(16, -(-int(total) // BUCKET_BYTES)), common.new_path(spark, "suffix-blocks")
+    # the work of a group is in its texts, not in the rows that name them, so partitions are not merged by their bytes
+    parts = -(-buckets // 4)
     sent = rows.mapInArrow(_blocks(folder, buckets), "bucket long, block long, hashes binary, several binary")
-    masks = common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, mask binary"), "suffix-masks")
-    asked = masks.groupBy("block").applyInArrow(_strings(folder, buckets), "bucket long, block long, start long, lengths binary, symbols binary, ids binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answers, "block long, string binary, first binary, last binary, least binary")
+    masks = common.materialize(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, mask binary"), "suffix-masks")
+    asked = masks.repartition(buckets, "block").groupBy("block").applyInArrow(_strings(folder, buckets), "bucket long, block long, start long, lengths binary, symbols binary, ids binary")
+    answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_answers, "block long, string binary, first binary, last binary, least binary")
     answers = common.materialize(answers, "suffix-answers")
-    cut = masks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(folder, buckets), "doc_id long, n_bytes long, spans array<long>, kept string")
+    cut = masks.repartition(buckets, "block").groupBy("block").cogroup(answers.repartition(buckets, "block").groupBy("block")).applyInArrow(_cut(folder, buckets), "doc_id long, n_bytes long, spans array<long>, kept string")
     return cut.withColumnRenamed("kept", "kept_sha256")
 
 
