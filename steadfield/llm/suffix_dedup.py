@@ -48,6 +48,8 @@ SPAN, GRAM = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Bytes that are hashed at a time, and symbols up to which a bucket's arrays stay in memory.
 PIECE, IN_MEMORY = 1 << 20, 64 << 20
+#: Strings that are ordered together, about.
+COLLECTION = 6_000
 _END = 255  # never a byte of UTF-8
 _NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
@@ -258,9 +260,14 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nda
     rest = np.flatnonzero(~alone)
     single = np.flatnonzero(alone)
     s, first, last, value = single, np.zeros(len(single), dtype=np.int64), lengths[single] - SPAN, ids[single]
-    if len(rest):
-        found = _ordered_least([strings[k] for k in rest.tolist()], ids[rest])
-        s, first, last, value = (np.concatenate(x) for x in zip((s, first, last, value), (rest[found[0]], *found[1:])))
+    parts, rest, at = [(s, first, last, value)], rest[np.argsort(group[rest], kind="stable")], 0
+    while at < len(rest):  # strings of one anchor stay together; small collections stay in a processor's cache
+        end = int(np.searchsorted(group[rest], group[rest[min(at + COLLECTION, len(rest)) - 1]], side="right"))
+        some = rest[at:end]
+        found = _ordered_least([strings[k] for k in some.tolist()], ids[some])
+        parts.append((some[found[0]], *found[1:]))
+        at = end
+    s, first, last, value = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((first, s))
     return s[order], first[order], last[order], value[order]
 

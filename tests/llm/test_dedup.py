@@ -99,6 +99,7 @@ def test_repeated_spans_match_brute_force(spark, tmp_path):
 
 def test_spans_of_many_blocks_and_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 500)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 7)
     rng = random.Random(9)
     strings = list({bytes(rng.choice(b"abc ") for _ in range(rng.randint(50, 84))) for _ in range(200)})
     ids = np.arange(len(strings), dtype=np.int64)
