@@ -22,7 +22,7 @@ _CLASS, _OTHERS = "".join(_POINTS), "".join(c for c in _POINTS if c not in " \n"
 #: White space beside white space, or any but space and newline.
 _ODD = re.compile(f"[{_CLASS}][{_CLASS}]|[{_OTHERS}]")
 _RUNS = re.compile(f"([{_CLASS}]+)")
-#: Characters of text that are split, looked up and joined at a time.
+#: Characters of text that are split, looked up and joined at a time, unless an encoder says otherwise.
 GROUP = 1_000_000
 _MARKS, BEYOND_LATIN = ".,;:!?", "\u0250"
 
@@ -54,8 +54,8 @@ class CachedEncoder:
     64-bit hash within the group) and put together again as arrays, so that Python handles each distinct piece of a
     group once; other texts are cut piece by piece."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], width: int, most: int = 250_000) -> None:
-        self.encode_many, self.kind, self.most = encode_many, np.dtype(f"<u{width}"), most
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], width: int, most: int = 250_000, group: int = GROUP) -> None:
+        self.encode_many, self.kind, self.most, self.group = encode_many, np.dtype(f"<u{width}"), most, group
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -126,7 +126,7 @@ class CachedEncoder:
         for t in texts:
             held.append(t)
             size += len(t)
-            if size >= GROUP:
+            if size >= self.group:
                 yield from self._next(held)
                 held, size = [], 0
         if held:

@@ -157,7 +157,7 @@ def encoder(path: str, end_id: int, width: int) -> Callable[[list[str]], Iterato
     def many(pieces: list[str]) -> Iterator[bytes]:
         return map(piece, pieces)
 
-    cached = CachedEncoder(many, width)
+    cached = CachedEncoder(many, width, most=800_000, group=3_000_000)
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         # added tokens are looked for before the split, in the whole text

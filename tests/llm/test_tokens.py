@@ -41,10 +41,9 @@ def test_file_encoder_is_the_library():
         assert np.frombuffer(got, "<u2").tolist() == t.encode(s, add_special_tokens=False).ids + [2]
 
 
-def test_cache_generations(monkeypatch):
+def test_cache_generations():
     b, own = byte_bpe.ByteBPE(RANKS, public_tokenizers.PATTERN), reference()
-    b._cached.most = 5
-    monkeypatch.setattr("steadfield.llm.pretokens.GROUP", 30)
+    b._cached.most, b._cached.group = 5, 30
     texts = strings(200) * 2
     assert [i.tolist() for i in b.encode(texts)] == [own.encode_ordinary(s) for s in texts]
 
