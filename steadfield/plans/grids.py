@@ -290,6 +290,20 @@ def nodes(spark, d):
     return e.select(F.floor(F.col("event_id") / _NX).cast("long").alias("y"), (F.col("event_id") % _NX).alias("x"), *f)
 
 
+#: Every event: node event_id % 500 of lattice g = event_id // 500. Nodes without an event hold fluid at rest.
+_LATTICES = f"SELECT l.g, n.i // {_NX} AS y, n.i % {_NX} AS x, " + ", ".join(f"coalesce({w!r} * (1 + 0.01 * sin(e.value + {k})), {w!r}) AS f{k}" for k, w in enumerate(solvers.LATTICE_W)) + f" FROM (SELECT DISTINCT event_id // {_NY * _NX} AS g FROM events) l CROSS JOIN (SELECT unnest(range({_NY * _NX})) AS i) n LEFT JOIN events e ON e.event_id = l.g * {_NY * _NX} + n.i"
+
+
+def lattices(spark, d):
+    """All events as lattices of _NY x _NX: (g, y, x, f0..f8)."""
+    e = table(spark, d, "events").select("event_id", "value")
+    size = _NY * _NX
+    full = e.select(F.floor(F.col("event_id") / size).cast("long").alias("g")).filter("g is not null").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
+    f = [F.coalesce(F.lit(w) * (1 + 0.01 * F.sin(F.col("value") + k)), F.lit(w)).alias(f"f{k}") for k, w in enumerate(solvers.LATTICE_W)]
+    both = full.withColumn("event_id", F.col("g") * size + F.col("i")).join(e, "event_id", "left")
+    return both.select("g", F.floor(F.col("i") / _NX).cast("long").alias("y"), (F.col("i") % _NX).alias("x"), *f)
+
+
 _RHO = " + ".join(f"f{k}" for k in range(9))
 _JX = " + ".join(f"({c}) * f{k}" for k, c in enumerate(solvers.LATTICE_X) if c)
 _JY = " + ".join(f"({c}) * f{k}" for k, c in enumerate(solvers.LATTICE_Y) if c)
@@ -326,14 +340,40 @@ def lbm_collide(spark, d):
 
 @query("q_lbm_step")
 def lbm_step(spark, d):
-    """Collision, streaming, walls, inlet and outlet of one step: total mass and the fastest node."""
-    before = solvers.collide(nodes(spark, d), 0.8)
-    s = solvers.bounce_back(solvers.stream(before, _NY, _NX), before, (F.col("y") == 0) | (F.col("y") == _NY - 1))
-    s = solvers.outlet(solvers.inlet(s, F.lit(0.02)), _NX)
+    """Collision, streaming, walls, inlet and outlet of one step of every lattice: total mass and the fastest node."""
+    before = solvers.collide(lattices(spark, d), 0.8)
+    s = solvers.bounce_back(solvers.stream(before, _NY, _NX, ["g"]), before, (F.col("y") == 0) | (F.col("y") == _NY - 1), ["g"])
+    s = solvers.outlet(solvers.inlet(s, F.lit(0.02)), _NX, ["g"])
     m = solvers.moments()
     return s.agg(F.sum(m["rho"]).alias("mass"), F.max(F.sqrt(m["jx"] * m["jx"] + m["jy"] * m["jy"]) / m["rho"]).alias("fastest"))
 
 
+# The same on every event; the SQL of the queries above reads the first lattice alone.
+_MOMENTS_ALL = _MOMENTS.replace(_NODES, _LATTICES)
+
+
+@query("q_lbm_moments_all", f"SELECT g, y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS_ALL})")
+def lbm_moments_all(spark, d):
+    return lattices(spark, d).select("g", "y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
+
+
+@query("q_lbm_restore_all", f"SELECT g, y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS_ALL})")
+def lbm_restore_all(spark, d):
+    true = lattices(spark, d).withColumns({f"{n}0": c for n, c in solvers.moments().items()})
+    back = solvers.restore_moments(solvers.truncate(true, 4e-3))
+    return back.select("g", "y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
+
+
+@query("q_lbm_stream_all", f"WITH n AS ({_LATTICES}) SELECT g, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, " + ", ".join(f"{R(f'max(f) FILTER (k = {k})', 10)} AS f{k}" for k in range(9)) + " FROM (" + " UNION ALL ".join(f"SELECT g, {k} AS k, (y + {cy} + {_NY}) % {_NY} AS y, (x + {cx} + {_NX}) % {_NX} AS x, f{k} AS f FROM n" for k, (cx, cy) in enumerate(zip(solvers.LATTICE_X, solvers.LATTICE_Y))) + ") GROUP BY g, y, x")
+def lbm_stream_all(spark, d):
+    return solvers.stream(lattices(spark, d), _NY, _NX, ["g"]).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 10).alias(f"f{k}") for k in range(9)))
+
+
+@query("q_lbm_collide_all", "SELECT g, y, x, " + ", ".join(f"{R(f'f{k} - 0.8 * (f{k} - {_feq(k)})', 9)} AS f{k}" for k in range(9)) + f" FROM ({_MOMENTS_ALL})")
+def lbm_collide_all(spark, d):
+    return solvers.collide(lattices(spark, d), 0.8).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 9).alias(f"f{k}") for k in range(9)))
+
+
 _RING = f"SELECT k, i, {D('u')} AS u, {D('v')} AS v FROM ({VECTOR_CUBE})"
 _RING2 = f"SELECT a.k, a.i, a.u, a.v, b.u AS un, c.u AS up FROM ({_RING}) a JOIN ({_RING}) b ON b.k = a.k AND b.i = (a.i + 1) % 64 JOIN ({_RING}) c ON c.k = a.k AND c.i = (a.i + 63) % 64"
 
