@@ -9,6 +9,12 @@ optional group. Text tokens are the slots. A wrapper is at last compiled to a re
 matching a page with it tells which slot each of its texts fills. A slot is main text if its path lies in the content
 box of the wrapper and in no menu, header, footer, side bar, notice, advert, form or reader comment.
 
+Where a slot's text does not vary over a host, it is no slot but template: a text outside article and main that stands in
+one path beside ``LEAST_PAGES`` different contents or more, and beside at least one of ``SHARE`` of all that the host has,
+is dropped, whatever its box is called. A content is told by the longest other main text of its page, so that copies of
+one page, and pages that differ in small things, count once; a text longer than all others of its page is not counted. Contents are counted by one aggregation over short hashes. A page all of
+whose main text would go keeps it.
+
 Only distinct folded streams of a host are aligned (they are found by one aggregation, which sums up a host with a
 third of all pages in each task first), in blocks of ``BLOCK`` whose wrappers are aligned in turn, so no task gathers
 a host's pages. Pages meet their wrapper in a join that adaptive execution can split or broadcast by measured size.
@@ -23,6 +29,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html as htmllib
 import json
 import re
@@ -41,6 +48,8 @@ from . import common
 BLOCK = 256
 #: Longest period that is looked for as a repeat, and the largest alignment table (cells).
 PERIOD, CELLS = 24, 4_000_000
+#: A text is template beside so many different contents, and beside one of so many of the host's contents.
+LEAST_PAGES, SHARE = 3, 2
 _RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title"
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)", re.S | re.I)
@@ -273,6 +282,7 @@ def _content(paths: list[str]) -> str:
     return ".named" if any(w & CONTENT_WORDS and not w & DROPPED_WORDS for _, w in boxes) else ""
 
 
+@functools.lru_cache(maxsize=65536)
 def _is_main(path: str, content: str) -> bool:
     inside = not content
     for name, words in _boxes(path):
@@ -310,24 +320,71 @@ def _compiled(wrapper: str) -> Wrapper:
     return Wrapper(json.loads(wrapper))
 
 
-def extract(page: str, wrapper: str | None) -> str:
+def _listed(keys: list[str]) -> set[int]:
+    """The places of main-text tokens by the page alone."""
+    content = _content(sorted({k for k in keys if k[0] == "#"}))
+    return {i for i, k in enumerate(keys) if k[0] == "#" and _is_main(k, content)}
+
+
+def _mark(path: str, text: str) -> int:
+    """64 bits of a text in its path."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text.strip()}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def contents(keys: list[str], texts: list[str]) -> dict[int, int]:
+    """For each main text of a page, up to half of it all, its mark, and the mark of the longest other one, which tells
+    the content beside it. Texts inside a content element are content whatever they say."""
+    size: dict[int, int] = {}
+    for i in _listed(keys):
+        if not any(name in CONTENT_ELEMENTS for name, _ in _boxes(keys[i])):
+            size[_mark(keys[i], texts[i])] = len(texts[i])
+    order, all_ = sorted(size, key=lambda h: (-size[h], h))[:2], sum(size.values())
+    return {h: order[1] if h == order[0] else order[0] for h in size if 2 * size[h] <= all_ and len(order) > 1}
+
+
+def extract(page: str, wrapper: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     keys, texts = tokenize(page)
     main = _compiled(wrapper).main(keys) if wrapper else None
     if main is None:
-        slots = {k for k in keys if k[0] == "#"}
-        content = _content(sorted(slots))
-        main = {i for i, k in enumerate(keys) if k[0] == "#" and _is_main(k, content)}
+        main = _listed(keys)
+    if template:
+        main = {i for i in main if _mark(keys[i], texts[i]) not in template} or main
     return main_text(keys, texts, main)
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper), from all pages (host, html)."""
+def _streams(pages: DataFrame) -> DataFrame:
+    """From all pages (host, html), without repeats: rows (host, wrapper) of streams, and rows (host, mark, beside) of main
+    texts; in each the other columns are null."""
 
-    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [json.dumps(skeleton(tokenize(p or "")[0]), separators=(",", ":")) for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
+            rows: dict[tuple, None] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, texts = tokenize(page or "")
+                rows[host, json.dumps(skeleton(keys), separators=(",", ":")), None, None] = None
+                for mark, beside in contents(keys, texts).items():
+                    rows[host, None, mark, beside] = None
+            columns = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "wrapper", "mark", "beside"])
+
+    return common.materialize(pages.mapInArrow(run, "host string, wrapper string, mark long, beside long").distinct(), "html-streams")
+
+
+def template_texts(streams: DataFrame) -> DataFrame:
+    """(host, template): the marks of texts that are the same over the contents of a host."""
+    beside = streams.filter("mark is not null").groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
+    every = streams.filter("beside is not null").select("host", "beside").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    same = beside.filter(F.col("n") >= LEAST_PAGES).join(every, "host").filter(F.col("n") * SHARE >= F.col("all"))
+    return same.groupBy("host").agg(F.array_sort(F.collect_set("mark")).alias("template"))
+
+
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, template), from all pages (host, html)."""
+    streams = _streams(pages)
+    return _aligned(streams.filter("wrapper is not null").select("host", "wrapper")).join(template_texts(streams), "host", "left")
+
 
+def _aligned(now: DataFrame) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
         for w in sorted(pdf["wrapper"]):  # the same order however rows arrive
@@ -335,7 +392,6 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             wrapper = items if wrapper is None else align(wrapper, items)
         return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": json.dumps(wrapper, separators=(",", ":"))})
 
-    now = common.materialize(pages.mapInArrow(skeletons, "host string, wrapper string").distinct(), "html-streams")
     while True:
         per = now.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         most = per.agg(F.max("n")).first()[0]
@@ -355,7 +411,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(p or "", w) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = [extract(p or "", w, frozenset(t or ())) for p, w, t in zip(*(batch.column(n).to_pylist() for n in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
@@ -363,7 +419,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     with_host = rows.mapInArrow(hosts, "page_id long, url string, html string, host string")
     wrappers = infer_wrappers(with_host.select("host", "html"))
-    met = with_host.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    met = with_host.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "template")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

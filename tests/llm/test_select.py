@@ -74,6 +74,20 @@ def test_main_text(spark):
     assert html_wrappers.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_texts_that_are_the_same_over_a_host_are_template(spark):
+    """In a box that no list names; a passage on few pages, a page's copies and a host of near copies keep theirs."""
+    box = '<div class="x9"><p>All rights with the river club.</p></div>'
+    varied = [f"<html><body><div><h1>Head {i}</h1><p>{'word%d ' % i * (5 + i)}</p>{'<p>Told twice.</p>' if i < 2 else ''}{box}</div></body></html>" for i in range(8)]
+    near = [f"<html><body><div><p>Seen {i}</p><p>{'the same long text ' * 9}</p><p>End.</p></div></body></html>" for i in range(8)]
+    rows = [(i, "http://a.example/", h) for i, h in enumerate(varied)] + [(50 + i, "http://b.example/", h) for i, h in enumerate(near)]
+    rows += [(80 + i, "http://c.example/", varied[0]) for i in range(6)] + [(90, "http://d.example/", varied[1])]
+    got = {r.page_id: r.text for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"Head {i}" in got[i] and f"word{i}" in got[i] and "river club" not in got[i] for i in range(8))
+    assert "Told twice." in got[0] and "Told twice." in got[1]
+    assert all("same long text" in got[50 + i] and "End." in got[50 + i] for i in range(8))
+    assert all("river club" in got[i] for i in (80, 85, 90))
+
+
 def test_wrappers_accept_the_pages_they_come_from():
     streams = [html_wrappers.skeleton(html_wrappers.tokenize(r[2] or "")[0]) for r in pages()[:24]]
     wrapper = streams[0]
