@@ -29,31 +29,52 @@ def study(field: DataFrame, recon: Column, fractions: Sequence[float] = FRACTION
     """(*keys, frac, n, bound, max_raw_over_b, max_cor_over_b, mass_raw, mass_cor, energy_raw, energy_cor, violations): all
     bounds in one plan. recon is an expression of x and bound_used."""
     keys = keys or ["field_id"]
-    by = [*keys, "frac"]
-    coded = with_bounds(field, fractions, headroom, keys).withColumn("xh", recon)
+    return _measured(with_bounds(field, fractions, headroom, keys), recon, [*keys, "frac"]).drop("bound_used")
+
+
+def _measured(tried: DataFrame, recon: Column, by: list[str]) -> DataFrame:
+    coded = tried.withColumn("xh", recon)
     fixed = correct.apply_affine(coded, correct.params(correct.stats(coded, keys=by), 3), keys=by)
     off = lambda c: F.abs(f64(F.col(c)) - f64(F.col("x")))
     out = fixed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.first("bound").alias("bound"), F.max(off("xh")).alias("e_raw"), F.max(off("xc")).alias("e_cor"),
+        F.count(F.lit(1)).alias("n"), F.first("bound").alias("bound"), F.first("bound_used").alias("bound_used"), F.max(off("xh")).alias("e_raw"), F.max(off("xc")).alias("e_cor"),
         F.count_if(off("xc") > F.col("bound")).alias("violations"), *(s(F.col(c)).alias(f"{k}{c}") for k, s in (("m", inv.mass), ("e", inv.energy)) for c in ("x", "xh", "xc")),
     )
     ratio = lambda e: F.when(F.col("bound") > 0, F.col(e) / F.when(F.col("bound") > 0, F.col("bound")))
     return out.select(
-        *by, "n", "bound", ratio("e_raw").alias("max_raw_over_b"), ratio("e_cor").alias("max_cor_over_b"), inv.drift(F.col("mx"), F.col("mxh")).alias("mass_raw"),
+        *by, "n", "bound", "bound_used", ratio("e_raw").alias("max_raw_over_b"), ratio("e_cor").alias("max_cor_over_b"), inv.drift(F.col("mx"), F.col("mxh")).alias("mass_raw"),
         inv.drift(F.col("mx"), F.col("mxc")).alias("mass_cor"), inv.drift(F.col("ex"), F.col("exh")).alias("energy_raw"), inv.drift(F.col("ex"), F.col("exc")).alias("energy_cor"), "violations",
     )
 
 
 def tightest(field: DataFrame, recon, steps: int = 5, shrink: float = 0.98, keys: list[str] | None = None, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
-    """As study, with the bound in use tightened where the restored error leaves the bound: of ``steps`` candidates, each
-    ``shrink`` times the last, the first that keeps it (else the last). All candidates are one plan, no loop."""
+    """As study, with the bound in use tightened where the restored error leaves the bound: by ``shrink`` times the bound
+    over that error, again and again, up to ``steps`` tries in all (then the last stands). (*keys, frac, bound_used) of the
+    pairs that fail is a small table; each round is one aggregate plan over their fields, and none if no pair fails."""
     keys = keys or ["field_id"]
+    by = [*keys, "frac"]
     out = None
+    now = _measured(with_bounds(field, fractions, HEADROOM, keys), recon, by)
     for k in range(steps):
-        s = study(field, recon, fractions, HEADROOM * shrink**k, keys).withColumn("step", F.lit(k))
-        out = s if out is None else out.unionByName(s)
-    order = F.when(F.col("max_cor_over_b") <= 1, F.col("step")).otherwise(F.lit(steps) - F.col("step") + steps)
-    return out.groupBy(*keys, "frac").agg(F.min_by(F.struct("step", "max_cor_over_b", "mass_cor", "energy_cor", "violations"), order).alias("s")).select(*keys, "frac", "s.*")
+        done = _kept(now.withColumn("step", F.lit(k)))
+        ends = F.lit(k == steps - 1) | ~F.coalesce((F.col("max_cor_over_b") > 1) & ~F.isnan("max_cor_over_b"), F.lit(False))
+        part = done.filter(ends)
+        out = part if out is None else out.unionByName(part)
+        again = done.filter(~ends).select(*by, "bound", (F.col("bound_used") * shrink / F.col("max_cor_over_b")).alias("bound_used"))
+        if k == steps - 1 or again.isEmpty():
+            break
+        now = _measured(correct.attach(field, again, keys), recon, by)
+    return out.select(*by, "step", "bound_used", "max_cor_over_b", "mass_cor", "energy_cor", "violations")
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """One row for each field and fraction, held so that later rounds don't run the earlier ones again: by the driver up to
+    a checked number, else in the shared folder, and computed anew where there is none."""
+    spark = rows.sparkSession
+    some = rows.limit(correct.BROADCAST_ROWS + 1).collect()
+    if len(some) <= correct.BROADCAST_ROWS:
+        return spark.createDataFrame(some, rows.schema)
+    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows
 
 
 def size_at(coded_sizes: DataFrame, tight_sizes: DataFrame, keys: list[str], side_info: int = 16) -> DataFrame:

@@ -135,7 +135,7 @@ def study(spark, d):
 
 @query("q_study_tight")
 def study_tight(spark, d):
-    return sweeps.tightest(events(spark, d), _recon(), steps=3)
+    return sweeps.tightest(events(spark, d), _recon())
 
 
 def _size_sql(bound: float, name: str) -> str:

@@ -292,6 +292,24 @@ def test_sweeps(spark):
     assert 0.099 < sweeps.bisect(lambda q: q, 1e-4, 1.0, 0.1, 30) <= 0.1
 
 
+def test_tightening_follows_the_overshoot(spark):
+    """A heavy tail, where restoration leaves the bound by far, and a field that keeps it at once, side by side."""
+    rng = np.random.default_rng(11)
+    heavy, even = np.exp(2 * rng.standard_normal(20_000)), rng.standard_normal(500)
+    f = field(spark, heavy, heavy).unionByName(field(spark, even, even, name="even"))
+    recon = f32(F.rint(F.col("x") / (2 * F.col("bound_used"))) * 2 * F.col("bound_used"))
+    first = {(r.field_id, r.frac): r for r in sweeps.study(f, recon).collect()}
+    got = {(r.field_id, r.frac): r for r in sweeps.tightest(f, recon).collect()}
+    assert got.keys() == first.keys() and len(got) == 10
+    assert any(r.max_cor_over_b > 1.05 for r in first.values())
+    for k, r in got.items():
+        assert r.max_cor_over_b <= 1 and r.violations == 0 and r.mass_cor < 1e-5 and r.energy_cor < 1e-5
+        assert (r.step == 0) == (first[k].max_cor_over_b <= 1)
+    for k, r in got.items():
+        if r.step == 1:
+            assert r.bound_used == pytest.approx(0.9 * first[k].bound * 0.98 / first[k].max_cor_over_b)
+
+
 def test_compensated_sums(spark):
     f = spark.range(100_000).select(F.lit("f").alias("field_id"), F.col("id").alias("i"), (280 + F.sin(F.col("id"))).cast("float").alias("x"))
     r = compensated_sums(f).first()
