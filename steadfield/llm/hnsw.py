@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by largest inner product: one hierarchical navigable small-world graph per shard.
 
 Equal vectors are indexed once, with the smallest ids that carry them, so that a vector with a third of all rows is one
-node. Distinct vectors are dealt to shards of about ``SHARD_ROWS`` by a hash, and each shard becomes a graph in flat
-arrays: for each layer the node numbers and an array of neighbours of fixed width, padded with -1. Vectors get one more
-component, which makes their lengths equal, so that the nearest by distance is the largest by inner product.
+node. Distinct vectors are dealt by length to bands, within each of which lengths differ by a factor of 2 ** ``BAND_BITS``
+at most, and in a band to shards of about ``SHARD_ROWS`` by a hash. Each shard becomes a graph in flat
+arrays: for each layer the node numbers and an array of neighbours of fixed width, padded with -1. Vectors are divided by
+the longest of their shard and get one more component, which makes their lengths equal, so that the nearest by distance is
+the largest by inner product. In a band the added component leaves the others their digits, however long the vectors of
+other bands are.
 
 Nodes are inserted in batches: a batch is searched together in the graph so far, step by step, as arrays of beams; each
 node keeps those neighbours that are nearer to it than to a neighbour already kept, and links back are trimmed likewise.
@@ -11,7 +14,8 @@ Queries run through every shard in blocks of ``QUERY_BLOCK``; a block and a grap
 and the shards' results are merged by one window per query over ``k`` rows from each shard.
 
 Defined results: vectors that are null, empty or all zeros, or hold null or non-finite components, take no part; vectors
-of another length than the most common one take no part either; ties go to the smaller id; a query that has fewer than
+of another number of components than the most common one take no part either; a score beyond the range of doubles is given
+as infinite, but ranked by its value; ties go to the smaller id; a query that has fewer than
 k candidates gets them all; repeated rows are one vector; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -34,7 +38,10 @@ SHARD_ROWS, QUERY_BLOCK = 8_192, 4_096
 #: Neighbours of a node above the lowest layer (twice that below), and widths of the beam.
 M, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
 BATCH = 256
-_SCHEMA = "query_id long, vec_id long, score double"
+#: log2 of the greatest ratio of lengths in a band.
+BAND_BITS = 3
+#: near is the score in a scale of its query's own, which can't overflow.
+_SCHEMA = "query_id long, vec_id long, score double, near double"
 
 
 class Graph:
@@ -177,11 +184,23 @@ def usable(column: str) -> Column:
     return F.coalesce(ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _build(pdf: pd.DataFrame, top: float, dim: int) -> pd.DataFrame:
+def _scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by powers of two, so that their largest components are between 1/2 and 1, and the exponents."""
+    e = np.frexp(np.abs(a).max(axis=1, initial=0.0))[1]
+    return np.ldexp(a, -e[:, None]), e
+
+
+def _bands(a: np.ndarray) -> np.ndarray:
+    part, e = _scaled(a)
+    return np.floor((np.log2((part * part).sum(axis=1)) / 2 + e) / BAND_BITS).astype(np.int32)
+
+
+def _build(pdf: pd.DataFrame, dim: int) -> pd.DataFrame:
     """One row for a shard: its vectors as they are, the ids of each, and the graph in flat arrays."""
     pdf = pdf.sort_values("first_id", kind="stable")
     raw = np.frombuffer(b"".join(pdf["v"]), dtype="<f8").reshape(-1, dim)
-    unit = raw / top
+    unit = np.ldexp(raw, -int(np.frexp(np.abs(raw).max())[1]))
+    unit = unit / np.sqrt((unit * unit).sum(axis=1)).max()
     points = np.concatenate((unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
     g = Graph.build(points)
     members = [np.asarray(m, dtype="<i8") for m in pdf["members"]]
@@ -195,7 +214,7 @@ def _build(pdf: pd.DataFrame, top: float, dim: int) -> pd.DataFrame:
 
 def _ask(queries: pd.DataFrame, shard: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
     if not len(queries) or not len(shard):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "near": "float64"})
     row = shard.iloc[0]
     raw = np.frombuffer(row["vectors"], dtype="<f8").reshape(-1, dim)
     points = np.frombuffer(row["points"], dtype=np.float32).reshape(-1, dim + 1)
@@ -204,21 +223,27 @@ def _ask(queries: pd.DataFrame, shard: pd.DataFrame, k: int, dim: int) -> pd.Dat
     counts = np.frombuffer(row["member_counts"], dtype="<i4")
     members, start = np.frombuffer(row["members"], dtype="<i8"), np.concatenate(([0], np.cumsum(counts)))
     out: list[pd.DataFrame] = []
+    part, exponent = _scaled(raw)
+    room = dim.bit_length() + 1
     vectors = np.frombuffer(b"".join(queries["v"]), dtype="<f8").reshape(-1, dim)
     ids = queries["query_id"].to_numpy()
     for at in range(0, len(ids), 512):
         v, own = vectors[at : at + 512], ids[at : at + 512]
+        v, own_exponent = _scaled(v)
         length = np.sqrt((v * v).sum(axis=1))
         q = np.concatenate((v / length[:, None], np.zeros((len(v), 1))), axis=1).astype(np.float32)
         found, _ = g.search(q, max(SEARCH_BEAM, 2 * k))
         r, c = np.nonzero(found >= 0)
         node = found[r, c]
-        score = (v[r] * raw[node]).sum(axis=1)
+        product = (v[r] * part[node]).sum(axis=1)
+        near = np.ldexp(product, exponent[node] - room)
+        with np.errstate(over="ignore"):
+            score = np.ldexp(product, exponent[node] + own_exponent[r])
         n = counts[node]
         rr = np.repeat(np.arange(len(r)), n)
         member = members[np.repeat(start[node], n) + np.arange(len(rr)) - np.repeat(np.cumsum(n) - n, n)]
-        t = pd.DataFrame({"query_id": own[r[rr]], "vec_id": member, "score": score[rr]})
-        t = t[t["query_id"] != t["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        t = pd.DataFrame({"query_id": own[r[rr]], "vec_id": member, "score": score[rr], "near": near[rr]})
+        t = t[t["query_id"] != t["vec_id"]].sort_values(["query_id", "near", "vec_id"], ascending=[True, False, True], kind="stable")
         out.append(t.groupby("query_id", sort=False).head(k))
     return pd.concat(out, ignore_index=True)
 
@@ -229,26 +254,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     sized = vectors.filter(usable("v")).withColumn("dim", F.size("v"))
-    dims = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top"))
+    dims = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
     common_dim = dims.orderBy(F.desc("n"), "dim").first()
     if common_dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, top = int(common_dim.dim), float(common_dim.top)
+    dim = int(common_dim.dim)
     # the k + 1 smallest ids of a vector are all that k places beside the query itself can take
-    distinct = _smallest_ids(sized.filter(F.col("dim") == dim), k + 1)
+    distinct = _smallest_ids(sized.filter(F.col("dim") == dim), k + 1, dim)
     distinct = common.materialize(distinct, "hnsw-distinct")
-    shards = max(1, -(-distinct.count() // SHARD_ROWS))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    # doubles have 2,100 exponents, so there are 700 bands at most
+    shards, first = 0, {}
+    for band, n in sorted(map(tuple, distinct.groupBy("band").count().collect())):
+        first[band] = (shards, -(-n // SHARD_ROWS))
+        shards += first[band][1]
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of_band = lambda j: F.element_at(F.create_map(*(F.lit(x) for b, s in first.items() for x in (b, s[j]))), F.col("band"))
+    dealt = distinct.withColumn("shard", (of_band(0) + F.pmod(F.xxhash64("v"), of_band(1))).cast("int"))
     schema = "shard int, vectors binary, points binary, members binary, member_counts binary, layers array<binary>, entry int"
     graphs = common.materialize(
-        dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: _build(pdf, top, dim), schema), "hnsw-graphs"
+        dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: _build(pdf, dim), schema), "hnsw-graphs"
     )
     asked = common.materialize(_packed(queries.filter(usable("v") & (F.size("v") == dim)), "query_id"), "hnsw-queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(lambda a, b: _ask(a, b, k, dim), _SCHEMA)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -266,15 +298,16 @@ def _doubles(column: pa.Array) -> list[bytes]:
     return [(np.asarray(x, dtype="<f8") + 0.0).tobytes() for x in column.to_pylist()]  # -0.0 becomes 0.0
 
 
-def _smallest_ids(rows: DataFrame, n: int) -> DataFrame:
-    """(v binary, members): the n smallest ids of each distinct vector. A task hands on n ids of a vector at most, so
+def _smallest_ids(rows: DataFrame, n: int, dim: int) -> DataFrame:
+    """(v binary, band, members, first_id): the n smallest ids of each distinct vector. A task hands on n ids of a vector at most, so
     that a hot vector's ids are never gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["v", "ids"])
+            bands = _bands(np.frombuffer(b"".join(held), dtype="<f8").reshape(-1, dim))
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(bands, pa.int32()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["v", "band", "ids"])
             held.clear()
             return out
 
@@ -293,9 +326,9 @@ def _smallest_ids(rows: DataFrame, n: int) -> DataFrame:
                 yield flush()
         yield flush()
 
-    some = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, "v binary, ids array<long>")
+    some = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, "v binary, band int, ids array<long>")
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids"))))
-    return some.groupBy("v").agg(F.slice(every, 1, n).alias("members")).withColumn("first_id", F.element_at("members", 1))
+    return some.groupBy("v").agg(F.min("band").alias("band"), F.slice(every, 1, n).alias("members")).withColumn("first_id", F.element_at("members", 1))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from helpers import odd_docs, prose, write_docs
 
+from pyspark.sql import functions as F
+
 from steadfield.llm import hnsw, html_wrappers, mixing, quality
 
 
@@ -129,6 +131,30 @@ def brute(vectors, queries, k):
     return out
 
 
+def test_nearest_beside_long_vectors(spark):
+    """A few vectors of lengths far beyond the rest don't blur the others, and are found themselves."""
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((1500, 24))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[7] *= 1e4
+    m[8] *= 1e160
+    m[9] *= 3e160
+    vectors = {i: m[i] for i in range(len(m))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, v array<double>")
+    asked = [8, *range(0, 1500, 30)]
+    got = {}
+    for r in hnsw.nearest(df, df.filter(F.col("vec_id").isin(asked)).withColumnRenamed("vec_id", "query_id"), 20).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    want = brute(vectors, [q for q in asked if q != 8], 20)
+    recall = [len(set(got[q].values()) & set(want[q])) / 20 for q in want]
+    assert np.mean(recall) > 0.9, np.mean(recall)
+    for q in want:
+        if m[9] @ m[q] > 0:
+            assert got[q][1 if m[8] @ m[q] < m[9] @ m[q] else 2] == 9
+    if m[8] @ (m[9] / 3e160) > 0:
+        assert got[8][1] == 9
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD_ROWS", 300)
     rng = np.random.default_rng(5)
