@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_SITES = 12
+#: Sites of the query that also takes lines repeated on few of them.
+FEW_SITES = 4
 #: log2 of the sketch's buckets; the relative standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 11
 #: Standard errors between an estimate and the threshold within which a line is counted exactly.
@@ -71,8 +73,16 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir, MIN_SITES)
+
+
+def query_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir, FEW_SITES)
+
+
+def _result(spark: SparkSession, sf_dir: str, min_sites: int) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    done = remove_boilerplate(docs)
+    done = remove_boilerplate(docs, min_sites=min_sites)
     return done.select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
@@ -93,3 +103,4 @@ r AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN r USING (doc_id)
 """
+SQL_FEW = SQL.replace(f">= {MIN_SITES}", f">= {FEW_SITES}")

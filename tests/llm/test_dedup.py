@@ -56,6 +56,18 @@ def test_lines_match_sql(spark, tmp_path, monkeypatch):
     assert "lang" in done.columns and "gone" in done.columns
 
 
+def test_lines_repeated_on_few_sites_go(spark, tmp_path):
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(i, "\n".join([prose(rng, 6), passage] if i < 6 else [prose(rng, 6)] + ["Twice on three"] * (i < 15)), f"s{i % 4 if i < 6 else i % 3}") for i in range(60)]
+    write_docs(spark, str(tmp_path / "documents.parquet"), rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.query_few(spark, str(tmp_path)).collect()}
+    assert all(got[i][1] == (1 if i < 6 else 0) for i in range(60))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in c.sql(line_dedup.SQL_FEW).fetchall()}
+
+
 def test_bwt_and_common_prefixes_match_sorted_suffixes():
     rng = random.Random(5)
     for _ in range(40):
