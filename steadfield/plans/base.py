@@ -62,7 +62,8 @@ def cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_cube(spark: SparkSession, d: str) -> DataFrame:
-    """Three vectors that follow each other as the components u, v, w of one 4 x 4 x 4 grid: (k, i, i0, i1, i2, u, v, w)."""
+    """Three vectors that follow each other as the components u, v, w of one 4 x 4 x 4 grid: (k, i, i0, i1, i2, u, v, w).
+    Defined result, the same in SQL: three that aren't all there, at the end or beside a gap in vec_id, give no grid."""
     part = lambda r: F.max(F.when(F.col("vec_id") % 3 == r, F.col("embedding")))
     grouped = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 3).cast("long").alias("k")).agg(part(0).alias("u"), part(1).alias("v"), part(2).alias("w"))
     whole = grouped.filter("u is not null and v is not null and w is not null")
