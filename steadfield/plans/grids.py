@@ -409,17 +409,17 @@ def ring_difference(spark, d):
 
 @query("q_wave_run")
 def wave_run(spark, d):
-    return solvers.run_wave(spark, ["baseline", "lossy", "lossy+correct"], n=256, steps=400)
+    return solvers.run_wave(spark, ["baseline", "lossy", "lossy+correct"], n=2048, steps=20_000)
 
 
 @query("q_lbm_run")
 def lbm_run(spark, d):
-    return solvers.run_lattice(spark, ["baseline", "lossy", "lossy+correct"], steps=50, ny=34, nx=60, diameter=8)
+    return solvers.run_lattice(spark, ["baseline", "lossy", "lossy+correct"], steps=2000, ny=130, nx=260, diameter=16)
 
 
 @query("q_turbulence")
 def turbulence(spark, d):
-    f = generators.turbulence(spark, 24, 42)
+    f = generators.turbulence(spark, 64, 42)
     return f.agg(F.count(F.lit(1)).alias("n"), *(inv.energy(F.col(c)).alias(f"energy_{c}") for c in "uvw"))
 
 
@@ -431,7 +431,7 @@ def low_modes(spark, d):
 
 @query("q_signals")
 def signals(spark, d):
-    s = generators.signals(spark, 20_000)
+    s = generators.signals(spark, 200_000)
     return s.agg(*(F.avg(c).alias(c) for c in ("smooth", "weight", "outliers", "near_zero", "heavy_tail")))
 
 

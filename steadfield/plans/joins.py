@@ -111,4 +111,4 @@ def drift_matched(spark, d):
 @query("q_suite")
 def suite(spark, d):
     """Codecs on generated flow, averaged over seeds, by grid size."""
-    return sweeps.suite(lambda n, seed: generators.turbulence(spark, n, seed).select("i", F.col("u").alias("x")), [12, 16], [0, 1], {n: c.recon(F.col("x"), 0.01) for n, c in codecs.CODECS.items()})
+    return sweeps.suite(lambda n, seed: generators.turbulence(spark, n, seed).select("i", F.col("u").alias("x")), [32, 48, 64], [0, 1, 2], {n: c.recon(F.col("x"), 0.01) for n, c in codecs.CODECS.items()})

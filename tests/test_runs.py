@@ -1,0 +1,9 @@
+"""The registered runs reach what the experiments are there to show."""
+
+import __spark_entry__ as e
+
+
+def test_registered_runs_are_whole(spark):
+    wave = {r["mode"]: r for r in e.queries()["q_wave_run"](spark, "").collect()}
+    assert wave["baseline"].steps == 20_000 and not wave["baseline"].blew_up and wave["lossy"].blew_up
+    assert e.queries()["q_turbulence"](spark, "").first()["n"] == 64**3
