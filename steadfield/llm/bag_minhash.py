@@ -6,13 +6,21 @@ and points above w are thinned out. So texts that share a shingle share the poin
 of any weight costs a few points, and the first point in each of the signature's ``SIZE`` slots is a weighted-Jaccard
 sample without bias. Points are made in growing time order until none can be first in its slot.
 
-Pairs. Texts of equal words are one class from the start and go on as one. ``BANDS`` bands of ``ROWS`` slots make
-buckets; at similarity 0.8 a pair misses all of them with probability 6e-5. In a bucket all are compared with its first
-member only, and what similarity 0.8 or more links becomes one component. Where a bucket still holds several components,
-its members are compared by their signatures, in blocks of ``BLOCK``; pairs of different components that look alike
-(estimate ``ESTIMATE`` or more, over four standard errors below 0.8) are verified there, the most alike first, as long
-as their components have not met. So no group's pairs are written out, and no link that could join two components is
-left out. Every link is verified by the exact overlap of the two multisets of the whole texts.
+Pairs. Texts of equal words (by SHA-256 of the words' bytes) are one class from the start and go on as one. ``BANDS``
+bands of ``ROWS`` slots make buckets; at similarity 0.8 a pair misses all of them with probability 6e-5. In a bucket all
+are compared with its first member, and what similarity 0.8 or more links becomes one component. Where a bucket still
+holds several components, its members are compared by their signatures alone, in cells of two blocks: those outside the
+bucket's largest component with each other and with the members of that one, which are not compared among themselves.
+Members of pairs of different components that look alike meet in the same cells once more with their texts, where such
+pairs are verified, the most alike first, as long as their components have not met; so no group's pairs are written out.
+
+What is missed. Signatures are estimates: a pair at 0.8 is dropped before its texts are read if fewer than ``ESTIMATE``
+of its slots agree (over four standard errors below 0.8, probability below 1e-4) or, in cells, if fewer than five
+standard errors below 0.8 agree of the first third; the README has the measured recall. What is found is exact: each
+link is verified on the two multisets of word shingles, the words themselves and not their hashes, of the whole texts.
+
+Hot keys. Joins on a bucket or on its first member deal the rows of hot ones to several tasks (``common.hot_join``);
+a leader's text travels once for each ``SALT_ROWS`` of its pairs.
 
 Defined results: null and empty texts have no words and form one class; texts of fewer than five words are in a class
 with their equals only; words are what stands between white space; the class is named by its smallest doc_id, a null
@@ -34,14 +42,15 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import common
 from .components import components
-from .hashing import BYTES as _BYTES
 from .hashing import mix as _mix
-from .hashing import powers as _powers
+from .hashing import string_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 ESTIMATE, BLOCK, SALT_ROWS = 0.68, 512, 256
+#: Members of a bucket's largest component that one cell holds.
+LARGEST_BLOCK = 1024
 _U = np.uint64
 
 
@@ -50,15 +59,18 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()  # at the six characters of ASCII white space
+
+
 def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word, which only proposes that words are equal."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not len(b):
         return np.empty(0, dtype=np.uint64)
     edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[b] * up[: len(b)], dtype=np.uint64)))
-    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return _mix(string_hashes(b, start, end) + (end - start).astype(np.uint64))
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +85,8 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Exact multiset Jaccard."""
+    """Multiset Jaccard of hashed shingles. Where hashes meet it can only be too high, as the least of two sums is no less
+    than the sum of the least of their terms."""
     total = int(a[1].sum() + b[1].sum())
     if not total:
         return 0.0
@@ -82,6 +95,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common_ / (total - common_)
 
 
+def exact_similarity(a: list[bytes], b: list[bytes]) -> float:
+    """Multiset Jaccard of the shingles of two texts, given as their words."""
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in a + b], dtype=np.int64)
+    x, y = np.split(ids, [len(a)])
+    n, base = max(0, len(a) - WORDS + 1), len(number)
+    m = max(0, len(b) - WORDS + 1)
+    if not n or not m:
+        return 0.0
+    gram = np.concatenate((x[:n], y[:m]))
+    for k in range(1, WORDS):  # gram numbers stay below the number of words, so the products are exact
+        gram = np.unique(gram * base + np.concatenate((x[k : k + n], y[k : k + m])), return_inverse=True)[1]
+    p, q = (np.bincount(g, minlength=int(gram.max()) + 1) for g in (gram[:n], gram[n:]))
+    common_ = int(np.minimum(p, q).sum())
+    return common_ / (n + m - common_)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -125,10 +155,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(uid, doc_id, text) to (uid, doc_id, words, sig, bands); sig and bands null for texts without shingles."""
     for batch in batches:
         words_, sigs, bands_ = [], [], []
-        for text in batch.column(2).to_pylist():
-            w = word_hashes(text or "")
-            words_.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
-            e, n = shingles(w)
+        for text in (t for part in common.slices(batch, 2) for t in part.column(2).to_pylist()):
+            words_.append(hashlib.sha256(b" ".join(words(text or ""))).digest())
+            e, n = shingles(word_hashes(text or ""))
             if len(e):
                 s = signature(e, n)
                 sigs.append((s & _U(0xFF)).astype(np.uint8).tobytes())
@@ -164,15 +193,32 @@ def _look_alike(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterato
         yield a[ok], b[ok], agree[ok]
 
 
+def _candidates(pdf: pd.DataFrame) -> np.ndarray:
+    """Members of a cell, sorted by uid: rows (slots that agree, a, b) of the pairs that look alike and are of different
+    components. Pairs that share an earlier band as well are left to that band's bucket."""
+    sig, key = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, SIZE), pdf["key"].iat[0]
+    comp, side, bands_ = pdf["component"].to_numpy(), pdf["side"].to_numpy(), np.stack(pdf["bands"].to_list())
+    own_band, found = np.argmax(bands_ == key, axis=1), []
+    for a, b, agree in _look_alike(sig, np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
+        ok = (comp[a] != comp[b]) & ((side[a] != 2) | (a < b))
+        a, b, agree = a[ok], b[ok], agree[ok]
+        before = (bands_[a] == bands_[b]) & (np.arange(BANDS) < own_band[a][:, None])
+        ok = ~before.any(axis=1)
+        found.append(np.stack((agree[ok], a[ok], b[ok])))
+    return np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+
+
+def _looked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of a cell that are in a pair worth verifying."""
+    pdf = pdf.sort_values("uid", kind="stable")
+    return pdf.iloc[np.unique(_candidates(pdf)[1:])]
+
+
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members of a bucket's two blocks: links that join different components, verified on whole texts. The most alike
-    pairs come first, and a pair whose components have met meanwhile needs no look; so the links are a forest. Pairs
-    that share an earlier band as well are left to that band's bucket."""
+    """Members of a cell, with their texts: links that join different components, verified on whole texts. The most alike
+    pairs come first, and a pair whose components have met meanwhile needs no look; so the links are a forest."""
     pdf = pdf.sort_values("uid", kind="stable")
-    sig, key = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, SIZE), pdf["key"].iat[0]
-    uid, comp, side, text = pdf["uid"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy(), pdf["text"].tolist()
-    bands_ = np.stack(pdf["bands"].to_list())
-    own_band = np.argmax(bands_ == key, axis=1)
+    uid, comp, text = pdf["uid"].to_numpy(), pdf["component"].to_numpy(), pdf["text"].tolist()
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -181,14 +227,7 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
             c = parent[c]
         return c
 
-    found = []
-    for a, b, agree in _look_alike(sig, np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
-        ok = (comp[a] != comp[b]) & ((side[a] != 2) | (a < b))
-        a, b, agree = a[ok], b[ok], agree[ok]
-        before = (bands_[a] == bands_[b]) & (np.arange(BANDS) < own_band[a][:, None])
-        ok = ~before.any(axis=1)
-        found.append(np.stack((agree[ok], a[ok], b[ok])))
-    agree, a, b = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+    agree, a, b = _candidates(pdf)
     sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     out = []
     for k in np.argsort(-agree, kind="stable").tolist():
@@ -199,7 +238,7 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
         for z in (x, y):
             if z not in sets:
                 sets[z] = shingles(word_hashes(text[z] or ""))
-        if (j := similarity(sets[x], sets[y])) >= SIMILARITY:
+        if similarity(sets[x], sets[y]) >= SIMILARITY and (j := exact_similarity(words(text[x] or ""), words(text[y] or ""))) >= SIMILARITY:
             parent[max(cx, cy)] = min(cx, cy)
             out.append((int(uid[x]), int(uid[y]), j))
     return pd.DataFrame(out, columns=["u", "v", "similarity"]).astype({"u": "int64", "v": "int64", "similarity": "float64"})
@@ -208,11 +247,10 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
 def _verified(members: pd.DataFrame, leader: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(leader):
-        own = shingles(word_hashes(leader["leader_text"].iat[0] or ""))
-        at = int(leader["leader"].iat[0])
+        at, first = int(leader["leader"].iat[0]), leader["leader_text"].iat[0] or ""
+        own, own_words = shingles(word_hashes(first)), words(first)
         for b, text in zip(members["b"], members["text"]):
-            j = similarity(own, shingles(word_hashes(text or "")))
-            if j >= SIMILARITY:
+            if similarity(own, shingles(word_hashes(text or ""))) >= SIMILARITY and (j := exact_similarity(own_words, words(text or ""))) >= SIMILARITY:
                 out.append((at, int(b), j))
     return pd.DataFrame(out, columns=["u", "v", "similarity"]).astype({"u": "int64", "v": "int64", "similarity": "float64"})
 
@@ -220,8 +258,9 @@ def _verified(members: pd.DataFrame, leader: pd.DataFrame) -> pd.DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of similarity 0.8 or more, as (u, v, similarity). A member's text travels once for each pair;
     a leader's once for each SALT_ROWS of its members."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
-    dealt = pairs.join(salts.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
+    counts = common.materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), f"{name}-counts")
+    salts = counts.select("a", F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts"))
+    dealt = common.hot_join(pairs, salts, "a", counts, "b").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     members = dealt.join(texts.withColumnRenamed("uid", "b").hint("merge"), "b").select(F.col("a").alias("a"), F.col("salt").alias("salt"), F.col("b").alias("b"), F.col("text").alias("text"))
     leaders = salts.join(texts.withColumnRenamed("uid", "a").hint("merge"), "a")
     # names of their own: both sides come from the same tables
@@ -233,40 +272,59 @@ def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed rows, first row of each class of equal words, verified links between those)."""
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.materialize(base.mapInArrow(_signed, "uid long, doc_id long, words binary, sig binary, bands array<long>"), "minhash-signatures")
+    signed = common.materialize(base.mapInArrow(common.lean(_signed), "uid long, doc_id long, words binary, sig binary, bands array<long>"), "minhash-signatures")
     firsts = common.materialize(signed.groupBy("words").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select("words", F.col("f.uid").alias("rep"), F.col("f.doc_id").alias("rep_doc")), "minhash-firsts")
     reps = signed.join(firsts.select(F.col("rep").alias("uid")).hint("merge"), "uid", "left_semi").filter("sig is not null")
     banded = reps.select("uid", F.explode("bands").alias("key"))
     buckets = common.materialize(banded.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash-buckets")
-    held = common.materialize(banded.join(buckets.hint("merge"), "key").select("key", "uid", "leader", "n"), "minhash-members")
+    sizes = buckets.select("key", "n")
+    held = common.materialize(common.hot_join(banded, buckets.select("key", "leader"), "key", sizes, "uid").select("key", "uid", "leader"), "minhash-members")
     texts = common.materialize(base.select("uid", "text").join(held.select("uid").distinct().hint("merge"), "uid", "left_semi"), "minhash-texts")
     sig = reps.select("uid", "sig")
-    stars = held.filter("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
-    near = stars.join(sig.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")).hint("merge"), "a").join(sig.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
-    near = common.materialize(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"), "minhash-stars")
+    stars = common.materialize(held.filter("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), "minhash-stars")
+    near = common.hot_join(stars, sig.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")), "a", stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "b")
+    near = near.join(sig.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
+    near = common.materialize(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"), "minhash-alike")
     links = _verify(near, texts, "minhash-links")
-    comp = components(links.select("u", "v"))
+    return signed, firsts, links.unionByName(_between(held, reps, texts, sizes, components(links.select("u", "v"))))
+
+
+def _between(held: DataFrame, reps: DataFrame, texts: DataFrame, sizes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Verified links between the components that a bucket still holds."""
     named = held.join(comp.withColumnRenamed("node", "uid").hint("merge"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     named = common.materialize(named, "minhash-named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    # beside its first member, which all were compared with
-    left = named.filter("uid <> leader").join(mixed.hint("merge"), "key", "left_semi")
-    left = left.join(reps.select("uid", "sig", "bands").hint("merge"), "uid").join(texts.hint("merge"), "uid")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    spread = left.withColumn("blocks", blocks).withColumn("own", own).withColumn("cell", F.explode(cells))
-    side = F.when(F.col("cell.i") == F.col("cell.j"), 2).when(F.col("own") == F.col("cell.i"), 0).otherwise(1)
-    spread = spread.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "uid", "component", "sig", "bands", side.alias("side"), "text")
-    rest = common.materialize(spread.groupBy("key", "i", "j").applyInPandas(_joined, "u long, v long, similarity double"), "minhash-rest")
-    return signed, firsts, links.unionByName(rest)
+    # the first member was compared with all others
+    parts = named.filter("uid <> leader").groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    most = F.max(F.struct("m", "component"))
+    mixed = parts.groupBy("key").agg(most.alias("most"), F.sum("m").alias("others"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    mixed = mixed.filter("c0 <> c1").select(
+        "key", F.col("most.component").alias("largest"), F.ceil((F.col("others") - F.col("most.m")) / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("most.m") / LARGEST_BLOCK).cast("int").alias("largest_blocks"),
+    )
+    mixed = common.materialize(mixed, "minhash-mixed")
+    of_mixed = sizes.join(mixed.select("key").hint("merge"), "key", "left_semi")
+    left = common.hot_join(named.filter("uid <> leader").select("key", "uid", "component"), mixed, "key", of_mixed, "uid")
+    left = left.join(reps.select("uid", "sig", "bands").hint("merge"), "uid")
+    # cells (i, j) of two blocks outside the largest component, and (i, -1 - j) of one outside and one of its blocks
+    is_largest = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("uid"), F.when(is_largest, F.col("largest_blocks")).otherwise(F.col("blocks"))).cast("int")
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    outside = F.transform(blocks, lambda o: cell(F.least(o, F.col("own")), F.greatest(o, F.col("own")), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1)))
+    across = F.transform(F.sequence(F.lit(0), F.col("largest_blocks") - 1), lambda o: cell(F.col("own"), -1 - o, 0))
+    inside = F.transform(blocks, lambda o: cell(o, -1 - F.col("own"), 1))
+    spread = left.withColumn("own", own).withColumn("cell", F.explode(F.when(is_largest, inside).otherwise(F.concat(outside, across))))
+    spread = spread.select("key", "cell.i", "cell.j", "uid", "component", "sig", "bands", "cell.side")
+    looked = common.materialize(spread.groupBy("key", "i", "j").applyInPandas(_looked, spread.schema), "minhash-looked")
+    rest = looked.join(texts.hint("merge"), "uid").groupBy("key", "i", "j").applyInPandas(_joined, "u long, v long, similarity double")
+    return common.materialize(rest, "minhash-rest")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size, copy_of, uid, class_uid), one row for each row of docs. class_id is the smallest
     doc_id of the class, copy_of that of the rows with equal words."""
     ship(docs.sparkSession)
-    signed, firsts, links = _links(docs)
+    signed, firsts, links = _links(common.steady(docs, "minhash-input"))
     comp = components(links.select("u", "v"))
     classes = firsts.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     classes = common.materialize(classes, "minhash-classes")
@@ -280,7 +338,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The first row of each class, with all columns of docs."""
-    uid = common.fresh(docs, "uid")
+    uid, docs = common.fresh(docs, "uid"), common.steady(docs, "minhash-input")
     dropped = near_classes(docs).filter("uid <> class_uid").select(F.col("uid").alias(uid))
     return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped.hint("merge"), uid, "left_anti").drop(uid)
 

@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _FIRST_LETTER = 0x100
 LETTERS = {b: _FIRST_LETTER + b for b in range(256)}
 _UNKNOWN = "<unk>"
-SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -106,16 +104,6 @@ def byte_bpe(vocabulary: str, pattern: str) -> ByteBPE:
     return ByteBPE(vocabulary, pattern)
 
 
-def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE_BYTES`` of text, so that what is made of a part stays small."""
-    size = np.cumsum([0] + [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()])
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, size[at] + SLICE_BYTES, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _per_text(docs: DataFrame, columns: list[str], make: Callable[[ByteBPE, np.ndarray], tuple], types: str, vocabulary: str, pattern: str) -> DataFrame:
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -129,12 +117,12 @@ def _per_text(docs: DataFrame, columns: list[str], make: Callable[[ByteBPE, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary, pattern)
         for whole in batches:
-            for batch in _slices(whole, len(columns)):
+            for batch in common.slices(whole, len(columns)):
                 made = [make(bpe, ids) for ids in bpe.encode([t or "" for t in batch.column(len(columns)).to_pylist()])]
                 new = [pa.array([m[k] for m in made], arrow.field(len(columns) + k).type) for k in range(len(added))]
                 yield pa.RecordBatch.from_arrays([batch.column(k).cast(arrow.field(k).type) for k in range(len(columns))] + new, schema=arrow)
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(common.lean(run), out)
 
 
 def _digests(bpe: ByteBPE, ids: np.ndarray) -> tuple[int, str, str]:

@@ -1,10 +1,19 @@
-"""What the operators share: reading tables, the shared folder, tables that cut lineage."""
+"""What the operators share: reading tables, the shared folder, tables that cut lineage, joins on hot keys, batches.
+
+Defined results: ``text_or_empty`` and ``folded`` give the empty text for null; ``hot_join`` drops null keys, as an inner
+join does, and keeps repeated rows; ``slices`` of an empty batch are none; a single text longer than a slice is a slice.
+"""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +22,11 @@ SPACE = r"\x20\x09-\x0D"
 #: Used only where the session names no shared folder, as in local tests.
 DEFAULT_SHARED_DIR = "file:///tmp/checkpoints/steadfield"
 
+#: A key is hot with more than 1 / HOT_PARTS of all rows (so no more than HOT_PARTS keys are), and HOT_ROWS at least.
+HOT_PARTS, HOT_ROWS = 1_000, 256
+#: Text of a batch that a Python function handles at a time.
+SLICE_BYTES = 2 << 20
+
 _made: set[str] = set()
 
 
@@ -71,6 +85,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df itself where it only reads files, so that numbers of its rows by place are the same in every plan; else its
+    table in the shared folder."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    fixed = plan.deterministic()
+    while fixed and plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return df if fixed and plan.children().isEmpty() and "Relation" in plan.nodeName() else materialize(df, name)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
+    """rows joined with table (one row for each key) on key. counts: (key, n) of the rows. Rows of a hot key are dealt by a
+    hash of the column by, and its row of the table goes to each part; the list of hot keys is the only thing that is
+    broadcast, and it has HOT_PARTS rows at most."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT_ROWS, total // HOT_PARTS)
+    part, parts = fresh(rows.join(table.limit(0), key), "part"), fresh(rows.join(table.limit(0), key), "parts")
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias(parts)))
+    dealt = rows.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
+    spread = table.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return dealt.join(spread.hint("merge"), [key, part]).drop(part)
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, so that what is made of a part stays small."""
+    size = np.cumsum([0] + [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose freed memory goes back to the system when it ends: an idle Python worker stays beside the executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -2,7 +2,11 @@
 
 A large star links every larger neighbour of a node to the node's smallest neighbour; a small star does the same with
 the node and its smaller neighbours. Rounds alternate until nothing changes; their number grows with the logarithm of
-the longest chain. Each round is aggregations and joins whose tables go to the shared folder; nothing is collected.
+the longest chain. Each round is aggregations and joins whose tables go to the shared folder; nothing is collected. The
+links of a node that has many (the centre of a large star) are dealt to several tasks.
+
+Defined results: links with a null end are ignored; a link of a node with itself is none; repeated and reversed links
+count once; no links give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    met = near.join(least.hint("merge"), "u")
+    found = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+    least = found.select("u", "m")
+    met = common.hot_join(near, least, "u", found.select("u", "n"), "v")
     if large:
         return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

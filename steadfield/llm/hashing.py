@@ -1,4 +1,7 @@
-"""64-bit hashes of many byte strings at once, from running sums over the text that holds them."""
+"""Many byte strings of one buffer at once: 64-bit hashes from running sums, and which of the strings are equal.
+
+A hash only proposes: ``distinct`` compares the bytes of strings whose hashes meet, so no two different strings are
+ever taken for one, however they are made. Empty buffers, empty strings and repeated strings have no special rule."""
 
 from __future__ import annotations
 
@@ -35,3 +38,60 @@ class _Powers:
 
 
 powers = _Powers()
+
+
+#: Bytes that are compared at a time.
+_COMPARED = 1 << 20
+
+
+def _same(b: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the string at start has the bytes of the one at other, for pairs of the same sizes (1 or more)."""
+    same, upto = np.empty(len(start), dtype=bool), np.cumsum(size)
+    at = 0
+    while at < len(start):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _COMPARED)))
+        n = size[at:end]
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        differ = b[np.repeat(start[at:end], n) + inside] != b[np.repeat(other[at:end], n) + inside]
+        same[at:end] = ~np.logical_or.reduceat(differ, first)
+        at = end
+    return same
+
+
+def string_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = powers(len(b) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(BYTES[b] * up[: len(b)], dtype=np.uint64)))
+    return (sums[end] - sums[start]) * down[start]
+
+
+def distinct(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings b[start:end]: for each its number among the distinct ones, and for each of those a string that it is.
+    Up to 7 bytes are a key themselves, with their number; longer strings are hashed and compared."""
+    if not len(start):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    size, padded = end - start, np.concatenate((b, np.zeros(8, dtype=np.uint8)))
+    word = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    short = size < 8
+    bits = (np.minimum(size, 7) << 3).astype(np.uint64)
+    key = np.where(short, word[start] & ((_U(1) << bits) - _U(1)) | (size.astype(np.uint64) << _U(56)), string_hashes(b, start, end) | _U(1 << 63))
+    order = np.argsort(key)
+    ranked = key[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    which = np.empty(len(key), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    some = order[first]
+    lead = some[which]
+    met = np.flatnonzero(~short & (lead != np.arange(len(lead))))
+    lead = lead[met]
+    differ = size[met] != size[lead]
+    differ |= word[start[met]] != word[start[lead]]
+    differ |= word[end[met] - 8] != word[end[lead] - 8]
+    rest = np.flatnonzero((size[met] > 16) & ~differ)
+    differ[rest] = ~_same(b, start[met[rest]], size[met[rest]], start[lead[rest]])
+    more: dict[bytes, int] = {}  # strings whose hash is that of another one, by their bytes
+    for k in met[differ].tolist():
+        which[k] = more.setdefault(b[start[k] : end[k]].tobytes(), len(some))
+        if which[k] == len(some):
+            some = np.append(some, k)
+    return which, some

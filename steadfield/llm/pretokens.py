@@ -3,6 +3,9 @@
 The public split pattern never joins a white-space character to what stands before it, and joins at most one space to
 what follows. So a text falls into words, each with the one space before it, and white-space runs without their last
 space; encoding these one by one and concatenating gives what encoding the whole text gives.
+
+Defined results: an empty text has no ids; texts of any length and any white space, and repeated texts, give what the
+encoder gives for the whole text; callers turn null into the empty text; no texts give no results.
 """
 
 from __future__ import annotations
@@ -12,8 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-from .hashing import BYTES as _BYTES
-from .hashing import powers as _powers
+from .hashing import distinct
 
 #: The code points of the Unicode property White_Space, as inclusive ranges.
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
@@ -50,9 +52,9 @@ class CachedEncoder:
     """encode_many: the ids of each of some pieces, as bytes of little-endian numbers of the given width. most: entries
     of a generation of the cache; when one is full the one before it goes, which bounds memory and keeps common pieces.
 
-    Texts go in groups. Where a text's white space is single spaces and newlines, its pieces are found, told apart (by a
-    64-bit hash within the group) and put together again as arrays, so that Python handles each distinct piece of a
-    group once; other texts are cut piece by piece."""
+    Texts go in groups. Where a text's white space is single spaces and newlines, its pieces are found, told apart (by
+    hash, then byte by byte where hashes meet) and put together again as arrays, so that Python handles each distinct
+    piece of a group once; other texts are cut piece by piece."""
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], width: int, most: int = 250_000, group: int = GROUP) -> None:
         self.encode_many, self.kind, self.most, self.group = encode_many, np.dtype(f"<u{width}"), most, group
@@ -95,15 +97,7 @@ class CachedEncoder:
         begins[1:] |= newline[:-1]
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(b))
-        up, down = _powers(len(b) + 1)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[b] * up[: len(b)], dtype=np.uint64)))
-        key = (sums[end] - sums[start]) * down[start]
-        order = np.argsort(key)
-        ranked = key[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        which = np.empty(len(key), dtype=np.int64)
-        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        some = order[first]
+        which, some = distinct(b, start, end)
         got = self._ids([buffer[a:z] for a, z in zip(start[some].tolist(), end[some].tolist())])
         ids = np.frombuffer(b"".join(got), dtype=self.kind)
         size = np.array([len(g) for g in got]) // self.kind.itemsize

@@ -13,7 +13,7 @@ class at most, and ``CALIBRATION_ROWS`` rows of each class; they are drawn by a
 
 Defined results: null and empty texts get the score of an empty text; with no labels at all the score is 0.5, with one
 class only near that class; a doc_id labelled more than once counts as bad if any label says so; null labels are
-ignored; repeated rows are scored alike; an empty table gives an empty result; other columns are kept by ``keep_good``.
+ignored; of rows with one labelled doc_id the first text is learnt from; repeated rows are scored alike; an empty table gives an empty result; other columns are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -61,6 +61,9 @@ class Compressors:
         b = (text or "").encode("utf-8", "surrogatepass")
         return len(self.both[0].compress(b)), len(self.both[1].compress(b)), len(b)
 
+    def all_sizes(self, batch: pa.RecordBatch, column: int) -> np.ndarray:
+        return np.array([self.sizes(t) for part in common.slices(batch, column) for t in part.column(column).to_pylist()], dtype=np.int64).reshape(-1, 3)
+
 
 def features(sizes: np.ndarray) -> np.ndarray:
     """The normalised difference, the normalised smaller size, the logarithm of the length."""
@@ -123,11 +126,10 @@ def _sizes(rows: DataFrame, columns: list[str], dictionaries: tuple[bytes, bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(*held.value)
         for batch in batches:
-            sizes = np.array([compressors.sizes(t) for t in batch.column(len(columns)).to_pylist()], dtype=np.int64).reshape(-1, 3)
-            new = finish(sizes)
+            new = finish(compressors.all_sizes(batch, len(columns)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new.values()], names=[*columns, *new])
 
-    return rows.select(*columns, "text").mapInArrow(run, out)
+    return rows.select(*columns, "text").mapInArrow(common.lean(run), out)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[bytes, bytes], Calibration]:
@@ -142,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[bytes, bytes], Calibr
             drawn = part if drawn is None else drawn.unionByName(part)
     # at most 2 * (DICTIONARY_ROWS + CALIBRATION_ROWS) rows of four numbers, so this side is broadcast
     drawn = common.materialize(drawn, "quality-drawn")
-    sample = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id"), "quality-sample")
+    # of rows with one doc_id the first text, so that the sample is bounded however often a drawn id stands in docs
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    sample = common.materialize(found.groupBy("doc_id", "quality", "fold", "order").agg(F.min("text").alias("text")), "quality-sample")
     dictionaries = []
     fits = F.octet_length(common.text_or_empty()).between(SHORTEST, LONGEST)
     for q in (0, 1):
@@ -184,10 +188,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(*held.value)
         for batch in batches:
-            sizes = np.array([compressors.sizes(t) for t in batch.column(at).to_pylist()], dtype=np.int64).reshape(-1, 3)
-            yield batch.filter(pa.array(calibration.score(sizes) >= THRESHOLD, pa.bool_()))
+            yield batch.filter(pa.array(calibration.score(compressors.all_sizes(batch, at)) >= THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
