@@ -11,24 +11,27 @@ documents at most) flies again with what others left, level by level, until a so
 third of all rows is thereby spread over as many blocks as it fills, and the landing of a source moves its total by
 less than the size of its largest document.
 
-Sources' totals are aggregated before they reach the driver: one row for each source. ``MAX_SOURCES`` bounds that
-table; beyond it the operator raises instead of collecting.
+Targets. Sources may be as many as rows: their totals are a table in the shared folder, numbered in order of their names by
+a range sort, and the excess is reshared by passes over that table. A pass sums, for each weight, sources and sizes as whole
+numbers, so targets are the same however the sums are taken; a pass stops at least one more source, or is the last. Rows
+meet their source in a join that deals the rows of hot sources to several tasks (``common.hot_join``).
 
 Defined results: null text has size 0; null is a source of its own, after all others; a source of size 0 has target 0
-and none of its documents is taken; repeated rows are separate documents; an empty table gives an empty result; other
-columns of the input are kept. The choice depends on the rows and ``seed`` alone, not on their order or place (but for
-rows without a ``doc_id``, which are told apart by their place).
+and none of its documents is taken; an empty table gives an empty result; other columns of the input are kept. Repeated
+rows (of one source, doc_id and size) fly as one row that stands for what their whole number leaves, and the first of them
+in place take the copies; so the choice depends on the rows and ``seed`` alone, not on their order or place, but for which
+of repeated rows is taken.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 from collections.abc import Sequence
+from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -38,7 +41,6 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 LIMIT = 2.0
 BLOCK = 4096
-MAX_SOURCES = 1_000_000
 _EPS = 1e-9
 
 
@@ -46,23 +48,35 @@ def word_count(name: str = "text") -> Column:
     return F.regexp_count(common.text_or_empty(name), F.lit(rf"[^{common.SPACE}]+")).cast("long")
 
 
-def share_out(sizes: Sequence[float], weights: Sequence[float], total: float, limit: float = LIMIT) -> list[float]:
-    """total by weight; a share stops at limit times its size, and the excess goes to the rest by weight."""
-    target, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = float(total)
-    while open_:
-        unit = left / math.fsum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > limit * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = unit * weights[i]
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with no: their numbers from 0 by code point, null last. Only one number a partition reaches the driver."""
+    order = F.asc_nulls_last("source")
+    sorted_ = common.materialize(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()), "mix-sorted")
+    part, first, at = F.shiftright("place", 33), {}, 0
+    for r in sorted(sorted_.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.part):
+        first[r.part], at = at, at + r.n
+    starts = sources.sparkSession.createDataFrame(list(first.items()), "part long, first long")
+    inside = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("no", F.col("first") + inside).drop("part", "first", "place")
+
+
+def share_out(sources: DataFrame, weights: Sequence[float], share: float, limit: float = LIMIT) -> DataFrame:
+    """sources (no, source_size, ...) with target: share of all sizes by weight; a target stops at limit times its size,
+    and the excess goes to the rest by weight. The k-th source has the weight k modulo their number."""
+    kind = F.pmod("no", F.lit(len(weights))).cast("int")
+    weight = F.array(*map(F.lit, map(float, weights)))[kind]
+    exact, unit = [Fraction(w) for w in weights], None
+    while True:
+        full = F.lit(False) if unit is None else F.lit(unit) * weight > F.lit(float(limit)) * F.col("source_size")
+        sums = sources.filter("source_size > 0").groupBy(kind.alias("kind"), full.alias("full")).agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size")).collect()
+        left = Fraction(share) * sum(r.size for r in sums) - Fraction(limit) * sum(r.size for r in sums if r.full)
+        open_ = sum(exact[r.kind] * r.n for r in sums if not r.full)
+        now = float(left / open_) if open_ else unit
+        if now is None or now == unit or not open_:
             break
-        for i in full:
-            target[i] = limit * sizes[i]
-            left -= target[i]
-        stopped = set(full)
-        open_ = [i for i in open_ if i not in stopped]
-    return target
+        unit = now
+    of = F.least(F.lit(unit) * weight, F.lit(float(limit)) * F.col("source_size")) if unit is not None else F.lit(0.0)
+    return sources.withColumn("target", F.when(F.col("source_size") > 0, of).otherwise(0.0))
 
 
 def flight(p: list[float], sizes: list[float], rng: random.Random) -> list[int]:
@@ -102,7 +116,7 @@ def land(p: list[float], sizes: list[float], held: list[int]) -> None:
 
 
 def _fly(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "size", "uid"], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="last")  # no two rows of a source have both
     key = f"{seed}/{pdf['source_no'].iat[0]}/{pdf['block'].iat[0]}/{pdf['level'].iat[0]}"
     rng = random.Random(hashlib.blake2b(key.encode(), digest_size=8).digest())
     order = list(range(len(pdf)))
@@ -119,56 +133,78 @@ def _round(rows: DataFrame, seed: int) -> DataFrame:
     return rows.groupBy("source_no", "block").applyInPandas(lambda pdf: _fly(pdf, seed), rows.schema)
 
 
-def _blocks(rows: DataFrame, counts: DataFrame, level: int) -> DataFrame:
+def _deal(rows: DataFrame, counts: DataFrame, level: int) -> DataFrame:
     """Deals each source's open rows to ceil(count / BLOCK) blocks by a hash of the row."""
+    met = common.hot_join(rows.drop("block", "last"), counts.withColumnRenamed("n", "open"), "source_no", counts, "uid")
     n = F.ceil(F.col("open") / F.lit(BLOCK)).cast("long")
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", "uid"), "size", F.lit(level)), F.greatest(n, F.lit(1)))
-    return rows.drop("block", "last").join(F.broadcast(counts), "source_no").withColumns({"block": block, "last": n <= 1}).drop("open")
+    return met.withColumns({"block": F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), n), "last": n <= 1}).drop("open")
+
+
+_ROW = ["source_no", "doc_id", "size"]
+
+
+def _numbered_alike(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """(uid, source_no, doc_id, size, nth) of the rows that several has, numbered from 0 among those that are alike: in
+    their partition of the scan first, then over partitions, so no task gathers more than a partition's rows."""
+    same = [rows[c].eqNullSafe(several[c]) for c in _ROW]
+    again = rows.join(several.hint("merge"), same, "left_semi").withColumn("part", F.shiftright("uid", 33))
+    counts = again.groupBy(*_ROW, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*_ROW).orderBy("part")) - F.col("n")).drop("n")
+    place = again.withColumn("inside", F.row_number().over(Window.partitionBy(*_ROW, "part").orderBy("uid")) - 1)
+    met = place.alias("p").join(before.alias("b").hint("merge"), [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*_ROW, "part"]])
+    return met.select("p.uid", *(f"p.{c}" for c in _ROW), (F.col("inside") + F.col("before")).alias("nth"))
 
 
 def mix(
     docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 8
 ) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, uid), one row for each row of docs; uid is its place in them."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    docs = common.steady(docs, "mix-input")
     sized = common.materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    found = per.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; mix broader groups of them")
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    sizes = [float(r.source_size) for r in found]
-    targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(found))], share * math.fsum(sizes), limit)
-    plan = [(i, r.source, int(r.source_size), t, (min(limit, t / s) if (s := sizes[i]) else 0.0), int(r.n_docs)) for i, (r, t) in enumerate(zip(found, targets))]
-    table = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, rate double, open long")
-    rows = sized.join(F.broadcast(table), sized.source.eqNullSafe(table.source)).select(
-        "uid", "doc_id", "size", "source_size", "target", "source_no", "open", F.floor(F.col("rate") + _EPS).cast("long").alias("base"),
-        F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + _EPS)).alias("frac"), F.lit(0).alias("level"),
-    )
-    whole = rows.filter(F.col("frac") <= _EPS).withColumn("frac", F.lit(0.0))
-    columns = ["uid", "doc_id", "size", "source_size", "target", "source_no", "base", "frac", "level"]
-    done = [whole.select(columns)]
-    counts, open_rows, level = {i: n for i, _, _, _, _, n in plan}, rows.filter(F.col("frac") > _EPS).select(columns), 0
-    while counts:
-        last_level = all(n <= BLOCK for n in counts.values())
-        n_table = spark.createDataFrame([(i, int(n)) for i, n in counts.items()], "source_no int, open long")
-        flown = common.materialize(_round(_blocks(open_rows, n_table, level), seed), f"mix-level{level}").select(columns)
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    plan = share_out(numbered(per), weights, share, limit).withColumnRenamed("no", "source_no")
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(limit)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    # null as a name of its own, for joins by name
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")
+    plan = common.materialize(plan.select("source_no", name, "source_size", "target", rate.alias("rate"), "n"), "mix-targets")
+    rows = common.hot_join(sized.select("uid", "doc_id", "size", name), plan.drop("n"), "name", plan.select("name", "n"), "uid")
+    rows = common.materialize(rows.drop("name"), "mix-rows")
+    groups = rows.groupBy(*_ROW).agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("m"), F.first("rate").alias("rate"))
+    want = F.col("m") * F.col("rate")
+    base = F.floor(want + _EPS).cast("long")
+    groups = common.materialize(groups.select(*_ROW, "uid", "m", base.alias("base"), F.greatest(F.lit(0.0), want - base).alias("frac"), F.lit(0).alias("level")), "mix-groups")
+    columns = ["uid", "doc_id", "size", "source_no", "m", "base", "frac", "level"]
+    done, open_rows, level = [groups.filter(F.col("frac") <= _EPS).withColumn("frac", F.lit(0.0)).select(columns)], groups.filter(F.col("frac") > _EPS).select(columns), 0
+    while True:
+        counts = common.materialize(open_rows.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")), f"mix-open{level}")
+        most = counts.agg(F.max("n")).first()[0]
+        if not most:
+            break
+        flown = common.materialize(_round(_deal(open_rows, counts, level), seed), f"mix-level{level}").select(columns)
         is_open = (F.col("frac") > 0) & (F.col("frac") < 1)
         done.append(flown.filter(~is_open))
-        if last_level:
+        if most <= BLOCK:
             break
         open_rows, level = flown.filter(is_open), level + 1
-        counts = {r.source_no: r.n for r in open_rows.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = done[0]
+    flat = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
-    copies = F.col("base") + F.round("frac").cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "uid")
+        flat = flat.unionByName(d)
+    total = flat.select("uid", *_ROW, "m", (F.col("base") + F.round("frac").cast("long")).alias("total"))
+    one = total.filter("m = 1").select("uid", F.col("total").alias("copies"))
+    if not groups.filter("m > 1").isEmpty():
+        # of m rows that are alike each takes the whole part of total / m, and the first ones one more
+        several = _numbered_alike(rows, groups.filter("m > 1").select(*_ROW))
+        some = total.filter("m > 1").alias("t").join(several.alias("s").hint("merge"), [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _ROW])
+        copies = F.expr("total div m") + (F.col("nth") < F.expr("total % m")).cast("long")
+        one = one.unionByName(some.select(F.col("s.uid").alias("uid"), copies.alias("copies")))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return rows.join(one.hint("merge"), "uid").select("doc_id", "size", "source_size", "target", "copies", taken, "uid")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
+    docs = common.steady(docs, "mix-input")
     uid, copies, copy = (common.fresh(docs, n) for n in ("uid", "copies", "copy"))
     taken = mix(docs, **options).filter("copies > 0").select(F.col("uid").alias(uid), F.col("copies").cast("int").alias(copies))
     rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(taken.hint("merge"), uid)

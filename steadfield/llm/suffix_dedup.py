@@ -22,7 +22,7 @@ one entry for each block. The number of buckets grows with the bytes of text. Bl
 input's partitions alone, so a task that runs again writes the same file.
 
 Defined results: null text counts as empty; texts below SPAN bytes keep all bytes; rows of equal doc_id do not remove
-each other's bytes; a null doc_id is larger than all others; an empty table gives an empty result; other columns are
+each other's bytes; a null doc_id counts as the largest that there is; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import common
 from .hashing import BYTES as _BYTES
+from .hashing import distinct
 from .hashing import mix as _mix
-from .hashing import powers as _powers
 
 SPAN, GRAM = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
@@ -51,7 +51,7 @@ PIECE, IN_MEMORY = 1 << 20, 64 << 20
 #: Strings that are ordered together, about.
 COLLECTION = 6_000
 _END = 255  # never a byte of UTF-8
-_NO_ID = np.iinfo(np.int64).max
+_LAST_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 
@@ -104,13 +104,14 @@ def anchored_runs(b: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
 class Block:
     """Documents laid end to end, with the runs of their windows."""
 
-    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> None:
-        self.doc_ids, self.lengths, self.b = doc_ids, lengths, b
+    def __init__(self, doc_ids: np.ndarray, named: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> None:
+        """doc_ids: in the order of documents, a null as the last; named: 0 where doc_id is null."""
+        self.doc_ids, self.named, self.lengths, self.b = doc_ids, named, lengths, b
         self.first, self.last, self.anchor, self.text = anchored_runs(b, lengths)
 
     def image(self) -> bytes:
         head = np.array([len(self.doc_ids)], dtype="<i8").tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(head + self.doc_ids.astype("<i8").tobytes() + self.lengths.astype("<i8").tobytes() + self.b.tobytes())
+        return zstandard.ZstdCompressor(level=1).compress(head + self.doc_ids.astype("<i8").tobytes() + self.lengths.astype("<i8").tobytes() + self.named.astype(np.uint8).tobytes() + self.b.tobytes())
 
     @classmethod
     def read(cls, folder: str, block: int) -> Block:
@@ -118,7 +119,7 @@ class Block:
         with fs.open_input_stream(f"{base}/{block}") as f:
             data = zstandard.ZstdDecompressor().decompress(f.read())
         n = int(np.frombuffer(data, "<i8", 1)[0])
-        return cls(np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n), np.frombuffer(data, np.uint8, -1, 8 + 16 * n))
+        return cls(np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, n, 8 + 16 * n), np.frombuffer(data, "<i8", n, 8 + 8 * n), np.frombuffer(data, np.uint8, -1, 8 + 17 * n))
 
     def hashes(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order of bucket and hash: bucket, hash, whether two documents here have it; and for each
@@ -126,31 +127,29 @@ class Block:
         bucket = (self.anchor >> _U(40)) % _U(buckets)
         low = self.anchor & _LOW40
         key = bucket << _U(40) | low
-        distinct, place = np.unique(key, return_inverse=True)
+        found, place = np.unique(key, return_inverse=True)
         docs = self.doc_ids[self.text]
-        least, most = np.full(len(distinct), _NO_ID), np.full(len(distinct), np.iinfo(np.int64).min)
+        least, most = np.full(len(found), _LAST_ID), np.full(len(found), np.iinfo(np.int64).min)
         np.minimum.at(least, place, docs)
         np.maximum.at(most, place, docs)
-        return (distinct >> _U(40)).astype(np.int64), distinct & _LOW40, least != most, place
+        return (found >> _U(40)).astype(np.int64), found & _LOW40, least != most, place
 
     def strings(self, chosen: np.ndarray, place: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs with a chosen anchor, the distinct strings in order of bucket: a run that holds each, the least
-        and most doc_id with it; and for each run of the block the number of its string, or -1. Strings are equal if
-        their anchors, lengths and 64-bit hashes are."""
+        """Of the runs with a chosen anchor, the distinct strings (by their bytes) in order of bucket: a run that holds each,
+        the least and most doc_id with it; and for each run of the block the number of its string, or -1."""
         runs, own = np.flatnonzero(chosen[place]), np.full(len(place), -1, dtype=np.int64)
         if not len(runs):
             return runs, runs, runs, own
-        up, down = _powers(len(self.b) + 1)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[self.b] * up[: len(self.b)], dtype=np.uint64)))
-        first, end = self.first[runs], self.last[runs] + SPAN
-        keys = (_mix((sums[end] - sums[first]) * down[first]), (end - first).astype(np.uint64), self.anchor[runs], bucket[place[runs]].astype(np.uint64))
-        order = np.lexsort(keys)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-        start = np.flatnonzero(new)
-        own[runs[order]] = np.cumsum(new) - 1
-        docs = self.doc_ids[self.text[runs]][order]
-        return runs[order[start]], np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start), own
+        which, some = distinct(self.b, self.first[runs], self.last[runs] + SPAN)
+        by_bucket = np.argsort(bucket[place[runs[some]]], kind="stable")
+        rank = np.empty(len(some), dtype=np.int64)
+        rank[by_bucket] = np.arange(len(some))
+        own[runs] = rank[which]
+        docs = self.doc_ids[self.text[runs]]
+        least, most = np.full(len(some), _LAST_ID), np.full(len(some), np.iinfo(np.int64).min)
+        np.minimum.at(least, own[runs], docs)
+        np.maximum.at(most, own[runs], docs)
+        return runs[some[by_bucket]], least, most, own
 
 
 def _pack40(h: np.ndarray) -> bytes:
@@ -297,14 +296,14 @@ def _blocks(folder: str, buckets: int):
         part = TaskContext.get().partitionId()
         fs, base = common.file_system(folder)
         fs.create_dir(base, recursive=True)
-        ids: list[int] = []
+        ids: list[int | None] = []
         texts: list[bytes] = []
         held, seq = 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, seq
             number = part << 24 | seq
-            block = Block(np.array(ids, dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64), np.frombuffer(b"".join(texts), dtype=np.uint8))
+            block = Block(np.array([_LAST_ID if d is None else d for d in ids], dtype=np.int64), np.array([d is not None for d in ids], dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64), np.frombuffer(b"".join(texts), dtype=np.uint8))
             name = f"{base}/{number}"
             tmp = f"{name}.{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(tmp) as f:
@@ -325,7 +324,7 @@ def _blocks(folder: str, buckets: int):
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-                ids.append(_NO_ID if d is None else d)
+                ids.append(d)
                 texts.append(t or b"")
                 held += len(texts[-1])
                 if held >= BLOCK_BYTES:
@@ -443,11 +442,11 @@ def _cut(folder: str, buckets: int):
         gone = np.cumsum(covered[:-1]) > 0
         rows = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}
         end = 0
-        for d, n in zip(block.doc_ids.tolist(), block.lengths.tolist()):
+        for d, named, n in zip(block.doc_ids.tolist(), block.named.tolist(), block.lengths.tolist()):
             b, g = block.b[end : end + n], gone[end : end + n]
             end += n
             edges = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8)))
-            rows["doc_id"].append(None if d == _NO_ID else d)
+            rows["doc_id"].append(d if named else None)
             rows["n_bytes"].append(n)
             rows["spans"].append(edges.tolist())
             rows["kept"].append(hashlib.sha256(b[~g].tobytes()).hexdigest())

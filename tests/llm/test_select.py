@@ -10,9 +10,28 @@ from pyspark.sql import functions as F
 from steadfield.llm import hnsw, html_wrappers, mixing, quality
 
 
-def test_share_out_stops_at_the_limit():
-    targets = mixing.share_out([100.0, 100.0, 0.0, 800.0], [3.0, 1.0, 2.0, 3.0], 1500.0)
-    assert targets[0] == 200.0 and targets[2] == 0.0 and abs(sum(targets) - 1500.0) < 1e-9 and all(t <= 2 * s for t, s in zip(targets, [100, 100, 0, 800]))
+def share_by_bisection(sizes, weights, total, limit=2.0):
+    """Targets by a plain search for the unit at which all of total is given out."""
+    give = lambda unit: [min(unit * w, limit * s) if s else 0.0 for s, w in zip(sizes, weights)]
+    low, high = 0.0, limit * max([*sizes, 1.0]) / min(weights)
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if sum(give((low + high) / 2)) < total else (low, (low + high) / 2)
+    return give(high)
+
+
+@pytest.mark.parametrize("sizes, share", [([100, 100, 0, 800], 1.5), ([5], 1.5), ([0, 0], 1.5), ([7, 1, 1, 1, 90, 3, 2000, 4, 4, 50], 1.5), ([10, 20, 30], 2.0), ([10, 20, 30], 5.0), ([1000, 1, 1], 0.01)])
+def test_targets_match_a_search(spark, sizes, share):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "no long, source_size long")
+    got = [r.target for r in mixing.share_out(rows, mixing.WEIGHTS, share).orderBy("no").collect()]
+    want = share_by_bisection([float(s) for s in sizes], [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], share * sum(sizes))
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9) and all(t <= 2 * s for t, s in zip(got, sizes))
+
+
+def test_sources_are_numbered_by_code_point(spark):
+    names = [None, "b", "a", "\U00010000", "\uffff", "", "é", *(f"s{i}" for i in range(50))]
+    got = mixing.numbered(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5)).collect()
+    want = [*sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n]), None]
+    assert [r.source for r in sorted(got, key=lambda r: r.no)] == want and sorted(r.no for r in got) == list(range(len(names)))
 
 
 def test_flight_keeps_totals_and_probabilities():
@@ -32,12 +51,16 @@ def test_mix(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(0, 60)), ["a", "b", "c", None, "é"][i % 5 if i % 3 else 0]) for i in range(300)] + [(500, None, "z"), (501, "", "z"), (9, "again and again", "a")]
+    rows += [(700, "the same row " * 9, "c")] * 41 + [(None, "no name of its own", "a")] * 5
     docs = write_docs(spark, str(tmp_path / "d"), rows)
     got = mixing.mix(docs).collect()
-    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs).collect()))
+    plain = lambda mixed: sorted(map(repr, mixed.drop("uid").collect()))
+    assert len(got) == len(rows) and plain(mixing.mix(docs)) == plain(mixing.mix(write_docs(spark, str(tmp_path / "e"), rows[::-1], 5)))
     names = sorted({r[2] for r in rows if r[2]}) + [None]
     size = {n: sum(len((t or "").split()) for _, t, s in rows if s == n) for n in names}
-    targets = dict(zip(names, mixing.share_out([float(size[n]) for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(size.values()))))
+    targets = dict(zip(names, share_by_bisection([float(size[n]) for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(size.values()))))
+    same = [r.copies for r in got if r.doc_id == 700]
+    assert len(same) == 41 and max(same) - min(same) <= 1
     source = {r[0]: r[2] for r in rows}
     for n in names:
         mine = [r for r in got if source[r.doc_id] == n]
