@@ -50,7 +50,7 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 ESTIMATE, BLOCK, SALT_ROWS = 0.68, 512, 256
 #: Members of a bucket's largest component that one cell holds.
-LARGEST_BLOCK = 1024
+LARGEST_BLOCK = 512
 _U = np.uint64
 
 
@@ -282,7 +282,7 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = common.materialize(base.select("uid", "text").join(held.select("uid").distinct().hint("merge"), "uid", "left_semi"), "minhash-texts")
     sig = reps.select("uid", "sig")
     stars = common.materialize(held.filter("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), "minhash-stars")
-    near = common.hot_join(stars, sig.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")), "a", stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "b")
+    near = common.hot_join(stars, sig.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")), "a", common.materialize(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-leaders"), "b")
     near = near.join(sig.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
     near = common.materialize(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"), "minhash-alike")
     links = _verify(near, texts, "minhash-links")
@@ -302,7 +302,7 @@ def _between(held: DataFrame, reps: DataFrame, texts: DataFrame, sizes: DataFram
         F.ceil(F.col("most.m") / LARGEST_BLOCK).cast("int").alias("largest_blocks"),
     )
     mixed = common.materialize(mixed, "minhash-mixed")
-    of_mixed = sizes.join(mixed.select("key").hint("merge"), "key", "left_semi")
+    of_mixed = common.materialize(sizes.join(mixed.select("key").hint("merge"), "key", "left_semi"), "minhash-mixed-sizes")
     left = common.hot_join(named.filter("uid <> leader").select("key", "uid", "component"), mixed, "key", of_mixed, "uid")
     left = left.join(reps.select("uid", "sig", "bands").hint("merge"), "uid")
     # cells (i, j) of two blocks outside the largest component, and (i, -1 - j) of one outside and one of its blocks

@@ -22,6 +22,8 @@ SPACE = r"\x20\x09-\x0D"
 #: Used only where the session names no shared folder, as in local tests.
 DEFAULT_SHARED_DIR = "file:///tmp/checkpoints/steadfield"
 
+#: Spark's setting that removes a plan's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key is hot with more than 1 / HOT_PARTS of all rows (so no more than HOT_PARTS keys are), and HOT_ROWS at least.
 HOT_PARTS, HOT_ROWS = 1_000, 256
 #: Text of a batch that a Python function handles at a time.
@@ -80,8 +82,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: what follows survives the loss of executors
     without the work before it, and the optimizer knows the table's size."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # nothing reads this plan's shuffle files once the table is there
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,12 +102,14 @@ def steady(df: DataFrame, name: str) -> DataFrame:
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
-    """rows joined with table (one row for each key) on key. counts: (key, n) of the rows. Rows of a hot key are dealt by a
-    hash of the column by, and its row of the table goes to each part; the list of hot keys is the only thing that is
-    broadcast, and it has HOT_PARTS rows at most."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    share = max(HOT_ROWS, total // HOT_PARTS)
-    part, parts = fresh(rows.join(table.limit(0), key), "part"), fresh(rows.join(table.limit(0), key), "parts")
+    """rows joined with table (one row for each key) on key. counts: (key, n) of the rows, a table that can be read again.
+    Rows of a hot key are dealt by a hash of the column by, and its row of the table goes to each part; the list of hot
+    keys is the only thing that is broadcast, and it has HOT_PARTS rows at most."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    share = max(HOT_ROWS, (total or 0) // HOT_PARTS)
+    if (most or 0) <= share:
+        return rows.join(table.hint("merge"), key)
+    part, parts = (fresh(rows.join(table.limit(0), key), n) for n in ("part", "parts"))
     hot = F.broadcast(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias(parts)))
     dealt = rows.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
     spread = table.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)

@@ -24,10 +24,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     found = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+    found = common.materialize(found, "links-least")
     least = found.select("u", "m")
     met = common.hot_join(near, least, "u", found.select("u", "n"), "v")
     if large:
-        return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")  # repeats go in the small star
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -35,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     """links: (u, v) of longs. (node, component) of every node that has a link; a component is named by its least."""
     edges = common.materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while True:
-        after = common.materialize(_star(_star(edges, True), False), "links")
+        after = common.materialize(_star(common.materialize(_star(edges, True), "links-large"), False), "links")
         # stable when the table is the same: both are sets
         state = [t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first() for t in (edges, after)]
         edges = after
