@@ -1,25 +1,32 @@
 """Main-text extraction by union-free regular expressions inferred for each host.
 
-A page becomes a stream of tokens: one for each opening or closing tag (with the class, id and role words that tell
-kinds of boxes apart) and one for each text, which carries the path of boxes around it. A wrapper is a sequence of
+A page becomes a stream of tokens: one for each opening or closing tag (with its class words and the id and role words that
+tell kinds of boxes apart) and one for each text, which carries the path of boxes around it. A wrapper is a sequence of
 tokens, optional groups and repeated groups, that is a regular expression without unions. Repeats inside a page are
-folded to repeated groups; then same-host streams are aligned one after another with the wrapper so far: where tokens
-agree they are kept, where groups of one kind meet they are aligned inside, and what only one side has becomes an
-optional group. Text tokens are the slots. A wrapper is at last compiled to a regular expression over token codes, and
-matching a page with it tells which slot each of its texts fills. A slot is main text if its path lies in the content
-box of the wrapper and in no menu, header, footer, side bar, notice, advert, form or reader comment.
-
-Where a slot's text does not vary over a host, it is no slot but template: a text outside article and main that stands in
-one path beside ``LEAST_PAGES`` different contents or more, and beside at least one of ``SHARE`` of all that the host has,
-is dropped, whatever its box is called. A content is told by the longest other main text of its page, so that copies of
-one page, and pages that differ in small things, count once; a text longer than all others of its page is not counted. Contents are counted by one aggregation over short hashes. A page all of
-whose main text would go keeps it.
+folded to repeated groups, whatever their length; then same-host streams are aligned one after another with the wrapper so
+far, by a longest common subsequence found in linear space: where tokens agree they are kept, where groups of one kind meet
+they are aligned inside, and what only one side has becomes an optional group. Text tokens are the slots. A wrapper is
+compiled to a regular expression over token codes, and matching a page with it tells which slot each of its texts fills.
+
+What the slots say. Over all pages of a host, for each slot: whether its text ever varies, how much text it holds and how
+much of that is links. A slot that is the same on ``LEAST_PAGES`` pages or more, of different contents, is template (in
+article and main only if no slot of the same path varies, as one of many paragraphs may be the same everywhere). Of
+those that vary, the content region is the box that holds the most text: an article or main element, or a box named as
+content, that has half of it or more, else the innermost box with nine tenths of it. Main text is what fills the varying slots of
+that region. Word lists tell apart what varies and is not main text (menus, headers, footers, side bars, notices, adverts,
+forms, reader comments); slots that hold mostly links, outside article and main, count as menus.
+
+Slots of repeated groups hold several texts. One of them, outside article and main, that stands in one path beside
+``LEAST_PAGES`` different contents or more, and beside at least one of ``SHARE`` of all that the host has, is template as
+well. A content is told by the longest other main text of its page, so that copies of one page, and pages that differ in
+small things, count once; a text longer than all others of its page is not counted. A page all of whose main text would go
+keeps it, and a page without text in the region of its host is read by its own boxes, as are hosts without variation.
 
 Only distinct folded streams of a host are aligned (they are found by one aggregation, which sums up a host with a
 third of all pages in each task first), in blocks of ``BLOCK`` whose wrappers are aligned in turn, so no task gathers
-a host's pages. Pages meet their wrapper in a join that adaptive execution can split or broadcast by measured size.
-A page without the content box of its wrapper is read as a page of its own kind. A page that its wrapper does not accept, because the compiled form never backtracks, has its slots read from its own
-stream, by the same paths.
+a host's pages. Slots are summed up by one aggregation, over numbers of 64 bits that stand for texts. Pages meet their
+wrapper in a join that adaptive execution can split or broadcast by measured size. A page that its wrapper does not accept,
+because the compiled form never backtracks, has its texts told apart by their paths.
 
 Defined results: null html counts as empty and gives an empty text; null or odd addresses form a host of their own;
 markup that is never closed is read to the end of the page; repeated rows are extracted alike; an empty table gives an
@@ -36,25 +43,28 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..runtime import ship
 from . import common
 
 BLOCK = 256
-#: Longest period that is looked for as a repeat, and the largest alignment table (cells).
-PERIOD, CELLS = 24, 4_000_000
 #: A text is template beside so many different contents, and beside one of so many of the host's contents.
 LEAST_PAGES, SHARE = 3, 2
 _RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|title"
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WHITE = re.compile(r"\s+")
+#: The share of a host's varying text that makes a box its content region, named so or not.
+NAMED_SHARE, REGION_SHARE = 0.5, 0.9
 #: Elements that neither end a block nor stand in a path.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr meta link".split())
 #: Elements without an end tag.
@@ -66,35 +76,44 @@ DROPPED_WORDS = frozenset(
 )
 CONTENT_ELEMENTS = ("article", "main")
 CONTENT_WORDS = frozenset("main article content post entry story".split())
+#: Elements that can be a content region.
+CONTAINERS = frozenset("html body div section article main center".split())
 _WORD = re.compile(r"[a-z]+")
 
 
 def _words(attributes: str) -> list[str]:
     found: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        found.update(_WORD.findall(next(filter(None, m.groups()), "").lower()))
-    return sorted(found & (DROPPED_WORDS | CONTENT_WORDS))
+        words = _WORD.findall(next(filter(None, m.groups()[1:]), "").lower())
+        found.update(words if m[1].lower() == "class" else (DROPPED_WORDS | CONTENT_WORDS).intersection(words))
+    return sorted(found)
 
 
-def tokenize(page: str) -> tuple[list[str], list[str]]:
-    """Token keys, and for each the text of a text token (else empty). Keys: <name.words, </name, #path."""
+def tokenize(page: str) -> tuple[list[str], list[str], list[int]]:
+    """Token keys, and for each the text of a text token (else empty) and how many characters of it are links. Keys:
+    <name.words, </name, #path."""
     keys: list[str] = []
     texts: list[str] = []
+    links: list[int] = []
     stack: list[str] = []
+    linked = False
 
     def text(s: str) -> None:
         s = _WHITE.sub(" ", htmllib.unescape(s))
         if keys and keys[-1][0] == "#":  # inline tags and comments don't end a text
             texts[-1] += s
+            links[-1] += linked * len(s)
         elif s.strip():
             keys.append("#" + "/".join(stack))
             texts.append(s)
+            links.append(linked * len(s))
 
     def close(n: int) -> None:
         """Ends all boxes beyond the first n, also those whose end tag is left out."""
         while len(stack) > n:
             keys.append("</" + stack.pop().partition(".")[0])
             texts.append("")
+            links.append(0)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -106,6 +125,8 @@ def tokenize(page: str) -> tuple[list[str], list[str]]:
         if name in INLINE:
             if name == "br":
                 text(" ")
+            elif name == "a":
+                linked = not m[2]
             continue
         if m[2]:
             for n in range(len(stack) - 1, -1, -1):
@@ -120,9 +141,10 @@ def tokenize(page: str) -> tuple[list[str], list[str]]:
             if name not in VOID and not m[4].rstrip().endswith("/"):
                 stack.append(box)
             texts.append("")
+            links.append(0)
     text(page[at:])
     close(0)
-    return keys, texts
+    return keys, texts, links
 
 
 # Wrappers: lists of items; an item is a token key, ["?", items] or ["+", items].
@@ -143,13 +165,19 @@ def _kind(item: str | list) -> str:
     return item
 
 
+def _numbers(keys: list[str]) -> np.ndarray:
+    number: dict[str, int] = {}
+    return np.array([number.setdefault(k, len(number)) for k in keys], dtype=np.int64)
+
+
 def fold(items: list) -> list:
     """Repeats of adjacent equal runs as repeated groups, shortest periods first, until none is left."""
     keys, changed = [_key(x) for x in items], True
     while changed:
-        changed = False
-        for period in range(1, min(PERIOD, len(items) // 2) + 1):
-            if not any(map(str.__eq__, keys, keys[period:])):
+        changed, period = False, 0
+        ids = _numbers(keys)
+        while (period := period + 1) <= len(items) // 2:
+            if np.count_nonzero(ids[:-period] == ids[period:]) < period:
                 continue
             out, out_keys, i = [], [], 0
             while i < len(items):
@@ -165,20 +193,18 @@ def fold(items: list) -> list:
                     x, i = items[i], i + 1
                 out.append(x)
                 out_keys.append(_key(x))
+            if len(out) < len(items):
+                ids = _numbers(out_keys)
             items, keys = out, out_keys
     # a copy beside its repeated group belongs to the group
-    out, out_keys, groups = [], [], 0
+    out, out_keys, due = [], [], {}  # due: the place where a group's copy would end, and the group's place
     for x, k in zip(items, keys):
         out.append(x)
         out_keys.append(k)
         if not isinstance(x, str) and x[0] == "+":
-            groups += 1
-            continue
-        for n in range(1, min(PERIOD, len(out) - 1) + 1) if groups else ():
-            before = out[-1 - n]
-            if not isinstance(before, str) and before[0] == "+" and len(before[1]) == n and [_key(y) for y in before[1]] == out_keys[-n:]:
-                del out[-n:], out_keys[-n:]
-                break
+            due[len(out) - 1 + len(x[1])] = len(out) - 1
+        elif (g := due.get(len(out) - 1)) is not None and g < len(out) - 1 and [_key(y) for y in out[g][1]] == out_keys[g + 1 :]:
+            del out[g + 1 :], out_keys[g + 1 :]
     return out
 
 
@@ -196,6 +222,31 @@ def _apart(a: list, b: list) -> list:
     return _optional(a) + _optional(b)
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of a and b[:j], for each j, in one integer of len(b) bits."""
+    masks: dict[int, int] = {}
+    for j, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for c in a:
+        if u := v & masks.get(c, 0):
+            v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _common(a: list[int], b: list[int], i: int = 0, j: int = 0) -> Iterator[tuple[int, int]]:
+    """The places of a longest common subsequence, in order, by halving a: in space linear in the lists."""
+    if len(a) == 1 and a[0] in b:
+        yield i, j + b.index(a[0])
+    if len(a) < 2 or not b:
+        return
+    half = len(a) // 2
+    cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    yield from _common(a[:half], b[:cut], i, j)
+    yield from _common(a[half:], b[cut:], i + half, j + cut)
+
+
 def align(a: list, b: list) -> list:
     """A wrapper that accepts what a and b accept, apart from what possessive matching can't tell apart."""
     n = 0
@@ -206,31 +257,18 @@ def align(a: list, b: list) -> list:
         m += 1
     head, tail = a[:n], a[len(a) - m :]
     a, b = a[n : len(a) - m], b[n : len(b) - m]
-    if not a or not b or len(a) * len(b) > CELLS:
-        return head + _apart(a, b) + tail
     # an optional group and what it holds are of one kind as well
     bare = lambda x: x[1][0] if not isinstance(x, str) and x[0] == "?" and len(x[1]) == 1 else x
-    ka, kb = [_kind(bare(x)) for x in a], [_kind(bare(x)) for x in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, only_a, only_b, i, j = list(head), [], [], 0, 0
-    while i < len(a) and j < len(b):
-        if ka[i] == kb[j]:
-            out += _apart(only_a, only_b)
-            only_a, only_b = [], []
-            x, y = bare(a[i]), bare(b[j])
-            merged = x if _key(x) == _key(y) else ["+", align(x[1] if not isinstance(x, str) else [x], y[1] if not isinstance(y, str) else [y])]
-            out += [merged] if x is a[i] and y is b[j] else [["?", [merged]]]
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            only_a.append(a[i])
-            i += 1
-        else:
-            only_b.append(b[j])
-            j += 1
-    return out + _apart(only_a + a[i:], only_b + b[j:]) + tail
+    number: dict[str, int] = {}
+    kinds = [[number.setdefault(_kind(bare(x)), len(number)) for x in side] for side in (a, b)]
+    out, i, j = list(head), 0, 0
+    for p, q in _common(*kinds):
+        out += _apart(a[i:p], b[j:q])
+        x, y = bare(a[p]), bare(b[q])
+        merged = x if _key(x) == _key(y) else ["+", align(x[1] if not isinstance(x, str) else [x], y[1] if not isinstance(y, str) else [y])]
+        out += [merged] if x is a[p] and y is b[q] else [["?", [merged]]]
+        i, j = p + 1, q + 1
+    return out + _apart(a[i:], b[j:]) + tail
 
 
 def skeleton(keys: list[str]) -> list:
@@ -238,35 +276,35 @@ def skeleton(keys: list[str]) -> list:
 
 
 class Wrapper:
-    """A wrapper ready to match: token codes, the compiled expression, and which slots are main text."""
+    """A wrapper ready to match: token codes, the compiled expression, and the paths of its slots."""
 
     def __init__(self, items: list) -> None:
         self.codes: dict[str, str] = {}
         self.slots: list[str] = []
         pattern = "".join(map(self._pattern, items))
         self.pattern = regex.compile(pattern)
-        self.content = _content(self.slots)
+        self.by_path = {path: n for n, path in reversed(list(enumerate(self.slots)))}
 
     def _pattern(self, item: str | list) -> str:
         if not isinstance(item, str):
             return f"(?:{''.join(map(self._pattern, item[1]))}){item[0]}+"
-        code = regex.escape(self.codes.setdefault(item, chr(0x4E00 + len(self.codes))))
+        code = regex.escape(self.codes.setdefault(item, chr(0x10000 + len(self.codes))))
         if item[0] == "#":
             self.slots.append(item)
             return f"({code})"
         return code
 
-    def main(self, keys: list[str]) -> set[int] | None:
-        """The places of main-text tokens, or None where the wrapper does not accept the stream."""
+    def filled(self, keys: list[str]) -> dict[int, int] | None:
+        """The slot that each text token fills, or None where the wrapper does not accept the stream."""
         if any(k not in self.codes for k in keys):
             return None
         m = self.pattern.fullmatch("".join(map(self.codes.__getitem__, keys)))
-        if m is None:
-            return None
-        filled = [(path, m.starts(n)) for n, path in enumerate(self.slots, 1) if m.starts(n)]
-        inside = any(_is_main(path, self.content) for path, _ in filled)
-        content = self.content if inside else _content([path for path, _ in filled])
-        return {at for path, places in filled if _is_main(path, content) for at in places}
+        return None if m is None else {at: n for n in range(len(self.slots)) for at in m.starts(n + 1)}
+
+    def places(self, keys: list[str]) -> dict[int, int]:
+        """As filled, or else by path: the first slot in the path of each text token, -1 if there is none."""
+        found = self.filled(keys)
+        return {i: self.by_path.get(k, -1) for i, k in enumerate(keys) if k[0] == "#"} if found is None else found
 
 
 def _boxes(path: str) -> list[tuple[str, set[str]]]:
@@ -294,20 +332,6 @@ def _is_main(path: str, content: str) -> bool:
     return inside
 
 
-def main_text(keys: list[str], texts: list[str], main: set[int]) -> str:
-    """Blocks end at every tag that is a token."""
-    blocks, open_ = [], []
-    for i, k in enumerate(keys):
-        if k[0] == "#":
-            if i in main:
-                open_.append(texts[i])
-        elif open_:
-            blocks.append("".join(open_))
-            open_ = []
-    blocks.append("".join(open_))
-    return "\n".join(b for b in (_WHITE.sub(" ", b).strip() for b in blocks) if b)
-
-
 def host_of(url: str | None) -> str:
     try:
         return urlsplit(url or "").hostname or ""
@@ -331,38 +355,89 @@ def _mark(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\n{text.strip()}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def contents(keys: list[str], texts: list[str]) -> dict[int, int]:
-    """For each main text of a page, up to half of it all, its mark, and the mark of the longest other one, which tells
-    the content beside it. Texts inside a content element are content whatever they say."""
+def contents(keys: list[str], texts: list[str]) -> tuple[int | None, dict[int, int]]:
+    """The mark of a page's longest main text, which tells its content; and for each main text, up to half of it all, its
+    mark, and the mark of the longest other one. Texts inside a content element are content whatever they say."""
     size: dict[int, int] = {}
     for i in _listed(keys):
         if not any(name in CONTENT_ELEMENTS for name, _ in _boxes(keys[i])):
             size[_mark(keys[i], texts[i])] = len(texts[i])
     order, all_ = sorted(size, key=lambda h: (-size[h], h))[:2], sum(size.values())
-    return {h: order[1] if h == order[0] else order[0] for h in size if 2 * size[h] <= all_ and len(order) > 1}
-
-
-def extract(page: str, wrapper: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    keys, texts = tokenize(page)
-    main = _compiled(wrapper).main(keys) if wrapper else None
-    if main is None:
-        main = _listed(keys)
-    if template:
-        main = {i for i in main if _mark(keys[i], texts[i]) not in template} or main
-    return main_text(keys, texts, main)
+    beside = {h: order[1] if h == order[0] else order[0] for h in size if 2 * size[h] <= all_ and len(order) > 1}
+    return (order[0] if order else None), beside
+
+
+def region(slots: list[tuple[str, int]]) -> tuple[str, str]:
+    """The content region of varying slots (path, size of their texts): ("name", element or ".named") for all boxes of
+    that kind, or ("path", box) for the innermost box that holds most; the whole page if there is no text."""
+    total = sum(n for _, n in slots)
+    inside: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for path, n in slots:
+        boxes = _boxes(path)
+        kinds = {name for name, _ in boxes if name in CONTENT_ELEMENTS} | {".named" for _, w in boxes if w & CONTENT_WORDS and not w & DROPPED_WORDS}
+        for kind in kinds:
+            held[kind] = held.get(kind, 0) + n
+        parts = path[1:].split("/")
+        for k, (name, _) in enumerate(boxes):
+            if name in CONTAINERS:
+                box = "/".join(parts[: k + 1])
+                inside[box] = inside.get(box, 0) + n
+    for kind in (*CONTENT_ELEMENTS, ".named"):
+        if total and held.get(kind, 0) >= NAMED_SHARE * total:
+            return "name", kind
+    most = [box for box, n in inside.items() if total and n >= REGION_SHARE * total]
+    return ("path", max(most, key=lambda box: (box.count("/"), box))) if most else ("name", "")
+
+
+def main_slots(slots: list[str], seen: dict[int, tuple[bool, int, int]]) -> list[int]:
+    """The slots of main text. slots: the paths of a wrapper's slots; seen: for slots that pages fill, whether the text is
+    always the same over different contents, its size over all pages, and how much of that is links."""
+    varying, alive = [], {slots[n] for n, (same, _, _) in seen.items() if 0 <= n < len(slots) and not same}
+    for n, (same, size, links) in sorted(seen.items()):
+        if 0 <= n < len(slots) and size and same and any(name in CONTENT_ELEMENTS for name, _ in _boxes(slots[n])):
+            same = slots[n] not in alive
+        if 0 <= n < len(slots) and not same and size and not any(name in DROPPED_ELEMENTS or w & DROPPED_WORDS and name not in ("html", "body") for name, w in _boxes(slots[n])):
+            if 2 * links <= size or any(name in CONTENT_ELEMENTS for name, _ in _boxes(slots[n])):
+                varying.append((n, slots[n], size))
+    how, box = region([(path, size) for _, path, size in varying])
+    if how == "name":
+        return [n for n, path, _ in varying if _is_main(path, box)]
+    return [n for n, path, _ in varying if (path[1:] + "/").startswith(box + "/") and not any(name == "header" for name, _ in _boxes(path) if "header" not in box)]
+
+
+class Page:
+    """A page's texts by the slots of its host's wrapper."""
+
+    def __init__(self, page: str, wrapper: str | None, template: frozenset[int] = frozenset()) -> None:
+        keys, texts, links = tokenize(page)
+        places = _compiled(wrapper).places(keys) if wrapper else {i: -1 for i, k in enumerate(keys) if k[0] == "#"}
+        own = _listed(keys)
+        #: slot, whether the page alone takes it for main text, whether it is a text of the host's template, and the text
+        self.blocks = [(n, i in own, bool(template) and _mark(keys[i], texts[i]) in template, _WHITE.sub(" ", texts[i]).strip()) for i, n in sorted(places.items())]
+        longest = max(((len(texts[i]), i) for i in own or places), default=None)
+        self.content = _mark(keys[longest[1]], texts[longest[1]]) if longest else None
+        fills: dict[int, list[int]] = {}
+        for i, n in sorted(places.items()):
+            fills.setdefault(n, []).append(i)
+        #: slot, mark of what fills it, its size, how much of that is links
+        self.fills = [(n, _mark("", "\n".join(texts[i].strip() for i in at)), sum(len(texts[i]) for i in at), sum(links[i] for i in at)) for n, at in fills.items()]
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """From all pages (host, html), without repeats: rows (host, wrapper) of streams, and rows (host, mark, beside) of main
-    texts; in each the other columns are null."""
+    """From all pages (host, html), without repeats: rows (host, wrapper) of streams, rows (host, beside) of contents
+    and rows (host, mark, beside) of main texts; in each the other columns are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[tuple, None] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, texts = tokenize(page or "")
+                keys, texts, _ = tokenize(page or "")
                 rows[host, json.dumps(skeleton(keys), separators=(",", ":")), None, None] = None
-                for mark, beside in contents(keys, texts).items():
+                content, found = contents(keys, texts)
+                if content is not None:
+                    rows[host, None, None, content] = None
+                for mark, beside in found.items():
                     rows[host, None, mark, beside] = None
             columns = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "wrapper", "mark", "beside"])
@@ -373,7 +448,7 @@ def _streams(pages: DataFrame) -> DataFrame:
 def template_texts(streams: DataFrame) -> DataFrame:
     """(host, template): the marks of texts that are the same over the contents of a host."""
     beside = streams.filter("mark is not null").groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
-    every = streams.filter("beside is not null").select("host", "beside").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    every = streams.filter("mark is null and beside is not null").groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     same = beside.filter(F.col("n") >= LEAST_PAGES).join(every, "host").filter(F.col("n") * SHARE >= F.col("all"))
     return same.groupBy("host").agg(F.array_sort(F.collect_set("mark")).alias("template"))
 
@@ -401,6 +476,42 @@ def _aligned(now: DataFrame) -> DataFrame:
         now = common.materialize(dealt.groupBy("host", "block").applyInPandas(merge, "host string, wrapper string"), "html-wrappers")
 
 
+_PAGE = "page_id long, url string, host string, content long, blocks array<struct<slot:int,own:boolean,same:boolean,text:string>>, fills array<struct<slot:int,mark:long,size:long,links:long>>"
+
+
+def _pages(with_host: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Each page's texts by slot, from (page_id, url, html, host) and (host, wrapper, template)."""
+    schema = to_arrow_schema(StructType.fromDDL(_PAGE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [[f.name for f in schema.field(c).type.value_type] for c in ("blocks", "fills")]
+        for whole in batches:
+            for batch in common.slices(whole, 2):
+                found = [Page(p or "", w, frozenset(t or ())) for p, w, t in zip(*(batch.column(n).to_pylist() for n in (2, 4, 5)))]
+                blocks, fills = ([[dict(zip(names[k], x)) for x in (f.blocks, f.fills)[k]] for f in found] for k in (0, 1))
+                columns = [batch.column(0), batch.column(1), batch.column(3), [f.content for f in found], blocks, fills]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    met = with_host.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
+    return common.materialize(met.mapInArrow(common.lean(run), _PAGE), "html-pages")
+
+
+def _decided(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, main): the slots of main text of each host's wrapper."""
+    fills = pages.select("host", "content", F.explode("fills").alias("f"))
+    same = (F.count(F.lit(1)) >= LEAST_PAGES) & (F.min("f.mark") == F.max("f.mark")) & (F.min("content") < F.max("content"))
+    seen = fills.groupBy("host", F.col("f.slot").alias("slot")).agg(same.alias("same"), F.sum("f.size").alias("size"), F.sum("f.links").alias("links"))
+
+    def decide(slots: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
+        if not len(slots) or not len(wrapper):
+            return pd.DataFrame({"host": [], "main": []})
+        rows = {int(n): (bool(s), int(z), int(k)) for n, s, z, k in zip(slots["slot"], slots["same"], slots["size"], slots["links"])}
+        return pd.DataFrame({"host": wrapper["host"].iloc[:1], "main": [main_slots(_compiled(wrapper["wrapper"].iat[0]).slots, rows)]})
+
+    met = seen.groupBy("host").cogroup(wrappers.select("host", "wrapper").groupBy("host"))
+    return common.materialize(met.applyInPandas(decide, "host string, main array<int>"), "html-slots")
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars)"""
     ship(pages.sparkSession)
@@ -409,18 +520,17 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.append_column("host", pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [extract(p or "", w, frozenset(t or ())) for p, w, t in zip(*(batch.column(n).to_pylist() for n in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"]
-            )
-
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     with_host = rows.mapInArrow(hosts, "page_id long, url string, html string, host string")
-    wrappers = infer_wrappers(with_host.select("host", "html"))
-    met = with_host.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "template")
-    return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    wrappers = common.materialize(infer_wrappers(with_host.select("host", "html")), "html-templates")
+    found = _pages(with_host, wrappers)
+    met = found.select("page_id", "url", "host", "blocks").join(_decided(found, wrappers), "host", "left")
+    of_main = lambda b: F.array_contains("main", b.slot)
+    some = lambda take: F.transform(F.filter("blocks", lambda b: take(b) & (b.text != "")), lambda b: b.text)
+    none = F.array().cast("array<string>")
+    choices = [some(lambda b: of_main(b) & ~b.same), some(of_main), some(lambda b: b.own & ~b.same), some(lambda b: b.own)]
+    text = F.array_join(F.coalesce(*(F.when(F.size(c) > 0, c) for c in choices), none), "\n").alias("text")
+    return met.select("page_id", "url", text).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
