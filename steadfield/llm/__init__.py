@@ -10,7 +10,6 @@ QUERIES = {
     "op1_hnsw": hnsw.query,
     "op2_bag_minhash": bag_minhash.query,
     "op3_line_dedup": line_dedup.query,
-    "op3_line_dedup_few": line_dedup.query_few,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_token_files": token_files.query,
     "op6_html_wrappers": html_wrappers.query,
@@ -22,6 +21,5 @@ QUERIES = {
 
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
-    "op3_line_dedup_few": line_dedup.SQL_FEW,
     "op9_exact_dedup": exact_dedup.SQL,
 }

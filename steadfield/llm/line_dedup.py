@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_SITES = 12
-#: Sites of the query that also takes lines repeated on few of them.
-FEW_SITES = 4
+#: Lines on so many distinct sites are boilerplate. Few enough that a passage or licence that is copied between a handful
+#: of sites goes, while exact copies of one document, which stay within two or three, don't make all its lines boilerplate.
+MIN_SITES = 4
 #: log2 of the sketch's buckets; the relative standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 11
 #: Standard errors between an estimate and the threshold within which a line is counted exactly.
@@ -60,6 +60,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, text: str = "text") -> DataFrame:
     """``docs`` with the boilerplate lines gone from ``text``, and n_lines, n_removed (which replace columns so named)."""
+    docs = common.steady(docs, "line-input")
     uid, gone = common.fresh(docs, "uid"), common.fresh(docs, "gone")
     rows = docs.withColumn(uid, F.monotonically_increasing_id())
     hashes = rows.select(F.col(uid).alias("uid"), F.col(site).cast("string").alias("site"), F.transform(_lines(text), _hash).alias("hs"))
@@ -73,16 +74,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir, MIN_SITES)
-
-
-def query_few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir, FEW_SITES)
-
-
-def _result(spark: SparkSession, sf_dir: str, min_sites: int) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    done = remove_boilerplate(docs, min_sites=min_sites)
+    done = remove_boilerplate(docs)
     return done.select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
@@ -103,4 +96,3 @@ r AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN r USING (doc_id)
 """
-SQL_FEW = SQL.replace(f">= {MIN_SITES}", f">= {FEW_SITES}")

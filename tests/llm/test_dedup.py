@@ -40,17 +40,16 @@ def test_exact_groups_of_texts_that_differ_late(spark, tmp_path):
     assert got == {1: (1, 1), 2: (2, 2), 3: (3, 1), 4: (2, 2), 5: (5, 2), 6: (5, 2), 7: (7, 1)}
 
 
-def test_lines_match_sql(spark, tmp_path, monkeypatch):
+def test_lines_match_sql(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, "\n".join(["  Shared notice "] * (i % 3 > 0) + [prose(rng, 5), "", prose(rng, 4)] + ["Rare notice"] * (i < 3)), None if i % 7 == 0 else f"s{i % 9}") for i in range(60)]
     rows += [(100, None, "s1"), (101, "", "s2"), (102, "Shared notice\nShared notice", None)]
     write_docs(spark, str(tmp_path / "documents.parquet"), rows)
-    monkeypatch.setattr(line_dedup, "MIN_SITES", 5)
     done = line_dedup.remove_boilerplate(spark.read.parquet(str(tmp_path / "documents.parquet")), min_sites=5)
     got = {r.doc_id: (r.n_lines, r.n_removed, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in done.collect()}
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    sql = line_dedup.SQL.replace(f">= {12}", ">= 5")
+    sql = line_dedup.SQL.replace(f">= {line_dedup.MIN_SITES}", ">= 5")
     assert got == {r[0]: r[1:] for r in c.sql(sql).fetchall()}
     assert sum(n for _, n, _ in got.values()) > 30
     assert "lang" in done.columns and "gone" in done.columns
@@ -61,11 +60,11 @@ def test_lines_repeated_on_few_sites_go(spark, tmp_path):
     passage = prose(rng, 60)
     rows = [(i, "\n".join([prose(rng, 6), passage] if i < 6 else [prose(rng, 6)] + ["Twice on three"] * (i < 15)), f"s{i % 4 if i < 6 else i % 3}") for i in range(60)]
     write_docs(spark, str(tmp_path / "documents.parquet"), rows)
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.query_few(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.query(spark, str(tmp_path)).collect()}
     assert all(got[i][1] == (1 if i < 6 else 0) for i in range(60))
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert got == {r[0]: r[1:] for r in c.sql(line_dedup.SQL_FEW).fetchall()}
+    assert got == {r[0]: r[1:] for r in c.sql(line_dedup.SQL).fetchall()}
 
 
 def test_bwt_and_common_prefixes_match_sorted_suffixes():
@@ -120,6 +119,48 @@ def test_spans_of_many_blocks_and_files(spark, tmp_path, monkeypatch):
     assert all((a == b).all() for a, b in zip(got, suffix_dedup.least_ids(strings, ids)))
 
 
+def morse(n, a="a", b="b"):
+    """Strings whose polynomial hashes modulo 2**64 are equal, from 1,024 characters on, when the letters change places."""
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_equal_hash_stay_apart(spark, tmp_path, n):
+    rng = random.Random(n)
+    tail = prose(rng, 30)
+    rows = [(1, morse(n)), (2, morse(n, "b", "a")), (3, morse(n)), (4, f"{morse(n)} {tail}"), (5, f"{morse(n, 'b', 'a')} {tail}"), (6, f"{morse(n)} four more words"), (7, f"{morse(n, 'b', 'a')} four more words")]
+    assert bag_minhash.word_hashes(rows[0][1])[0] == bag_minhash.word_hashes(rows[1][1])[0]
+    got = bag_minhash.near_classes(write_docs(spark, str(tmp_path / "d"), rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == brute_classes(rows)
+
+
+def test_strings_of_equal_hash_stay_apart(monkeypatch):
+    """The removal of spans with a hash under which all strings of a block meet."""
+    from steadfield.llm import hashing
+
+    rng = random.Random(7)
+    texts = [b"".join(rng.choice([b"alpha beta gamma delta epsilon zeta eta theta iota kappa ", b"one two three four five six seven eight nine ten eleven "]) for _ in range(3)) for _ in range(9)]
+    blocks = lambda: suffix_dedup.Block(np.arange(9), np.ones(9), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), dtype=np.uint8))
+    found = []
+    for hashed in (hashing.string_hashes, lambda b, s, e: np.zeros(len(s), dtype=np.uint64)):
+        monkeypatch.setattr(hashing, "string_hashes", hashed)
+        block = blocks()
+        bucket, _, _, place = block.hashes(16)
+        held, least, most, own = block.strings(np.ones(len(bucket), dtype=bool), place, bucket)
+        text = lambda r: block.b[block.first[r] : block.last[r] + suffix_dedup.SPAN].tobytes()
+        assert all(text(r) == text(held[own[r]]) for r in range(len(own)))
+        found.append({text(h): (a, z) for h, a, z in zip(held, least, most)})
+        assert len(found[-1]) == len(held)
+    assert found[0] == found[1]
+
+
+def test_the_last_doc_id_is_kept(spark, tmp_path):
+    passage = prose(random.Random(3), 40)
+    rows = [(1, passage), (2**63 - 1, passage + " tail"), (2**63 - 2, "x"), (None, passage), (None, "y")]
+    got = suffix_dedup.repeated_spans(write_docs(spark, str(tmp_path / "d"), rows)).collect()
+    assert sorted((repr(r.doc_id), len(r.spans) // 2) for r in got) == sorted([("1", 0), (repr(2**63 - 1), 1), (repr(2**63 - 2), 0), ("None", 1), ("None", 0)])
+
+
 def words(text):
     return tuple(FOLD.sub(" ", text or "").split())
 

@@ -41,6 +41,35 @@ def test_file_encoder_is_the_library():
         assert np.frombuffer(got, "<u2").tolist() == t.encode(s, add_special_tokens=False).ids + [2]
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_of_equal_hash_stay_apart(n):
+    """Strings whose polynomial hashes modulo 2**64 are equal, in one group."""
+    from tokenizers import Tokenizer
+
+    morse = lambda a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    texts = [morse("a", "b"), morse("b", "a"), "x " + morse("a", "b"), "x " + morse("b", "a"), morse("a", "b")]
+    own, t = reference(), Tokenizer.from_file(JSON)
+    b = byte_bpe.ByteBPE(RANKS, public_tokenizers.PATTERN)
+    assert [i.tolist() for i in b.encode(texts)] == [own.encode_ordinary(x) for x in texts]
+    assert [np.frombuffer(g, "<u2").tolist() for g in token_files.encoder(JSON, 2, 2)(texts)] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
+@pytest.mark.parametrize("forced", [False, True])
+def test_distinct_strings(monkeypatch, forced):
+    from steadfield.llm import hashing
+
+    if forced:  # every hash meets every other
+        monkeypatch.setattr(hashing, "string_hashes", lambda b, s, e: np.zeros(len(s), dtype=np.uint64))
+    rng = random.Random(2)
+    for alphabet in (b"a", b"ab\0"):
+        for _ in range(60):
+            w = [bytes(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(rng.randint(0, 60))]
+            length = np.array([len(x) for x in w], dtype=np.int64)
+            end = np.cumsum(length)
+            which, some = hashing.distinct(np.frombuffer(b"".join(w), dtype=np.uint8), end - length, end)
+            assert [w[some[k]] for k in which] == w and len(some) == len(set(w))
+
+
 def test_cache_generations():
     b, own = byte_bpe.ByteBPE(RANKS, public_tokenizers.PATTERN), reference()
     b._cached.most, b._cached.group = 5, 30
