@@ -9,39 +9,38 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-STRIDES = 1024
-
-
-def _kahan(x: np.ndarray) -> float:
-    """Compensated 32-bit sums of many strides at once, one row after another."""
-    rows = -(-len(x) // STRIDES)
-    m = np.zeros(rows * STRIDES, dtype=np.float32)
-    m[: len(x)] = x
-    s, c = np.zeros(STRIDES, dtype=np.float32), np.zeros(STRIDES, dtype=np.float32)
-    for row in m.reshape(rows, STRIDES):
-        y = row - c
-        t = s + y
-        c, s = (t - s) - y, t
-    return float(s.astype(np.float64).sum())
-
-
-def _plain(x: np.ndarray) -> float:
-    rows = -(-len(x) // STRIDES)
-    m = np.zeros(rows * STRIDES, dtype=np.float32)
-    m[: len(x)] = x
-    return float(np.add.accumulate(m.reshape(rows, STRIDES), axis=0, dtype=np.float32)[-1].astype(np.float64).sum()) if rows else 0.0
+#: Values that one sum runs over lie STRIDES apart in i, and within SEGMENT of each other.
+STRIDES, SEGMENT = 1024, 1 << 16
+
+
+def strided_sums(i: np.ndarray, x: np.ndarray) -> tuple[float, float, float]:
+    """Of values in order of i: plain and compensated 32-bit sums over the values of each stride, which are then added in
+    64 bits, and the 64-bit sum. What i a value has says where it goes, so the layout of the table has no say."""
+    stride = i % STRIDES
+    by = np.argsort(stride, kind="stable")
+    stride, v = stride[by], x[by]
+    start = np.flatnonzero(np.concatenate(([True], stride[1:] != stride[:-1])))
+    size = np.diff(np.append(start, len(v)))
+    plain, s, c = (np.zeros(len(start), dtype=np.float32) for _ in range(3))
+    for k in range(int(size.max(initial=0))):  # the k-th value of every stride that has one
+        on = np.flatnonzero(size > k)
+        step = v[start[on] + k]
+        plain[on] += step
+        y = step - c[on]
+        t = s[on] + y
+        c[on], s[on] = (t - s[on]) - y, t
+    return float(plain.astype(np.float64).sum()), float(s.astype(np.float64).sum()), float(v.astype(np.float64).sum())
 
 
 def compensated_sums(field: DataFrame) -> DataFrame:
-    """(field_id, plain, kahan, exact): partial sums in each Arrow batch, added in 64 bits."""
+    """(field_id, plain, kahan, exact): partial sums of each segment of i, added in 64 bits."""
     ship(field.sparkSession)
 
-    def run(batches):
-        for b in batches:
-            ids, x = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_numpy(zero_copy_only=False)
-            for f in dict.fromkeys(ids):
-                v = x[ids == f]
-                yield pa.RecordBatch.from_pydict({"field_id": [f], "plain": [_plain(v)], "kahan": [_kahan(v)], "exact": [float(v.astype(np.float64).sum())]})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        sums = strided_sums(t.column("i").to_numpy(), t.column("x").to_numpy())
+        return pa.table({"field_id": t.column("field_id")[:1], **{n: [v] for n, v in zip(("plain", "kahan", "exact"), sums)}})
 
-    parts = field.select("field_id", "x").mapInArrow(run, "field_id string, plain double, kahan double, exact double")
+    rows = field.select("field_id", "i", "x", F.floor(F.col("i") / SEGMENT).alias("segment"))
+    parts = rows.groupBy("field_id", "segment").applyInArrow(run, "field_id string, plain double, kahan double, exact double")
     return parts.groupBy("field_id").agg(*(F.sum(c).alias(c) for c in ("plain", "kahan", "exact")))

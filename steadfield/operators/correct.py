@@ -136,18 +136,49 @@ def capped_map(xh: Column, a: Column, b: Column, mu0: Column, cap: Column) -> Co
     return f32(f64(xh) + a + b * clamp(f64(xh) - mu0, -cap, cap))
 
 
-def cap_search(field: DataFrame, targets: DataFrame, xh: str = "xh", energy_only: bool = False, keys: list[str] | None = None, tries: int = CAP_TRIES) -> DataFrame:
+def hold(rows: DataFrame) -> DataFrame:
+    """One row for each field or setting, held so that later rounds don't run the earlier ones again: by the driver up to
+    a checked number, else in the shared folder, and computed anew where there is none."""
+    spark = rows.sparkSession
+    some = rows.limit(BROADCAST_ROWS + 1).collect()
+    if len(some) <= BROADCAST_ROWS:
+        return spark.createDataFrame(some, rows.schema)
+    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows
+
+
+def cap_search(field: DataFrame, targets: DataFrame, xh: str = "xh", energy_only: bool = False, keys: list[str] | None = None, tries: int = CAP_TRIES, at_once: int = 8) -> DataFrame:
     """(*keys, mu0, cap, a, b, k): the least doubling of the first cap that can be solved, the last being no cap at all.
 
-    targets: (*keys, m0, s0, mu0, cap0). All candidates are summed up in one pass: each task keeps 5 sums for a field
-    and candidate."""
+    targets: (*keys, m0, s0, mu0, cap0). A pass sums up ``at_once`` candidates as columns, so rows are not multiplied;
+    fields that none of them solves go on to the next candidates, and most need one pass."""
+    keys = keys or ["field_id"]
+    left, out, fixed = targets, None, ["mu0", "m0", "s0", "cap0"]
+    for first in range(0, tries, at_once):
+        caps = {k: F.lit(math.inf) if k == tries - 1 else F.col("cap0") * 2.0**k for k in range(first, min(first + at_once, tries))}
+        sums = {k: inv.capped_moments(F.col(xh), F.col("mu0"), cap) for k, cap in caps.items()}
+        of_cap = ("g1", "g2", "xg")  # the others don't depend on the cap
+        shared = {n: c for n, c in sums[first].items() if n not in of_cap}
+        summed = attach(field, left, keys).groupBy(*keys, *fixed).agg(*(c.alias(n) for n, c in shared.items()), *(sums[k][n].alias(f"{n}_{k}") for k in caps for n in of_cap))
+        tried = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), cap.alias("cap"), *(F.col(f"{n}_{k}").alias(n) for n in of_cap)) for k, cap in caps.items())))
+        one = summed.select(*keys, *fixed, *shared, tried.alias("t")).select(*keys, *fixed, *shared, "t.*").withColumns(capped_solution(energy_only))
+        best = F.min_by(F.when(F.col("solved"), F.struct("mu0", "cap", "a", "b", "k")), F.when(F.col("solved"), F.col("k"))).alias("p")
+        done = hold(one.groupBy(*keys).agg(best))
+        solved = done.filter("p is not null").select(*keys, "p.*")
+        out = solved if out is None else out.unionByName(solved)
+        left = left.join(done.filter("p is null").select(*keys), keys, "left_semi")
+        if done.filter("p is null").isEmpty():
+            break
+    return out
+
+
+def capped_restore(field: DataFrame, targets: DataFrame, xh: str = "xh", x: str = "x", energy_only: bool = False, keys: list[str] | None = None, out: str = "xc", tries: int = CAP_TRIES) -> DataFrame:
+    """The capped map of each field, or, where no cap can be solved, the scale about the mean (of energy alone: the scale)."""
     keys = keys or ["field_id"]
-    caps = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: F.struct(k.alias("k"), F.when(k == tries - 1, F.lit(math.inf)).otherwise(F.col("cap0") * F.pow(F.lit(2.0), f64(k))).alias("cap")))
-    tried = attach(field, targets, keys).withColumn("t", F.explode(caps)).select(*keys, xh, "m0", "s0", "mu0", "t.k", "t.cap")
-    sums = inv.capped_moments(F.col(xh), F.col("mu0"), F.col("cap"))
-    solved = tried.groupBy(*keys, "k", "cap", "mu0", "m0", "s0").agg(*(c.alias(n) for n, c in sums.items())).withColumns(capped_solution(energy_only))
-    best = solved.filter("solved").groupBy(*keys).agg(F.min_by(F.struct("mu0", "cap", "a", "b", "k"), "k").alias("p"))
-    return best.select(*keys, "p.*")
+    found = cap_search(field, targets, xh, energy_only, keys, tries).select(*keys, "mu0", "cap", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    plain = params(stats(field, xh, x, keys=keys), Invariant.ENERGY if energy_only else Invariant.BOTH).select(*keys, "a", "b")
+    both = attach(field, plain.join(found, keys, "left"), keys)
+    capped = capped_map(F.col(xh), F.col("ca"), F.col("cb"), F.col("mu0"), F.col("cap"))
+    return both.withColumn(out, F.when(F.col("cap").isNotNull(), capped).otherwise(affine(F.col(xh), F.col("a"), F.col("b")))).drop("a", "b", "ca", "cb", "mu0", "cap")
 
 
 def tier_scale(target: Column, fixed: Column, low: Column, strictly: bool) -> Column:

@@ -56,7 +56,7 @@ def tightest(field: DataFrame, recon, steps: int = 5, shrink: float = 0.98, keys
     out = None
     now = _measured(with_bounds(field, fractions, HEADROOM, keys), recon, by)
     for k in range(steps):
-        done = _kept(now.withColumn("step", F.lit(k)))
+        done = correct.hold(now.withColumn("step", F.lit(k)))
         ends = F.lit(k == steps - 1) | ~F.coalesce((F.col("max_cor_over_b") > 1) & ~F.isnan("max_cor_over_b"), F.lit(False))
         part = done.filter(ends)
         out = part if out is None else out.unionByName(part)
@@ -64,17 +64,7 @@ def tightest(field: DataFrame, recon, steps: int = 5, shrink: float = 0.98, keys
         if k == steps - 1 or again.isEmpty():
             break
         now = _measured(correct.attach(field, again, keys), recon, by)
-    return out.select(*by, "step", "bound_used", "max_cor_over_b", "mass_cor", "energy_cor", "violations")
-
-
-def _kept(rows: DataFrame) -> DataFrame:
-    """One row for each field and fraction, held so that later rounds don't run the earlier ones again: by the driver up to
-    a checked number, else in the shared folder, and computed anew where there is none."""
-    spark = rows.sparkSession
-    some = rows.limit(correct.BROADCAST_ROWS + 1).collect()
-    if len(some) <= correct.BROADCAST_ROWS:
-        return spark.createDataFrame(some, rows.schema)
-    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows
+    return out.select(*by, "step", "bound", "bound_used", "max_cor_over_b", "mass_cor", "energy_cor", "violations")
 
 
 def size_at(coded_sizes: DataFrame, tight_sizes: DataFrame, keys: list[str], side_info: int = 16) -> DataFrame:
@@ -99,6 +89,29 @@ def bisect(evaluate, lo: float, hi: float, limit: float, iterations: int = 18) -
     return lo
 
 
+#: Halvings that one pass of ``bisect_fields`` decides.
+HALVINGS = 3
+
+
+def bisect_fields(field: DataFrame, recon, limit: float, lo: float, hi: float, iterations: int = 18, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, q): for each field the largest tolerance whose error stays within the limit, by geometric halves of lo to hi.
+
+    recon is a function of a column of tolerances. All fields are searched at once; a pass measures the seven
+    tolerances that three halvings could come to, as columns of one aggregate, and keeps where they lead."""
+    keys, parts = keys or ["field_id"], 2**HALVINGS
+    state = correct.hold(field.select(*keys).distinct().withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))}))
+    at = lambda j: F.exp(F.log("lo") + (F.log("hi") - F.log("lo")) * j / parts)
+    for _ in range(-(-iterations // HALVINGS)):
+        errors = [F.max(F.abs(f64(f32(recon(at(F.lit(j))))) - f64(F.col("x")))) for j in range(1, parts)]
+        place, width, one = F.lit(0), parts, correct.attach(field, state, keys).groupBy(*keys, "lo", "hi").agg(F.array(*errors).alias("e"))
+        while width > 1:
+            width //= 2
+            place = F.when(F.element_at("e", place + width) <= limit, place + width).otherwise(place)
+        one = one.withColumn("p", place)
+        state = correct.hold(one.select(*keys, at(F.col("p")).alias("lo"), at(F.col("p") + 1).alias("hi")))
+    return state.select(*keys, F.col("lo").alias("q"))
+
+
 def compare_modes(results: DataFrame, keys: Sequence[str] = ("input", "error_bound"), plain: int = 0, restored: int = 3) -> DataFrame:
     """Rows of two modes side by side, with the change of ratio and of drifts."""
     a, b = results.filter(F.col("mode") == plain).alias("a"), results.filter(F.col("mode") == restored).alias("b")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sums
 from ..functions.numeric import AbsQuantizer, PowerQuantizer, f32, f64, floor_quantize, uniform_quantize
 from ..operators import chunks, codecs, correct, sweeps
 from ..operators import invariants as inv
@@ -133,9 +134,39 @@ def study(spark, d):
     return s.select("field_id", "frac", "n", rnd(F.col("max_raw_over_b"), 4).alias("raw_over"), rnd(F.col("max_cor_over_b"), 4).alias("cor_over"), rnd(F.col("mass_raw"), 6).alias("mass_raw"), (F.col("mass_cor") < 1e-6).alias("mass_kept"), (F.col("energy_cor") < 1e-6).alias("energy_kept"))
 
 
-@query("q_study_tight")
+def _tight_sql(steps: int = 5) -> str:
+    """Each round's pairs of field and fraction, measured, and those that fail with a tighter bound for the next."""
+    parts = [f"e AS ({EVENTS})", f"t0 AS (SELECT field_id, CAST(frac AS DOUBLE) AS frac, CAST(frac AS DOUBLE) * span AS b, CAST(frac AS DOUBLE) * span * 0.9 AS bu FROM (SELECT field_id, {D('max(x)')} - {D('min(x)')} AS span FROM e GROUP BY field_id), {_FR})"]
+    for k in range(steps):
+        parts += [
+            f"q{k} AS (SELECT field_id, frac, b, bu, {D('x')} AS x, {D(f'CAST(round_even({D("x")} / (2 * bu), 0) * (2 * bu) AS FLOAT)')} AS xh FROM e JOIN t{k} USING (field_id))",
+            f"s{k} AS (SELECT field_id, frac, avg(x) AS mean0, avg(xh) AS mean1, sqrt((avg(x * x) - avg(x) * avg(x)) / (avg(xh * xh) - avg(xh) * avg(xh))) AS a FROM q{k} GROUP BY field_id, frac)",
+            f"m{k} AS (SELECT field_id, frac, any_value(b) AS b, any_value(bu) AS bu, max(abs({D('CAST(a * xh + (mean0 - a * mean1) AS FLOAT)')} - x)) AS err FROM q{k} JOIN s{k} USING (field_id, frac) GROUP BY field_id, frac)",
+            f"t{k + 1} AS (SELECT field_id, frac, b, bu * 0.98 * b / err AS bu FROM m{k} WHERE err > b)",
+        ]
+    ends = " UNION ALL ".join(f"SELECT field_id, frac, {k} AS step, b, bu, err FROM m{k}" + (" WHERE NOT err > b" if k < steps - 1 else "") for k in range(steps))
+    return f"WITH {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in parts)} SELECT field_id, frac, CAST(step AS INTEGER) AS step, {R('bu / b', 5)} AS used, {R('err / b', 4)} AS cor_over FROM ({ends})"
+
+
+@query("q_study_tight", _tight_sql())
 def study_tight(spark, d):
-    return sweeps.tightest(events(spark, d), _recon())
+    s = sweeps.tightest(events(spark, d), _recon())
+    return s.select("field_id", "frac", F.col("step").cast("int").alias("step"), rnd(F.col("bound_used") / F.col("bound"), 5).alias("used"), rnd(F.col("max_cor_over_b"), 4).alias("cor_over"))
+
+
+def _bisect_sql(iterations: int = 18) -> str:
+    parts = [f"e AS ({EVENTS})", "t0 AS (SELECT DISTINCT field_id, CAST(0.0001 AS DOUBLE) AS lo, CAST(10.0 AS DOUBLE) AS hi FROM e)"]
+    for k in range(iterations):
+        err = f"max(abs({D(f'CAST(round_even({D("x")} / sqrt(lo * hi), 0) * sqrt(lo * hi) AS FLOAT)')} - {D('x')}))"
+        parts += [f"m{k} AS (SELECT field_id, lo, hi, {err} AS err FROM e JOIN t{k} USING (field_id) GROUP BY field_id, lo, hi)", f"t{k + 1} AS (SELECT field_id, CASE WHEN err <= 0.1 THEN sqrt(lo * hi) ELSE lo END AS lo, CASE WHEN err <= 0.1 THEN hi ELSE sqrt(lo * hi) END AS hi FROM m{k})"]
+    return f"WITH {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in parts)} SELECT field_id, {R('lo', 7)} AS q FROM t{iterations}"
+
+
+@query("q_tolerance_bisect", _bisect_sql())
+def tolerance_bisect(spark, d):
+    """The coarsest step of each field whose error stays within 0.1, by 18 geometric halvings."""
+    found = sweeps.bisect_fields(events(spark, d), lambda q: uniform_quantize(F.col("x"), q), 0.1, 1e-4, 10.0)
+    return found.select("field_id", rnd(F.col("q"), 7).alias("q"))
 
 
 def _size_sql(bound: float, name: str) -> str:
@@ -241,23 +272,32 @@ def check_conservation(spark, d):
     return g.groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("violations"), rnd(inv.drift(inv.mass(x), inv.mass(xh)), 7).alias("mass_drift"))
 
 
-@query("q_planes_roundtrip")
-def planes_roundtrip(spark, d):
-    """Bytes of each field with bit-plane chunks, and the greatest error after decoding."""
-    f = events(spark, d)
-    f = f.withColumn("i", F.col("i") - F.lit(0))
-    e = codecs.encode_chunks(f.withColumn("field_id", F.lit("all")), 0.3)
-    back = codecs.decode_chunks(e, 0.3).withColumnRenamed("field_id", "g")
-    worst = f.join(back, "i").agg(F.max(F.abs(f64(F.col("x")) - f64(F.col("xh")))).alias("max_abs"), F.count(F.lit(1)).alias("n"))
+def _roundtrip(spark, d, codec: str, bound: float):
+    """(original, bytes, max_abs, n) of all events as one field through a byte codec and back."""
+    f = whole(spark, d)
+    e = codecs.encode_chunks(f, bound, codec)
+    back = codecs.decode_chunks(e, bound, codec).select("i", "xh")
+    worst = f.join(back, "i").agg(rnd(F.max(F.abs(f64(F.col("x")) - f64(F.col("xh")))), 6).alias("max_abs"), F.count(F.lit(1)).alias("n"))
     return e.agg(F.sum("osize").alias("original"), F.sum("csize").alias("bytes")).crossJoin(worst)  # one row and one row
 
 
-@query("q_widths_roundtrip")
+@query(
+    "q_planes_roundtrip",
+    f"""SELECT CAST(4 * count(*) AS BIGINT) AS original, true AS smaller, {R(f'max(abs({D("x")} - {D("xh")}))', 6)} AS max_abs, count(*) AS n FROM (SELECT x, CASE WHEN whole THEN x ELSE r END AS xh
+ FROM (SELECT *, abs(b) >= 4194304 OR abs(x - r) > {_B} AS whole FROM (SELECT *, CAST(b AS FLOAT) * {_W} AS r FROM (SELECT *, round({D(f'x * {_INV}')}, 0) AS b FROM ({EVENTS})))))""",
+)
+def planes_roundtrip(spark, d):
+    """Bit-plane chunks: whether they are smaller, and the greatest error after decoding."""
+    return _roundtrip(spark, d, "planes", 0.3).select("original", (F.col("bytes") < F.col("original")).alias("smaller"), "max_abs", "n")
+
+
+@query(
+    "q_widths_roundtrip",
+    f"""SELECT s.original, s.bytes, {R(f'max(abs({D(f"CASE WHEN abs(x) >= {_P.limit} THEN x ELSE CAST(sign({D('x')}) * {_PN} * {2 * _P.power} AS FLOAT) END")} - {D('x')}))', 6)} AS max_abs, count(*) AS n
+ FROM ({EVENTS}), (SELECT CAST(sum(osize) AS BIGINT) AS original, CAST(sum(csize) AS BIGINT) AS bytes FROM ({_SIZED})) s GROUP BY ALL""",
+)
 def widths_roundtrip(spark, d):
-    f = events(spark, d)
-    e = codecs.encode_chunks(f.withColumn("field_id", F.lit("all")), 0.5, "widths")
-    back = codecs.decode_chunks(e, 0.5, "widths").withColumnRenamed("field_id", "g")
-    return f.join(back, "i").agg(F.max(F.abs(f64(F.col("x")) - f64(F.col("xh")))).alias("max_abs"), F.count(F.lit(1)).alias("n"))
+    return _roundtrip(spark, d, "widths", BOUND)
 
 
 @query("q_entropy_ratio")
@@ -265,11 +305,14 @@ def entropy_ratio(spark, d):
     return codecs.entropy_sizes(events(spark, d))
 
 
-@query("q_kahan_sums")
-def kahan_sums(spark, d):
-    from ..functions.sums import compensated_sums
+_STEP = "lambda a, b: {'s': a.s + (b.s - a.c), 'c': ((a.s + (b.s - a.c)) - a.s) - (b.s - a.c)}"
+_PARTS = f"""SELECT field_id, list_reduce(list(x ORDER BY i), lambda a, b: a + b) AS plain, list_reduce(list({{'s': x, 'c': CAST(0 AS FLOAT)}} ORDER BY i), {_STEP}).s AS kahan, sum({D('x')}) AS exact
+ FROM ({EVENTS}) GROUP BY field_id, i // {sums.SEGMENT}, i % {sums.STRIDES}"""
 
-    return compensated_sums(events(spark, d))
+
+@query("q_kahan_sums", f"SELECT field_id, {R(f'sum({D("plain")})', 4)} AS plain, {R(f'sum({D("kahan")})', 4)} AS kahan, {R('sum(exact)', 4)} AS exact FROM ({_PARTS}) GROUP BY field_id")
+def kahan_sums(spark, d):
+    return sums.compensated_sums(events(spark, d)).select("field_id", *(rnd(F.col(c), 4).alias(c) for c in ("plain", "kahan", "exact")))
 
 
 def restored(spark, d):

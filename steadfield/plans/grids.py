@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f64
@@ -253,20 +257,27 @@ def block_second_moment(spark, d):
     return m.select("k", *(rnd(F.col(c), 6).alias(c) for c in m.columns if c != "k"))
 
 
+# The eigenvalues of a symmetric 3 x 3 matrix in closed form: the energies along the principal axes.
+_ROTATED = f"""WITH m AS (SELECT k, {", ".join(f"sum({D(a)} * {D(b)}) AS {a}{b}" for a, b in ("uu", "uv", "uw", "vv", "vw", "ww"))} FROM ({VECTOR_CUBE}) GROUP BY k),
+ t AS (SELECT *, (uu + vv + ww) / 3 AS q FROM m), p AS (SELECT *, sqrt(((uu - q) * (uu - q) + (vv - q) * (vv - q) + (ww - q) * (ww - q) + 2 * (uv * uv + uw * uw + vw * vw)) / 6) AS p FROM t),
+ r AS (SELECT *, acos(greatest(-1.0, least(1.0, ((uu - q) * ((vv - q) * (ww - q) - vw * vw) - uv * (uv * (ww - q) - vw * uw) + uw * (uv * vw - (vv - q) * uw)) / (2 * p * p * p)))) / 3 AS a FROM p)"""
+
+
 @query(
     "q_rotate",
-    f"SELECT k, {R(f'sum({D("u")} * {D("u")} + {D("v")} * {D("v")} + {D("w")} * {D("w")})', 4)} AS energy, true AS restored FROM ({VECTOR_CUBE}) GROUP BY k",
+    f"{_ROTATED} SELECT k, {R('q + 2 * p * cos(a)', 3)} AS first, {R('3 * q - (q + 2 * p * cos(a)) - (q + 2 * p * cos(a + 2 * pi() / 3))', 3)} AS second, {R('q + 2 * p * cos(a + 2 * pi() / 3)', 3)} AS third, true AS apart, true AS restored FROM r",
 )
 def rotate(spark, d):
-    """Energy of rotated vectors, and whether rotating back restores them."""
+    """Energies of the rotated components, whether they are uncorrelated, and whether rotating back restores the vectors."""
     v = vector_cube(spark, d)
     axes = rotation.block_axes(v, ["k"])
     turned = rotation.rotate(v, axes, ["k"])
     back = rotation.rotate(turned, axes, ["k"], inverse=True).select("k", "i", *(F.col(c).alias(f"b{c}") for c in "uvw"))
     both = v.select("k", "i", *(F.col(c).alias(f"o{c}") for c in "uvw")).join(back, ["k", "i"]).join(turned.select("k", "i", "u", "v", "w"), ["k", "i"])
     off = F.greatest(*(F.abs(f64(F.col(f"b{c}")) - f64(F.col(f"o{c}"))) for c in "uvw"))
-    energy = inv.energy(F.col("u")) + inv.energy(F.col("v")) + inv.energy(F.col("w"))
-    return both.groupBy("k").agg(rnd(energy, 4).alias("energy"), (F.max(off) < 1e-5).alias("restored"))
+    mixed = F.greatest(*(F.abs(inv.weighted(F.col(a), F.col(b))) for a, b in ("uv", "uw", "vw")))
+    energies = {n: inv.energy(F.col(c)) for n, c in zip(("first", "second", "third"), "uvw")}
+    return both.groupBy("k").agg(*(rnd(e, 3).alias(n) for n, e in energies.items()), (mixed < 1e-5 * energies["first"]).alias("apart"), (F.max(off) < 1e-5).alias("restored"))
 
 
 @query("q_slice", f"SELECT vec_id, i0, i1, x FROM ({CUBE}) WHERE i2 = 2")
@@ -281,15 +292,6 @@ def lineout(spark, d):
 
 # Solvers: a lattice of nodes from events (nine directions from the value and the position), a ring from embeddings.
 _NY, _NX = 20, 25
-_NODES = f"SELECT event_id // {_NX} AS y, event_id % {_NX} AS x, " + ", ".join(f"{w!r} * (1 + 0.01 * sin(value + {k})) AS f{k}" for k, w in enumerate(solvers.LATTICE_W)) + f" FROM events WHERE event_id < {_NY * _NX}"
-
-
-def nodes(spark, d):
-    e = table(spark, d, "events").filter(F.col("event_id") < _NY * _NX)
-    f = [(F.lit(w) * (1 + 0.01 * F.sin(F.col("value") + k))).alias(f"f{k}") for k, w in enumerate(solvers.LATTICE_W)]
-    return e.select(F.floor(F.col("event_id") / _NX).cast("long").alias("y"), (F.col("event_id") % _NX).alias("x"), *f)
-
-
 #: Every event: node event_id % 500 of lattice g = event_id // 500. Nodes without an event hold fluid at rest.
 _LATTICES = f"SELECT l.g, n.i // {_NX} AS y, n.i % {_NX} AS x, " + ", ".join(f"coalesce({w!r} * (1 + 0.01 * sin(e.value + {k})), {w!r}) AS f{k}" for k, w in enumerate(solvers.LATTICE_W)) + f" FROM (SELECT DISTINCT event_id // {_NY * _NX} AS g FROM events) l CROSS JOIN (SELECT unnest(range({_NY * _NX})) AS i) n LEFT JOIN events e ON e.event_id = l.g * {_NY * _NX} + n.i"
 
@@ -307,25 +309,31 @@ def lattices(spark, d):
 _RHO = " + ".join(f"f{k}" for k in range(9))
 _JX = " + ".join(f"({c}) * f{k}" for k, c in enumerate(solvers.LATTICE_X) if c)
 _JY = " + ".join(f"({c}) * f{k}" for k, c in enumerate(solvers.LATTICE_Y) if c)
-_MOMENTS = f"SELECT *, greatest({_RHO}, 1e-10) AS rho, {_JX} AS jx, {_JY} AS jy FROM ({_NODES})"
+_MOMENTS = f"SELECT *, greatest({_RHO}, 1e-10) AS rho, {_JX} AS jx, {_JY} AS jy FROM ({_LATTICES})"
 
 
-@query("q_lbm_moments", f"SELECT y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS})")
+@query("q_lbm_moments", f"SELECT g, y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS})")
 def lbm_moments(spark, d):
-    return nodes(spark, d).select("y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
+    return lattices(spark, d).select("g", "y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
 
 
-@query("q_lbm_restore", f"SELECT y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS})")
+@query("q_lbm_restore", f"SELECT g, y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS})")
 def lbm_restore(spark, d):
     """The moments of truncated states after restoration: those of the states before."""
-    true = nodes(spark, d).withColumns({f"{n}0": c for n, c in solvers.moments().items()})
+    true = lattices(spark, d).withColumns({f"{n}0": c for n, c in solvers.moments().items()})
     back = solvers.restore_moments(solvers.truncate(true, 4e-3))
-    return back.select("y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
+    return back.select("g", "y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
 
 
-@query("q_lbm_stream", f"SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, " + ", ".join(f"{R(f'max(f) FILTER (k = {k})', 10)} AS f{k}" for k in range(9)) + " FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, (y + {cy} + {_NY}) % {_NY} AS y, (x + {cx} + {_NX}) % {_NX} AS x, f{k} AS f FROM ({_NODES})" for k, (cx, cy) in enumerate(zip(solvers.LATTICE_X, solvers.LATTICE_Y))) + ") GROUP BY y, x")
+def _streamed(nodes: str) -> str:
+    """SQL of one streaming step of (g, y, x, f0..f8)."""
+    moved = " UNION ALL ".join(f"SELECT g, {k} AS k, (y + {cy} + {_NY}) % {_NY} AS y, (x + {cx} + {_NX}) % {_NX} AS x, f{k} AS f FROM {nodes}" for k, (cx, cy) in enumerate(zip(solvers.LATTICE_X, solvers.LATTICE_Y)))
+    return "SELECT g, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, " + ", ".join(f"max(f) FILTER (k = {k}) AS f{k}" for k in range(9)) + f" FROM ({moved}) GROUP BY g, y, x"
+
+
+@query("q_lbm_stream", f"WITH n AS ({_LATTICES}) SELECT g, y, x, " + ", ".join(f"{R(f'f{k}', 10)} AS f{k}" for k in range(9)) + f" FROM ({_streamed('n')})")
 def lbm_stream(spark, d):
-    return solvers.stream(nodes(spark, d), _NY, _NX).select("y", "x", *(rnd(F.col(f"f{k}"), 10).alias(f"f{k}") for k in range(9)))
+    return solvers.stream(lattices(spark, d), _NY, _NX, ["g"]).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 10).alias(f"f{k}") for k in range(9)))
 
 
 def _feq(k: int) -> str:
@@ -333,45 +341,33 @@ def _feq(k: int) -> str:
     return f"rho * {solvers.LATTICE_W[k]!r} * (1 + {cu} + 0.5 * {cu} * {cu} - 1.5 * ((jx / rho) * (jx / rho) + (jy / rho) * (jy / rho)))"
 
 
-@query("q_lbm_collide", "SELECT y, x, " + ", ".join(f"{R(f'f{k} - 0.8 * (f{k} - {_feq(k)})', 9)} AS f{k}" for k in range(9)) + f" FROM ({_MOMENTS})")
+_COLLIDED = "SELECT g, y, x, " + ", ".join(f"f{k} - 0.8 * (f{k} - {_feq(k)}) AS f{k}" for k in range(9)) + f" FROM ({_MOMENTS})"
+
+
+@query("q_lbm_collide", "SELECT g, y, x, " + ", ".join(f"{R(f'f{k}', 9)} AS f{k}" for k in range(9)) + f" FROM ({_COLLIDED})")
 def lbm_collide(spark, d):
-    return solvers.collide(nodes(spark, d), 0.8).select("y", "x", *(rnd(F.col(f"f{k}"), 9).alias(f"f{k}") for k in range(9)))
+    return solvers.collide(lattices(spark, d), 0.8).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 9).alias(f"f{k}") for k in range(9)))
+
+
+_SPEED = 0.02
+_IN = f"((f0 + f2 + f4 + 2 * (f3 + f6 + f7)) / (1 - {_SPEED}))"
+_ENTERING = {1: f"f3 + 2 / 3.0 * {_IN} * {_SPEED}", 5: f"f7 + 1 / 6.0 * {_IN} * {_SPEED} + 0.5 * (f4 - f2)", 8: f"f6 + 1 / 6.0 * {_IN} * {_SPEED} - 0.5 * (f4 - f2)"}
+_STEP = f"""WITH c AS ({_COLLIDED}), s AS ({_streamed('c')}),
+ w AS (SELECT s.g, s.y, s.x, {", ".join(f"CASE WHEN s.y IN (0, {_NY - 1}) THEN c.f{solvers.OPPOSITE[k]} ELSE s.f{k} END AS f{k}" for k in range(9))} FROM s JOIN c ON c.g = s.g AND c.y = s.y AND c.x = s.x),
+ i AS (SELECT g, y, x, {", ".join(f"CASE WHEN x = 0 THEN {_ENTERING[k]} ELSE f{k} END AS f{k}" if k in _ENTERING else f"f{k}" for k in range(9))} FROM w),
+ o AS (SELECT g, y, x, {", ".join(f"CASE WHEN x = {_NX - 1} THEN lag(f{k}) OVER (PARTITION BY g, y ORDER BY x) ELSE f{k} END AS f{k}" for k in range(9))} FROM i),
+ m AS (SELECT g, greatest({_RHO}, 1e-10) AS rho, {_JX} AS jx, {_JY} AS jy FROM o)"""
 
 
-@query("q_lbm_step")
+@query("q_lbm_step", f"{_STEP} SELECT g, {R('sum(rho)', 7)} AS mass, {R('sum(jx)', 7)} AS jx, {R('max(sqrt(jx * jx + jy * jy) / rho)', 8)} AS fastest FROM m GROUP BY g")
 def lbm_step(spark, d):
-    """Collision, streaming, walls, inlet and outlet of one step of every lattice: total mass and the fastest node."""
+    """Collision, streaming, walls, inlet and outlet of one step of every lattice: total mass, momentum, the fastest node."""
     before = solvers.collide(lattices(spark, d), 0.8)
     s = solvers.bounce_back(solvers.stream(before, _NY, _NX, ["g"]), before, (F.col("y") == 0) | (F.col("y") == _NY - 1), ["g"])
-    s = solvers.outlet(solvers.inlet(s, F.lit(0.02)), _NX, ["g"])
+    s = solvers.outlet(solvers.inlet(s, F.lit(_SPEED)), _NX, ["g"])
     m = solvers.moments()
-    return s.agg(F.sum(m["rho"]).alias("mass"), F.max(F.sqrt(m["jx"] * m["jx"] + m["jy"] * m["jy"]) / m["rho"]).alias("fastest"))
-
-
-# The same on every event; the SQL of the queries above reads the first lattice alone.
-_MOMENTS_ALL = _MOMENTS.replace(_NODES, _LATTICES)
-
-
-@query("q_lbm_moments_all", f"SELECT g, y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS_ALL})")
-def lbm_moments_all(spark, d):
-    return lattices(spark, d).select("g", "y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
-
-
-@query("q_lbm_restore_all", f"SELECT g, y, x, {R('rho', 8)} AS rho, {R('jx', 8)} AS jx, {R('jy', 8)} AS jy FROM ({_MOMENTS_ALL})")
-def lbm_restore_all(spark, d):
-    true = lattices(spark, d).withColumns({f"{n}0": c for n, c in solvers.moments().items()})
-    back = solvers.restore_moments(solvers.truncate(true, 4e-3))
-    return back.select("g", "y", "x", *(rnd(c, 8).alias(n) for n, c in solvers.moments().items()))
-
-
-@query("q_lbm_stream_all", f"WITH n AS ({_LATTICES}) SELECT g, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, " + ", ".join(f"{R(f'max(f) FILTER (k = {k})', 10)} AS f{k}" for k in range(9)) + " FROM (" + " UNION ALL ".join(f"SELECT g, {k} AS k, (y + {cy} + {_NY}) % {_NY} AS y, (x + {cx} + {_NX}) % {_NX} AS x, f{k} AS f FROM n" for k, (cx, cy) in enumerate(zip(solvers.LATTICE_X, solvers.LATTICE_Y))) + ") GROUP BY g, y, x")
-def lbm_stream_all(spark, d):
-    return solvers.stream(lattices(spark, d), _NY, _NX, ["g"]).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 10).alias(f"f{k}") for k in range(9)))
-
-
-@query("q_lbm_collide_all", "SELECT g, y, x, " + ", ".join(f"{R(f'f{k} - 0.8 * (f{k} - {_feq(k)})', 9)} AS f{k}" for k in range(9)) + f" FROM ({_MOMENTS_ALL})")
-def lbm_collide_all(spark, d):
-    return solvers.collide(lattices(spark, d), 0.8).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 9).alias(f"f{k}") for k in range(9)))
+    sums = s.groupBy("g").agg(F.sum(m["rho"]).alias("mass"), F.sum(m["jx"]).alias("jx"), F.max(F.sqrt(m["jx"] * m["jx"] + m["jy"] * m["jy"]) / m["rho"]).alias("fastest"))
+    return sums.select("g", rnd(F.col("mass"), 7).alias("mass"), rnd(F.col("jx"), 7).alias("jx"), rnd(F.col("fastest"), 8).alias("fastest"))
 
 
 _RING = f"SELECT k, i, {D('u')} AS u, {D('v')} AS v FROM ({VECTOR_CUBE})"
@@ -417,16 +413,54 @@ def lbm_run(spark, d):
     return solvers.run_lattice(spark, ["baseline", "lossy", "lossy+correct"], steps=2000, ny=130, nx=260, diameter=16)
 
 
-@query("q_turbulence")
-def turbulence(spark, d):
-    f = generators.turbulence(spark, 64, 42)
-    return f.agg(F.count(F.lit(1)).alias("n"), *(inv.energy(F.col(c)).alias(f"energy_{c}") for c in "uvw"))
+def _grid_sql(n: int) -> str:
+    return f"SELECT i // {n * n} AS i0, i // {n} % {n} AS i1, i % {n} AS i2 FROM (SELECT unnest(range({n**3})) AS i)"
+
+
+def _turbulence_sql(n: int, seed: int) -> str:
+    """The flow as text, from the same draws."""
+    rng = np.random.default_rng(seed)
+    u, v, w = ["cos(a) * sin(b) * cos(c)"], ["-sin(a) * cos(b) * cos(c)"], ["0.0"]
+    for o in range(1, 5):
+        p = rng.uniform(0, 2 * math.pi, size=3).tolist()
+        for parts, first, second, k in ((u, "sin({o} * a + {p})", "cos({o} * b)", 0), (v, "cos({o} * b + {p})", "sin({o} * c)", 1), (w, "sin({o} * c + {p})", "cos({o} * a)", 2)):
+            parts.append(f"{0.3 / o!r} * {first.format(o=o, p=repr(p[k]))} * {second.format(o=o)}")
+    for _ in range(6):
+        at, height = rng.integers(0, n, size=3).tolist(), float(rng.uniform(1.5, 3.0))
+        burst = f"{height!r} * exp(-({' + '.join(f'(i{k} - {at[k]}) * (i{k} - {at[k]})' for k in range(3))}) / {2.0 * (n // 12) ** 2!r})"
+        u.append(burst)
+        v.append(f"{float(rng.uniform(-1, 1))!r} * {burst}")
+    angles = ", ".join(f"i{k} * (2 * pi() / {n}) AS {x}" for k, x in enumerate("abc"))
+    flow = ", ".join(f"CAST({' + '.join(parts)} AS FLOAT) AS {x}" for x, parts in zip("uvw", (u, v, w)))
+    return f"SELECT i0, i1, i2, {flow} FROM (SELECT *, {angles} FROM ({_grid_sql(n)}))"
 
 
-@query("q_low_modes")
+@query("q_turbulence", "SELECT count(*) AS n, " + ", ".join(R(f"sum({D(c)} * {D(c)})", 0) + f" AS energy_{c}" for c in "uvw") + f" FROM ({_turbulence_sql(64, 42)})")
+def turbulence(spark, d):
+    f = generators.turbulence(spark, 64, 42)
+    return f.agg(F.count(F.lit(1)).alias("n"), *(rnd(inv.energy(F.col(c)), 0).alias(f"energy_{c}") for c in "uvw"))
+
+
+def _low_modes_sql(n: int, seed: int = 0, modes: int = 6) -> str:
+    """Every wave at every point, from the same draws."""
+    rng = np.random.default_rng(seed)
+    f = rng.standard_normal((modes,) * 3) + 1j * rng.standard_normal((modes,) * 3)
+    waves = ", ".join(f"({a}, {b}, {c}, {float(f[a, b, c].real)!r}, {float(f[a, b, c].imag)!r})" for a in range(modes) for b in range(modes) for c in range(modes))
+    spread = math.sqrt((float((abs(f) ** 2).sum()) - abs(f[0, 0, 0]) ** 2) / 2)
+    bumps = []
+    for _ in range(6):
+        at, width, height = rng.uniform(-0.6, 0.6, 3).tolist(), float(rng.uniform(0.05, 0.15)), float(rng.uniform(1, 4))
+        square = " + ".join(f"power(i{k} * {2.0 / (n - 1)!r} - 1 - {at[k]!r}, 2)" for k in range(3))
+        bumps.append(f"{height!r} * exp(-({square}) / {2 * width**2!r})")
+    angle = f"2 * pi() / {n} * (i0 * ka + i1 * kb + i2 * kc)"
+    base = f"SELECT i0, i1, i2, sum(CAST(re AS DOUBLE) * cos({angle}) - CAST(im AS DOUBLE) * sin({angle})) / {spread!r} AS s FROM ({_grid_sql(n)}), (VALUES {waves}) w(ka, kb, kc, re, im) GROUP BY ALL"
+    return f"SELECT CAST(s + {' + '.join(bumps)} AS FLOAT) AS x FROM ({base})"
+
+
+@query("q_low_modes", f"SELECT count(*) AS n, {R(f'avg({D("x")})', 5)} AS mean, {R(f'stddev_pop({D("x")})', 5)} AS spread FROM ({_low_modes_sql(16)})")
 def low_modes(spark, d):
     f = generators.low_modes(spark, 16)
-    return f.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread"))
+    return f.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(f64(F.col("x"))), 5).alias("mean"), rnd(F.stddev_pop(f64(F.col("x"))), 5).alias("spread"))
 
 
 @query("q_signals")

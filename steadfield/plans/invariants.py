@@ -193,7 +193,10 @@ def cap_percentile(spark, d):
     return inv.kth_smallest(f.join(m, "field_id"), ["field_id"], F.abs(F.col("x") - F.col("mu")), 97.0).select("field_id", rnd(f64(F.col("kth")), 3).alias("kth"))
 
 
-def _capped_sql(energy_only: bool) -> str:
+_CAP = f"(CASE WHEN k = {correct.CAP_TRIES - 1} THEN CAST('infinity' AS DOUBLE) ELSE 20.0 * pow(2, k) END)"
+
+
+def _capped_sql(energy_only: bool, restored: bool = False) -> str:
     if energy_only:
         a_, b_, c_, dd = "g2", "2 * xg", "s2 - s0", "CAST(0.0 AS DOUBLE)"
         lin = "CAST(0.0 AS DOUBLE)"
@@ -202,20 +205,34 @@ def _capped_sql(energy_only: bool) -> str:
         a_, b_, c_ = "(g2 - g1 * g1 / n)", "2 * (xg - s1 * g1 / n)", f"(s2 + 2 * s1 * {dd} / n + {dd} * {dd} / n - s0)"
         lin = f"({dd} - b * g1) / n"
     return f"""WITH f AS ({FLOORED}), t AS (SELECT field_id, sum({D('x')}) AS m0, sum({D('x')} * {D('x')}) AS s0, avg({D('xh')}) AS mu0 FROM f GROUP BY field_id),
- e AS (SELECT field_id, k, mu0, m0, s0, {D('xh')} AS v, greatest(-(20.0 * pow(2, k)), least(20.0 * pow(2, k), {D('xh')} - mu0)) AS g FROM f JOIN t USING (field_id), (SELECT unnest(range(6)) AS k)),
+ e AS (SELECT field_id, k, mu0, m0, s0, {D('xh')} AS v, greatest(-{_CAP}, least({_CAP}, {D('xh')} - mu0)) AS g FROM f JOIN t USING (field_id), (SELECT unnest(range({correct.CAP_TRIES})) AS k)),
  s AS (SELECT field_id, k, count(*) AS n, any_value(m0) AS m0, any_value(s0) AS s0, sum(v) AS s1, sum(v * v) AS s2, sum(g) AS g1, sum(g * g) AS g2, sum(v * g) AS xg FROM e GROUP BY field_id, k),
  q AS (SELECT *, {a_} AS qa, {b_} AS qb, {c_} AS qc FROM s), z AS (SELECT *, qb * qb - 4 * qa * qc AS disc FROM q), ok AS (SELECT *, (-qb + sqrt(disc)) / (2 * qa) AS r1, (-qb - sqrt(disc)) / (2 * qa) AS r2 FROM z WHERE qa > 0 AND disc >= 0),
- w AS (SELECT *, CASE WHEN abs(r1) < abs(r2) THEN r1 ELSE r2 END AS b FROM ok), l AS (SELECT field_id, k, {lin} AS a, b FROM w)
- SELECT field_id, CAST(min(k) AS INTEGER) AS k, {R('arg_min(a, k)', 6)} AS a, {R('arg_min(b, k)', 6)} AS b FROM l GROUP BY field_id"""
+ w AS (SELECT *, CASE WHEN abs(r1) < abs(r2) THEN r1 ELSE r2 END AS b FROM ok), l AS (SELECT field_id, k, {lin} AS a, b FROM w), best AS (SELECT field_id, min(k) AS k, arg_min(a, k) AS a, arg_min(b, k) AS b FROM l GROUP BY field_id)""" + (
+        f"""SELECT field_id, {R('sum(xc)', 1)} AS mass, {R('sum(xc * xc)', -1)} AS energy, {R('max(abs(xc - v))', 4)} AS moved
+ FROM (SELECT field_id, v, {D("CAST(v + a + b * g AS FLOAT)")} AS xc FROM e JOIN best USING (field_id, k)) GROUP BY field_id"""
+        if restored
+        else f"SELECT field_id, CAST(k AS INTEGER) AS k, {R('a', 6)} AS a, {R('b', 6)} AS b FROM best"
+    )
+
+
+def _targets(f):
+    return f.groupBy("field_id").agg(inv.mass(F.col("x")).alias("m0"), inv.energy(F.col("x")).alias("s0"), F.avg(f64(F.col("xh"))).alias("mu0"), F.lit(20.0).alias("cap0"))
 
 
 def _capped(spark, d, energy_only):
     f = floored(spark, d)
-    targets = f.groupBy("field_id").agg(inv.mass(F.col("x")).alias("m0"), inv.energy(F.col("x")).alias("s0"), F.avg(f64(F.col("xh"))).alias("mu0"), F.lit(20.0).alias("cap0"))
-    found = correct.cap_search(f, targets, energy_only=energy_only, tries=7).filter("k < 6")
+    found = correct.cap_search(f, _targets(f), energy_only=energy_only)
     return found.select("field_id", F.col("k").cast("int").alias("k"), rnd(F.col("a"), 6).alias("a"), rnd(F.col("b"), 6).alias("b"))
 
 
+def _capped_restored(spark, d, energy_only):
+    f = floored(spark, d)
+    xc, xh = f64(F.col("xc")), f64(F.col("xh"))
+    out = correct.capped_restore(f, _targets(f), energy_only=energy_only).groupBy("field_id")
+    return out.agg(rnd(F.sum(xc), 1).alias("mass"), rnd(F.sum(xc * xc), -1).alias("energy"), rnd(F.max(F.abs(xc - xh)), 4).alias("moved"))
+
+
 @query("q_capped_me", _capped_sql(False))
 def capped_me(spark, d):
     return _capped(spark, d, False)
@@ -226,6 +243,16 @@ def capped_energy(spark, d):
     return _capped(spark, d, True)
 
 
+@query("q_capped_restore", _capped_sql(False, restored=True))
+def capped_restored(spark, d):
+    return _capped_restored(spark, d, False)
+
+
+@query("q_capped_restore_energy", _capped_sql(True, restored=True))
+def capped_restored_energy(spark, d):
+    return _capped_restored(spark, d, True)
+
+
 @query(
     "q_error_stats",
     f"""SELECT field_id, {R('max(e)', 6)} AS max_abs, {R('avg(e)', 6)} AS mean_abs, {R('sqrt(avg(e * e))', 6)} AS rmse, {R(f'max(e) / (max(abs({D("x")})) + 1e-12) * 100', 6)} AS max_rel_pct

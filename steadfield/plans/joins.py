@@ -10,7 +10,7 @@ from ..operators import invariants as inv
 from ..sources import generators
 from .base import EVENTS, D, R, events, query, rnd, table
 from .coding import _CANDIDATES
-from .grids import _LATTICES, _NODES, lattices, nodes
+from .grids import _LATTICES, lattices
 
 
 @query(
@@ -36,45 +36,21 @@ def weight_join(spark, d):
 
 
 _LATTICE = ", ".join(f"({k}, {x}, {y}, {o})" for k, (x, y, o) in enumerate(zip(solvers.LATTICE_X, solvers.LATTICE_Y, solvers.OPPOSITE)))
-_LONG = " UNION ALL ".join(f"SELECT y, x, {k} AS dir, f{k} AS f FROM ({_NODES})" for k in range(9))
+_LONG = " UNION ALL ".join(f"SELECT g, y, x, {k} AS dir, f{k} AS f FROM a" for k in range(9))
+_WITH = f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), a AS ({_LATTICES}), n AS ({_LONG})"
 
 
-@query(
-    "q_lattice_join",
-    f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), n AS ({_LONG}) SELECT y, x, {R('sum(f)', 8)} AS rho, {R('sum(f * cx)', 8)} AS jx, {R('sum(f * cy)', 8)} AS jy FROM n JOIN l USING (dir) GROUP BY y, x",
-)
+@query("q_lattice_join", f"{_WITH} SELECT g, y, x, {R('sum(f)', 8)} AS rho, {R('sum(f * cx)', 8)} AS jx, {R('sum(f * cy)', 8)} AS jy FROM n JOIN l USING (dir) GROUP BY g, y, x")
 def lattice_join(spark, d):
     """Moments from the long form: directions as rows, joined to the lattice table of nine rows."""
-    long = nodes(spark, d).select("y", "x", F.posexplode(F.array(*(f"f{k}" for k in range(9)))).alias("dir", "f"))
-    both = long.join(F.broadcast(solvers.lattice(spark)), "dir")
-    return both.groupBy("y", "x").agg(rnd(F.sum("f"), 8).alias("rho"), rnd(F.sum(F.col("f") * F.col("cx")), 8).alias("jx"), rnd(F.sum(F.col("f") * F.col("cy")), 8).alias("jy"))
-
-
-@query(
-    "q_opposite_join",
-    f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), n AS ({_LONG}) SELECT n.y, n.x, CAST(n.dir AS INTEGER) AS dir, {R('o.f', 10)} AS f FROM n JOIN l USING (dir) JOIN n o ON o.y = n.y AND o.x = n.x AND o.dir = l.opp WHERE n.y = 0",
-)
-def opposite_join(spark, d):
-    """At walls each direction takes the value of its opposite, by a self-join on the node and the direction."""
-    long = nodes(spark, d).filter("y = 0").select("y", "x", F.posexplode(F.array(*(f"f{k}" for k in range(9)))).alias("dir", "f"))
-    wanted = long.drop("f").join(F.broadcast(solvers.lattice(spark).select("dir", "opp")), "dir")
-    other = long.select("y", "x", F.col("dir").alias("opp"), "f")
-    return wanted.join(other, ["y", "x", "opp"]).select("y", "x", "dir", rnd(F.col("f"), 10).alias("f"))
-
-
-_LONG_ALL = " UNION ALL ".join(f"SELECT g, y, x, {k} AS dir, f{k} AS f FROM a" for k in range(9))
-_WITH_ALL = f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), a AS ({_LATTICES}), n AS ({_LONG_ALL})"
-
-
-@query("q_lattice_join_all", f"{_WITH_ALL} SELECT g, y, x, {R('sum(f)', 8)} AS rho, {R('sum(f * cx)', 8)} AS jx, {R('sum(f * cy)', 8)} AS jy FROM n JOIN l USING (dir) GROUP BY g, y, x")
-def lattice_join_all(spark, d):
     long = lattices(spark, d).select("g", "y", "x", F.posexplode(F.array(*(f"f{k}" for k in range(9)))).alias("dir", "f"))
     both = long.join(F.broadcast(solvers.lattice(spark)), "dir")
     return both.groupBy("g", "y", "x").agg(rnd(F.sum("f"), 8).alias("rho"), rnd(F.sum(F.col("f") * F.col("cx")), 8).alias("jx"), rnd(F.sum(F.col("f") * F.col("cy")), 8).alias("jy"))
 
 
-@query("q_opposite_join_all", f"{_WITH_ALL} SELECT n.g, n.y, n.x, CAST(n.dir AS INTEGER) AS dir, {R('o.f', 10)} AS f FROM n JOIN l USING (dir) JOIN n o ON o.g = n.g AND o.y = n.y AND o.x = n.x AND o.dir = l.opp WHERE n.y = 0")
-def opposite_join_all(spark, d):
+@query("q_opposite_join", f"{_WITH} SELECT n.g, n.y, n.x, CAST(n.dir AS INTEGER) AS dir, {R('o.f', 10)} AS f FROM n JOIN l USING (dir) JOIN n o ON o.g = n.g AND o.y = n.y AND o.x = n.x AND o.dir = l.opp WHERE n.y = 0")
+def opposite_join(spark, d):
+    """At walls each direction takes the value of its opposite, by a self-join on the node and the direction."""
     long = lattices(spark, d).filter("y = 0").select("g", "y", "x", F.posexplode(F.array(*(f"f{k}" for k in range(9)))).alias("dir", "f"))
     wanted = long.drop("f").join(F.broadcast(solvers.lattice(spark).select("dir", "opp")), "dir")
     other = long.select("g", "y", "x", F.col("dir").alias("opp"), "f")

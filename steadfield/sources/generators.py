@@ -66,7 +66,7 @@ def turbulence(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         at = [int(x) for x in rng.integers(0, n, size=3)]
         height = float(rng.uniform(1.5, 3.0))
         square = sum((F.col(f"i{k}") - at[k]) * (F.col(f"i{k}") - at[k]) for k in range(1, 3)) + (F.col("i0") - at[0]) * (F.col("i0") - at[0])
-        burst = F.exp(-square / (2.0 * (n // 12) ** 2)) * height
+        burst = F.exp(-square / (2.0 * max(1, n // 12) ** 2)) * height
         u, v = u + burst, v + burst * float(rng.uniform(-1, 1))
     return grid.select("i", "i0", "i1", "i2", u.cast("float").alias("u"), v.cast("float").alias("v"), w.cast("float").alias("w"))
 
