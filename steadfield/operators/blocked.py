@@ -138,12 +138,12 @@ def correct_energy(coded: DataFrame, keys: list[str], x: str = "x", correctable:
 
 def stream_bytes(coded: DataFrame, keys: list[str], size: int, dimensions: int = 3) -> DataFrame:
     """(*keys, bytes) of the container: a header, and for each block its record. 4 bytes of name, 1 + 8
-    for each dimension, 1 for the block size, 5 for width and factor, 8 for each count of blocks; 9 bytes for a raw or
+    for each dimension, 1 for the block size, 9 for width and factor, 8 for each count of blocks; 9 bytes for a raw or
     constant block, 10 for others; then the codes."""
     per = coded.groupBy(*keys, *BLOCK_AXES, "mode", "bits").agg(F.count(F.lit(1)).alias("n"))
     codes = F.when(F.col("mode") == DOWN2, tiers.packed_bytes(F.col("n") / 8, F.col("bits"))).otherwise(tiers.packed_bytes(F.col("n"), F.col("bits")))
     record = F.when(F.col("mode") == RAW32, 9 + 4 * F.col("n")).when(F.col("mode") == CONST, F.lit(9)).otherwise(10 + codes)
-    header = 4 + 1 + 8 * dimensions + 1 + 5 + 8 * 3
+    header = 4 + 1 + 8 * dimensions + 1 + 9 + 8 * 3
     return per.groupBy(*keys).agg((F.sum(record) + header).cast("long").alias("bytes"))
 
 

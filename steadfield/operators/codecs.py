@@ -18,6 +18,7 @@ from ..functions import words
 from ..functions.numeric import AbsQuantizer, PowerQuantizer, f32, floor_quantize, uniform_quantize
 from ..model import CHUNK_VALUES, SUBCHUNK_VALUES, Invariant
 from ..runtime import ship
+from ..sources import containers
 from . import chunks
 
 
@@ -198,6 +199,44 @@ def decode_chunks(encoded: DataFrame, bound: float, codec: str = "planes") -> Da
     return encoded.select("field_id", "chunk", "osize", "payload").mapInArrow(run, "field_id string, i long, xh float")
 
 
+def compress_scaled(field: DataFrame, bound: float, conserve: bool = True, codec: str = "planes") -> DataFrame:
+    """(field_id, alpha, container): each field through a byte codec, with the factor that restores its energy beside. The
+    components of a vector are fields of their own, each with its factor. A container is one value; the chunks of
+    ``encode_chunks`` are the form for larger fields."""
+    ship(field.sparkSession)
+    encode, decode = {"planes": (encode_planes, decode_planes), "widths": (encode_widths, decode_widths)}[codec]
+
+    def run(t: pa.Table) -> pa.Table:
+        x = t.sort_by("i").column("x").to_numpy()
+        parts = [x[a : a + CHUNK_VALUES] for a in range(0, len(x), CHUNK_VALUES)]
+        payloads = [encode(p, bound) for p in parts]
+        back = np.concatenate([decode(b, len(p), bound) for b, p in zip(payloads, parts)]).astype(np.float64)
+        energy = float(back @ back)
+        alpha = math.sqrt(float(x.astype(np.float64) @ x.astype(np.float64)) / energy) if conserve and energy >= 1e-30 else 1.0
+        body = containers.write_chunked([len(b) for b in payloads], payloads, 4 * len(x), bound, [])
+        return pa.table({"field_id": t.column("field_id")[:1], "alpha": [alpha], "container": [containers.write_scaled(alpha, body)]})
+
+    return field.select("field_id", "i", "x").groupBy("field_id").applyInArrow(run, "field_id string, alpha double, container binary")
+
+
+def decompress_scaled(packed: DataFrame, bound: float, codec: str = "planes") -> DataFrame:
+    """(field_id, i, xc) of (field_id, container); i counts from 0."""
+    ship(packed.sparkSession)
+    decode = {"planes": decode_planes, "widths": decode_widths}[codec]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                alpha, body = containers.read_scaled(r["container"])
+                original, _, payloads, _ = containers.read_chunked(body, True, 0)
+                for k, b in enumerate(payloads):
+                    x = decode(b, min(CHUNK_VALUES, original // 4 - k * CHUNK_VALUES), bound)
+                    i = k * CHUNK_VALUES + np.arange(len(x))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["field_id"]] * len(x), pa.string()), pa.array(i, pa.int64()), pa.array((alpha * x.astype(np.float64)).astype(np.float32))], names=["field_id", "i", "xc"])
+
+    return packed.select("field_id", "container").mapInArrow(run, "field_id string, i long, xc float")
+
+
 def entropy_sizes(field: DataFrame, zstd_level: int = 19, zlib_level: int = 9) -> DataFrame:
     """(field_id, raw_bytes, zstd_bytes, zlib_bytes, zstd_ratio, zlib_ratio) of a field's chunks."""
 

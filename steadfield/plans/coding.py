@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sums
 from ..functions.numeric import AbsQuantizer, PowerQuantizer, f32, f64, floor_quantize, uniform_quantize
 from ..operators import chunks, codecs, correct, sweeps
 from ..operators import invariants as inv
-from ..sources import readers
+from ..sources import readers, writers
 from .base import EVENTS, PRICED, D, R, events, priced, query, rnd, table
 
 BOUND = 0.5
@@ -300,6 +303,32 @@ def widths_roundtrip(spark, d):
     return _roundtrip(spark, d, "widths", BOUND)
 
 
+_QABS = f"SELECT field_id, i, x, CASE WHEN whole THEN x ELSE r END AS xh FROM (SELECT *, abs(b) >= 4194304 OR abs(x - r) > {_B} AS whole FROM (SELECT *, CAST(b AS FLOAT) * {_W} AS r FROM (SELECT *, round({D(f'x * {_INV}')}, 0) AS b FROM ({EVENTS}))))"
+
+
+@query(
+    "q_scaled_roundtrip",
+    f"""WITH q AS ({_QABS}), a AS (SELECT field_id, sqrt(sum({D('x')} * {D('x')}) / sum({D('xh')} * {D('xh')})) AS alpha FROM q GROUP BY field_id)
+ SELECT field_id, {R('any_value(alpha)', 7)} AS alpha, {R(f'max(abs({D(f"CAST(alpha * {D('xh')} AS FLOAT)")} - {D("x")}))', 5)} AS max_abs, {R(f'sum({D("x")} * {D("x")})', -1)} AS energy, count(*) AS n FROM q JOIN a USING (field_id) GROUP BY field_id""",
+)
+def scaled_roundtrip(spark, d):
+    """A byte codec with a stored factor, there and back: the energy is that of the original."""
+    ranked = events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("field_id").orderBy("i")).cast("long") - 1)
+    packed = codecs.compress_scaled(ranked, 0.3)
+    both = ranked.join(codecs.decompress_scaled(packed, 0.3), ["field_id", "i"])
+    x, xc = f64(F.col("x")), f64(F.col("xc"))
+    sums = both.groupBy("field_id").agg(rnd(F.max(F.abs(xc - x)), 5).alias("max_abs"), rnd(F.sum(xc * xc), -1).alias("energy"), F.count(F.lit(1)).alias("n"))
+    return sums.join(packed.select("field_id", rnd(F.col("alpha"), 7).alias("alpha")), "field_id")
+
+
+@query("q_raw_roundtrip", f"SELECT field_id, row_number() OVER (PARTITION BY field_id ORDER BY i) - 1 AS i, x FROM ({EVENTS})")
+def raw_roundtrip(spark, d):
+    """Fields as headerless files, and back."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    folder = f"{folder if '://' in folder else 'file://' + folder}/raw-{uuid.uuid4().hex[:12]}"
+    return writers.read_parts(correct.hold(writers.write_raw(events(spark, d), folder)))
+
+
 @query("q_entropy_ratio")
 def entropy_ratio(spark, d):
     return codecs.entropy_sizes(events(spark, d))

@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f64
-from ..model import DEFAULT_TIERS, line_out
+from ..model import CORRECTABLE_BITS, DEFAULT_TIERS, line_out
 from ..operators import blocked, rotation, solvers, stencil, tiers
 from ..operators import invariants as inv
-from ..sources import generators
+from ..sources import containers, generators
 from .base import CUBE, EVENTS, PLANE, VECTOR_CUBE, D, R, cube, events, plane, query, rnd, table, vector_cube
 
 _P, _C, _V = ["i0", "i1"], ["i0", "i1", "i2"], ["vec_id"]
@@ -208,16 +209,69 @@ def blocked_correct(spark, d):
 
 @query(
     "q_blocked_bytes",
-    f"""SELECT vec_id, CAST(sum(CASE WHEN bits >= 32 THEN 9 + 4 * n ELSE 10 + CAST(ceil(n * bits / 8) AS BIGINT) END) + {4 + 1 + 24 + 1 + 5 + 24} AS BIGINT) AS bytes FROM (SELECT *, {_BTIER} AS bits FROM ({_BSTAT})) GROUP BY vec_id""",
+    f"""SELECT vec_id, CAST(sum(CASE WHEN bits >= 32 THEN 9 + 4 * n ELSE 10 + CAST(ceil(n * bits / 8) AS BIGINT) END) + {4 + 1 + 24 + 1 + 9 + 24} AS BIGINT) AS bytes FROM (SELECT *, {_BTIER} AS bits FROM ({_BSTAT})) GROUP BY vec_id""",
 )
 def blocked_bytes(spark, d):
     return blocked.stream_bytes(blocked.quantize(blocks_cube(spark, d), _SIZE, _V), _V, _SIZE)
 
 
-@query("q_blocked_interpolated")
+def _sized(size: int) -> str:
+    """SQL of the coded rows with another block size, with the factor of each field and the restored values."""
+    q = _BQ.replace(f"// {_SIZE}", f"// {size}")
+    return f"""WITH q AS ({q}), e AS (SELECT vec_id, sum({D('x')} * {D('x')}) AS t, coalesce(sum({D('xh')} * {D('xh')}) FILTER (bits > 16), 0) AS f, coalesce(sum({D('xh')} * {D('xh')}) FILTER (bits <= 16), 0) AS l FROM q GROUP BY vec_id),
+ c AS (SELECT q.*, CASE WHEN bits <= 16 THEN CAST((CASE WHEN l >= 1e-30 AND t - f > 0 THEN sqrt((t - f) / l) ELSE 1.0 END) * {D('xh')} AS FLOAT) ELSE xh END AS xc FROM q JOIN e USING (vec_id))"""
+
+
+@query("q_blocked_stream", f"{_sized(2)} SELECT vec_id, i, {R(D('xc'), 5)} AS xc FROM c")
+def blocked_stream(spark, d):
+    """Fields from the bytes of blocked containers: written, parsed and put together again."""
+    coded = blocked.quantize(blocks_cube(spark, d), 2, _V)
+    packed = containers.blocked_containers(coded, _V, (4, 4, 4), 2, blocked.energy_factor(coded, _V), CORRECTABLE_BITS)
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                x = containers.restore_blocked(r["container"]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([r["vec_id"]] * len(x), pa.int64()), pa.array(range(len(x)), pa.int64()), pa.array(x)], names=["vec_id", "i", "xc"])
+
+    back = packed.select(F.col("vec_id").cast("long").alias("vec_id"), "container").mapInArrow(run, "vec_id long, i long, xc float")
+    return back.select("vec_id", "i", rnd(f64(F.col("xc")), 5).alias("xc"))
+
+
+def _compared(size: int) -> str:
+    record = "CASE WHEN any_value(bits) >= 32 THEN 9 + 4 * count(*) ELSE 10 + CAST(ceil(count(*) * any_value(bits) / 8) AS BIGINT) END"
+    header = f"(SELECT count(DISTINCT vec_id) FROM c) * {4 + 1 + 24 + 1 + 9 + 24}"
+    sums = f"SELECT max(abs({D('xc')} - {D('x')})) AS max_err, abs(sum({D('xc')} * {D('xc')}) - sum({D('x')} * {D('x')})) / sum({D('x')} * {D('x')}) AS drift, 4 * count(*) AS raw FROM c"
+    return f"({_sized(size)} SELECT 'blocked {size}' AS method, {R('raw / bytes', 4)} AS ratio, {R('max_err', 5)} AS max_err, drift < 1e-6 AS restored FROM ({sums}), (SELECT sum(n) + {header} AS bytes FROM (SELECT {record} AS n FROM c GROUP BY vec_id, b0, b1, b2)))"
+
+
+@query("q_compare_blocked", " UNION ALL ".join(map(_compared, (2, 3, 4))))
+def compare_blocked(spark, d):
+    """Ratio, greatest error and energy drift of the blocked codec by block size."""
+    out = None
+    for size in (2, 3, 4):
+        coded = blocked.quantize(blocks_cube(spark, d), size, _V)
+        bytes_ = blocked.stream_bytes(coded, _V, size).agg(F.sum("bytes").alias("bytes"))
+        x, xc = f64(F.col("x")), f64(F.col("xc"))
+        sums = blocked.correct_energy(coded, _V).agg(F.max(F.abs(xc - x)).alias("max_err"), inv.drift(F.sum(x * x), F.sum(xc * xc)).alias("drift"), (4 * F.count(F.lit(1))).alias("raw"))
+        one = sums.crossJoin(bytes_)  # one row and one row
+        one = one.select(F.lit(f"blocked {size}").alias("method"), rnd(F.col("raw") / F.col("bytes"), 4).alias("ratio"), rnd(F.col("max_err"), 5).alias("max_err"), (F.col("drift") < 1e-6).alias("restored"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Blocks of four: one for each cube, its coarse cube of two coded and interpolated again.
+_TRI = f"""WITH c AS (SELECT vec_id, i0 // 2 AS c0, i1 // 2 AS c1, i2 // 2 AS c2, avg({D('x')}) AS cx FROM ({CUBE}) GROUP BY ALL), s AS (SELECT vec_id, min(cx) AS lo, max(cx) AS hi FROM c GROUP BY vec_id),
+ l AS (SELECT c.*, CASE WHEN hi - lo < 1e-12 THEN CAST(lo AS FLOAT) ELSE CAST(lo + greatest(0, least(15, round_even((cx - lo) / (hi - lo) * 15, 0))) / 15 * (hi - lo) AS FLOAT) END AS v FROM c JOIN s USING (vec_id)),
+ w(r, c, w) AS (VALUES {', '.join(f'({a}, {b}, {c!r})' for a, b, c in blocked._line_weights(4))}),
+ u AS (SELECT vec_id, a.r AS i0, b.r AS i1, e.r AS i2, CAST(sum({D('v')} * CAST(a.w AS DOUBLE) * CAST(b.w AS DOUBLE) * CAST(e.w AS DOUBLE)) AS FLOAT) AS xh FROM l JOIN w a ON a.c = c0 JOIN w b ON b.c = c1 JOIN w e ON e.c = c2 GROUP BY ALL)
+ SELECT f.vec_id, 3 AS mode, {R(f'max(abs({D("f.x")} - {D("xh")}))', 5)} AS max_abs FROM ({CUBE}) f JOIN u ON u.vec_id = f.vec_id AND u.i0 = f.i0 AND u.i1 = f.i1 AND u.i2 = f.i2 GROUP BY f.vec_id"""
+
+
+@query("q_blocked_interpolated", _TRI)
 def blocked_interpolated(spark, d):
     c = blocked.quantize(blocks_cube(spark, d).withColumn("att", F.lit(0.0).cast("float")), 4, _V, down="tri")
-    return c.groupBy("vec_id").agg(F.max("mode").alias("mode"), F.max(F.abs(f64(F.col("x")) - f64(F.col("xh")))).alias("max_abs"))
+    return c.groupBy("vec_id").agg(F.max("mode").alias("mode"), rnd(F.max(F.abs(f64(F.col("x")) - f64(F.col("xh")))), 5).alias("max_abs"))
 
 
 @query("q_coarsen", f"SELECT vec_id, i0 // 2 AS i0, i1 // 2 AS i1, i2 // 2 AS i2, {R(f'avg({D("x")})', 6)} AS x FROM ({CUBE}) GROUP BY ALL")

@@ -108,21 +108,27 @@ def read_scaled(data: bytes) -> tuple[float, bytes]:
 
 
 def write_blocked(shape: tuple[int, ...], size: int, correctable: int, alpha: float, blocks: tuple[int, int, int], records: list[tuple[int, int, float, float, bytes]]) -> bytes:
-    """records: (mode, bits, lo, hi, codes) of each block in C order; modes 1 and 2 have no bits field."""
-    out = [BLOCKED, struct.pack(f"<B{len(shape)}QBBf3Q", len(shape), *shape, size, correctable, alpha, *blocks)]
+    """records: (mode, bits, lo, hi, codes) of each block in C order; modes 1 and 2 have no bits field. The factor is kept in
+    64 bits, so that decoding restores the energy as far as the values can hold it."""
+    out = [BLOCKED, struct.pack(f"<B{len(shape)}QBBd3Q", len(shape), *shape, size, correctable, alpha, *blocks)]
     for mode, bits, lo, hi, codes in records:
         out.append((struct.pack("<Bff", mode, lo, hi) if mode in (1, 2) else struct.pack("<BBff", mode, bits, lo, hi)) + codes)
     return b"".join(out)
 
 
-def read_blocked(data: bytes) -> tuple[tuple[int, ...], int, float, list[tuple[int, int, float, float, bytes]]]:
-    """(shape, block size, factor, records) of a container of whole blocks."""
+def _blocked_head(data: bytes) -> tuple[tuple[int, ...], int, int, float, list[int], int]:
+    """(shape, block size, correctable width, factor, counts of blocks, where the records begin)"""
     if data[:4] != BLOCKED:
         raise ValueError("not a blocked container")
     n = data[4]
-    shape = struct.unpack_from(f"<{n}Q", data, 5)
-    size, _, alpha, *blocks = struct.unpack_from("<BBf3Q", data, 5 + 8 * n)
-    at, records = 5 + 8 * n + struct.calcsize("<BBf3Q"), []
+    size, correctable, alpha, *blocks = struct.unpack_from("<BBd3Q", data, 5 + 8 * n)
+    return struct.unpack_from(f"<{n}Q", data, 5), size, correctable, alpha, blocks, 5 + 8 * n + struct.calcsize("<BBd3Q")
+
+
+def read_blocked(data: bytes) -> tuple[tuple[int, ...], int, float, list[tuple[int, int, float, float, bytes]]]:
+    """(shape, block size, factor, records) of a container of whole blocks."""
+    shape, size, _, alpha, blocks, at = _blocked_head(data)
+    records = []
     for _ in range(int(np.prod(blocks))):
         mode, bits = data[at], 0
         if mode in (1, 2):
@@ -138,6 +144,73 @@ def read_blocked(data: bytes) -> tuple[tuple[int, ...], int, float, list[tuple[i
     return tuple(shape), size, alpha, records
 
 
+def _interpolated(coarse: np.ndarray, size: int) -> np.ndarray:
+    """A coarse cube on the finer places between its ends, axis by axis."""
+    at = np.linspace(0, len(coarse) - 1, size)
+    lo = np.minimum(at.astype(int), len(coarse) - 1)
+    hi, part = np.minimum(lo + 1, len(coarse) - 1), at - lo
+    for axis in range(3):
+        weight = part.reshape([-1 if k == axis else 1 for k in range(3)])
+        coarse = np.take(coarse, lo, axis) * (1 - weight) + np.take(coarse, hi, axis) * weight
+    return coarse
+
+
+def restore_blocked(data: bytes) -> np.ndarray:
+    """The field of a blocked container, its padding cut off, with the factor on the blocks of correctable width."""
+    _, _, correctable, _, blocks, _ = _blocked_head(data)
+    shape, size, alpha, records = read_blocked(data)
+    out = np.zeros([size * n for n in blocks], dtype=np.float32)
+    for k, (mode, bits, lo, hi, codes) in enumerate(records):
+        if mode == 2:
+            cube = np.frombuffer(codes, "<f4").astype(np.float64).reshape((size,) * 3)
+        elif mode == 1:
+            cube = np.full((size,) * 3, lo)
+        else:
+            side = size // 2 if mode == 3 else size
+            level = words.unpack_fast(codes, bits, side**3).astype(np.float64) / ((1 << bits) - 1)
+            cube = (lo + level * (hi - lo) if hi - lo >= 1e-12 else np.full(side**3, lo)).reshape((side,) * 3)
+            cube = _interpolated(cube, size) if mode == 3 else cube
+        cube = cube.astype(np.float32)
+        if mode == 1 or mode != 2 and bits <= correctable:  # a mean stands for a block of the lowest width
+            cube = (alpha * cube.astype(np.float64)).astype(np.float32)
+        corner = [size * c for c in np.unravel_index(k, blocks)]
+        out[tuple(slice(c, c + size) for c in corner)] = cube
+    return out[tuple(slice(0, n) for n in shape)]
+
+
+def blocked_containers(coded: DataFrame, keys: list[str], shape: tuple[int, int, int], size: int, alpha: DataFrame, correctable: int) -> DataFrame:
+    """(*keys, container) of quantized whole blocks (keys, b0..b2, r0..r2, x, mode, bits, vmin, vmax, vmean), modes 0 to 2.
+    alpha: (*keys, alpha). A field's bytes are one value; the typed rows are the form for larger fields."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    ship(coded.sparkSession)
+    blocks = tuple(-(-n // size) for n in shape)
+    out = StructType([f for f in coded.schema.fields if f.name in keys] + [StructField("container", BinaryType())])
+    arrow = to_arrow_schema(out)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("b0", "b1", "b2", "r0", "r1", "r2")])
+        x = t.column("x").to_numpy().reshape(-1, size**3)
+        first = {c: t.column(c).to_numpy()[:: size**3] for c in ("mode", "bits", "vmin", "vmax", "vmean")}
+        records = []
+        for values, mode, bits, lo, hi, mean in zip(x, *(first[c].tolist() for c in ("mode", "bits", "vmin", "vmax", "vmean"))):
+            if mode == 2:
+                codes = values.astype("<f4").tobytes()
+            elif mode == 1:
+                codes, lo, hi = b"", mean, mean
+            else:
+                top = (1 << bits) - 1
+                level = np.rint((values.astype(np.float64) - lo) / (hi - lo) * top) if hi - lo >= 1e-12 else np.zeros(len(values))
+                codes = words.pack_fast(np.clip(level, 0, top).astype(np.uint32), bits)
+            records.append((mode, bits, lo, hi, codes))
+        container = write_blocked(shape, size, correctable, float(t.column("alpha")[0].as_py()), blocks, records)
+        return pa.table({**{k: t.column(k)[:1] for k in keys}, "container": [container]}).cast(arrow)
+
+    rows = coded.join(alpha.select(*keys, "alpha"), keys).select(*keys, "b0", "b1", "b2", "r0", "r1", "r2", "x", "mode", "bits", "vmin", "vmax", "vmean", "alpha")
+    return rows.groupBy(*keys).applyInArrow(run, out)
+
+
 def tiered_containers(coded: DataFrame, shape: tuple[int, ...], tiers: tuple[Tier, ...] = DEFAULT_TIERS) -> DataFrame:
     """(field_id, container) from coded rows (field_id, i, x, tier, code): one field's bytes are one value, so fields are
     bounded by what a container may hold; the typed rows are the form for larger ones."""
