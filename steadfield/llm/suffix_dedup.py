@@ -11,8 +11,8 @@ with a different string, which alone can share windows, a collection Burrows-Whe
 transform and its common-prefix array are built from the right: round j inserts the suffix of length j of every string,
 one symbol for each string, by extending the arrays of round j - 1. A suffix's place is its predecessor's rank among
 equal symbols; its common prefix with its neighbours is one more than the least common prefix between the places of the
-two occurrences. The arrays are read and written front to back each round; beyond ``IN_MEMORY`` symbols they are
-files of the task. In the finished order, windows that share SPAN bytes lie between two values below SPAN, and the
+two occurrences. The arrays are read and written front to back each round; beyond ``IN_MEMORY`` symbols they are files in
+the shared folder, so a task holds one part of them and a few numbers for each string. In the finished order, windows that share SPAN bytes lie between two values below SPAN, and the
 least doc_id among them is taken for each.
 
 Where data lie. Documents are packed into block files in the shared folder, written once and read by the later passes;
@@ -29,7 +29,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +46,10 @@ from .hashing import mix as _mix
 
 SPAN, GRAM = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
-#: Bytes that are hashed at a time, and symbols up to which a bucket's arrays stay in memory.
-PIECE, IN_MEMORY = 1 << 20, 64 << 20
+#: Bytes that are hashed at a time, symbols up to which a collection's arrays stay in memory, and symbols of a file.
+PIECE, IN_MEMORY, PART = 1 << 20, 8 << 20, 4 << 20
+#: Partitions at most; a partition then holds several buckets, one after another.
+PARTITIONS = 20_000
 #: Strings that are ordered together, about.
 COLLECTION = 6_000
 _END = 255  # never a byte of UTF-8
@@ -162,80 +164,154 @@ def _unpack40(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-class _Arrays:
-    """Room for the arrays of a round: memory, or a file of the task once they are large."""
+class Runs:
+    """The transform so far, in order, as pieces (preceding symbols, common prefixes, tags): one in memory, or, beyond
+    ``IN_MEMORY`` symbols, files of ``PART`` symbols or so in a folder that is given, read and written front to back."""
 
-    def __init__(self) -> None:
-        self.folder: tempfile.TemporaryDirectory | None = None
-        self.n = 0
+    def __init__(self, folder: str | None) -> None:
+        self.folder, self.pieces, self.counts = folder, [], []  # counts: of each symbol in each piece
 
-    def new(self, n: int, kind: type) -> np.ndarray:
-        if n <= IN_MEMORY:
-            return np.empty(n, dtype=kind)
-        self.folder = self.folder or tempfile.TemporaryDirectory()
-        self.n += 1
-        return np.memmap(f"{self.folder.name}/{self.n % 8}", dtype=kind, mode="w+", shape=(n,))
-
-    def close(self) -> None:
-        if self.folder:
-            self.folder.cleanup()
-
-
-def build(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The transform of strings laid end to end (of 127 symbols at most): for each place the preceding symbol, the
-    common prefix with the place before, the string number and the length of the suffix."""
-    m, room = len(lengths), _Arrays()
+    def add(self, bwt: np.ndarray, lcp: np.ndarray, tag: np.ndarray, count: np.ndarray, filed: bool) -> None:
+        if not filed:
+            self.pieces.append((bwt, lcp, tag))
+            self.counts.append(count)
+            return
+        fs, base = common.file_system(self.folder)
+        fs.create_dir(base, recursive=True)
+        for a in range(0, len(bwt), PART):
+            name, some = f"{base}/{uuid.uuid4().hex}", slice(a, a + PART)
+            with fs.open_output_stream(name) as f:
+                for x, kind in ((bwt, "u1"), (lcp, "u1"), (tag, "<i8")):
+                    f.write(np.ascontiguousarray(x[some].astype(kind)))
+            self.pieces.append((name, len(bwt[some])))
+            self.counts.append(np.bincount(bwt[some], minlength=256))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for piece in self.pieces:
+            if len(piece) == 3:
+                yield piece
+                continue
+            fs, _ = common.file_system(self.folder)
+            name, n = piece
+            with fs.open_input_stream(name) as f:
+                data = f.read()
+            yield np.frombuffer(data, "u1", n), np.frombuffer(data, "u1", n, n), np.frombuffer(data, "<i8", n, 2 * n)
+
+    def remove(self) -> None:
+        for piece in self.pieces:
+            if len(piece) == 2:
+                common.file_system(self.folder)[0].delete_file(piece[0])
+
+
+def build(symbols: np.ndarray, lengths: np.ndarray, folder: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The transform of strings laid end to end (of 127 symbols at most), in pieces that follow each other: for each place
+    the preceding symbol, the common prefix with the place before, the string number and the length of the suffix.
+
+    Round j inserts the suffix of length j of every string that has one. A first pass over the pieces ranks the symbol
+    that each string asks for and takes the least common prefix to the places of that symbol on either side; a second
+    one copies the pieces with the new suffixes put in. Both go front to back; between pieces, a few numbers for each of
+    256 symbols are carried. What is held beside a piece is a few numbers for each string."""
+    m = len(lengths)
     kind = np.int32 if m < 1 << 24 else np.int64
-    stop = np.cumsum(lengths)
-    bwt = np.full(m, _END, dtype=np.uint8)
-    has = lengths > 0
-    bwt[has] = symbols[stop[has] - 1]
-    lcp, tag = np.zeros(m, dtype=np.uint8), np.arange(m, dtype=kind) << 7  # string number and length of the suffix
-    place = np.arange(m)  # of each string's longest suffix so far
-    count = np.bincount(bwt, minlength=256)
+    stop, has = np.cumsum(lengths), lengths > 0
+    first = np.full(m, _END, dtype=np.uint8)
+    first[has] = symbols[stop[has] - 1]
+    runs = Runs(folder)
+    runs.add(first, np.zeros(m, dtype=np.uint8), np.arange(m, dtype=kind) << 7, np.bincount(first, minlength=256), folder is not None and m > IN_MEMORY)
+    active = place = np.arange(m)  # strings by the place of their longest suffix so far, and that place
     for j in range(1, int(lengths.max(initial=0)) + 1):
-        # a suffix with one more symbol: its rank is by that symbol, then by the place of the suffix before
-        order = np.argsort(bwt, kind="stable")
-        edge = np.concatenate(([0], np.cumsum(count)))
-        active = np.flatnonzero(lengths >= j)
-        asked = place[active]
-        symbol = bwt[asked]
-        by = np.argsort(symbol.astype(np.int64) << 48 | asked)
-        active, asked, symbol = active[by], asked[by], symbol[by]
-        cut = np.searchsorted(symbol, np.arange(257))
-        t = np.empty(len(active), dtype=np.int64)
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            t[cut[c] : cut[c + 1]] = edge[c] + np.searchsorted(order[edge[c] : edge[c + 1]], asked[cut[c] : cut[c + 1]])
-        # common prefixes of the new suffixes with those before and after them
-        low, high = edge[symbol], edge[symbol.astype(np.int64) + 1]
-        before = np.where(t > low, order[np.maximum(t - 1, 0)], -1)
-        after = np.where(t + 1 < high, order[np.minimum(t + 1, len(order) - 1)], -1)
-        own_lcp, next_lcp = _new_prefixes(lcp, before, asked, after)
-        # whole strings have no longer suffix; all others have one place behind the m ends of strings
-        total, q = m + len(bwt) - int(count[_END]), m + t
-        fresh = np.zeros(total, dtype=bool)
-        fresh[q] = True
-        old = ~fresh
-        new_bwt, new_lcp, new_tag = room.new(total, np.uint8), room.new(total, np.uint8), room.new(total, kind)
-        new_bwt[old], new_lcp[old], new_tag[old] = bwt, lcp, tag
+        goes_on = lengths[active] >= j
+        active, place = active[goes_on], place[goes_on]
+        rank, symbol, own, following, total = _asked(runs, place)
         left = stop[active] - j - 1
         added = np.where(lengths[active] > j, symbols[np.maximum(left, 0)], np.uint8(_END))
-        new_bwt[q], new_tag[q] = added, (active.astype(kind) << 7) + kind(j)
-        # the suffix after a new one has a new neighbour; where that one is new too, its own value is the same
-        follows = q + 1 < total
-        new_lcp[q[follows] + 1] = next_lcp[follows]
-        new_lcp[q] = own_lcp
-        place[active] = q
-        count += np.bincount(added, minlength=256)
-        bwt, lcp, tag = new_bwt, new_lcp, new_tag
-    if room.folder:
-        bwt, lcp, tag = np.array(bwt), np.array(lcp), np.array(tag)
-    room.close()
-    return bwt, lcp, (tag >> 7).astype(np.int64), (tag & 127).astype(np.uint8)
+        # a symbol's places come after those of smaller ones, all behind the m ends of strings
+        by = np.argsort(symbol, kind="stable")
+        active, place = active[by], m + rank[by]
+        after = _inserted(runs, place, added[by], own[by], following[by], (active.astype(kind) << 7) + kind(j), folder is not None and total > IN_MEMORY)
+        runs.remove()
+        runs = after
+    for bwt, lcp, tag in runs:
+        yield bwt, lcp, (tag >> 7).astype(np.int64), (tag & 127).astype(np.uint8)
+    runs.remove()
+
+
+def _asked(runs: Runs, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """For ascending places: the rank of each among all places by their symbols, its symbol, one more than the least common prefix
+    behind the place of the same symbol before it and up to it (0 if there is none), the same for the one after it, and
+    the number of places there will be."""
+    symbol = np.empty(len(asked), dtype=np.uint8)
+    rank, own, following = np.empty(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=np.uint8), np.zeros(len(asked), dtype=np.uint8)
+    count = np.zeros(256, dtype=np.int64)
+    carry = np.full(256, 255, dtype=np.uint8)  # the least common prefix since a symbol's last place
+    waiting = np.full(256, -1, dtype=np.int64)  # who asked at a symbol's last place, if anyone did
+    offset = 0
+    for (bwt, lcp, _), here in zip(runs, runs.counts):
+        n = len(bwt)
+        order = np.argsort(bwt, kind="stable")
+        edge = np.concatenate(([0], np.cumsum(here)))
+        a, z = np.searchsorted(asked, (offset, offset + n))
+        spot = asked[a:z] - offset
+        mine = bwt[spot]
+        by = np.argsort(mine, kind="stable")
+        at, cut = np.empty(z - a, dtype=np.int64), np.searchsorted(mine[by], np.arange(257))
+        for c in np.flatnonzero(np.diff(cut)).tolist():
+            some = by[cut[c] : cut[c + 1]]
+            at[some] = edge[c] + np.searchsorted(order[edge[c] : edge[c + 1]], spot[some])
+        symbol[a:z], rank[a:z] = mine, at - edge[mine] + count[mine]
+        # least prefixes from one place of a symbol to its next, by one pass over the places of asked symbols
+        low, high = edge[mine], edge[mine.astype(np.int64) + 1]
+        before = np.where(at > low, order[np.maximum(at - 1, 0)], -1)
+        after = np.where(at + 1 < high, order[np.minimum(at + 1, n - 1)], -1)
+        own[a:z], following[a:z] = _new_prefixes(lcp, before, spot, after)
+        if len(runs.pieces) > 1 and n:
+            # the first place of a symbol in this piece closes what was open before, its last one opens anew
+            there, least, ends = np.flatnonzero(here), np.minimum.accumulate(lcp), np.minimum.accumulate(lcp[::-1])[::-1]
+            index = np.full(n, -1, dtype=np.int64)
+            index[spot] = np.arange(a, z)
+            closes = there[count[there] > 0]
+            opening, last = order[edge[closes]], order[edge[there + 1] - 1]
+            value = np.minimum(carry[closes], least[opening]) + np.uint8(1)
+            for who, v in ((waiting[closes], following), (index[opening], own)):
+                v[who[who >= 0]] = value[who >= 0]
+            carry = np.minimum(carry, least[-1])
+            carry[there] = np.where(last + 1 < n, ends[np.minimum(last + 1, n - 1)], np.uint8(255))
+            waiting[there] = index[last]
+        count = count + here
+        offset += n
+    base = np.cumsum(count) - count
+    return rank + base[symbol], symbol, own, following, offset + len(asked)
+
+
+def _inserted(runs: Runs, q: np.ndarray, added: np.ndarray, own: np.ndarray, following: np.ndarray, tag: np.ndarray, filed: bool) -> Runs:
+    """The pieces with new entries at the ascending places q. The entry after a new one has a new neighbour; where that is
+    new as well, its own value is the same."""
+    out, offset = Runs(runs.folder), 0
+    before = q - np.arange(len(q))  # how many old entries stand before each new one
+    for k, (b, l, t) in enumerate(runs):
+        n, final = len(b), k == len(runs.pieces) - 1
+        a, z = np.searchsorted(before, offset), len(before) if final else int(np.searchsorted(before, offset + n))
+        at = before[a:z] - offset + np.arange(z - a)  # a piece that is not the last has an old entry behind each new one
+        fresh = np.zeros(n + len(at), dtype=bool)
+        fresh[at] = True
+        old, made = ~fresh, []
+        for was, new in ((b, added), (l, own), (t, tag)):
+            x = np.empty(len(fresh), dtype=was.dtype)
+            x[old] = was
+            if was is l:
+                follows = at + 1 < len(fresh)
+                x[at[follows] + 1] = following[a:z][follows]
+            x[at] = new[a:z]
+            made.append(x)
+        out.add(*made, runs.counts[k] + np.bincount(added[a:z], minlength=256), filed)
+        offset += n
+    return out
 
 
 def _new_prefixes(lcp: np.ndarray, before: np.ndarray, at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One more than the least of lcp[before + 1 .. at] and of lcp[at + 1 .. after]; 0 where before or after is -1."""
+    if not len(at):
+        return np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.uint8)
     low, high = np.where(before >= 0, before, at), np.where(after >= 0, after, at)
     by = np.argsort(low)
     edges = np.stack((low[by], at[by], high[by]), axis=1).ravel() + 1
@@ -246,7 +322,7 @@ def _new_prefixes(lcp: np.ndarray, before: np.ndarray, at: np.ndarray, after: np
     return own, following
 
 
-def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def least_ids(strings: list[bytes], ids: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For windows of distinct strings, the least of ids among all strings that hold the window: as runs (string,
     first window, last window, least id), in order of string and window. All windows of a string have its anchor, so a
     string that is the only one with its anchor has no window in common with another and is not ordered with them."""
@@ -263,7 +339,7 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nda
     while at < len(rest):  # strings of one anchor stay together; small collections stay in a processor's cache
         end = int(np.searchsorted(group[rest], group[rest[min(at + COLLECTION, len(rest)) - 1]], side="right"))
         some = rest[at:end]
-        found = _ordered_least([strings[k] for k in some.tolist()], ids[some])
+        found = _ordered_least([strings[k] for k in some.tolist()], ids[some], folder)
         parts.append((some[found[0]], *found[1:]))
         at = end
     s, first, last, value = (np.concatenate(x) for x in zip(*parts))
@@ -271,15 +347,24 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return s[order], first[order], last[order], value[order]
 
 
-def _ordered_least(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ordered_least(strings: list[bytes], ids: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     symbols = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    _, lcp, who, size = build(symbols, lengths)
-    start = np.flatnonzero(lcp < SPAN)
-    least = np.minimum.reduceat(ids[who], start)
-    least = np.repeat(least, np.diff(np.append(start, len(lcp))))
-    window = np.flatnonzero(size >= SPAN)
-    s, offset, value = who[window].astype(np.int64), lengths[who[window]] - size[window], least[window]
+    group, parts = -1, []  # places between two values below SPAN share their window
+    least = np.empty(0, dtype=np.int64)
+    for _, lcp, who, size in build(symbols, lengths, folder):
+        cut = lcp < SPAN
+        number = group + np.cumsum(cut)
+        start = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else np.empty(0, dtype=np.int64)
+        of = np.minimum.reduceat(ids[who], start) if len(start) else np.empty(0, dtype=np.int64)
+        if len(number) and not cut[0]:  # goes on from the piece before
+            least[-1], of = min(least[-1], of[0]), of[1:]
+        least = np.concatenate((least, of))
+        group = int(number[-1]) if len(number) else group
+        window = np.flatnonzero(size >= SPAN)
+        parts.append((who[window].astype(np.int64), lengths[who[window]] - size[window], number[window]))
+    s, offset, number = (np.concatenate(x) for x in zip(*parts))
+    value = least[number]
     order = np.lexsort((offset, s))
     s, offset, value = s[order], offset[order], value[order]
     cut = np.ones(len(s) + 1, dtype=bool)
@@ -380,7 +465,7 @@ def _strings(folder: str, buckets: int):
     return run
 
 
-def _answers(t: pa.Table) -> pa.Table:
+def _answers(t: pa.Table, folder: str) -> pa.Table:
     """A bucket's strings to runs of windows that an earlier document holds, for each block that asked."""
     known: dict[bytes, int] = {}
     least: list[int] = []
@@ -399,7 +484,7 @@ def _answers(t: pa.Table) -> pa.Table:
                 least[at] = d
             numbers[i] = at
         asked.append((row["block"], row["start"], numbers, ids[:, 1]))
-    string, first, last, value = least_ids(list(known), np.array(least, dtype=np.int64))
+    string, first, last, value = least_ids(list(known), np.array(least, dtype=np.int64), folder)
     runs = np.bincount(string, minlength=len(known))
     at = np.cumsum(runs) - runs
     out = {"block": [], "string": [], "first": [], "last": [], "least": []}
@@ -463,13 +548,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, folder = max(16, -(-int(total) // BUCKET_BYTES)), common.new_path(spark, "suffix-blocks")
     # the work of a group is in its texts, not in the rows that name them, so partitions are not merged by their bytes
-    parts = -(-buckets // 4)
+    parts, places = min(-(-buckets // 4), PARTITIONS), min(buckets, PARTITIONS)
+    files = f"{folder}-rounds"
     sent = rows.mapInArrow(_blocks(folder, buckets), "bucket long, block long, hashes binary, several binary")
     masks = common.materialize(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, mask binary"), "suffix-masks")
-    asked = masks.repartition(buckets, "block").groupBy("block").applyInArrow(_strings(folder, buckets), "bucket long, block long, start long, lengths binary, symbols binary, ids binary")
-    answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_answers, "block long, string binary, first binary, last binary, least binary")
+    asked = masks.repartition(places, "block").groupBy("block").applyInArrow(_strings(folder, buckets), "bucket long, block long, start long, lengths binary, symbols binary, ids binary")
+    answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _answers(t, files), "block long, string binary, first binary, last binary, least binary")
     answers = common.materialize(answers, "suffix-answers")
-    cut = masks.repartition(buckets, "block").groupBy("block").cogroup(answers.repartition(buckets, "block").groupBy("block")).applyInArrow(_cut(folder, buckets), "doc_id long, n_bytes long, spans array<long>, kept string")
+    cut = masks.repartition(places, "block").groupBy("block").cogroup(answers.repartition(places, "block").groupBy("block")).applyInArrow(_cut(folder, buckets), "doc_id long, n_bytes long, spans array<long>, kept string")
     return cut.withColumnRenamed("kept", "kept_sha256")
 
 

@@ -67,12 +67,17 @@ def test_lines_repeated_on_few_sites_go(spark, tmp_path):
     assert got == {r[0]: r[1:] for r in c.sql(line_dedup.SQL).fetchall()}
 
 
-def test_bwt_and_common_prefixes_match_sorted_suffixes():
+def test_bwt_and_common_prefixes_match_sorted_suffixes(tmp_path, monkeypatch):
     rng = random.Random(5)
-    for _ in range(40):
+    for _ in range(120):
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 9))]
         lengths = np.array([len(s) for s in strings], dtype=np.int64)
-        bwt, lcp, who, size = suffix_dedup.build(np.frombuffer(b"".join(strings), dtype=np.uint8), lengths)
+        filed = rng.random() < 0.5  # every round through files of 7 symbols
+        monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 3 if filed else 1 << 20)
+        monkeypatch.setattr(suffix_dedup, "PART", 7)
+        pieces = list(suffix_dedup.build(np.frombuffer(b"".join(strings), dtype=np.uint8), lengths, f"file://{tmp_path}/rounds" if filed else None))
+        bwt, lcp, who, size = (np.concatenate(x) for x in zip(*pieces))
+        assert not filed or len(pieces) > 1 or len(bwt) <= 7
         order = sorted(((i, j) for i in range(len(strings)) for j in range(len(strings[i]) + 1)), key=lambda t: ([(1, c) for c in strings[t[0]][len(strings[t[0]]) - t[1] :]] + [(0, t[0])]))
         assert order == list(zip(who.tolist(), size.tolist()))
         for k in range(1, len(order)):
@@ -110,13 +115,25 @@ def test_repeated_spans_match_brute_force(spark, tmp_path):
 
 def test_spans_of_many_blocks_and_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 500)
+    monkeypatch.setattr(suffix_dedup, "PART", 300)
     monkeypatch.setattr(suffix_dedup, "COLLECTION", 7)
     rng = random.Random(9)
-    strings = list({bytes(rng.choice(b"abc ") for _ in range(rng.randint(50, 84))) for _ in range(200)})
-    ids = np.arange(len(strings), dtype=np.int64)
-    got = suffix_dedup.least_ids(strings, ids)
+    passages = [bytes(rng.choice(b"abcdefgh ") for _ in range(90)) for _ in range(12)]
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(5, 30))) + rng.choice(passages)[rng.randint(0, 20) :] + rng.choice(passages) for _ in range(60)]
+    block = suffix_dedup.Block(np.arange(60), np.ones(60), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), dtype=np.uint8))
+    bucket, _, _, place = block.hashes(16)
+    held, *_ = block.strings(np.ones(len(bucket), dtype=bool), place, bucket)
+    strings = [block.b[block.first[r] : block.last[r] + suffix_dedup.SPAN].tobytes() for r in held]
+    ids = np.array(rng.sample(range(len(strings)), len(strings)), dtype=np.int64)
+    least = {}
+    for s, d in zip(strings, ids.tolist()):
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(least.get(s[i : i + 50], d), d)
+    got = suffix_dedup.least_ids(strings, ids, f"file://{tmp_path}/rounds")
+    assert (tmp_path / "rounds").is_dir() and not list((tmp_path / "rounds").iterdir())  # all went through files, and none is left
     monkeypatch.undo()
     assert all((a == b).all() for a, b in zip(got, suffix_dedup.least_ids(strings, ids)))
+    assert all(least[strings[s][i : i + 50]] == v for s, a, z, v in zip(*got) for i in range(a, z + 1)) and len(least) < sum(len(s) - 49 for s in strings)
 
 
 def morse(n, a="a", b="b"):
