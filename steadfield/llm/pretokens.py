@@ -20,15 +20,22 @@ from .hashing import distinct
 #: The code points of the Unicode property White_Space, as inclusive ranges.
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 _POINTS = [chr(c) for a, b in WHITE_SPACE for c in range(a, b + 1)]
-_CLASS, _OTHERS = "".join(_POINTS), "".join(c for c in _POINTS if c not in " \n")
-#: White space beside white space, or any but space and newline.
-_ODD = re.compile(f"[{_CLASS}][{_CLASS}]|[{_OTHERS}]")
+_CLASS, _OTHERS = "".join(_POINTS), [c for c in _POINTS if c not in " \n"]
 _RUNS = re.compile(f"([{_CLASS}]+)")
 #: Characters of text that are split, looked up and joined at a time, unless an encoder says otherwise.
 GROUP = 1_000_000
 _MARKS, BEYOND_LATIN = ".,;:!?", "\u0250"
 
 
+def _odd(text: str, data: bytes) -> bool:
+    """Whether white space stands beside white space, or is any but space and newline. data: text in UTF-8."""
+    if any(c in text for c in _OTHERS):
+        return True
+    b = np.frombuffer(data, dtype=np.uint8)
+    white = (b == 0x20) | (b == 0x0A)
+    return bool((white[1:] & white[:-1]).any())
+
+
 def units(text: str) -> list[str]:
     """The pieces of any text."""
     return _runs(text)
@@ -110,8 +117,9 @@ class CachedEncoder:
         return np.split(out, at[:-1])
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        odd = [bool(_ODD.search(t)) for t in texts]
-        plain = iter(self._plain([t.encode("utf-8", "surrogatepass") for t, o in zip(texts, odd) if not o]))
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        odd = [_odd(t, b) for t, b in zip(texts, data)]
+        plain = iter(self._plain([b for b, o in zip(data, odd) if not o]))
         for t, o in zip(texts, odd):
             yield np.frombuffer(b"".join(self._ids([u.encode("utf-8", "surrogatepass") for u in units(t)])), dtype=self.kind) if o else next(plain)
 

@@ -141,6 +141,7 @@ def encoder(path: str, end_id: int, width: int) -> Callable[[list[str]], Iterato
 
     tokenizer = Tokenizer.from_file(path)
     model, split, letters = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str, _byte_letters()
+    space = letters[0x20]
     code, end = {2: "H", 4: "I"}[width], np.array([end_id], dtype=f"<u{width}").tobytes()
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
@@ -148,7 +149,10 @@ def encoder(path: str, end_id: int, width: int) -> Callable[[list[str]], Iterato
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{width}").tobytes()
 
     def piece(p: str) -> bytes:
-        if (p[1:] if p[0] == " " else p).isalpha() and max(p) < _BEYOND_LATIN:  # one match of the split pattern
+        word = p[1:] if p[0] == " " else p
+        if word.isascii() and word.isalpha():  # one match of the split pattern, and letters stand for themselves
+            found = model(space + word if len(word) < len(p) else word)
+        elif word.isalpha() and max(p) < _BEYOND_LATIN:
             found = model(p.encode().decode("latin-1").translate(letters))
         else:
             found = [t for s, _ in split(p) for t in model(s)]
