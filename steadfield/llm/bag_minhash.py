@@ -152,10 +152,10 @@ def bands(names: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, doc_id, text) to (uid, doc_id, words, sig, bands); sig and bands null for texts without shingles."""
+    """(uid, place, doc_id, text) to (uid, place, doc_id, words, sig, bands); sig and bands null for texts without shingles."""
     for batch in batches:
         words_, sigs, bands_ = [], [], []
-        for text in (t for part in common.slices(batch, 2) for t in part.column(2).to_pylist()):
+        for text in (t for part in common.slices(batch, 3) for t in part.column(3).to_pylist()):
             words_.append(hashlib.sha256(b" ".join(words(text or ""))).digest())
             e, n = shingles(word_hashes(text or ""))
             if len(e):
@@ -166,8 +166,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(None)
                 bands_.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(words_, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands_, pa.list_(pa.int64()))],
-            names=["uid", "doc_id", "words", "sig", "bands"],
+            [*batch.columns[:3], pa.array(words_, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands_, pa.list_(pa.int64()))],
+            names=["uid", "place", "doc_id", "words", "sig", "bands"],
         )
 
 
@@ -269,17 +269,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return common.materialize(met, name)
 
 
-def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _links(docs: DataFrame, place: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed rows, first row of each class of equal words, verified links between those)."""
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.materialize(base.mapInArrow(common.lean(_signed), "uid long, doc_id long, words binary, sig binary, bands array<long>"), "minhash-signatures")
+    # the number of a row is written with its place, so both are the same whenever the table is read
+    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(place).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = common.materialize(base.mapInArrow(common.lean(_signed), "uid long, place struct<file: string, row: long>, doc_id long, words binary, sig binary, bands array<long>"), "minhash-signatures")
     firsts = common.materialize(signed.groupBy("words").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select("words", F.col("f.uid").alias("rep"), F.col("f.doc_id").alias("rep_doc")), "minhash-firsts")
     reps = signed.join(firsts.select(F.col("rep").alias("uid")).hint("merge"), "uid", "left_semi").filter("sig is not null")
     banded = reps.select("uid", F.explode("bands").alias("key"))
     buckets = common.materialize(banded.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash-buckets")
     sizes = buckets.select("key", "n")
     held = common.materialize(common.hot_join(banded, buckets.select("key", "leader"), "key", sizes, "uid").select("key", "uid", "leader"), "minhash-members")
-    texts = common.materialize(base.select("uid", "text").join(held.select("uid").distinct().hint("merge"), "uid", "left_semi"), "minhash-texts")
+    wanted = signed.select("uid", "place").join(held.select("uid").distinct().hint("merge"), "uid", "left_semi")
+    texts = common.materialize(base.select("place", "text").join(wanted.hint("merge"), "place").select("uid", "text"), "minhash-texts")
     sig = reps.select("uid", "sig")
     stars = common.materialize(held.filter("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), "minhash-stars")
     near = common.hot_join(stars, sig.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")), "a", common.materialize(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-leaders"), "b")
@@ -321,27 +323,31 @@ def _between(held: DataFrame, reps: DataFrame, texts: DataFrame, sizes: DataFram
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, copy_of, uid, class_uid), one row for each row of docs. class_id is the smallest
+    """(doc_id, class_id, class_size, copy_of, uid, class_uid, place), one row for each row of docs. class_id is the smallest
     doc_id of the class, copy_of that of the rows with equal words."""
+    return _classes(*common.placed(docs, "minhash-input"))
+
+
+def _classes(docs: DataFrame, place: str) -> DataFrame:
     ship(docs.sparkSession)
-    signed, firsts, links = _links(common.steady(docs, "minhash-input"))
+    signed, firsts, links = _links(docs, place)
     comp = components(links.select("u", "v"))
     classes = firsts.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     classes = common.materialize(classes, "minhash-classes")
-    rows = signed.select("uid", "doc_id", "words").join(classes.hint("merge"), "words")
+    rows = signed.select("uid", "place", "doc_id", "words").join(classes.hint("merge"), "words")
     names = rows.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("f"), F.count(F.lit(1)).alias("class_size"))
     names = common.materialize(names.select("component", F.col("f.doc_id").alias("class_id"), F.col("f.uid").alias("class_uid"), "class_size"), "minhash-names")
     return rows.join(names.hint("merge"), "component").select(
-        "doc_id", "class_id", "class_size", F.col("rep_doc").alias("copy_of"), "uid", "class_uid"
+        "doc_id", "class_id", "class_size", F.col("rep_doc").alias("copy_of"), "uid", "class_uid", "place"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The first row of each class, with all columns of docs."""
-    uid, docs = common.fresh(docs, "uid"), common.steady(docs, "minhash-input")
-    dropped = near_classes(docs).filter("uid <> class_uid").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped.hint("merge"), uid, "left_anti").drop(uid)
+    docs, place = common.placed(docs, "minhash-input")
+    dropped = _classes(docs, place).filter("uid <> class_uid").select(F.col("place").alias(place))
+    return docs.join(dropped.hint("merge"), place, "left_anti").drop(place)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(common.read_table(spark, sf_dir, "documents")).drop("uid", "class_uid")
+    return near_classes(common.read_table(spark, sf_dir, "documents")).drop("uid", "class_uid", "place")

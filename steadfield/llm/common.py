@@ -91,14 +91,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def steady(df: DataFrame, name: str) -> DataFrame:
-    """df itself where it only reads files, so that numbers of its rows by place are the same in every plan; else its
-    table in the shared folder."""
+def placed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with one more column, whose name is the other result: what tells its rows apart in every plan and after any
+    change of cores or executors, as it stands in the data: the file of a row and its number in that file. df is written
+    to the shared folder first unless it does no more than read Parquet files."""
     plan = df._jdf.queryExecution().optimizedPlan()
     fixed = plan.deterministic()
     while fixed and plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
         plan = plan.children().head()
-    return df if fixed and plan.children().isEmpty() and "Relation" in plan.nodeName() else materialize(df, name)
+    fixed = fixed and plan.children().isEmpty() and plan.nodeName().startswith("Relation") and plan.nodeName().endswith("parquet")
+    if not fixed:
+        df = materialize(df, name)
+    place = fresh(df, "place")
+    of = df.metadataColumn("_metadata")
+    return df.withColumn(place, F.struct(of["file_path"].alias("file"), of["row_index"].alias("row"))), place
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:

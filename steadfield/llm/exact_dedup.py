@@ -12,7 +12,8 @@ again. Joins are always sort-merge joins, so that the plan at a small size is th
 
 Defined results: null text counts as empty; all empty texts form one group; of rows that tie on ``doc_id`` and text,
 one stays; a null ``doc_id`` sorts after all others; an empty table gives an empty result; other columns are ignored.
-Rows are told apart by their place in the input, which is written to the shared folder first unless it is a scan.
+Rows are told apart by file and number in the file (``common.placed``), so that a change of cores between two readings
+of the input changes nothing.
 """
 
 from __future__ import annotations
@@ -53,9 +54,13 @@ def _split(rows: DataFrame, by: list[str], level: int) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, uid), one row for each row of ``docs``."""
-    docs = common.steady(docs, "radix-input")
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), common.folded().cast("binary").alias("b"))
+    """(doc_id, keep_id, group_size, kept, text_sha256, uid), one row for each row of ``docs``; uid is the row's place."""
+    docs, place = common.placed(docs, "radix-input")
+    return _groups(docs, place)
+
+
+def _groups(docs: DataFrame, place: str) -> DataFrame:
+    base = docs.select(F.col(place).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), common.folded().cast("binary").alias("b"))
     widths = _widths()
     start, width = next(widths)
     rows = common.materialize(
@@ -88,9 +93,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    uid, docs = common.fresh(docs, "uid"), common.steady(docs, "radix-input")
-    dropped = exact_groups(docs).filter("not kept").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped.hint("merge"), uid, "left_anti").drop(uid)
+    docs, place = common.placed(docs, "radix-input")
+    dropped = _groups(docs, place).filter("not kept").select(F.col("uid").alias(place))
+    return docs.join(dropped.hint("merge"), place, "left_anti").drop(place)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,17 +60,19 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, text: str = "text") -> DataFrame:
     """``docs`` with the boilerplate lines gone from ``text``, and n_lines, n_removed (which replace columns so named)."""
-    docs = common.steady(docs, "line-input")
-    uid, gone = common.fresh(docs, "uid"), common.fresh(docs, "gone")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    hashes = rows.select(F.col(uid).alias("uid"), F.col(site).cast("string").alias("site"), F.transform(_lines(text), _hash).alias("hs"))
-    once = common.materialize(hashes.select("uid", "site", F.posexplode("hs").alias("pos", "h")).filter("h is not null"), "line-hashes")
+    rows, place = common.placed(docs, "line-input")
+    gone = common.fresh(rows, "gone")
+    # the number of a row is written with its place, so both are the same whenever the table is read
+    hashes = rows.select(F.monotonically_increasing_id().alias("uid"), F.col(place).alias("place"), F.col(site).cast("string").alias("site"), F.transform(_lines(text), _hash).alias("hs"))
+    hashes = common.materialize(hashes, "line-hashes")
+    once = hashes.select("uid", "site", F.posexplode("hs").alias("pos", "h")).filter("h is not null")
     bad = common.materialize(boilerplate(once.select("h", "site"), min_sites), "line-boilerplate")
-    places = once.join(bad, "h").groupBy(F.col("uid").alias(uid)).agg(F.collect_set("pos").alias(gone))
+    places = once.select("uid", "pos", "h").join(bad, "h").groupBy("uid").agg(F.collect_set("pos").alias(gone))
+    places = places.join(hashes.select("uid", F.col("place").alias(place)), "uid").drop("uid")
     keep = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains(gone, p["i"]))
     out = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(keep, lambda p: p["x"]), "\n"))
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return rows.join(places, uid, "left").withColumns({"n_lines": count(_lines(text)), "n_removed": count(F.col(gone)), text: out}).drop(uid, gone)
+    return rows.join(places, place, "left").withColumns({"n_lines": count(_lines(text)), "n_removed": count(F.col(gone)), text: out}).drop(place, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

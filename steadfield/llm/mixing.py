@@ -19,7 +19,7 @@ meet their source in a join that deals the rows of hot sources to several tasks
 Defined results: null text has size 0; null is a source of its own, after all others; a source of size 0 has target 0
 and none of its documents is taken; an empty table gives an empty result; other columns of the input are kept. Repeated
 rows (of one source, doc_id and size) fly as one row that stands for what their whole number leaves, and the first of them
-in place take the copies; so the choice depends on the rows and ``seed`` alone, not on their order or place, but for which
+in that table take the copies; so the choice depends on the rows and ``seed`` alone, not on their order or place, but for which
 of repeated rows is taken.
 """
 
@@ -160,15 +160,20 @@ def mix(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, uid), one row for each row of docs; uid is its place in them."""
     ship(docs.sparkSession)
-    docs = common.steady(docs, "mix-input")
-    sized = common.materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
+    docs, place = common.placed(docs, "mix-input")
+    return _mix(docs, place, source, text, weights, share, limit, seed)
+
+
+def _mix(docs: DataFrame, place: str, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 8) -> DataFrame:
+    # numbers of rows are written with the places that they stand for, so both are the same whenever they are read
+    sized = common.materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(place).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = share_out(numbered(per), weights, share, limit).withColumnRenamed("no", "source_no")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(limit)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     # null as a name of its own, for joins by name
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")
     plan = common.materialize(plan.select("source_no", name, "source_size", "target", rate.alias("rate"), "n"), "mix-targets")
-    rows = common.hot_join(sized.select("uid", "doc_id", "size", name), plan.drop("n"), "name", plan.select("name", "n"), "uid")
+    rows = common.hot_join(sized.select("uid", "place", "doc_id", "size", name), plan.drop("n"), "name", plan.select("name", "n"), "uid")
     rows = common.materialize(rows.drop("name"), "mix-rows")
     groups = rows.groupBy(*_ROW).agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("m"), F.first("rate").alias("rate"))
     want = F.col("m") * F.col("rate")
@@ -199,16 +204,18 @@ def mix(
         copies = F.expr("total div m") + (F.col("nth") < F.expr("total % m")).cast("long")
         one = one.unionByName(some.select(F.col("s.uid").alias("uid"), copies.alias("copies")))
     taken = (F.col("size") * F.col("copies")).alias("taken")
-    return rows.join(one.hint("merge"), "uid").select("doc_id", "size", "source_size", "target", "copies", taken, "uid")
+    return rows.join(one.hint("merge"), "uid").select("doc_id", "size", "source_size", "target", "copies", taken, F.col("place").alias("uid"))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
-    docs = common.steady(docs, "mix-input")
-    uid, copies, copy = (common.fresh(docs, n) for n in ("uid", "copies", "copy"))
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("uid").alias(uid), F.col("copies").cast("int").alias(copies))
-    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(taken.hint("merge"), uid)
-    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(uid, copies, copy)
+    ship(docs.sparkSession)
+    docs, place = common.placed(docs, "mix-input")
+    copies = common.fresh(docs, "copies")
+    taken = _mix(docs, place, **options).filter("copies > 0").select(F.col("uid").alias(place), F.col("copies").cast("int").alias(copies))
+    rows = docs.join(taken.hint("merge"), place).drop(place)
+    copy = common.fresh(rows, "copy")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(copies, copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
