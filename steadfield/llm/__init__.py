@@ -4,7 +4,7 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. QUERIES and
 and its SQL, where SQL can express it.
 """
 
-from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, suffix_dedup, token_files
+from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, resampling, spelling, suffix_dedup, token_files
 
 QUERIES = {
     "op1_hnsw": hnsw.query,
@@ -17,9 +17,13 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op10_quality": quality.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op11_anagram_variants": spelling.query,
+    "op13_importance_resampling": resampling.query,
 }
 
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_anagram_variants": spelling.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }

@@ -31,6 +31,27 @@ SLICE_BYTES = 2 << 20
 
 _made: set[str] = set()
 
+#: For SQL without a crc32: of the strings x of a table crc_in, crc_out has (x, crc). crc_tail has what byte b contributes
+#: with k bytes after it, and crc_zero the sum of k zero bytes. Needs WITH RECURSIVE.
+CRC_SQL = """
+crc_most AS (SELECT coalesce(max(octet_length(encode(x))), 0) AS n FROM crc_in),
+crc_bits AS (
+  SELECT b, 0 AS i, b AS v FROM range(256) AS r(b)
+  UNION ALL SELECT b, i + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE i < 8
+), crc_byte AS MATERIALIZED (SELECT b, v FROM crc_bits WHERE i = 8),
+crc_tail AS (
+  SELECT 0 AS k, b, v FROM crc_byte
+  UNION ALL SELECT t.k + 1, t.b, xor(c.v, t.v >> 8) FROM crc_tail t JOIN crc_byte c ON c.b = t.v & 255 WHERE t.k < (SELECT n FROM crc_most)
+), crc_zero AS (
+  SELECT 0 AS k, 4294967295 AS v
+  UNION ALL SELECT z.k + 1, xor(c.v, z.v >> 8) FROM crc_zero z JOIN crc_byte c ON c.b = z.v & 255 WHERE z.k < (SELECT n FROM crc_most)
+), crc_hex AS (SELECT x, octet_length(encode(x)) AS n, hex(encode(x)) AS h FROM crc_in),
+crc_parts AS (SELECT x, n, h, unnest(range(n)) AS i FROM crc_hex),
+crc_out AS MATERIALIZED (
+  SELECT x, xor(xor(bit_xor(t.v), any_value(z.v)), 4294967295) AS crc
+  FROM crc_parts p JOIN crc_tail t ON t.k = p.n - 1 - p.i AND t.b = ('0x' || substr(h, 2 * i + 1, 2))::BIGINT JOIN crc_zero z ON z.k = p.n GROUP BY x
+)"""
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
