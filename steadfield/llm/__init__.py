@@ -4,7 +4,7 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. QUERIES and
 and its SQL, where SQL can express it.
 """
 
-from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, line_dedup, mixing, quality, resampling, spelling, suffix_dedup, token_files
+from . import bag_minhash, byte_bpe, exact_dedup, hnsw, html_wrappers, language, line_dedup, mixing, quality, resampling, spelling, suffix_dedup, token_files
 
 QUERIES = {
     "op1_hnsw": hnsw.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op9_exact_dedup": exact_dedup.query,
     "op11_anagram_variants": spelling.query,
+    "op12_output_codes": language.query,
     "op13_importance_resampling": resampling.query,
 }
 
