@@ -73,7 +73,7 @@ def gains(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> Da
     """(bucket, gain) of all buckets; documents and target: tables of ``hashed``."""
     every = documents.sparkSession.range(0, buckets, numPartitions=1).select(F.col("id").cast("int").alias("bucket"))
     met = every.join(_counts(documents, "s"), "bucket", "left").join(_counts(target, "t"), "bucket", "left").fillna(0, ["s", "t"])
-    met = common.materialize(met.coalesce(1), "resampling-counts")
+    met = common.materialize(met, "resampling-counts")
     total = met.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
     more = (F.col("t") + 1).cast("double") * F.lit(float(total.s + buckets))
     less = (F.col("s") + 1).cast("double") * F.lit(float(total.t + buckets))
