@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f32, f64, floor_quantize, uniform_quantize
-from ..operators import correct
+from ..operators import correct, ranks
 from ..operators import invariants as inv
 from .base import BALANCES, EVENTS, PRICED, VECTOR_CUBE, D, R, balances, events, priced, query, rnd, vector_cube
 
@@ -190,7 +190,7 @@ def maxdisp(spark, d):
 def cap_percentile(spark, d):
     f = events(spark, d)
     m = f.groupBy("field_id").agg(f32(F.avg(f64(F.col("x")))).alias("mu"))
-    return inv.kth_smallest(f.join(m, "field_id"), ["field_id"], F.abs(F.col("x") - F.col("mu")), 97.0).select("field_id", rnd(f64(F.col("kth")), 3).alias("kth"))
+    return ranks.kth_smallest(f.join(m, "field_id"), ["field_id"], F.abs(F.col("x") - F.col("mu")), 97.0).select("field_id", rnd(f64(F.col("kth")), 3).alias("kth"))
 
 
 _CAP = f"(CASE WHEN k = {correct.CAP_TRIES - 1} THEN CAST('infinity' AS DOUBLE) ELSE 20.0 * pow(2, k) END)"

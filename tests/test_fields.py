@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from steadfield import model
 from steadfield.functions.numeric import f32, floor_quantize
 from steadfield.functions.sums import compensated_sums
-from steadfield.operators import blocked, chunks, codecs, correct, rotation, solvers, stencil, sweeps, tiers
+from steadfield.operators import blocked, chunks, codecs, correct, ranks, rotation, solvers, stencil, sweeps, tiers
 from steadfield.operators import invariants as inv
 from steadfield.sources import containers, generators, readers
 from steadfield.streaming import windows
@@ -105,7 +105,7 @@ def test_kth_smallest(spark, n):
     x = np.round(rng.standard_normal(n) * 10, 1).astype(np.float32)
     f = field(spark, x, x)
     for q in (0.0, 50.0, 97.0, 100.0):
-        assert inv.kth_smallest(f, ["field_id"], F.col("x"), q).first().kth == np.sort(x)[int(q / 100 * (n - 1))]
+        assert ranks.kth_smallest(f, ["field_id"], F.col("x"), q).first().kth == np.sort(x)[int(q / 100 * (n - 1))]
 
 
 def test_reports(spark):
