@@ -88,7 +88,7 @@ _ATT = f"""SELECT vec_id, i, i0, i1, x, CASE WHEN hi - lo < 1e-12 THEN CAST(0 AS
 
 
 def attention_plane(spark, d):
-    return stencil.attention(plane(spark, d), ["x"], _P, _V)
+    return stencil.attention(plane(spark, d), ["x"], _P, _V, shape=(8, 8))
 
 
 @query("q_attention", f"SELECT vec_id, i, {R(D('att'), 5)} AS att FROM ({_ATT})")
