@@ -30,6 +30,12 @@ def is_one_tile(shape: tuple[int, ...] | None) -> bool:
 
 
 def tile_names(axes: list[str]) -> list[str]:
+    """Columns that name a tile within its field; the last, a hash of field and tile, is the one by which rows are dealt,
+    so that windows by these names and more need no other shuffle, even where the keys are constants."""
+    return [*_places(axes), "_tile"]
+
+
+def _places(axes: list[str]) -> list[str]:
     return [f"_tile_{a}" for a in axes]
 
 
@@ -37,20 +43,20 @@ def tiled(field: DataFrame, axes: list[str], keys: list[str], rim: int, size: in
     """field with the tile's coordinates (``tile_names``), each row as often as it has tiles, dealt by tile."""
     size = size or side(axes)
     out = field
-    for k, (axis, name) in enumerate(zip(axes, tile_names(axes))):
+    for k, (axis, name) in enumerate(zip(axes, _places(axes))):
         at = lambda i: F.floor(i / size).cast("long")
         first, last = F.greatest(at(F.col(axis) - rim), F.lit(0).cast("long")), at(F.col(axis) + rim)
         if shape:
             last = F.least(last, F.lit((shape[k] - 1) // size).cast("long"))
         out = out.withColumn(name, F.explode(F.sequence(first, last)))
-    return out.repartition(*keys, *tile_names(axes))
+    return out.withColumn("_tile", F.xxhash64(*keys, *_places(axes))).repartition("_tile")
 
 
 def own(rows: DataFrame, axes: list[str], size: int | None = None) -> DataFrame:
     """The rows that stand in their own tile, without the tile's coordinates."""
     size = size or side(axes)
     here = None
-    for axis, name in zip(axes, tile_names(axes)):
+    for axis, name in zip(axes, _places(axes)):
         one = F.col(name) == F.floor(F.col(axis) / size).cast("long")
         here = one if here is None else here & one
     return rows.filter(here).drop(*tile_names(axes))
