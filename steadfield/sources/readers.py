@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from . import ranged
 
 #: The columns of a result sheet.
 SHEET = (
     "input string, error_bound double, mode int, compression_ratio double, preprocessing_GBps double, compression_GBps double, encoding_GBps double, "
     "decompression_GBps double, postprocessing_GBps double, decoding_GBps double, abs_eb double, used_eb double, eb_violations bigint, mass_i double, energy_i double"
 )
-PIECE = 1 << 20
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -26,37 +20,19 @@ def find_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return found.select("path", "length").orderBy("path")
 
 
-def _values(spark: SparkSession, path: str, decode, pattern: str | None) -> DataFrame:
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        files = files.option("pathGlobFilter", pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = decode(content)
-                for at in range(0, len(x), PIECE):
-                    piece = x[at : at + PIECE]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(piece)), pa.array(np.arange(at, at + len(piece))), pa.array(piece, pa.float32())], names=["field_id", "i", "x"])
-
-    return files.load(path).select("path", "content").mapInArrow(run, "field_id string, i long, x float")
-
-
 def read_raw(spark: SparkSession, path: str, bits: int = 32, pattern: str | None = None) -> DataFrame:
-    """Fields (field_id, i, x) from files of little-endian floats. A file whose size does not fit raises."""
+    """Fields (field_id, i, x) from files of little-endian floats, read by ranges of bytes (``ranged``); x has 32 bits. A
+    file whose size does not fit raises."""
+    return _narrow(ranged.scan(spark, path, "raw", f"<f{bits // 8}", pattern))
 
-    def decode(b: bytes) -> np.ndarray:
-        if len(b) % (bits // 8):
-            raise ValueError(f"{len(b)} bytes are not a whole number of {bits}-bit values")
-        return np.frombuffer(b, dtype=f"<f{bits // 8}").astype(np.float32)
 
-    return _values(spark, path, decode, pattern)
+def read_npy(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Fields from .npy files of floats, flattened in C order, read by ranges of bytes; x has 32 bits."""
+    return _narrow(ranged.scan(spark, path, "npy", pattern=pattern))
 
 
-def read_npy(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Fields from .npy files, flattened in C order."""
-    return _values(spark, path, lambda b: np.load(io.BytesIO(b), allow_pickle=False).astype(np.float32).ravel(), pattern)
+def _narrow(field: DataFrame) -> DataFrame:
+    return field.withColumn("x", F.col("x").cast("float"))
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
