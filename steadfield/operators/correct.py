@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, f32, f64
 from ..model import Invariant
+from ..shared import keep
 from . import invariants as inv
 
 #: Fixed value: how often a cap is doubled, the last time to infinity.
@@ -138,12 +139,12 @@ def capped_map(xh: Column, a: Column, b: Column, mu0: Column, cap: Column) -> Co
 
 def hold(rows: DataFrame) -> DataFrame:
     """One row for each field or setting, held so that later rounds don't run the earlier ones again: by the driver up to
-    a checked number, else in the shared folder, and computed anew where there is none."""
+    a checked number, else as a table in the shared folder."""
     spark = rows.sparkSession
     some = rows.limit(BROADCAST_ROWS + 1).collect()
     if len(some) <= BROADCAST_ROWS:
         return spark.createDataFrame(some, rows.schema)
-    return rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows
+    return keep(rows, "held")
 
 
 def cap_search(field: DataFrame, targets: DataFrame, xh: str = "xh", energy_only: bool = False, keys: list[str] | None = None, tries: int = CAP_TRIES, at_once: int = 8) -> DataFrame:

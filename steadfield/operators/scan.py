@@ -18,12 +18,13 @@ def prefix(rows: DataFrame, keys: list[str], order: str, size: Column, out: str
     if levels < 2:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
-    cut = rows.withColumn("_block", F.floor(F.col(order) / block).cast("long"))
-    sums = cut.groupBy(*keys, "_block").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_sum"))
-    starts = prefix(sums, keys, "_block", F.col("_sum"), "_start", block, levels - 1).drop("_sum")
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    met = cut.join(starts.hint("merge"), [*keys, "_block"])
-    return met.withColumn(out, (F.col("_start") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long")).drop("_block", "_start")
+    at, total, start = f"_block{levels}", f"_sum{levels}", f"_start{levels}"
+    cut = rows.withColumn(at, F.floor(F.col(order) / block).cast("long"))
+    sums = cut.groupBy(*keys, at).agg(F.coalesce(F.sum(size), F.lit(0)).alias(total))
+    starts = prefix(sums, keys, at, F.col(total), start, block, levels - 1).drop(total)
+    inside = Window.partitionBy(*keys, at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = cut.join(starts.hint("merge"), [*keys, at])
+    return met.withColumn(out, (F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long")).drop(at, start)
 
 
 def rank(rows: DataFrame, keys: list[str], order: str, out: str = "rank", block: int = BLOCK, levels: int = 2) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sums
 from ..functions.numeric import AbsQuantizer, PowerQuantizer, f32, f64, floor_quantize, uniform_quantize
-from ..operators import chunks, codecs, correct, sweeps
+from ..operators import chunks, codecs, correct, scan, sweeps
 from ..operators import invariants as inv
-from ..sources import readers, writers
+from ..shared import new_path
+from ..sources import chunked, ranged, readers, writers
 from .base import EVENTS, PRICED, D, R, events, priced, query, rnd, table
 
 BOUND = 0.5
@@ -312,21 +310,55 @@ _QABS = f"SELECT field_id, i, x, CASE WHEN whole THEN x ELSE r END AS xh FROM (S
  SELECT field_id, {R('any_value(alpha)', 7)} AS alpha, {R(f'max(abs({D(f"CAST(alpha * {D('xh')} AS FLOAT)")} - {D("x")}))', 5)} AS max_abs, {R(f'sum({D("x")} * {D("x")})', -1)} AS energy, count(*) AS n FROM q JOIN a USING (field_id) GROUP BY field_id""",
 )
 def scaled_roundtrip(spark, d):
-    """A byte codec with a stored factor, there and back: the energy is that of the original."""
-    ranked = events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("field_id").orderBy("i")).cast("long") - 1)
-    packed = codecs.compress_scaled(ranked, 0.3)
-    both = ranked.join(codecs.decompress_scaled(packed, 0.3), ["field_id", "i"])
+    """A byte codec with a stored factor, into files and back: the energy is that of the original."""
+    ranked = scan.rank(events(spark, d), ["field_id"], "i", "at").select("field_id", F.col("at").alias("i"), "x")
+    files = chunked.compress_scaled(ranked, 0.3, new_path(spark, "scaled"))
+    both = ranked.join(chunked.decompress_scaled(files, 0.3), ["field_id", "i"])
     x, xc = f64(F.col("x")), f64(F.col("xc"))
     sums = both.groupBy("field_id").agg(rnd(F.max(F.abs(xc - x)), 5).alias("max_abs"), rnd(F.sum(xc * xc), -1).alias("energy"), F.count(F.lit(1)).alias("n"))
-    return sums.join(packed.select("field_id", rnd(F.col("alpha"), 7).alias("alpha")), "field_id")
+    factors = chunked.read_chunked(files, True, True).groupBy("field_id").agg(rnd(F.first("alpha"), 7).alias("alpha"))
+    return sums.join(factors, "field_id")
+
+
+@query("q_field_ranks", f"SELECT field_id, i, row_number() OVER (PARTITION BY field_id ORDER BY i) - 1 AS rank, CAST(coalesce(sum(CAST(floor(x) AS BIGINT)) OVER (PARTITION BY field_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM ({EVENTS})")
+def field_ranks(spark, d):
+    """Ranks and running sums of whole fields by scans over blocks of 512."""
+    ranked = scan.rank(events(spark, d), ["field_id"], "i", block=512)
+    return scan.prefix(ranked, ["field_id"], "i", F.floor("x").cast("long"), "before", block=512, levels=3).select("field_id", "i", "rank", "before")
+
+
+@query(
+    "q_chunked_file",
+    f"""SELECT s.original, s.bytes, s.chunks, count(*) AS n, {R(f'max(abs({D(f"CASE WHEN abs(x) >= {_P.limit} THEN x ELSE CAST(sign({D('x')}) * {_PN} * {2 * _P.power} AS FLOAT) END")} - {D('x')}))', 6)} AS max_abs
+ FROM ({EVENTS}), (SELECT CAST(sum(osize) AS BIGINT) AS original, CAST(16 + sum(csize + 2) + 16 AS BIGINT) AS bytes, count(*) AS chunks FROM ({_SIZED})) s GROUP BY ALL""",
+)
+def chunked_file(spark, d):
+    """All events as one file of chunks with two kept sums, written and read by many tasks."""
+    f = whole(spark, d)
+    encoded = codecs.encode_chunks(f, BOUND, "widths")
+    kept = f.groupBy("field_id").agg(F.array(inv.mass(F.col("x")), inv.energy(F.col("x"))).alias("targets"))
+    files = chunked.write_chunked(encoded, new_path(spark, "chunked"), BOUND, kept)
+    rows = chunked.read_chunked(files)
+    back = codecs.decode_chunks(rows, BOUND, "widths").select("i", "xh")
+    worst = f.join(back, "i").agg(F.count(F.lit(1)).alias("n"), rnd(F.max(F.abs(f64(F.col("x")) - f64(F.col("xh")))), 6).alias("max_abs"))
+    sizes = rows.agg(F.sum("osize").alias("original"), F.count(F.lit(1)).alias("chunks"))
+    return sizes.crossJoin(files.agg(F.sum("bytes").alias("bytes"))).crossJoin(worst)  # one row each
+
+
+@query("q_ranged_scan", f"SELECT field_id, row_number() OVER (PARTITION BY field_id ORDER BY i) - 1 AS i, x FROM ({EVENTS}) WHERE x >= 5")
+def ranged_scan(spark, d):
+    """Headerless files, read by ranges of 4,000 bytes. A part of a field is a file; its name and place lead back."""
+    folder = new_path(spark, "ranged")
+    parts = correct.hold(writers.write_raw(events(spark, d).filter("x >= 5"), folder))
+    placed = scan.prefix(parts, ["field_id"], "first", F.col("n"), "at", levels=1).select("field_id", F.col("path").alias("part"), "at")
+    found = ranged.scan(spark, folder, range_bytes=4_000).withColumnRenamed("field_id", "part")
+    return found.join(placed, "part").select("field_id", (F.col("at") + F.col("i")).alias("i"), "x")
 
 
 @query("q_raw_roundtrip", f"SELECT field_id, row_number() OVER (PARTITION BY field_id ORDER BY i) - 1 AS i, x FROM ({EVENTS})")
 def raw_roundtrip(spark, d):
     """Fields as headerless files, and back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    folder = f"{folder if '://' in folder else 'file://' + folder}/raw-{uuid.uuid4().hex[:12]}"
-    return writers.read_parts(correct.hold(writers.write_raw(events(spark, d), folder)))
+    return writers.read_parts(correct.hold(writers.write_raw(events(spark, d), new_path(spark, "raw"))))
 
 
 @query("q_entropy_ratio")

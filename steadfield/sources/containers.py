@@ -110,10 +110,27 @@ def read_scaled(data: bytes) -> tuple[float, bytes]:
 def write_blocked(shape: tuple[int, ...], size: int, correctable: int, alpha: float, blocks: tuple[int, int, int], records: list[tuple[int, int, float, float, bytes]]) -> bytes:
     """records: (mode, bits, lo, hi, codes) of each block in C order; modes 1 and 2 have no bits field. The factor is kept in
     64 bits, so that decoding restores the energy as far as the values can hold it."""
-    out = [BLOCKED, struct.pack(f"<B{len(shape)}QBBd3Q", len(shape), *shape, size, correctable, alpha, *blocks)]
-    for mode, bits, lo, hi, codes in records:
-        out.append((struct.pack("<Bff", mode, lo, hi) if mode in (1, 2) else struct.pack("<BBff", mode, bits, lo, hi)) + codes)
-    return b"".join(out)
+    head = BLOCKED + struct.pack(f"<B{len(shape)}QBBd3Q", len(shape), *shape, size, correctable, alpha, *blocks)
+    return head + b"".join(_record(*r) for r in records)
+
+
+def _record(mode: int, bits: int, lo: float, hi: float, codes: bytes) -> bytes:
+    return (struct.pack("<Bff", mode, lo, hi) if mode in (1, 2) else struct.pack("<BBff", mode, bits, lo, hi)) + codes
+
+
+def _coded_block(values: np.ndarray, mode: int, bits: int, lo: float, hi: float, mean: float) -> tuple[int, int, float, float, bytes]:
+    if mode == 2:
+        return mode, bits, lo, hi, values.astype("<f4").tobytes()
+    if mode == 1:
+        return mode, bits, mean, mean, b""
+    top = (1 << bits) - 1
+    level = np.rint((values.astype(np.float64) - lo) / (hi - lo) * top) if hi - lo >= 1e-12 else np.zeros(len(values))
+    return mode, bits, lo, hi, words.pack_fast(np.clip(level, 0, top).astype(np.uint32), bits)
+
+
+def blocked_record(values: np.ndarray, mode: int, bits: int, lo: float, hi: float, mean: float) -> bytes:
+    """The record of one block of values in C order."""
+    return _record(*_coded_block(values, mode, bits, lo, hi, mean))
 
 
 def _blocked_head(data: bytes) -> tuple[tuple[int, ...], int, int, float, list[int], int]:
@@ -195,15 +212,7 @@ def blocked_containers(coded: DataFrame, keys: list[str], shape: tuple[int, int,
         first = {c: t.column(c).to_numpy()[:: size**3] for c in ("mode", "bits", "vmin", "vmax", "vmean")}
         records = []
         for values, mode, bits, lo, hi, mean in zip(x, *(first[c].tolist() for c in ("mode", "bits", "vmin", "vmax", "vmean"))):
-            if mode == 2:
-                codes = values.astype("<f4").tobytes()
-            elif mode == 1:
-                codes, lo, hi = b"", mean, mean
-            else:
-                top = (1 << bits) - 1
-                level = np.rint((values.astype(np.float64) - lo) / (hi - lo) * top) if hi - lo >= 1e-12 else np.zeros(len(values))
-                codes = words.pack_fast(np.clip(level, 0, top).astype(np.uint32), bits)
-            records.append((mode, bits, lo, hi, codes))
+            records.append(_coded_block(values, mode, bits, lo, hi, mean))
         container = write_blocked(shape, size, correctable, float(t.column("alpha")[0].as_py()), blocks, records)
         return pa.table({**{k: t.column(k)[:1] for k in keys}, "container": [container]}).cast(arrow)
 
