@@ -1,19 +1,18 @@
-"""The codec protocol, codecs that are column expressions, byte-level codecs for chunks, and entropy baselines."""
+"""The codec protocol, codecs that are column expressions, byte-level codecs for chunks, and the entropy bound."""
 
 from __future__ import annotations
 
 import math
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits as B
 from ..functions import words
 from ..functions.numeric import AbsQuantizer, PowerQuantizer, f32, floor_quantize, uniform_quantize
 from ..model import CHUNK_VALUES, SUBCHUNK_VALUES, Invariant
@@ -237,16 +236,17 @@ def decompress_scaled(packed: DataFrame, bound: float, codec: str = "planes") ->
     return packed.select("field_id", "container").mapInArrow(run, "field_id string, i long, xc float")
 
 
-def entropy_sizes(field: DataFrame, zstd_level: int = 19, zlib_level: int = 9) -> DataFrame:
-    """(field_id, raw_bytes, zstd_bytes, zlib_bytes, zstd_ratio, zlib_ratio) of a field's chunks."""
-
-    def make(x: np.ndarray) -> dict:
-        raw = x.astype("<f4").tobytes()
-        return {"raw": len(raw), "zs": len(zstandard.ZstdCompressor(level=zstd_level).compress(raw)), "zl": len(zlib.compress(raw, zlib_level))}
-
-    sizes = _per_chunk(field, "raw long, zs long, zl long", make)
-    total = sizes.groupBy("field_id").agg(F.sum("raw").alias("raw_bytes"), F.sum("zs").alias("zstd_bytes"), F.sum("zl").alias("zlib_bytes"))
-    return total.withColumns({"zstd_ratio": F.col("raw_bytes") / F.col("zstd_bytes"), "zlib_ratio": F.col("raw_bytes") / F.col("zlib_bytes")})
+def entropy_ratio(field: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, n, bits, ratio): what an order-0 entropy coder of the four byte planes of 32-bit values would need a value, by
+    Shannon's bound, and 32 bits over that; null where all planes are constant. Counts of at most 4 x 256 bytes a field are
+    summed in each task first."""
+    keys = keys or ["field_id"]
+    bits = B.float_to_bits(F.col("x"))
+    planes = F.array(*(F.struct(F.lit(k).alias("plane"), F.shiftright(bits, 8 * k).bitwiseAND(F.lit(255).cast("long")).alias("byte")) for k in range(4)))
+    counts = field.filter("x is not null").select(*keys, F.explode(planes).alias("p")).groupBy(*keys, "p.plane", "p.byte").agg(F.count(F.lit(1)).alias("c"))
+    of_plane = counts.groupBy(*keys, "plane").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("cl"))
+    total = of_plane.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.log2("n") - F.col("cl") / F.col("n")).alias("bits"))
+    return total.withColumn("ratio", F.when(F.col("bits") > 1e-9, 32 / F.when(F.col("bits") > 1e-9, F.col("bits"))))
 
 
 def bits_per_value(size: Column, n: Column) -> Column:

@@ -141,12 +141,7 @@ def matched_drift(field: DataFrame, candidates: Sequence[float], recon, limit: f
     return coded.groupBy(*keys, "q").agg(inv.drift(inv.mass(F.col("x")), inv.mass(F.col("xh"))).alias("mass_drift"), inv.drift(inv.energy(F.col("x")), inv.energy(F.col("xh"))).alias("energy_drift"))
 
 
-def suite(make, sizes: Sequence[int], seeds: Sequence[int], methods: dict[str, Column]) -> DataFrame:
-    """Errors and drifts of methods over generated fields (make(size, seed) gives i and x), averaged over the seeds of
-    each size."""
-    out = None
-    for n in sizes:
-        for seed in seeds:
-            one = run_methods(make(n, seed).withColumn("field_id", F.lit(f"{n}/{seed}")), methods).withColumn("n", F.lit(n))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("n", "method").agg(*(F.avg(c).alias(c) for c in ("max_abs", "rmse", "mass_drift", "energy_drift")))
+def suite(fields: DataFrame, methods: dict[str, Column]) -> DataFrame:
+    """Errors and drifts of methods over fields of several sizes (n, field_id, x), averaged over the fields of each size."""
+    one = run_methods(fields, methods, ["n", "field_id"])
+    return one.groupBy("n", "method").agg(*(F.avg(c).alias(c) for c in ("max_abs", "rmse", "mass_drift", "energy_drift")))

@@ -361,9 +361,17 @@ def raw_roundtrip(spark, d):
     return writers.read_parts(correct.hold(writers.write_raw(events(spark, d), new_path(spark, "raw"))))
 
 
-@query("q_entropy_ratio")
+_BYTES = f"SELECT field_id, k, (x::BIT::UINTEGER >> (8 * k)) & 255 AS byte FROM ({EVENTS}), range(4) AS r(k)"
+
+
+@query(
+    "q_entropy_ratio",
+    f"""SELECT field_id, CAST(max(n) AS BIGINT) AS n, {R('sum(log2(n) - cl / n)', 6)} AS bits, {R('32 / sum(log2(n) - cl / n)', 6)} AS ratio FROM (
+ SELECT field_id, k, sum(c) AS n, sum(c * log2(c)) AS cl FROM (SELECT field_id, k, byte, count(*) AS c FROM ({_BYTES}) GROUP BY ALL) GROUP BY ALL) GROUP BY field_id""",
+)
 def entropy_ratio(spark, d):
-    return codecs.entropy_sizes(events(spark, d))
+    e = codecs.entropy_ratio(events(spark, d))
+    return e.select("field_id", "n", rnd(F.col("bits"), 6).alias("bits"), rnd(F.col("ratio"), 6).alias("ratio"))
 
 
 _STEP = "lambda a, b: {'s': a.s + (b.s - a.c), 'c': ((a.s + (b.s - a.c)) - a.s) - (b.s - a.c)}"

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import functions as F
 
-from ..functions.numeric import f64
+from ..functions.numeric import f64, parabola
 from ..model import CORRECTABLE_BITS, DEFAULT_TIERS, line_out
 from ..operators import blocked, rotation, solvers, stencil, tiers
 from ..operators import invariants as inv
-from ..sources import containers, generators
+from ..sources import containers
 from .base import CUBE, EVENTS, PLANE, VECTOR_CUBE, D, R, cube, events, plane, query, rnd, table, vector_cube
 
 _P, _C, _V = ["i0", "i1"], ["i0", "i1", "i2"], ["vec_id"]
@@ -292,14 +288,24 @@ def upsample(spark, d):
     return blocked.upsample(c, 4, _V).select("vec_id", "r0", "r1", "r2", rnd(f64(F.col("up")), 3).alias("up"))
 
 
+#: How often the value at a coordinate stands on the six places of an axis that four are padded to.
+_TIMES = " * ".join(f"CASE i{k} WHEN 3 THEN 3 ELSE 1 END" for k in range(3))
+
+
 @query(
     "q_pad_crop",
-    f"SELECT vec_id, CAST(216 AS BIGINT) AS padded, CAST(64 AS BIGINT) AS cropped FROM ({CUBE}) GROUP BY vec_id",
+    f"""SELECT vec_id, CAST(216 AS BIGINT) AS padded, {R(f'sum({D("x")} * {_TIMES})', 5)} AS padded_sum, {R(f'sum({D("x")} * (i0 + 1) * (i1 + 2) * (i2 + 3))', 4)} AS cropped_moment,
+ {R(f'max(CASE WHEN i0 = 3 AND i1 = 3 AND i2 = 3 THEN {D("x")} END)', 6)} AS corner, {R(f'sum(CASE WHEN i0 = 3 AND i1 = 0 THEN {D("x")} * CASE i2 WHEN 3 THEN 3 + 4 + 5 ELSE i2 END END)', 5)} AS edge FROM ({CUBE}) GROUP BY vec_id""",
 )
 def pad_crop(spark, d):
+    """Values at the far end repeated to whole blocks: their sum, the far corner, one edge with its places as weights, and
+    what is left after cropping."""
     p = blocked.pad_edges(cube(spark, d), (4, 4, 4), 3, _V, ["x"])
-    inside = F.count_if((F.col("i0") < 4) & (F.col("i1") < 4) & (F.col("i2") < 4))
-    return p.groupBy("vec_id").agg(F.count(F.lit(1)).alias("padded"), inside.alias("cropped"))
+    i, x = [F.col(f"i{k}") for k in range(3)], f64(F.col("x"))
+    inner = blocked.crop(p, (4, 4, 4)).groupBy("vec_id").agg(rnd(F.sum(x * (i[0] + 1) * (i[1] + 2) * (i[2] + 3)), 4).alias("cropped_moment"))
+    corner, edge = F.max(F.when((i[0] == 5) & (i[1] == 5) & (i[2] == 5), x)), F.sum(F.when((i[0] == 5) & (i[1] == 0), x * i[2]))
+    outer = p.groupBy("vec_id").agg(F.count(F.lit(1)).alias("padded"), rnd(F.sum(x), 5).alias("padded_sum"), rnd(corner, 6).alias("corner"), rnd(edge, 5).alias("edge"))
+    return outer.join(inner, "vec_id")
 
 
 _MOM = ", ".join(f"{R(f'sum({D(a)} * {D(b)})', 6)} AS {a}{b}" for a, b in ("uu", "uv", "uw", "vv", "vw", "ww"))
@@ -403,7 +409,9 @@ def lbm_collide(spark, d):
     return solvers.collide(lattices(spark, d), 0.8).select("g", "y", "x", *(rnd(F.col(f"f{k}"), 9).alias(f"f{k}") for k in range(9)))
 
 
-_SPEED = 0.02
+#: The inlet's speed at its fastest; it is 0 at both walls.
+_PEAK = 0.02
+_SPEED = f"({4 * _PEAK} * y * ({_NY - 1} - y) / {(_NY - 1) ** 2}.0)"
 _IN = f"((f0 + f2 + f4 + 2 * (f3 + f6 + f7)) / (1 - {_SPEED}))"
 _ENTERING = {1: f"f3 + 2 / 3.0 * {_IN} * {_SPEED}", 5: f"f7 + 1 / 6.0 * {_IN} * {_SPEED} + 0.5 * (f4 - f2)", 8: f"f6 + 1 / 6.0 * {_IN} * {_SPEED} - 0.5 * (f4 - f2)"}
 _STEP = f"""WITH c AS ({_COLLIDED}), s AS ({_streamed('c')}),
@@ -415,10 +423,10 @@ _STEP = f"""WITH c AS ({_COLLIDED}), s AS ({_streamed('c')}),
 
 @query("q_lbm_step", f"{_STEP} SELECT g, {R('sum(rho)', 7)} AS mass, {R('sum(jx)', 7)} AS jx, {R('max(sqrt(jx * jx + jy * jy) / rho)', 8)} AS fastest FROM m GROUP BY g")
 def lbm_step(spark, d):
-    """Collision, streaming, walls, inlet and outlet of one step of every lattice: total mass, momentum, the fastest node."""
+    """Collision, streaming, walls, a parabolic inlet and an outlet: one step of every lattice: total mass, momentum, the fastest node."""
     before = solvers.collide(lattices(spark, d), 0.8)
     s = solvers.bounce_back(solvers.stream(before, _NY, _NX, ["g"]), before, (F.col("y") == 0) | (F.col("y") == _NY - 1), ["g"])
-    s = solvers.outlet(solvers.inlet(s, F.lit(_SPEED)), _NX, ["g"])
+    s = solvers.outlet(solvers.inlet(s, parabola(F.col("y"), _PEAK, _NY - 1.0)), _NX, ["g"])
     m = solvers.moments()
     sums = s.groupBy("g").agg(F.sum(m["rho"]).alias("mass"), F.sum(m["jx"]).alias("jx"), F.max(F.sqrt(m["jx"] * m["jx"] + m["jy"] * m["jy"]) / m["rho"]).alias("fastest"))
     return sums.select("g", rnd(F.col("mass"), 7).alias("mass"), rnd(F.col("jx"), 7).alias("jx"), rnd(F.col("fastest"), 8).alias("fastest"))
@@ -455,84 +463,3 @@ def wave_correct(spark, d):
 def ring_difference(spark, d):
     r = stencil.ring_shift(ring(spark, d), 64, 1, ["u"], ["k"])
     return r.select("k", "i", rnd(F.col("next_u") - F.col("u"), 6).alias("du"))
-
-
-@query("q_wave_run")
-def wave_run(spark, d):
-    return solvers.run_wave(spark, ["baseline", "lossy", "lossy+correct"], n=2048, steps=20_000)
-
-
-@query("q_lbm_run")
-def lbm_run(spark, d):
-    return solvers.run_lattice(spark, ["baseline", "lossy", "lossy+correct"], steps=2000, ny=130, nx=260, diameter=16)
-
-
-def _grid_sql(n: int) -> str:
-    return f"SELECT i // {n * n} AS i0, i // {n} % {n} AS i1, i % {n} AS i2 FROM (SELECT unnest(range({n**3})) AS i)"
-
-
-def _turbulence_sql(n: int, seed: int) -> str:
-    """The flow as text, from the same draws."""
-    rng = np.random.default_rng(seed)
-    u, v, w = ["cos(a) * sin(b) * cos(c)"], ["-sin(a) * cos(b) * cos(c)"], ["0.0"]
-    for o in range(1, 5):
-        p = rng.uniform(0, 2 * math.pi, size=3).tolist()
-        for parts, first, second, k in ((u, "sin({o} * a + {p})", "cos({o} * b)", 0), (v, "cos({o} * b + {p})", "sin({o} * c)", 1), (w, "sin({o} * c + {p})", "cos({o} * a)", 2)):
-            parts.append(f"{0.3 / o!r} * {first.format(o=o, p=repr(p[k]))} * {second.format(o=o)}")
-    for _ in range(6):
-        at, height = rng.integers(0, n, size=3).tolist(), float(rng.uniform(1.5, 3.0))
-        burst = f"{height!r} * exp(-({' + '.join(f'(i{k} - {at[k]}) * (i{k} - {at[k]})' for k in range(3))}) / {2.0 * (n // 12) ** 2!r})"
-        u.append(burst)
-        v.append(f"{float(rng.uniform(-1, 1))!r} * {burst}")
-    angles = ", ".join(f"i{k} * (2 * pi() / {n}) AS {x}" for k, x in enumerate("abc"))
-    flow = ", ".join(f"CAST({' + '.join(parts)} AS FLOAT) AS {x}" for x, parts in zip("uvw", (u, v, w)))
-    return f"SELECT i0, i1, i2, {flow} FROM (SELECT *, {angles} FROM ({_grid_sql(n)}))"
-
-
-@query("q_turbulence", "SELECT count(*) AS n, " + ", ".join(R(f"sum({D(c)} * {D(c)})", 0) + f" AS energy_{c}" for c in "uvw") + f" FROM ({_turbulence_sql(64, 42)})")
-def turbulence(spark, d):
-    f = generators.turbulence(spark, 64, 42)
-    return f.agg(F.count(F.lit(1)).alias("n"), *(rnd(inv.energy(F.col(c)), 0).alias(f"energy_{c}") for c in "uvw"))
-
-
-def _low_modes_sql(n: int, seed: int = 0, modes: int = 6) -> str:
-    """Every wave at every point, from the same draws."""
-    rng = np.random.default_rng(seed)
-    f = rng.standard_normal((modes,) * 3) + 1j * rng.standard_normal((modes,) * 3)
-    waves = ", ".join(f"({a}, {b}, {c}, {float(f[a, b, c].real)!r}, {float(f[a, b, c].imag)!r})" for a in range(modes) for b in range(modes) for c in range(modes))
-    spread = math.sqrt((float((abs(f) ** 2).sum()) - abs(f[0, 0, 0]) ** 2) / 2)
-    bumps = []
-    for _ in range(6):
-        at, width, height = rng.uniform(-0.6, 0.6, 3).tolist(), float(rng.uniform(0.05, 0.15)), float(rng.uniform(1, 4))
-        square = " + ".join(f"power(i{k} * {2.0 / (n - 1)!r} - 1 - {at[k]!r}, 2)" for k in range(3))
-        bumps.append(f"{height!r} * exp(-({square}) / {2 * width**2!r})")
-    angle = f"2 * pi() / {n} * (i0 * ka + i1 * kb + i2 * kc)"
-    base = f"SELECT i0, i1, i2, sum(CAST(re AS DOUBLE) * cos({angle}) - CAST(im AS DOUBLE) * sin({angle})) / {spread!r} AS s FROM ({_grid_sql(n)}), (VALUES {waves}) w(ka, kb, kc, re, im) GROUP BY ALL"
-    return f"SELECT CAST(s + {' + '.join(bumps)} AS FLOAT) AS x FROM ({base})"
-
-
-@query("q_low_modes", f"SELECT count(*) AS n, {R(f'avg({D("x")})', 5)} AS mean, {R(f'stddev_pop({D("x")})', 5)} AS spread FROM ({_low_modes_sql(16)})")
-def low_modes(spark, d):
-    f = generators.low_modes(spark, 16)
-    return f.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(f64(F.col("x"))), 5).alias("mean"), rnd(F.stddev_pop(f64(F.col("x"))), 5).alias("spread"))
-
-
-@query("q_signals")
-def signals(spark, d):
-    s = generators.signals(spark, 200_000)
-    return s.agg(*(F.avg(c).alias(c) for c in ("smooth", "weight", "outliers", "near_zero", "heavy_tail")))
-
-
-@query("q_flow_pipeline")
-def flow_pipeline(spark, d):
-    """Attention, tiers, codes, energy and packed bytes of generated flow, one component after another."""
-    f = stencil.attention(generators.turbulence(spark, 16, 42).withColumn("g", F.lit(1)), ["u", "v", "w"], _C, ["g"], shape=(16, 16, 16)).withColumn("tier", tiers.tier_of(F.col("att")))
-    out = None
-    for c in "uvw":
-        coded = tiers.quantize(f, ["g"], x=c)
-        r = tiers.correct_energy(coded, ["g"], c).agg(
-            F.lit(c).alias("component"), F.max(F.abs(f64(F.col("xc")) - f64(F.col(c)))).alias("max_abs"), (F.abs(inv.energy(F.col("xc")) - inv.energy(F.col(c))) / inv.energy(F.col(c))).alias("energy_drift"),
-            F.sum(F.col("bits") / 8).alias("bytes"), (4 * F.count(F.lit(1)) / F.sum(F.col("bits") / 8)).alias("ratio"),
-        )
-        out = r if out is None else out.unionByName(r)
-    return out

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import f32, f64, floor_quantize, uniform_quantize
 from ..operators import codecs, solvers, sweeps
 from ..operators import invariants as inv
-from ..sources import generators
 from .base import EVENTS, D, R, events, query, rnd, table
 from .coding import _CANDIDATES
 from .grids import _LATTICES, lattices
@@ -37,7 +36,7 @@ def weight_join(spark, d):
 
 _LATTICE = ", ".join(f"({k}, {x}, {y}, {o})" for k, (x, y, o) in enumerate(zip(solvers.LATTICE_X, solvers.LATTICE_Y, solvers.OPPOSITE)))
 _LONG = " UNION ALL ".join(f"SELECT g, y, x, {k} AS dir, f{k} AS f FROM a" for k in range(9))
-_WITH = f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), a AS ({_LATTICES}), n AS ({_LONG})"
+_WITH = f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), a AS MATERIALIZED ({_LATTICES}), n AS MATERIALIZED ({_LONG})"
 
 
 @query("q_lattice_join", f"{_WITH} SELECT g, y, x, {R('sum(f)', 8)} AS rho, {R('sum(f * cx)', 8)} AS jx, {R('sum(f * cy)', 8)} AS jy FROM n JOIN l USING (dir) GROUP BY g, y, x")
@@ -48,7 +47,10 @@ def lattice_join(spark, d):
     return both.groupBy("g", "y", "x").agg(rnd(F.sum("f"), 8).alias("rho"), rnd(F.sum(F.col("f") * F.col("cx")), 8).alias("jx"), rnd(F.sum(F.col("f") * F.col("cy")), 8).alias("jy"))
 
 
-@query("q_opposite_join", f"{_WITH} SELECT n.g, n.y, n.x, CAST(n.dir AS INTEGER) AS dir, {R('o.f', 10)} AS f FROM n JOIN l USING (dir) JOIN n o ON o.g = n.g AND o.y = n.y AND o.x = n.x AND o.dir = l.opp WHERE n.y = 0")
+_WALLS = f"WITH l(dir, cx, cy, opp) AS (VALUES {_LATTICE}), a AS MATERIALIZED (SELECT * FROM ({_LATTICES}) WHERE y = 0), n AS MATERIALIZED ({_LONG})"
+
+
+@query("q_opposite_join", f"{_WALLS} SELECT n.g, n.y, n.x, CAST(n.dir AS INTEGER) AS dir, {R('o.f', 10)} AS f FROM n JOIN l USING (dir) JOIN n o ON o.g = n.g AND o.y = n.y AND o.x = n.x AND o.dir = l.opp")
 def opposite_join(spark, d):
     """At walls each direction takes the value of its opposite, by a self-join on the node and the direction."""
     long = lattices(spark, d).filter("y = 0").select("g", "y", "x", F.posexplode(F.array(*(f"f{k}" for k in range(9)))).alias("dir", "f"))
@@ -84,7 +86,20 @@ def drift_matched(spark, d):
     return m.select("field_id", "q", rnd(F.col("mass_drift"), 7).alias("mass_drift"), rnd(F.col("energy_drift"), 7).alias("energy_drift"))
 
 
-@query("q_suite")
+_PIECES = "SELECT n, vec_id % 3 AS seed, x FROM embeddings, (VALUES (16), (32), (64)) s(n), LATERAL (SELECT unnest(embedding[1:n]) AS x)"
+_METHODS = {"floor": f"floor({D('x')} / 0.02) * 0.02", "uniform": f"round_even({D('x')} / 0.02, 0) * 0.02"}
+_SUITE = " UNION ALL ".join(
+    f"""SELECT '{m}' AS method, n, seed, max(abs(d)) AS max_abs, sqrt(avg(d * d)) AS rmse, abs(sum(xh) - sum(x)) / abs(sum(x)) AS mass_drift, abs(sum(xh * xh) - sum(x * x)) / sum(x * x) AS energy_drift
+ FROM (SELECT n, seed, {D("x")} AS x, {D(e)} AS xh, xh - x AS d FROM (SELECT n, seed, CAST(x AS FLOAT) AS x FROM ({_PIECES}))) GROUP BY n, seed"""
+    for m, e in _METHODS.items()
+)
+
+
+@query("q_suite", f"SELECT n, method, {', '.join(f'{R(f'avg({c})', k)} AS {c}' for c, k in (('max_abs', 6), ('rmse', 6), ('mass_drift', 4), ('energy_drift', 6)))} FROM ({_SUITE}) GROUP BY n, method")
 def suite(spark, d):
-    """Codecs on generated flow, averaged over seeds, by grid size."""
-    return sweeps.suite(lambda n, seed: generators.turbulence(spark, n, seed).select("i", F.col("u").alias("x")), [32, 48, 64], [0, 1, 2], {n: c.recon(F.col("x"), 0.01) for n, c in codecs.CODECS.items()})
+    """Methods on the first 16, 32 and 64 components of all vectors, averaged over three parts of the vectors."""
+    sizes = F.explode(F.array(*map(F.lit, (16, 32, 64))))
+    cut = table(spark, d, "embeddings").select(sizes.alias("n"), (F.col("vec_id") % 3).cast("string").alias("field_id"), "embedding")
+    fields = cut.select("n", "field_id", F.explode(F.slice("embedding", 1, F.col("n"))).alias("x")).withColumn("x", F.col("x").cast("float"))
+    s = sweeps.suite(fields, {"floor": floor_quantize(F.col("x"), 0.02), "uniform": uniform_quantize(F.col("x"), 0.02)})
+    return s.select("n", "method", *(rnd(F.col(c), k).alias(c) for c, k in (("max_abs", 6), ("rmse", 6), ("mass_drift", 4), ("energy_drift", 6))))

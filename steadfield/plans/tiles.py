@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f64
-from ..operators import halo, stencil
+from ..operators import halo, stencil, tiers
+from ..operators import invariants as inv
+from ..shared import keep
 from .base import PLANE, VECTOR_CUBE, D, R, plane, query, rnd, vector_cube
-from .grids import g
+from .grids import _BITS, _LEVELS, _TIER, g
 
 _M, _S, _ALL = ["vec_id", "i"], ["k", "i0", "i1"], ["grid"]
 
@@ -65,16 +67,44 @@ def smooth_tiled(spark, d):
     return stencil.smooth_tiled(f, "x", "s", (n, 64), 0.6, _M, _ALL, size=40).select("vec_id", "i", rnd(F.col("s"), 6).alias("s"))
 
 
-@query(
-    "q_attention3_tiled",
-    f"""WITH p AS MATERIALIZED (SELECT k, i0, i1, m FROM ({_CURL})), n AS (SELECT max(k) + 1 AS n FROM p), a AS MATERIALIZED ({_smoothed('p', 'm', 'k', '(SELECT n FROM n)', ['i0', 'i1'])}),
- b AS MATERIALIZED ({_smoothed('a', 'm', 'i0', '8', ['k', 'i1'])}), c AS ({_smoothed('b', 'm', 'i1', '8', ['k', 'i0'])}) SELECT k, i0, i1, {R(D('att'), 5)} AS att FROM ({_scaled('SELECT * FROM c')})""",
-)
-def attention3_tiled(spark, d):
-    """Smoothed curl of one grid of three components, scaled to its range, in tiles of 12 along each axis."""
+_ATT3 = f"""p AS MATERIALIZED (SELECT k, i0, i1, m FROM ({_CURL})), n AS (SELECT max(k) + 1 AS n FROM p), a AS MATERIALIZED ({_smoothed('p', 'm', 'k', '(SELECT n FROM n)', ['i0', 'i1'])}),
+ b AS MATERIALIZED ({_smoothed('a', 'm', 'i0', '8', ['k', 'i1'])}), c AS ({_smoothed('b', 'm', 'i1', '8', ['k', 'i0'])}), att AS MATERIALIZED (SELECT k, i0, i1, att FROM ({_scaled('SELECT * FROM c')}))"""
+
+
+def attention3(spark, d):
     f = stack(spark, d)
     n = f.agg(F.max("k")).first()[0] + 1
-    return stencil.attention(f, ["u", "v", "w"], _S, _ALL, shape=(n, 8, 8), size=12).select("k", "i0", "i1", rnd(f64(F.col("att")), 5).alias("att"))
+    return stencil.attention(f, ["u", "v", "w"], _S, _ALL, shape=(n, 8, 8), size=12)
+
+
+@query("q_attention3_tiled", f"WITH {_ATT3} SELECT k, i0, i1, {R(D('att'), 5)} AS att FROM att")
+def attention3_tiled(spark, d):
+    """Smoothed curl of one grid of three components, scaled to its range, in tiles of 12 along each axis."""
+    return attention3(spark, d).select("k", "i0", "i1", rnd(f64(F.col("att")), 5).alias("att"))
+
+
+_FLOW = f"""WITH {_ATT3},
+ t AS (SELECT *, {_TIER} AS tier FROM (SELECT c.component, c.x, att FROM att JOIN ({_STACK}) s USING (k, i0, i1), LATERAL (VALUES ('u', u), ('v', v), ('w', w)) c(component, x))),
+ r AS (SELECT *, min(x) OVER q AS lo, max(x) OVER q AS hi, {_BITS} AS bits FROM t WINDOW q AS (PARTITION BY component, tier)),
+ q AS (SELECT *, CASE WHEN {D('hi - lo')} >= 1e-12 AND bits < 32 THEN greatest(0, least({_LEVELS}, round_even({D(f"CAST({D('x - lo')} / {D('hi - lo')} AS FLOAT) * CAST({_LEVELS} AS FLOAT)")}, 0))) END AS code FROM r),
+ h AS (SELECT *, CASE WHEN bits >= 32 THEN x WHEN {D('hi')} - {D('lo')} < 1e-12 THEN lo ELSE CAST({D('lo')} + code / {_LEVELS} * ({D('hi')} - {D('lo')}) AS FLOAT) END AS xh FROM q),
+ e AS (SELECT component, sum({D('x')} * {D('x')}) AS o, coalesce(sum({D('xh')} * {D('xh')}) FILTER (bits > 16), 0) AS f, coalesce(sum({D('xh')} * {D('xh')}) FILTER (bits <= 16), 0) AS l FROM h GROUP BY component),
+ x AS (SELECT h.*, o, CASE WHEN bits <= 16 THEN CAST((CASE WHEN l >= 1e-30 AND o - f >= 0 THEN sqrt((o - f) / l) ELSE 1.0 END) * {D('xh')} AS FLOAT) ELSE xh END AS xc FROM h JOIN e USING (component))
+ SELECT component, count(*) AS n, {R(f'max(abs({D("xc")} - {D("x")}))', 4)} AS max_abs, abs(sum({D('xc')} * {D('xc')}) - any_value(o)) / any_value(o) < 1e-6 AS restored, {R('4.0 * count(*) / sum(bits / 8.0)', 4)} AS ratio FROM x GROUP BY component"""
+
+
+@query("q_flow_pipeline", _FLOW)
+def flow_pipeline(spark, d):
+    """Attention, tiers, codes, restored energy and packed size of the three components of one grid."""
+    # three passes follow, which needn't run the stencils again
+    f = keep(attention3(spark, d).select("u", "v", "w", tiers.tier_of(F.col("att")).alias("tier")), "flow")
+    long = f.select("tier", F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("x")) for c in "uvw"))).alias("c")).select("tier", "c.*")
+    done = tiers.correct_energy(tiers.quantize(long, ["component"]), ["component"])
+    x, xc = f64(F.col("x")), f64(F.col("xc"))
+    return done.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n"), rnd(F.max(F.abs(xc - x)), 4).alias("max_abs"), (inv.drift(F.sum(x * x), F.sum(xc * xc)) < 1e-6).alias("restored"),
+        rnd(4 * F.count(F.lit(1)) / F.sum(F.col("bits") / 8), 4).alias("ratio"),
+    )
 
 
 @query("q_tile_sizes", f"SELECT vec_id // 48 AS tile, count(*) AS own, CAST(any_value(r) AS BIGINT) AS with_rim FROM ({PLANE}) JOIN (SELECT t, count(*) * 64 AS r FROM (SELECT DISTINCT vec_id FROM embeddings) v JOIN range(100000) AS q(t) ON vec_id BETWEEN 48 * t - 3 AND 48 * t + 50 GROUP BY t) ON t = vec_id // 48 GROUP BY vec_id // 48")
