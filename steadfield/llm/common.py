@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: The white space that the text operators fold and split at.
 SPACE = r"\x20\x09-\x0D"
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and runs in one process, as in local tests.
 DEFAULT_SHARED_DIR = "file:///tmp/checkpoints/steadfield"
 
 #: Spark's setting that removes a plan's shuffle files when it ends.
@@ -61,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder for this application below the one that the driver and all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = DEFAULT_SHARED_DIR
         spark.conf.set("spark.checkpoint.dir", root)
     context = spark.sparkContext

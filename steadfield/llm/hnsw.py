@@ -2,7 +2,7 @@
 
 Equal vectors are indexed once, with the smallest ids that carry them, so that a vector with a third of all rows is one
 node. Distinct vectors are dealt by length to bands, within each of which lengths differ by a factor of 2 ** ``BAND_BITS``
-at most, and in a band to shards of about ``SHARD_ROWS`` by a hash. Each shard becomes a graph in flat
+at most, and in a band to shards of about ``SHARD_ROWS`` by a hash; vectors of different numbers of components are in different shards. Each shard becomes a graph in flat
 arrays: for each layer the node numbers and an array of neighbours of fixed width, padded with -1. Vectors are divided by
 the longest of their shard and get one more component, which makes their lengths equal, so that the nearest by distance is
 the largest by inner product. In a band the added component leaves the others their digits, however long the vectors of
@@ -10,11 +10,12 @@ other bands are.
 
 Nodes are inserted in batches: a batch is searched together in the graph so far, step by step, as arrays of beams; each
 node keeps those neighbours that are nearer to it than to a neighbour already kept, and links back are trimmed likewise.
-Queries run through every shard in blocks of ``QUERY_BLOCK``; a block and a graph meet in one task, each of bounded size,
-and the shards' results are merged by one window per query over ``k`` rows from each shard.
+Graphs are files in the shared folder, one a shard. Queries are dealt to blocks of ``QUERY_BLOCK``, and a block goes once to
+each group of ``GROUP_SHARDS`` shards, whose files its task reads one after another; so no graph is shuffled, and a query
+is once for each group. A task keeps the k best of its group for each query, and a window merges the groups' results.
 
 Defined results: vectors that are null, empty or all zeros, or hold null or non-finite components, take no part; vectors
-of another number of components than the most common one take no part either; a score beyond the range of doubles is given
+are compared with those of as many components, as there is no inner product with others; a score beyond the range of doubles is given
 as infinite, but ranked by its value; ties go to the smaller id; a query that has fewer than
 k candidates gets them all; repeated rows are one vector; an empty table gives an empty result; other columns are
 ignored.
@@ -22,7 +23,8 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from ..runtime import ship
 from . import common
 
 K, QUERY_STEP = 20, 20
-SHARD_ROWS, QUERY_BLOCK = 8_192, 4_096
+SHARD_ROWS, QUERY_BLOCK, GROUP_SHARDS = 16_384, 4_096, 32
 #: Neighbours of a node above the lowest layer (twice that below), and widths of the beam.
 M, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
 BATCH = 256
@@ -195,33 +197,56 @@ def _bands(a: np.ndarray) -> np.ndarray:
     return np.floor((np.log2((part * part).sum(axis=1)) / 2 + e) / BAND_BITS).astype(np.int32)
 
 
-def _build(pdf: pd.DataFrame, dim: int) -> pd.DataFrame:
-    """One row for a shard: its vectors as they are, the ids of each, and the graph in flat arrays."""
+_FIELDS = ("vectors", "points", "members", "member_counts", "entry")
+
+
+def _build(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """Writes a shard: its vectors as they are, the ids of each, and the graph in flat arrays."""
     pdf = pdf.sort_values("first_id", kind="stable")
+    dim, shard = int(pdf["dim"].iat[0]), int(pdf["shard"].iat[0])
     raw = np.frombuffer(b"".join(pdf["v"]), dtype="<f8").reshape(-1, dim)
     unit = np.ldexp(raw, -int(np.frexp(np.abs(raw).max())[1]))
     unit = unit / np.sqrt((unit * unit).sum(axis=1)).max()
     points = np.concatenate((unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
     g = Graph.build(points)
     members = [np.asarray(m, dtype="<i8") for m in pdf["members"]]
-    return pd.DataFrame(
-        {
-            "shard": pdf["shard"].iloc[:1], "vectors": [_pack(raw)], "points": [_pack(points)], "members": [_pack(np.concatenate(members))],
-            "member_counts": [_pack(np.array([len(m) for m in members], dtype="<i4"))], "layers": [[_pack(x) for x in g.layers]], "entry": [g.entry],
-        }
-    )
-
-
-def _ask(queries: pd.DataFrame, shard: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
-    if not len(queries) or not len(shard):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "near": "float64"})
-    row = shard.iloc[0]
-    raw = np.frombuffer(row["vectors"], dtype="<f8").reshape(-1, dim)
-    points = np.frombuffer(row["points"], dtype=np.float32).reshape(-1, dim + 1)
-    layers = [np.frombuffer(b, dtype=np.int32).reshape(len(raw), 2 * M if j == 0 else M) for j, b in enumerate(row["layers"])]
-    g = Graph(points, layers, int(row["entry"]))
-    counts = np.frombuffer(row["member_counts"], dtype="<i4")
-    members, start = np.frombuffer(row["members"], dtype="<i8"), np.concatenate(([0], np.cumsum(counts)))
+    arrays = dict(zip(_FIELDS, (raw, points, np.concatenate(members), np.array([len(m) for m in members], dtype="<i4"), np.array([g.entry]))))
+    out = io.BytesIO()
+    np.savez(out, **arrays, **{f"layer{j}": x for j, x in enumerate(g.layers)})
+    files, base = common.file_system(folder)
+    # an attempt that runs twice writes the same bytes
+    with files.open_output_stream(f"{base}/shard-{shard:09d}.npz") as h:
+        h.write(out.getbuffer())
+    return pd.DataFrame({"shard": [shard], "dim": [dim], "nodes": [len(raw)]})
+
+
+def _read(folder: str, shard: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    files, base = common.file_system(folder)
+    with files.open_input_stream(f"{base}/shard-{shard:09d}.npz") as h:
+        z = np.load(io.BytesIO(h.read()), allow_pickle=False)
+    layers = [z[f"layer{j}"] for j in range(sum(n.startswith("layer") for n in z.files))]
+    return Graph(z["points"], layers, int(z["entry"][0])), z["vectors"], z["members"], z["member_counts"]
+
+
+_NOTHING = {"query_id": "int64", "vec_id": "int64", "score": "float64", "near": "float64"}
+
+
+def _best(t: pd.DataFrame, k: int) -> pd.DataFrame:
+    t = t.drop_duplicates().sort_values(["query_id", "near", "vec_id"], ascending=[True, False, True], kind="stable")
+    return t.groupby("query_id", sort=False).head(k)
+
+
+def _ask(queries: pd.DataFrame, folder: str, shards: Sequence[int], k: int) -> pd.DataFrame:
+    """The k best of a group of shards for each query of a block."""
+    found = pd.DataFrame(columns=list(_NOTHING)).astype(_NOTHING)
+    for shard in shards:
+        found = _best(pd.concat((found, _ask_shard(queries, *_read(folder, shard), k)), ignore_index=True), k)
+    return found
+
+
+def _ask_shard(queries: pd.DataFrame, g: Graph, raw: np.ndarray, members: np.ndarray, counts: np.ndarray, k: int) -> pd.DataFrame:
+    dim = raw.shape[1]
+    start = np.concatenate(([0], np.cumsum(counts)))
     out: list[pd.DataFrame] = []
     part, exponent = _scaled(raw)
     room = dim.bit_length() + 1
@@ -243,8 +268,7 @@ def _ask(queries: pd.DataFrame, shard: pd.DataFrame, k: int, dim: int) -> pd.Dat
         rr = np.repeat(np.arange(len(r)), n)
         member = members[np.repeat(start[node], n) + np.arange(len(rr)) - np.repeat(np.cumsum(n) - n, n)]
         t = pd.DataFrame({"query_id": own[r[rr]], "vec_id": member, "score": score[rr], "near": near[rr]})
-        t = t[t["query_id"] != t["vec_id"]].sort_values(["query_id", "near", "vec_id"], ascending=[True, False, True], kind="stable")
-        out.append(t.groupby("query_id", sort=False).head(k))
+        out.append(_best(t[t["query_id"] != t["vec_id"]], k))
     return pd.concat(out, ignore_index=True)
 
 
@@ -253,33 +277,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     A row is no candidate of a query with its own id."""
     spark = vectors.sparkSession
     ship(spark)
-    sized = vectors.filter(usable("v")).withColumn("dim", F.size("v"))
-    dims = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    common_dim = dims.orderBy(F.desc("n"), "dim").first()
-    if common_dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = int(common_dim.dim)
     # the k + 1 smallest ids of a vector are all that k places beside the query itself can take
-    distinct = _smallest_ids(sized.filter(F.col("dim") == dim), k + 1, dim)
-    distinct = common.materialize(distinct, "hnsw-distinct")
-    # doubles have 2,100 exponents, so there are 700 bands at most
-    shards, first = 0, {}
-    for band, n in sorted(map(tuple, distinct.groupBy("band").count().collect())):
-        first[band] = (shards, -(-n // SHARD_ROWS))
-        shards += first[band][1]
-    if not shards:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    of_band = lambda j: F.element_at(F.create_map(*(F.lit(x) for b, s in first.items() for x in (b, s[j]))), F.col("band"))
-    dealt = distinct.withColumn("shard", (of_band(0) + F.pmod(F.xxhash64("v"), of_band(1))).cast("int"))
-    schema = "shard int, vectors binary, points binary, members binary, member_counts binary, layers array<binary>, entry int"
-    graphs = common.materialize(
-        dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: _build(pdf, dim), schema), "hnsw-graphs"
-    )
-    asked = common.materialize(_packed(queries.filter(usable("v") & (F.size("v") == dim)), "query_id"), "hnsw-queries")
+    distinct = common.materialize(_smallest_ids(vectors.filter(usable("v")), k + 1), "hnsw-distinct")
+    # one row for each number of components and band; doubles have 2,100 exponents, so 700 bands at most
+    per = distinct.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_ROWS)).cast("int").alias("shards"))
+    per = common.materialize(per.withColumn("first", (F.sum("shards").over(Window.orderBy("dim", "band")) - F.col("shards")).cast("int")), "hnsw-bands")
+    folder = common.new_path(spark, "hnsw-graphs")
+    files, base = common.file_system(folder)
+    files.create_dir(base, recursive=True)
+    dealt = distinct.join(per.hint("merge"), ["dim", "band"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("v"), F.col("shards"))).cast("int"))
+    built = dealt.select("shard", "dim", "v", "members", "first_id").groupBy("shard").applyInPandas(lambda pdf: _build(pdf, folder), "shard int, dim int, nodes int")
+    built = common.materialize(built, "hnsw-shards")
+    # shards of one number of components follow each other; a group is a run of those that hold vectors
+    groups = built.groupBy("dim", F.floor(F.col("shard") / GROUP_SHARDS).alias("group")).agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    asked = common.materialize(_packed(queries.filter(usable("v")), "query_id"), "hnsw-queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(lambda a, b: _ask(a, b, k, dim), _SCHEMA)
+    met = asked.withColumn("dim", (F.octet_length("v") / 8).cast("int")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(groups, "dim")
+    found = met.select("query_id", "v", "dim", "block", "group", "shards").groupBy("dim", "group", "block").applyInPandas(lambda pdf: _ask(pdf, folder, pdf["shards"].iat[0], k), _SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -298,15 +312,17 @@ def _doubles(column: pa.Array) -> list[bytes]:
     return [(np.asarray(x, dtype="<f8") + 0.0).tobytes() for x in column.to_pylist()]  # -0.0 becomes 0.0
 
 
-def _smallest_ids(rows: DataFrame, n: int, dim: int) -> DataFrame:
-    """(v binary, band, members, first_id): the n smallest ids of each distinct vector. A task hands on n ids of a vector at most, so
+def _smallest_ids(rows: DataFrame, n: int) -> DataFrame:
+    """(v binary, dim, band, members, first_id): the n smallest ids of each distinct vector. A task hands on n ids of a vector at most, so
     that a hot vector's ids are never gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            bands = _bands(np.frombuffer(b"".join(held), dtype="<f8").reshape(-1, dim))
+            bands, sizes = np.zeros(len(held), dtype=np.int32), np.array([len(v) for v in held])
+            for size in np.unique(sizes):
+                bands[sizes == size] = _bands(np.frombuffer(b"".join(v for v in held if len(v) == size), dtype="<f8").reshape(-1, size // 8))
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(bands, pa.int32()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["v", "band", "ids"])
             held.clear()
             return out
@@ -328,7 +344,7 @@ def _smallest_ids(rows: DataFrame, n: int, dim: int) -> DataFrame:
 
     some = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, "v binary, band int, ids array<long>")
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids"))))
-    return some.groupBy("v").agg(F.min("band").alias("band"), F.slice(every, 1, n).alias("members")).withColumn("first_id", F.element_at("members", 1))
+    return some.groupBy("v").agg((F.octet_length("v") / 8).cast("int").alias("dim"), F.min("band").alias("band"), F.slice(every, 1, n).alias("members")).withColumn("first_id", F.element_at("members", 1))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
