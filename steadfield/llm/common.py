@@ -7,6 +7,7 @@ join does, and keeps repeated rows; ``slices`` of an empty batch are none; a sin
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +31,8 @@ HOT_PARTS, HOT_ROWS = 1_000, 256
 SLICE_BYTES = 2 << 20
 
 _made: set[str] = set()
+#: Tables and folders made within a ``scratch``.
+_scratch: list[list[str]] = []
 
 #: For SQL without a crc32: of the strings x of a table crc_in, crc_out has (x, crc). crc_tail has what byte b contributes
 #: with k bytes after it, and crc_zero the sum of k zero bytes. Needs WITH RECURSIVE.
@@ -98,14 +101,30 @@ def file_system(uri: str):
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _scratch:
+        made.append(path)
+    return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: what follows survives the loss of executors
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is made in the shared folder within this block goes at its end; what is to stay is written to a path from outside."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder (or to path) and reads it back: what follows survives the loss of executors
     without the work before it, and the optimizer knows the table's size."""
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEAN, None)
+    path, before = path or new_path(spark, name), spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")  # nothing reads this plan's shuffle files once the table is there
     try:
         df.write.option("compression", "zstd").parquet(path)

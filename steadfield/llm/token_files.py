@@ -91,10 +91,22 @@ class EliasFano:
         one = start + int(np.flatnonzero(bits[start - 8 * first :])[i - block * SAMPLE])
         return ((one - i) << self.low_bits) | int(self._lows(np.array([i]))[0])
 
+    def select_many(self, places: np.ndarray) -> np.ndarray:
+        """The values at ascending places. Each sample that stands before some of them is followed once, to the next."""
+        places = np.asarray(places, dtype=np.int64)
+        if len(places) and not (0 <= places[0] and places[-1] < self.n):
+            raise IndexError((int(places[0]), int(places[-1])))
+        ones = np.empty(len(places), dtype=np.int64)
+        blocks, first = np.unique(places // SAMPLE, return_index=True)
+        for block, a, z in zip(blocks.tolist(), first.tolist(), [*first[1:].tolist(), len(places)]):
+            start = int(self.samples[block])
+            end = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high)
+            bits = np.unpackbits(self.high[start >> 3 : (end >> 3) + 1], bitorder="little")
+            ones[a:z] = start + np.flatnonzero(bits[start & 7 :])[places[a:z] - block * SAMPLE]
+        return ((ones - places).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(places)
+
     def all(self) -> np.ndarray:
-        i = np.arange(self.n)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(i)
+        return self.select_many(np.arange(self.n))
 
 
 def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -230,7 +242,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 fs, path = common.file_system(row["path"])
                 with fs.open_input_stream(path) as f:
                     shard = Shard(f.read())
-                ends = np.concatenate(([0], shard.ends.all().astype(np.int64)))
+                ends = np.concatenate(([0], shard.ends.select_many(np.arange(shard.ends.n)).astype(np.int64)))
                 crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard.doc_ids(), pa.int64()), pa.array(ends[:-1] + row["first"], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())],

@@ -69,3 +69,31 @@ def tokens_(before, after):
 
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert Counter((r.doc_id, digest(r.text)) for r in before) == Counter((r.doc_id, r.decoded_sha256) for r in after)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], "odd"], ids=["empty", "null", "odd"])
+def test_odd_inputs(spark, tmp_path, rows):
+    """No labels, no documents, nulls, very long and repeated texts, columns whose names the operators use themselves."""
+    import corpus_pipeline as cp
+    from helpers import odd_docs, write_docs
+
+    rows = odd_docs() + [(7000, "word " * 60_000), (7000, "word " * 60_000)] if rows == "odd" else rows
+    write_docs(spark, f"{tmp_path}/documents.parquet", rows)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), Counter((r[0], r[1]) for r in rows)
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < len(cp.STAGES) - 1:
+            assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+            out.write.parquet(f"{tmp_path}/after-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/after-{k}")
+            after = Counter((r.doc_id, r.text) for r in docs.collect())
+            assert after.keys() <= kept.keys(), name
+            if k == 0:
+                assert after == kept, name  # without labels nothing is rejected
+            if k == 1:
+                assert len({FOLD.sub(" ", t or "") for _, t in after.elements()}) == after.total()
+            kept = after
+        else:
+            tokens_(docs.collect(), out.collect())
+    assert Counter(r.doc_id for r in cp.run(spark, str(tmp_path)).collect()) == Counter(d for d, _ in kept.elements())

@@ -125,3 +125,16 @@ def test_ranks_must_be_whole(tmp_path):
     (tmp_path / "r").write_bytes(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"b") + b" 2\n")
     with pytest.raises(ValueError):
         byte_bpe.read_ranks(str(tmp_path / "r"))
+
+
+def test_select_many():
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 5), (700, 3), (5000, 900), (3000, 10**9)):
+        v = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
+        ef, _ = token_files.EliasFano.read(memoryview(token_files.EliasFano.of(v).to_bytes()), 0)
+        assert (ef.select_many(np.arange(n)) == v).all() and (ef.all() == v).all()
+        some = np.sort(rng.choice(n, min(n, 60), replace=False))
+        assert (ef.select_many(some) == v[some]).all() and [ef.select(int(i)) for i in some] == v[some].tolist()
+        assert len(ef.select_many(np.empty(0, dtype=np.int64))) == 0
+        with pytest.raises(IndexError):
+            ef.select_many(np.array([n]))
