@@ -16,9 +16,12 @@ content, that has half of it or more, else the innermost box with nine tenths of
 that region. Word lists tell apart what varies and is not main text (menus, headers, footers, side bars, notices, adverts,
 forms, reader comments); slots that hold mostly links, outside article and main, count as menus.
 
+Slots of groups that repeat several texts each time (a name and what was said), outside article, main and boxes named as
+content, are left out where at least as much of the varying text stands outside of them: they are comments or lists.
+
 Slots of repeated groups hold several texts. One of them, outside article and main, that stands in one path beside
 ``LEAST_PAGES`` different contents or more, and beside at least one of ``SHARE`` of all that the host has, is template as
-well. A content is told by the longest other main text of its page, so that copies of one page, and pages that differ in
+well, unless it is the text between the heading and the first other text of its slot, a by-line. A content is told by the longest other main text of its page, so that copies of one page, and pages that differ in
 small things, count once; a text longer than all others of its page is not counted. A page all of whose main text would go
 keeps it, and a page without text in the region of its host is read by its own boxes, as are hosts without variation.
 
@@ -64,7 +67,7 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WHITE = re.compile(r"\s+")
 #: The share of a host's varying text that makes a box its content region, named so or not.
-NAMED_SHARE, REGION_SHARE = 0.5, 0.9
+NAMED_SHARE, REGION_SHARE = 0.5, 0.75
 #: Elements that neither end a block nor stand in a path.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr meta link".split())
 #: Elements without an end tag.
@@ -78,14 +81,16 @@ CONTENT_ELEMENTS = ("article", "main")
 CONTENT_WORDS = frozenset("main article content post entry story".split())
 #: Elements that can be a content region.
 CONTAINERS = frozenset("html body div section article main center".split())
-_WORD = re.compile(r"[a-z]+")
+#: Words of class names, and such words with a short number, that tell like boxes apart; longer numbers are those of items.
+_WORD, _NUMBERED = re.compile(r"[a-z]+"), re.compile(r"[a-z]+[0-9]{1,2}(?![0-9])")
 
 
 def _words(attributes: str) -> list[str]:
     found: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        words = _WORD.findall(next(filter(None, m.groups()[1:]), "").lower())
-        found.update(words if m[1].lower() == "class" else (DROPPED_WORDS | CONTENT_WORDS).intersection(words))
+        said = next(filter(None, m.groups()[1:]), "").lower()
+        words = _WORD.findall(said)
+        found.update(words + _NUMBERED.findall(said) if m[1].lower() == "class" else (DROPPED_WORDS | CONTENT_WORDS).intersection(words))
     return sorted(found)
 
 
@@ -281,13 +286,19 @@ class Wrapper:
     def __init__(self, items: list) -> None:
         self.codes: dict[str, str] = {}
         self.slots: list[str] = []
+        #: Slots of repeated groups that hold several texts each time, as a list of comments does.
+        self.records: set[int] = set()
         pattern = "".join(map(self._pattern, items))
         self.pattern = regex.compile(pattern)
         self.by_path = {path: n for n, path in reversed(list(enumerate(self.slots)))}
 
     def _pattern(self, item: str | list) -> str:
         if not isinstance(item, str):
-            return f"(?:{''.join(map(self._pattern, item[1]))}){item[0]}+"
+            first = len(self.slots)
+            pattern = f"(?:{''.join(map(self._pattern, item[1]))}){item[0]}+"
+            if item[0] == "+" and len(self.slots) - first > 1:
+                self.records.update(range(first, len(self.slots)))
+            return pattern
         code = regex.escape(self.codes.setdefault(item, chr(0x10000 + len(self.codes))))
         if item[0] == "#":
             self.slots.append(item)
@@ -390,8 +401,13 @@ def region(slots: list[tuple[str, int]]) -> tuple[str, str]:
     return ("path", max(most, key=lambda box: (box.count("/"), box))) if most else ("name", "")
 
 
-def main_slots(slots: list[str], seen: dict[int, tuple[bool, int, int]]) -> list[int]:
-    """The slots of main text. slots: the paths of a wrapper's slots; seen: for slots that pages fill, whether the text is
+def _named(path: str) -> bool:
+    """Whether a path leads through an element, or a box so named, that says that it is content."""
+    return any(name in CONTENT_ELEMENTS or words & CONTENT_WORDS for name, words in _boxes(path))
+
+
+def main_slots(slots: list[str], seen: dict[int, tuple[bool, int, int]], records: set[int] = frozenset()) -> list[int]:
+    """The slots of main text. slots: the paths of a wrapper's slots; records: those of groups that repeat several texts; seen: for slots that pages fill, whether the text is
     always the same over different contents, its size over all pages, and how much of that is links."""
     varying, alive = [], {slots[n] for n, (same, _, _) in seen.items() if 0 <= n < len(slots) and not same}
     for n, (same, size, links) in sorted(seen.items()):
@@ -400,6 +416,10 @@ def main_slots(slots: list[str], seen: dict[int, tuple[bool, int, int]]) -> list
         if 0 <= n < len(slots) and not same and size and not any(name in DROPPED_ELEMENTS or w & DROPPED_WORDS and name not in ("html", "body") for name, w in _boxes(slots[n])):
             if 2 * links <= size or any(name in CONTENT_ELEMENTS for name, _ in _boxes(slots[n])):
                 varying.append((n, slots[n], size))
+    # lists of records beside at least as much plain text are what readers and others added, whatever their boxes are called
+    listed = [n for n, path, _ in varying if n in records and not _named(path)]
+    if 2 * sum(size for n, _, size in varying if n in listed) <= sum(size for _, _, size in varying):
+        varying = [v for v in varying if v[0] not in listed]
     how, box = region([(path, size) for _, path, size in varying])
     if how == "name":
         return [n for n, path, _ in varying if _is_main(path, box)]
@@ -506,7 +526,7 @@ def _decided(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
         if not len(slots) or not len(wrapper):
             return pd.DataFrame({"host": [], "main": []})
         rows = {int(n): (bool(s), int(z), int(k)) for n, s, z, k in zip(slots["slot"], slots["same"], slots["size"], slots["links"])}
-        return pd.DataFrame({"host": wrapper["host"].iloc[:1], "main": [main_slots(_compiled(wrapper["wrapper"].iat[0]).slots, rows)]})
+        return pd.DataFrame({"host": wrapper["host"].iloc[:1], "main": [main_slots((w := _compiled(wrapper["wrapper"].iat[0])).slots, rows, w.records)]})
 
     met = seen.groupBy("host").cogroup(wrappers.select("host", "wrapper").groupBy("host"))
     return common.materialize(met.applyInPandas(decide, "host string, main array<int>"), "html-slots")
@@ -528,7 +548,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     of_main = lambda b: F.array_contains("main", b.slot)
     some = lambda take: F.transform(F.filter("blocks", lambda b: take(b) & (b.text != "")), lambda b: b.text)
     none = F.array().cast("array<string>")
-    choices = [some(lambda b: of_main(b) & ~b.same), some(of_main), some(lambda b: b.own & ~b.same), some(lambda b: b.own)]
+    # what is the same on all pages but stands between the heading and a text that is not, in a slot of that text, is its by-line
+    met = met.withColumn("told", F.filter("blocks", lambda b: of_main(b) & (b.text != "")))
+    at = lambda i: F.get("told", F.lit(i))
+    by_line = (F.size("told") > 2) & ~at(0).same & ~at(2).same & (at(1).slot == at(2).slot)
+    varying = F.transform(F.filter("told", lambda b, i: ~b.same | ((i == 1) & by_line)), lambda b: b.text)
+    choices = [varying, some(of_main), some(lambda b: b.own & ~b.same), some(lambda b: b.own)]
     text = F.array_join(F.coalesce(*(F.when(F.size(c) > 0, c) for c in choices), none), "\n").alias("text")
     return met.select("page_id", "url", text).withColumn("n_chars", F.char_length("text").cast("long"))
 
