@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
-from ..functions.numeric import f64
-from ..operators import ranks
-from .base import EVENTS, D, R, events, query, rnd, table
+from ..functions.numeric import f64, floor_quantize
+from ..operators import joint, ranks, superacc
+from .base import EVENTS, PRICED, D, R, events, priced, query, rnd, table
 
 #: Values of both signs, zeros of both signs among them, in 64 and in 32 bits.
 _SIGNED = "SELECT event_id AS i, (value - 10) * CASE WHEN event_id % 7 = 0 THEN -0.0::DOUBLE WHEN event_id % 3 = 0 THEN -1.0 / 3 ELSE 1.0::DOUBLE END AS x FROM events"
@@ -83,3 +83,35 @@ def exact_ranks(spark, d):
 def event_quantiles(spark, d):
     q = ranks.quantiles(events(spark, d), ["field_id"], F.col("x"), _AT)
     return q.select("field_id", *(rnd(F.col("q")[k], 5).alias(f"q{k}") for k in range(len(_AT))))
+
+
+#: Values of 32 bits between 2 ** -20 and 2 ** 20 are whole multiples of 2 ** -44, their squares of 2 ** -88: whole numbers sum them up.
+_X = f"CAST({D('x')} * {float(1 << 44)!r} AS HUGEINT)"
+
+
+@query("q_exact_sums", f"SELECT field_id, CAST(sum({_X}) AS DOUBLE) / {float(1 << 44)!r} AS mass, CAST(sum(CAST(floor(x * 8) AS HUGEINT) * CAST(floor(x * 8) AS HUGEINT)) AS DOUBLE) / 64 AS energy, count(*) AS n FROM ({EVENTS}) GROUP BY field_id")
+def exact_sums(spark, d):
+    """Mass of events, energy of their eighths, to the last bit, and the number of terms."""
+    eighths = F.floor(F.col("x") * 8) / 8
+    f = events(spark, d)
+    sums = superacc.exact_sums(f, {"mass": F.col("x"), "energy": eighths * eighths})
+    return sums.join(f.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")), "field_id")
+
+
+_JOINT = f"""WITH f AS (SELECT field_id, {D('x')} AS x, CAST(CAST(floor({D('x')} / 1000.0) * 1000.0 AS FLOAT) AS DOUBLE) AS xh, {D('w')} AS w FROM ({PRICED})),
+ m AS (SELECT field_id, avg(x) AS mx, avg(xh) AS mh, avg(w) AS mw FROM f GROUP BY field_id),
+ s AS (SELECT field_id, count(*) AS n, any_value(mx) AS mx, any_value(mh) AS mh, any_value(mw) AS mw, sum((x - mx) * (x - mx)) AS e0, sum((xh - mh) * (xh - mh)) AS e1, sum((x - mx) * (w - mw)) AS g0, sum((xh - mh) * (w - mw)) AS g1, sum((w - mw) * (w - mw)) AS gw FROM f JOIN m USING (field_id) GROUP BY field_id),
+ p AS (SELECT *, sqrt((e0 - g0 * g0 / gw) / (e1 - g1 * g1 / gw)) AS a FROM s), q AS (SELECT *, (g0 - a * g1) / gw AS c FROM p)
+ SELECT field_id, n, {R('a', 8)} AS a, {R('c', 5)} AS c, {R('mx - a * mh - c * mw', 3)} AS b, true AS ok, true AS mass_kept, true AS energy_kept, true AS momentum_kept FROM q"""
+
+
+@query("q_joint_invariants", _JOINT)
+def joint_invariants(spark, d):
+    """Mass, energy and momentum weighted by quantity, all three kept to 1e-9."""
+    f = priced(spark, d).withColumn("xh", floor_quantize(F.col("x"), 1000.0).cast("float"))
+    p = joint.joint_params(f, ["w"])
+    done = joint.restore(f, ["w"])
+    x, xc, w = f64(F.col("x")), F.col("xc"), f64(F.col("w"))
+    near = lambda a, b: F.abs(F.sum(a) - F.sum(b)) <= 1e-9 * F.abs(F.sum(b))
+    kept = done.groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), near(xc, x).alias("mass_kept"), near(xc * xc, x * x).alias("energy_kept"), near(w * xc, w * x).alias("momentum_kept"))
+    return kept.join(p, "field_id").select("field_id", "n", rnd(F.col("a"), 8).alias("a"), rnd(F.col("c")[0], 5).alias("c"), rnd(F.col("b"), 3).alias("b"), "ok", "mass_kept", "energy_kept", "momentum_kept")
