@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.numeric import f64, floor_quantize
-from ..operators import joint, ranks, superacc
+from ..operators import joint, metrics, ranks, superacc
+from ..streaming import running
 from .base import EVENTS, PRICED, D, R, events, priced, query, rnd, table
 
 #: Values of both signs, zeros of both signs among them, in 64 and in 32 bits.
@@ -115,3 +116,36 @@ def joint_invariants(spark, d):
     near = lambda a, b: F.abs(F.sum(a) - F.sum(b)) <= 1e-9 * F.abs(F.sum(b))
     kept = done.groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), near(xc, x).alias("mass_kept"), near(xc * xc, x * x).alias("energy_kept"), near(w * xc, w * x).alias("momentum_kept"))
     return kept.join(p, "field_id").select("field_id", "n", rnd(F.col("a"), 8).alias("a"), rnd(F.col("c")[0], 5).alias("c"), rnd(F.col("b"), 3).alias("b"), "ok", "mass_kept", "energy_kept", "momentum_kept")
+
+
+_CODED = f"SELECT field_id, i % 4 = 0 AS whole, {D('x')} AS x, CASE WHEN i % 4 = 0 THEN {D('x')} ELSE floor({D('x')} / 8) * 8 END AS xh FROM ({EVENTS})"
+_STEER = f"""WITH s AS (SELECT field_id, count(*) AS n, stddev_pop(x) AS target, stddev_pop(xh) AS before, sum(CASE WHEN whole THEN 0 ELSE xh END) AS l1, sum(CASE WHEN whole THEN 0 ELSE xh * xh END) AS l2,
+ sum(CASE WHEN whole THEN xh ELSE 0 END) AS f1, sum(CASE WHEN whole THEN xh * xh ELSE 0 END) AS f2 FROM ({_CODED}) GROUP BY field_id),
+ q AS (SELECT *, l2 / n - l1 * l1 / n / n AS a, -2 * l1 * f1 / n / n AS b, f2 / n - f1 * f1 / n / n - target * target AS c FROM s),
+ r AS (SELECT *, (-b + sqrt(b * b - 4 * a * c)) / (2 * a) AS r1, (-b - sqrt(b * b - 4 * a * c)) / (2 * a) AS r2 FROM q)
+ SELECT field_id, {R('target', 6)} AS target, {R('before', 6)} AS before, {R('CASE WHEN r2 > 0 AND abs(r2 - 1) < abs(r1 - 1) THEN r2 ELSE r1 END', 5)} AS alpha, true AS kept FROM r"""
+
+
+@query("q_metric_steer", _STEER)
+def metric_steer(spark, d):
+    """A metric of the user's own, the standard deviation of a whole field, steers the factor of its coarse values."""
+    whole, x = F.col("i") % 4 == 0, f64(F.col("x"))
+    f = events(spark, d).select("field_id", x.alias("x"), F.when(whole, x).otherwise(F.floor(x / 8) * 8.0).alias("xh"), F.when(whole, 32).otherwise(8).alias("bits"))
+    s = metrics.steer(f, ["field_id"], metrics.DEVIATION)
+    near = F.abs(F.col("after") - F.col("target")) <= 1e-7 * F.col("target")
+    return s.select("field_id", rnd(F.col("target"), 6).alias("target"), rnd(F.col("before"), 6).alias("before"), rnd(F.col("alpha"), 5).alias("alpha"), near.alias("kept"))
+
+
+_RUN = "(PARTITION BY field_id, span ORDER BY ts, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_RUNNING = f"""WITH f AS (SELECT event_type AS field_id, event_id AS i, ts, date_trunc('day', ts) AS span, {D('CAST(value AS FLOAT)')} AS x, floor({D('CAST(value AS FLOAT)')} / 2) * 2 AS h FROM events),
+ s AS (SELECT field_id, i, h, count(*) OVER {_RUN} AS n, sum(x) OVER {_RUN} AS m0, sum(x * x) OVER {_RUN} AS s0, sum(h) OVER {_RUN} AS m1, sum(h * h) OVER {_RUN} AS s1 FROM f),
+ v AS (SELECT *, greatest(s0 / n - (m0 / n) * (m0 / n), 0) AS v0, s1 / n - (m1 / n) * (m1 / n) AS v1 FROM s)
+ SELECT field_id, i, n, {R('(CASE WHEN v1 > 1e-6 THEN sqrt(v0 / v1) ELSE 1 END) * h + m0 / n - (CASE WHEN v1 > 1e-6 THEN sqrt(v0 / v1) ELSE 1 END) * m1 / n', 3)} AS xc FROM v WHERE n > 3"""
+
+
+@query("q_running_restoration", _RUNNING)
+def running_restoration(spark, d):
+    """Each event restored by the sums of its type and day up to itself, as on a stream; the first three of a day, whose
+    variance may be nothing but rounding, are left out."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("field_id"), "ts", F.col("event_id").alias("i"), F.col("value").cast("float").alias("x"))
+    return running.restore_running(e, F.floor(F.col("x") / 2) * 2.0).filter("n > 3").select("field_id", "i", "n", rnd(F.col("xc"), 3).alias("xc"))
