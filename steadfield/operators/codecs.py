@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import words
-from ..functions.numeric import AbsQuantizer, PowerQuantizer, f32, floor_quantize, uniform_quantize
+from ..functions.numeric import AbsQuantizer, PowerQuantizer, bits_needed, f32, floor_quantize, uniform_quantize
 from ..model import CHUNK_VALUES, SUBCHUNK_VALUES, Invariant
 from ..runtime import ship
 from ..sources import containers
@@ -65,6 +65,16 @@ class PowerCodec:
     def size(self, field: DataFrame, bound: float, mode: int = 0, keys: list[str] | None = None) -> DataFrame:
         return chunks.file_sizes(self.sizes(field, bound, keys), self.header, mode, keys)
 
+    def sizes_at(self, field: DataFrame, bounds: list[float], keys: list[str] | None = None) -> DataFrame:
+        """(*keys, bound, original, bytes) at several bounds from one pass: the widest codes of a subchunk at all bounds are
+        columns of one aggregation, and only its rows are multiplied."""
+        keys = keys or ["field_id"]
+        code = [F.coalesce(PowerQuantizer(b).code(F.col("x")), F.lit(0xFFFFFFFF).cast("long")) for b in bounds]
+        widest = chunks.with_chunks(field).groupBy(*keys, "chunk", "sub").agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(f"_m{k}") for k, c in enumerate(code)))
+        each = F.explode(F.array(*(F.struct(F.lit(float(b)).alias("bound"), bits_needed(F.col(f"_m{k}")).alias("bits")) for k, b in enumerate(bounds))))
+        subs = widest.select(*keys, "chunk", "sub", "n", each.alias("_b")).select(*keys, "chunk", "sub", "n", "_b.*")
+        return chunks.file_sizes(chunks.packed_sizes(subs, [*keys, "bound"]), self.header, keys=[*keys, "bound"])
+
 
 CODECS: dict[str, Codec] = {c.name: c for c in (FloorCodec(), UniformCodec(), PowerCodec())}
 
