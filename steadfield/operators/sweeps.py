@@ -67,12 +67,6 @@ def tightest(field: DataFrame, recon, steps: int = 5, shrink: float = 0.98, keys
     return out.select(*by, "step", "bound", "bound_used", "max_cor_over_b", "mass_cor", "energy_cor", "violations")
 
 
-def size_at(coded_sizes: DataFrame, tight_sizes: DataFrame, keys: list[str], side_info: int = 16) -> DataFrame:
-    """What restoration costs: the ratio at a bound, and at the tightened bound with what is stored beside."""
-    a, b = coded_sizes.withColumnRenamed("bytes", "bytes_plain"), tight_sizes.select(*keys, F.col("bytes").alias("bytes_tight"))
-    return a.join(b, keys).withColumns({"ratio_plain": F.col("original") / F.col("bytes_plain"), "ratio_tight": F.col("original") / (F.col("bytes_tight") + side_info)})
-
-
 def feasible_step(field: DataFrame, candidates: Sequence[float], recon, limit: Column, keys: list[str] | None = None) -> DataFrame:
     """(*keys, q): the largest candidate whose greatest error stays within the limit (an aggregate or a literal)."""
     keys = keys or ["field_id"]

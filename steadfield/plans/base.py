@@ -63,10 +63,11 @@ def cube(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_cube(spark: SparkSession, d: str) -> DataFrame:
     """Three vectors that follow each other as the components u, v, w of one 4 x 4 x 4 grid: (k, i, i0, i1, i2, u, v, w).
-    Defined result, the same in SQL: three that aren't all there, at the end or beside a gap in vec_id, give no grid."""
+    Defined result, the same in SQL: a vector that is not there, at the end or at a gap in vec_id, is all zeros."""
     part = lambda r: F.max(F.when(F.col("vec_id") % 3 == r, F.col("embedding")))
     grouped = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 3).cast("long").alias("k")).agg(part(0).alias("u"), part(1).alias("v"), part(2).alias("w"))
-    whole = grouped.filter("u is not null and v is not null and w is not null")
+    zeros = F.transform(F.coalesce("u", "v", "w"), lambda x: F.lit(0).cast("float"))
+    whole = grouped.withColumns({n: F.coalesce(F.col(n), zeros) for n in "uvw"})
     long = whole.select("k", F.posexplode(F.arrays_zip("u", "v", "w")).alias("i", "c")).select("k", F.col("i").cast("long").alias("i"), *(F.col(f"c.{n}").cast("float").alias(n) for n in "uvw"))
     return long.select("k", "i", F.floor(F.col("i") / 16).cast("long").alias("i0"), F.floor(F.col("i") % 16 / 4).cast("long").alias("i1"), (F.col("i") % 4).cast("long").alias("i2"), "u", "v", "w")
 
@@ -77,6 +78,6 @@ BALANCES = "SELECT c_mktsegment AS field_id, c_custkey AS i, CAST(c_acctbal AS F
 _LONG = "SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings"
 PLANE = f"SELECT vec_id, i, i // 8 AS i0, i % 8 AS i1, x FROM ({_LONG})"
 CUBE = f"SELECT vec_id, i, i // 16 AS i0, i % 16 // 4 AS i1, i % 4 AS i2, x FROM ({_LONG})"
-VECTOR_CUBE = f"""SELECT vec_id // 3 AS k, i, i // 16 AS i0, i % 16 // 4 AS i1, i % 4 AS i2, max(x) FILTER (vec_id % 3 = 0) AS u, max(x) FILTER (vec_id % 3 = 1) AS v,
- max(x) FILTER (vec_id % 3 = 2) AS w FROM ({_LONG}) GROUP BY vec_id // 3, i HAVING count(*) = 3"""
+VECTOR_CUBE = f"""SELECT vec_id // 3 AS k, i, i // 16 AS i0, i % 16 // 4 AS i1, i % 4 AS i2, coalesce(max(x) FILTER (vec_id % 3 = 0), 0) AS u, coalesce(max(x) FILTER (vec_id % 3 = 1), 0) AS v,
+ coalesce(max(x) FILTER (vec_id % 3 = 2), 0) AS w FROM ({_LONG}) GROUP BY vec_id // 3, i"""
 D = lambda c: f"CAST({c} AS DOUBLE)"
