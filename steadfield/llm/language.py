@@ -41,8 +41,8 @@ FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 EXHAUSTIVE, CODES, PER_DOUBLING = 6, 200, 10
 AMBIGUOUS, NONE = 0.1, "und"
 _STEPS, _RATE, _RIDGE, _SLACK = 120, 0.5, 1e-4, 0.01
-#: Texts whose features stand as dense rows at a time.
-_ROWS = 32
+#: Texts whose features stand as dense rows at a time, and bytes of text that are taken up at a time.
+_ROWS, SLICE = 32, 1 << 18
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 #: Odd multipliers, one for each length of gram.
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
@@ -63,7 +63,7 @@ def cleaned(text: str | None) -> bytes:
 def features(parts: list[bytes]) -> np.ndarray:
     """A row of BUCKETS values for each cleaned text: the square root of each bucket's share of its n-grams."""
     b = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     out = np.zeros(len(parts) * BUCKETS)
     gram, shift = np.zeros(len(b), dtype=np.uint32), np.uint32(32 - BUCKETS.bit_length() + 1)
     for k in range(min(LONGEST_GRAM, len(b))):
@@ -100,16 +100,31 @@ def codewords(languages: int) -> np.ndarray:
     return best
 
 
-def fit_bit(index: np.ndarray, value: np.ndarray, start: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Weights of a logistic classifier, its constant last, on rows of sparse features; either side counts as much as the
-    other. Full steps with a running scale for each weight."""
-    length = np.diff(np.append(start, len(index)))
+#: Sparse rows of one block of texts: bucket and value of each feature, where each row begins, and the rows' places.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, slice]
+
+
+def sparse(parts: list[bytes]) -> list[Block]:
+    out = []
+    for at, x in _batched(parts):
+        row, index = np.nonzero(x)
+        length = np.bincount(row, minlength=len(x))
+        out.append((index.astype(np.int32), x[row, index], np.concatenate(([0], np.cumsum(length)[:-1])), slice(at, at + len(x))))
+    return out
+
+
+def fit_bit(blocks: list[Block], sign: np.ndarray) -> np.ndarray:
+    """Weights of a logistic classifier, its constant last, on blocks of sparse rows, none of them empty; either side counts as
+    much as the other. Full steps with a running scale for each weight, summed up block by block."""
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
     w, first, second = (np.zeros(BUCKETS + 1) for _ in range(3))
     for step in range(1, _STEPS + 1):
-        z = np.add.reduceat(w[index] * value, start) + w[-1] if len(start) else np.zeros(0)
-        pull = -sign * weight / (1 + np.exp(np.clip(sign * z, -30, 30)))
-        gradient = np.append(np.bincount(index, np.repeat(pull, length) * value, BUCKETS) + _RIDGE * w[:-1], pull.sum())
+        gradient = np.append(_RIDGE * w[:-1], 0.0)
+        for index, value, start, rows in blocks:
+            z = np.add.reduceat(w[index] * value, start) + w[-1]
+            pull = -sign[rows] * weight[rows] / (1 + np.exp(np.clip(sign[rows] * z, -30, 30)))
+            gradient[:-1] += np.bincount(index, np.repeat(pull, np.diff(np.append(start, len(index)))) * value, BUCKETS)
+            gradient[-1] += pull.sum()
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         w -= _RATE / math.sqrt(step) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return w
@@ -187,16 +202,12 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Model:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code, fitted = held.value
-            found = [np.nonzero(x) + (x,) for _, x in _batched([p for _, p in fitted])]
-            index = np.concatenate([c for _, c, _ in found])
-            value = np.concatenate([x[r, c] for r, c, x in found])
-            length = np.concatenate([np.bincount(r, minlength=len(x)) for r, _, x in found])
-            start = np.concatenate(([0], np.cumsum(length)[:-1]))
-            langs = np.array([k for k, _ in fitted])
+            blocks, langs = sparse([p for _, p in fitted]), np.array([k for k, _ in fitted])
             for frame in frames:
                 for bit in frame["id"]:
-                    w = fit_bit(index, value, start, code[langs, bit].astype(np.float64))
-                    yield pd.DataFrame({"bit": [bit], "weights": [w.tobytes()]})
+                    yield pd.DataFrame({"bit": [bit], "weights": [fit_bit(blocks, code[langs, bit].astype(np.float64)).tobytes()]})
+            del blocks
+            common.give_back()
 
         bits = code.shape[1]
         for r in spark.range(0, bits, numPartitions=bits).mapInPandas(run, "bit long, weights binary").collect():
@@ -216,7 +227,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for part in common.slices(batch, 1):
+            for part in common.slices(batch, 1, SLICE):
                 names, score, ambiguous = model.decode([cleaned(t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
