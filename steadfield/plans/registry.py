@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coding, exact, grids, invariants, joins, tiles  # noqa: F401  they register their queries
+from . import coding, exact, files, grids, invariants, joins, tiles  # noqa: F401  they register their queries
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "q_conserve_mass_energy"
