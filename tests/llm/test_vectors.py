@@ -29,3 +29,16 @@ def test_vectors_of_every_length(spark, monkeypatch):
             assert all(abs(s - float(v @ rows[i])) <= 1e-9 * max(1, abs(s)) for i, s in got.get(q, []))
     assert hit >= 0.97 * total
     assert 2000 not in got
+
+
+def test_recall_of_a_full_shard():
+    """Vectors without any order, of different lengths, the hardest there are: one shard as full as shards are."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((hnsw.SHARD_ROWS, 64))
+    unit = v / np.sqrt((v * v).sum(axis=1)).max()
+    points = np.concatenate((unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
+    asked = v[::80] / np.sqrt((v[::80] ** 2).sum(axis=1))[:, None]
+    found, _ = hnsw.Graph.build(points).search(np.concatenate((asked, np.zeros((len(asked), 1))), axis=1).astype(np.float32), hnsw.SEARCH_BEAM)
+    score = asked @ v.T
+    hit = sum(len(set(np.argsort(-s)[:20].tolist()) & set(f.tolist())) for s, f in zip(score, found))
+    assert hit >= 0.92 * 20 * len(asked), hit / 20 / len(asked)
