@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, f32, f64, half_even
 from ..model import CORRECTABLE_BITS, DEFAULT_TIERS, Tier
-from . import correct, ranks
+from . import correct, halo, ranks
 from . import invariants as inv
 
 _NO_SPREAD = 1e-12
@@ -74,11 +74,16 @@ def decode(c: Column, lo: Column, hi: Column, bits: Column, x: Column) -> Column
     return F.when(bits >= 32, f32(x)).when(f64(hi) - f64(lo) < _NO_SPREAD, f32(lo)).otherwise(f32(f64(lo) + c / levels * (f64(hi) - f64(lo))))
 
 
-def quantize(field: DataFrame, keys: list[str], tiers: Sequence[Tier] = DEFAULT_TIERS, x: str = "x") -> DataFrame:
-    """field with tier: adds bits, lo, hi of the tier in its field, code and xh. The ranges are one row for each field
-    and tier and are joined back."""
-    ranges = field.groupBy(*keys, "tier").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    out = correct.attach(field, ranges, [*keys, "tier"]).withColumn("bits", bits_of(F.col("tier"), tiers))
+def quantize(field: DataFrame, keys: list[str], tiers: Sequence[Tier] = DEFAULT_TIERS, x: str = "x", shape: tuple[int, ...] | None = None) -> DataFrame:
+    """field with tier: adds bits, lo, hi of the tier in its field, code and xh. The ranges are a window in grids that a tile
+    holds, by their shape; else one row for each field and tier, joined back."""
+    if halo.is_one_tile(shape):
+        w = Window.partitionBy(*keys, "tier")
+        out = field.withColumns({"lo": F.min(x).over(w), "hi": F.max(x).over(w)})
+    else:
+        ranges = field.groupBy(*keys, "tier").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+        out = correct.attach(field, ranges, [*keys, "tier"])
+    out = out.withColumn("bits", bits_of(F.col("tier"), tiers))
     out = out.withColumn("code", code(F.col(x), F.col("lo"), F.col("hi"), F.col("bits")))
     return out.withColumn("xh", decode(F.col("code"), F.col("lo"), F.col("hi"), F.col("bits"), F.col(x)))
 

@@ -49,9 +49,15 @@ def balances(spark: SparkSession, d: str) -> DataFrame:
     return field_long(table(spark, d, "customer"), F.col("c_mktsegment"), F.col("c_custkey"), F.col("c_acctbal"))
 
 
-def plane(spark: SparkSession, d: str) -> DataFrame:
+def vectors(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
+    """Vectors as rows; dealt: by vec_id and before they are taken apart, so that windows and sums of a vector shuffle no rows."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return explode_vectors(e.repartition("vec_id") if dealt else e, "vec_id", "embedding")
+
+
+def plane(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
     """Vectors as 8 x 8 grids: (vec_id, i, i0, i1, x)."""
-    long = explode_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+    long = vectors(spark, d, dealt)
     return long.select("vec_id", F.col("i").cast("long").alias("i"), F.floor(F.col("i") / 8).cast("long").alias("i0"), (F.col("i") % 8).cast("long").alias("i1"), "x")
 
 

@@ -16,24 +16,35 @@ from .base import D, R, query, rnd
 from .grids import _DECODED, _V, _sized, blocks_cube, coded_plane
 
 
+#: Files whose values are one batch.
+_AT_ONCE = 500
+
+
 def _restored(files, restore):
     """(vec_id, i, x) of files (field_id, path), each a small grid."""
     ship(files.sparkSession)
 
+    def one(path):
+        with open(path.removeprefix("file://"), "rb") as h:
+            return np.asarray(restore(h.read()), dtype=np.float32).ravel()
+
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                with open(r["path"].removeprefix("file://"), "rb") as h:
-                    x = np.asarray(restore(h.read()), dtype=np.float32).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([int(r["field_id"])] * len(x), pa.int64()), pa.array(range(len(x)), pa.int64()), pa.array(x)], names=["vec_id", "i", "x"])
+            for first in range(0, b.num_rows, _AT_ONCE):
+                part = b.slice(first, _AT_ONCE)
+                x = [one(path) for path in part.column(1).to_pylist()]
+                counts = [len(v) for v in x]
+                ids = part.column(0).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(x)), counts)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.arange(n) for n in counts])), pa.array(np.concatenate(x))], names=["vec_id", "i", "x"])
 
-    return files.select("field_id", "path").mapInArrow(run, "vec_id long, i long, x float")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("field_id", "path").repartition(tasks, "path").mapInArrow(run, "vec_id long, i long, x float")
 
 
 @query("q_tiered_file", f"SELECT vec_id, i, {R(D('xh'), 6)} AS xh FROM ({_DECODED})")
 def tiered_file(spark, d):
     """Tiered containers of all vectors as files, and the values that they give back."""
-    coded = coded_plane(spark, d).withColumn("field_id", F.col("vec_id").cast("string"))
+    coded = coded_plane(spark, d).withColumnRenamed("vec_id", "field_id")
     files = chunked.write_tiered(coded, new_path(spark, "tiered"), (8, 8))
     back = _restored(files, lambda data: containers.restore_tiered(containers.read_tiered(data)))
     return back.select("vec_id", "i", rnd(f64(F.col("x")), 6).alias("xh"))

@@ -84,7 +84,7 @@ _ATT = f"""SELECT vec_id, i, i0, i1, x, CASE WHEN hi - lo < 1e-12 THEN CAST(0 AS
 
 
 def attention_plane(spark, d):
-    return stencil.attention(plane(spark, d), ["x"], _P, _V, shape=(8, 8))
+    return stencil.attention(plane(spark, d, dealt=True), ["x"], _P, _V, shape=(8, 8))
 
 
 @query("q_attention", f"SELECT vec_id, i, {R(D('att'), 5)} AS att FROM ({_ATT})")
@@ -136,7 +136,7 @@ _DECODED = f"""SELECT *, CASE WHEN bits >= 32 THEN x WHEN {D('hi')} - {D('lo')}
 
 
 def coded_plane(spark, d):
-    return tiers.quantize(tiered_plane(spark, d), _V)
+    return tiers.quantize(tiered_plane(spark, d), _V, shape=(8, 8))
 
 
 @query("q_tiered_codec", f"SELECT vec_id, i, CAST(tier AS INTEGER) AS tier, code, {R(D('xh'), 6)} AS xh FROM ({_DECODED})")

@@ -7,12 +7,15 @@ files are those of the single writers in ``containers``, byte for byte, and no t
 
 Readers take the table of sizes in blocks, scan the blocks' sums and read each block's payloads as one range.
 
+Fields that a group holds, by their stated shape, are packed and written whole, many in a task; larger ones as pieces.
+
 Writing at a place needs files that allow it: the shared folder has to be a mounted one (file://). Chunks, blocks and values
 of a field are numbered from 0 without gaps.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 from collections.abc import Iterator, Sequence
@@ -34,6 +37,9 @@ from . import containers
 
 #: Chunks whose sizes are one range of a file, values whose bytes are made in one group, and bytes written at a time.
 BLOCK, GROUP, RUN = 1024, 16_384, 4 << 20
+#: Bytes of a file whose pieces one task writes.
+STRETCH = 64 << 20
+_NO_NAME = "%null"
 
 
 def little_endian(c: Column, size: int) -> Column:
@@ -47,13 +53,13 @@ def literal(data: bytes) -> Column:
 
 
 def path_of(folder: str, field: Column) -> Column:
-    """A file for each field, its name quoted."""
+    """A file for each field, its name quoted; the field without a name has one that no quoted name gives."""
     name = F.regexp_replace(F.url_encode(field.cast("string")), r"\+", "%20")
-    return F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(".bin"))
+    return F.concat(F.lit(folder.rstrip("/") + "/"), F.coalesce(name, F.lit(_NO_NAME)), F.lit(".bin"))
 
 
 def file_name(folder: str, field: object) -> str:
-    return f"{folder.rstrip('/')}/{quote(str(field), safe='.-*_')}.bin"
+    return f"{folder.rstrip('/')}/{_NO_NAME if field is None else quote(str(field), safe='.-*_')}.bin"
 
 
 def _local(uri: str) -> str:
@@ -98,8 +104,31 @@ def write_pieces(pieces: DataFrame) -> DataFrame:
             os.close(handle)
         yield pa.RecordBatch.from_pydict({"path": list(ends), "end": list(ends.values())}, schema=pa.schema([("path", pa.string()), ("end", pa.int64())]))
 
-    dealt = pieces.select("path", F.col("at").cast("long").alias("at"), "data").repartitionByRange("path", "at").sortWithinPartitions("path", "at")
-    return hold(dealt.mapInArrow(run, "path string, end long").groupBy("path").agg(F.max("end").alias("bytes")))
+    # by stretches and not by ranges, whose bounds would take the pieces to be made twice
+    dealt = pieces.select("path", F.col("at").cast("long").alias("at"), "data").repartition("path", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("path", "at")
+    return keep(dealt.mapInArrow(run, "path string, end long").groupBy("path").agg(F.max("end").alias("bytes")), "files")
+
+
+def write_whole(packed: DataFrame, folder: str) -> DataFrame:
+    """(field_id, path, bytes): each container (field_id, container) as a file, written by the task that packed it. Runs a job."""
+    ship(packed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = []
+            for uri, data in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
+                target = _local(uri)
+                if not size:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                handle, at = os.open(target, os.O_CREAT | os.O_WRONLY, 0o644), 0
+                while at < len(data):
+                    at += os.pwrite(handle, data[at:], at)
+                os.close(handle)
+                size.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64())], names=["field_id", "path", "bytes"])
+
+    named = packed.select(F.col("field_id").cast("string").alias("field_id"), path_of(folder, F.col("field_id")).alias("path"), "container")
+    return keep(named.mapInArrow(run, "field_id string, path string, bytes long"), "files")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -200,6 +229,8 @@ _PART = struct.calcsize("<ffBQdd")
 
 def write_tiered(coded: DataFrame, folder: str, shape: tuple[int, ...], tiers: Sequence[Tier] = DEFAULT_TIERS) -> DataFrame:
     """(field_id, path, bytes) of tiered containers of coded rows (field_id, i, x, tier, code)."""
+    if math.prod(shape) <= GROUP:
+        return write_whole(containers.tiered_containers(coded, shape, tiers), folder)
     ship(coded.sparkSession)
     rows = coded.select(F.col("field_id").cast("string").alias("field_id"), F.col("tier").cast("long").alias("tier"), F.col("i").cast("long").alias("i"), "x", F.col("code").cast("double").alias("code"))
     rows = keep(scan.rank(rows, ["field_id", "tier"], "i"), "tier-ranks")

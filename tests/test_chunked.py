@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from steadfield.model import DEFAULT_TIERS
 from steadfield.operators import blocked, codecs, scan, tiers
+from steadfield.plans import grids as grids_
+from steadfield.plans import registry
 from steadfield.sources import chunked, containers
 
 
@@ -97,3 +99,40 @@ def test_prefix_scans(spark, levels):
     ranks = scan.rank(df, ["field_id"], "i", block=16, levels=levels).orderBy("field_id", "i").toPandas()
     assert ranks["rank"].tolist() == [*range(700), *range(700), 0]
     assert "offset" in scan.prefix(df.limit(0), ["field_id"], "i", F.col("s")).columns
+
+
+def grids(spark, folder, n, name="embeddings"):
+    rng = np.random.default_rng(8)
+    rows = [(3 * k if k else None, [float(v) for v in rng.standard_normal(64) / 8]) for k in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.fixture
+def narrow(spark):
+    """Arrow batches of 100 rows, which fields of 64 don't fit."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_tiered_fields_whole(spark, tmp_path, narrow, monkeypatch):
+    """Small fields, also one without a name, are packed many in a task, after one shuffle of whole vectors; the files are
+    those that are written as pieces."""
+    coded = grids_.coded_plane(spark, grids(spark, tmp_path, 30)).withColumnRenamed("vec_id", "field_id")
+    packed = containers.tiered_containers(coded, (8, 8))
+    plan = plan_of(packed)
+    assert "FlatMapGroupsInArrow" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    files = chunked.write_tiered(coded, f"file://{tmp_path}/whole", (8, 8))
+    assert all(os.path.getsize(r.path.removeprefix("file://")) == r.bytes and r.path == chunked.file_name(f"file://{tmp_path}/whole", r.field_id) for r in files.collect())
+    back = registry.QUERIES["q_tiered_file"](spark, str(tmp_path))
+    assert sorted(back.collect(), key=str) == sorted(registry.QUERIES["q_tiered_codec"](spark, str(tmp_path)).select("vec_id", "i", "xh").collect(), key=str)
+    monkeypatch.setattr(chunked, "GROUP", 16)
+    named = coded.filter("field_id is not null")
+    whole, pieces = data_of(files), data_of(chunked.write_tiered(named, f"file://{tmp_path}/pieces", (8, 8)))
+    assert len(whole) == 30 and len(pieces) == 29 and {k: v for k, v in whole.items() if k is not None} == pieces
