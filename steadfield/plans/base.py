@@ -61,9 +61,9 @@ def plane(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
     return long.select("vec_id", F.col("i").cast("long").alias("i"), F.floor(F.col("i") / 8).cast("long").alias("i0"), (F.col("i") % 8).cast("long").alias("i1"), "x")
 
 
-def cube(spark: SparkSession, d: str) -> DataFrame:
+def cube(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
     """Vectors as 4 x 4 x 4 grids."""
-    long = explode_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+    long = vectors(spark, d, dealt)
     return long.select("vec_id", F.col("i").cast("long").alias("i"), F.floor(F.col("i") / 16).cast("long").alias("i0"), F.floor(F.col("i") % 16 / 4).cast("long").alias("i1"), (F.col("i") % 4).cast("long").alias("i2"), "x")
 
 

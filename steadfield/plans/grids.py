@@ -161,7 +161,7 @@ _BTIER = "CASE " + " ".join(f"WHEN {D('amax')} >= {t.lo} AND {D('amax')} < {t.hi
 
 
 def blocks_cube(spark, d):
-    return cube(spark, d).withColumn("att", F.abs("x"))
+    return cube(spark, d, dealt=True).withColumn("att", F.abs("x"))
 
 
 @query("q_blocks", f"SELECT vec_id, b0, b1, b2, n, {R(D('vmin'), 6)} AS vmin, {R(D('vmax'), 6)} AS vmax, {R('vmean', 6)} AS vmean FROM ({_BSTAT})")

@@ -267,8 +267,11 @@ def write_tiered(coded: DataFrame, folder: str, shape: tuple[int, ...], tiers: S
 def write_blocked(coded: DataFrame, folder: str, key: str, shape: tuple[int, int, int], size: int, alpha: DataFrame, correctable: int) -> DataFrame:
     """(field_id, path, bytes) of blocked containers of quantized whole blocks (key, b0..b2, r0..r2, x, mode, bits, vmin, vmax,
     vmean), modes 0 to 2. alpha: (key, alpha)."""
-    ship(coded.sparkSession)
     blocks = tuple(-(-n // size) for n in shape)
+    if math.prod(blocks) * size**3 <= GROUP:
+        packed = containers.blocked_containers(coded, [key], shape, size, alpha, correctable)
+        return write_whole(packed.select(F.col(key).alias("field_id"), "container"), folder)
+    ship(coded.sparkSession)
     per = max(1, GROUP // size**3)
     number = (F.col("b0") * blocks[1] + F.col("b1")) * blocks[2] + F.col("b2")
     rows = coded.select(F.col(key).cast("string").alias("field_id"), number.cast("long").alias("number"), "r0", "r1", "r2", "x", "mode", "bits", "vmin", "vmax", "vmean")

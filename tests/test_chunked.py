@@ -136,3 +136,18 @@ def test_small_tiered_fields_whole(spark, tmp_path, narrow, monkeypatch):
     named = coded.filter("field_id is not null")
     whole, pieces = data_of(files), data_of(chunked.write_tiered(named, f"file://{tmp_path}/pieces", (8, 8)))
     assert len(whole) == 30 and len(pieces) == 29 and {k: v for k, v in whole.items() if k is not None} == pieces
+
+
+def test_small_blocked_fields_whole(spark, tmp_path, narrow, monkeypatch):
+    """As the tiered ones; their factors come from the same dealt vectors."""
+    coded = blocked.quantize(grids_.blocks_cube(spark, grids(spark, tmp_path, 30)).filter("vec_id is not null"), 2, ["vec_id"])
+    factor = blocked.energy_factor(coded, ["vec_id"])
+    plan = plan_of(containers.blocked_containers(coded, ["vec_id"], (4, 4, 4), 2, factor, 16))
+    assert "FlatMapGroupsInArrow" not in plan and plan.count("Exchange hashpartitioning") <= 2  # the vectors, for rows and factors
+    factor = spark.createDataFrame(factor.collect(), factor.schema)
+    whole = data_of(chunked.write_blocked(coded, f"file://{tmp_path}/whole", "vec_id", (4, 4, 4), 2, factor, 16))
+    monkeypatch.setattr(chunked, "GROUP", 16)
+    pieces = data_of(chunked.write_blocked(coded, f"file://{tmp_path}/pieces", "vec_id", (4, 4, 4), 2, factor, 16))
+    assert len(whole) == 29 and whole == pieces
+    with pytest.raises(Exception, match="whole blocks"):
+        containers.blocked_containers(coded.filter("vec_id > 3 or i > 0"), ["vec_id"], (4, 4, 4), 2, factor, 16).collect()
