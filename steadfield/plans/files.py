@@ -3,42 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f64
 from ..model import CORRECTABLE_BITS
 from ..operators import blocked
-from ..runtime import ship
 from ..shared import new_path
 from ..sources import chunked, containers
 from .base import D, R, query, rnd
 from .grids import _DECODED, _V, _sized, blocks_cube, coded_plane
 
 
-#: Files whose values are one batch.
-_AT_ONCE = 500
-
-
 def _restored(files, restore):
     """(vec_id, i, x) of files (field_id, path), each a small grid."""
-    ship(files.sparkSession)
 
     def one(path):
         with open(path.removeprefix("file://"), "rb") as h:
             return np.asarray(restore(h.read()), dtype=np.float32).ravel()
 
-    def run(batches):
-        for b in batches:
-            for first in range(0, b.num_rows, _AT_ONCE):
-                part = b.slice(first, _AT_ONCE)
-                x = [one(path) for path in part.column(1).to_pylist()]
-                counts = [len(v) for v in x]
-                ids = part.column(0).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(x)), counts)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.arange(n) for n in counts])), pa.array(np.concatenate(x))], names=["vec_id", "i", "x"])
-
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("field_id", "path").repartition(tasks, "path").mapInArrow(run, "vec_id long, i long, x float")
+    return containers.unpack_fields(files.select(F.col("field_id").cast("long").alias("vec_id"), "path").repartition(tasks, "path"), one)
 
 
 @query("q_tiered_file", f"SELECT vec_id, i, {R(D('xh'), 6)} AS xh FROM ({_DECODED})")

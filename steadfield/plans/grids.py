@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f64, parabola
@@ -223,15 +222,8 @@ def blocked_stream(spark, d):
     """Fields from the bytes of blocked containers: written, parsed and put together again."""
     coded = blocked.quantize(blocks_cube(spark, d), 2, _V)
     packed = containers.blocked_containers(coded, _V, (4, 4, 4), 2, blocked.energy_factor(coded, _V), CORRECTABLE_BITS)
-
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                x = containers.restore_blocked(r["container"]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([r["vec_id"]] * len(x), pa.int64()), pa.array(range(len(x)), pa.int64()), pa.array(x)], names=["vec_id", "i", "xc"])
-
-    back = packed.select(F.col("vec_id").cast("long").alias("vec_id"), "container").mapInArrow(run, "vec_id long, i long, xc float")
-    return back.select("vec_id", "i", rnd(f64(F.col("xc")), 5).alias("xc"))
+    back = containers.unpack_fields(packed.select(F.col("vec_id").cast("long").alias("vec_id"), "container"), lambda data: containers.restore_blocked(data).ravel())
+    return back.select("vec_id", "i", rnd(f64(F.col("x")), 5).alias("xc"))
 
 
 def _compared(size: int) -> str:
