@@ -6,8 +6,9 @@ string inside them (its leftmost place; a property of the window's bytes alone,
 wherever they stand). Runs whose anchor stands in one document only can't hold a repeated window and leave here. The
 other runs, with the bytes of all their windows, are short strings of at most 2 * SPAN - GRAM bytes.
 
-How. Strings with anchors of one bucket meet in one task, each distinct one once. For those that share their anchor
-with a different string, which alone can share windows, a collection Burrows-Wheeler
+How. Strings with anchors of one bucket meet in one task, each distinct one once. Equal windows start as far before their
+anchor, so for each of ``DISTANCES`` parts of these distances the bytes that all its windows have are hashed; windows
+whose bytes stand in one string only leave here. Of the others, with their strings cut to them, a collection Burrows-Wheeler
 transform and its common-prefix array are built from the right: round j inserts the suffix of length j of every string,
 one symbol for each string, by extending the arrays of round j - 1. A suffix's place is its predecessor's rank among
 equal symbols; its common prefix with its neighbours is one more than the least common prefix between the places of the
@@ -15,7 +16,8 @@ two occurrences. The arrays are read and written front to back each round; beyon
 the shared folder, so a task holds one part of them and a few numbers for each string. In the finished order, windows that share SPAN bytes lie between two values below SPAN, and the
 least doc_id among them is taken for each.
 
-Where data lie. Documents are packed into block files in the shared folder, written once and read by the later passes;
+Where data lie. Documents are packed into block files in the shared folder, written once and read by the later passes, and
+beside each a file of the places where its strings stand, which the last pass reads;
 only hashes (5 bytes for each run), strings and answers are shuffled. Blocks send each distinct hash and each distinct
 string once, with the least and largest doc_id that has it in the block, so a passage in a third of all documents is
 one entry for each block. The number of buckets grows with the bytes of text. Block names and contents follow from the
@@ -41,30 +43,43 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import common
 from .hashing import BYTES as _BYTES
-from .hashing import distinct
+from .hashing import distinct, string_hashes
 from .hashing import mix as _mix
 
-SPAN, GRAM = 50, 16
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
-#: Bytes that are hashed at a time, symbols up to which a collection's arrays stay in memory, and symbols of a file.
-PIECE, IN_MEMORY, PART = 1 << 20, 8 << 20, 4 << 20
+#: Shorter anchors make longer runs, so fewer hashes, but meet by chance in other documents the more there are.
+SPAN, GRAM = 50, 24
+#: Every block sends a row to every bucket.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Bytes that are hashed at a time (their arrays stay in a processor's cache), symbols up to which a collection's arrays stay in
+#: memory, and symbols of a file.
+PIECE, IN_MEMORY, PART = 1 << 16, 8 << 20, 4 << 20
 #: Partitions at most; a partition then holds several buckets, one after another.
 PARTITIONS = 20_000
-#: Strings that are ordered together, about.
-COLLECTION = 6_000
+#: Strings that are ordered together, about, and parts of the distances of windows to their anchor.
+COLLECTION, DISTANCES = 6_000, 4
 _END = 255  # never a byte of UTF-8
 _LAST_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 
 
-def _window_minima(b: np.ndarray) -> np.ndarray:
-    """For each window of SPAN bytes the smallest hash of a GRAM-byte string inside it."""
+def _gram_hashes(b: np.ndarray) -> np.ndarray:
+    """The hash of each GRAM-byte string."""
     h, n, factor = _BYTES[b], 1, 0x5851F42D4C957F2D
-    while n < GRAM:  # hashes of strings twice as long from two halves
-        h = h[:-n] * _U(factor) + h[n:]
+    tail, size = np.zeros(len(b) + 1, dtype=np.uint64), 0  # hashes of the last bytes of a string
+    while n <= GRAM:  # hashes of strings twice as long from two halves
+        if GRAM & n:
+            tail = h[: len(tail) - n] * _U(pow(0x5851F42D4C957F2D, size, 1 << 64)) + tail[n:]
+            size += n
+        if 2 * n <= GRAM:
+            h = h[:-n] * _U(factor) + h[n:]
         factor, n = factor * factor % (1 << 64), 2 * n
-    h = _mix(h)
+    return _mix(tail)
+
+
+def _window_minima(b: np.ndarray) -> np.ndarray:
+    """For each window of SPAN bytes the smallest hash of a GRAM-byte string inside it."""
+    h = _gram_hashes(b)
     width, n = SPAN - GRAM + 1, 1
     while 2 * n <= width:
         h, n = np.minimum(h[:-n], h[n:]), 2 * n
@@ -117,11 +132,7 @@ class Block:
 
     @classmethod
     def read(cls, folder: str, block: int) -> Block:
-        fs, base = common.file_system(folder)
-        with fs.open_input_stream(f"{base}/{block}") as f:
-            data = zstandard.ZstdDecompressor().decompress(f.read())
-        n = int(np.frombuffer(data, "<i8", 1)[0])
-        return cls(np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, n, 8 + 16 * n), np.frombuffer(data, "<i8", n, 8 + 8 * n), np.frombuffer(data, np.uint8, -1, 8 + 17 * n))
+        return cls(*_texts(folder, block))
 
     def hashes(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order of bucket and hash: bucket, hash, whether two documents here have it; and for each
@@ -154,6 +165,30 @@ class Block:
         return runs[some[by_bucket]], least, most, own
 
 
+def _write(folder: str, name: str, data: bytes) -> None:
+    """A compressed file that is there whole or not at all; a task that runs again replaces it by the same."""
+    from pyspark import TaskContext
+
+    fs, base = common.file_system(folder)
+    fs.create_dir(base, recursive=True)
+    tmp = f"{base}/{name}.{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(tmp) as f:
+        f.write(data)
+    fs.move(tmp, f"{base}/{name}")
+
+
+def _read(folder: str, name: str) -> bytes:
+    fs, base = common.file_system(folder)
+    with fs.open_input_stream(f"{base}/{name}") as f:
+        return zstandard.ZstdDecompressor().decompress(f.read())
+
+
+def _texts(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = _read(folder, str(block))
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, n, 8 + 16 * n), np.frombuffer(data, "<i8", n, 8 + 8 * n), np.frombuffer(data, np.uint8, -1, 8 + 17 * n)
+
+
 def _pack40(h: np.ndarray) -> bytes:
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -248,21 +283,21 @@ def _asked(runs: Runs, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     offset = 0
     for (bwt, lcp, _), here in zip(runs, runs.counts):
         n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
+        wide, shift = (np.uint32, 24) if n < 1 << 24 else (np.uint64, 40)
+        order = np.sort(bwt.astype(wide) << wide(shift) | np.arange(n, dtype=wide))  # symbols with their places
+        where = lambda k: (order[k] & wide((1 << shift) - 1)).astype(np.int64)  # noqa: E731, B023
         edge = np.concatenate(([0], np.cumsum(here)))
         a, z = np.searchsorted(asked, (offset, offset + n))
         spot = asked[a:z] - offset
         mine = bwt[spot]
-        by = np.argsort(mine, kind="stable")
-        at, cut = np.empty(z - a, dtype=np.int64), np.searchsorted(mine[by], np.arange(257))
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            some = by[cut[c] : cut[c + 1]]
-            at[some] = edge[c] + np.searchsorted(order[edge[c] : edge[c + 1]], spot[some])
+        wanted, at = mine.astype(wide) << wide(shift) | spot.astype(wide), np.empty(z - a, dtype=np.int64)
+        by = np.argsort(wanted)
+        at[by] = np.searchsorted(order, wanted[by])
         symbol[a:z], rank[a:z] = mine, at - edge[mine] + count[mine]
         # least prefixes from one place of a symbol to its next, by one pass over the places of asked symbols
         low, high = edge[mine], edge[mine.astype(np.int64) + 1]
-        before = np.where(at > low, order[np.maximum(at - 1, 0)], -1)
-        after = np.where(at + 1 < high, order[np.minimum(at + 1, n - 1)], -1)
+        before = np.where(at > low, where(np.maximum(at - 1, 0)), -1)
+        after = np.where(at + 1 < high, where(np.minimum(at + 1, n - 1)), -1)
         own[a:z], following[a:z] = _new_prefixes(lcp, before, spot, after)
         if len(runs.pieces) > 1 and n:
             # the first place of a symbol in this piece closes what was open before, its last one opens anew
@@ -270,7 +305,7 @@ def _asked(runs: Runs, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
             index = np.full(n, -1, dtype=np.int64)
             index[spot] = np.arange(a, z)
             closes = there[count[there] > 0]
-            opening, last = order[edge[closes]], order[edge[there + 1] - 1]
+            opening, last = where(edge[closes]), where(edge[there + 1] - 1)
             value = np.minimum(carry[closes], least[opening]) + np.uint8(1)
             for who, v in ((waiting[closes], following), (index[opening], own)):
                 v[who[who >= 0]] = value[who >= 0]
@@ -322,25 +357,55 @@ def _new_prefixes(lcp: np.ndarray, before: np.ndarray, at: np.ndarray, after: np
     return own, following
 
 
+def _shared(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct strings laid end to end, each with one anchor in all its windows: the anchor, and the first and last window
+    between which all lie that another string may hold; where there are none, the last is before the first.
+
+    Windows that are equal start as far before their anchor. Those that do so within a part of the distances have some bytes
+    in common; only where these stand in two strings, by their hashes, can the windows. Where a string has its anchor at
+    several places, as periodic text, all windows of all strings with this anchor stay."""
+    stop, last, width = np.cumsum(lengths), lengths - SPAN, SPAN - GRAM + 1
+    start = stop - lengths
+    anchor, place, several = np.empty(len(lengths), dtype=np.uint64), np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=bool)
+    cuts = np.searchsorted(start, np.arange(0, len(symbols) + PIECE, PIECE))
+    for a, z in zip(cuts, cuts[1:]):
+        if z > a:
+            h, at = _gram_hashes(symbols[start[a] : stop[z - 1]]), start[a:z] - start[a]
+            first = h[at[:, None] + np.arange(width)]
+            anchor[a:z], place[a:z] = first.min(axis=1), first.argmin(axis=1)
+            same = h == np.repeat(anchor[a:z], lengths[a:z])[: len(h)]
+            same = np.append(same, False)
+            several[a:z] = np.add.reduceat(same, np.stack((at, at + lengths[a:z] - GRAM + 1), axis=1).ravel(), dtype=np.int64)[::2] > 1
+    low, high = last + 1, np.full(len(lengths), -1)
+    edges = [width * k // DISTANCES for k in range(DISTANCES + 1)]
+    for a, z in zip(edges, edges[1:]):  # windows that start a to z - 1 bytes before their anchor
+        some = np.flatnonzero((place >= a) & (place - last < z))
+        first = (start + place)[some] - a
+        _, which, count = np.unique(string_hashes(symbols, first, first + SPAN - (z - 1 - a)), return_inverse=True, return_counts=True)
+        some = some[count[which] > 1]
+        low[some] = np.minimum(low[some], np.maximum(place[some] - (z - 1), 0))
+        high[some] = np.maximum(high[some], np.minimum(place[some] - a, last[some]))
+    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+    whole = ((np.bincount(group, weights=several) > 0) & (members > 1))[group]
+    return anchor, np.where(whole, 0, low), np.where(whole, last, high)
+
+
 def least_ids(strings: list[bytes], ids: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For windows of distinct strings, the least of ids among all strings that hold the window: as runs (string,
-    first window, last window, least id), in order of string and window. All windows of a string have its anchor, so a
-    string that is the only one with its anchor has no window in common with another and is not ordered with them."""
+    first window, last window, least id), in order of string and window. Windows that no other string can hold are not ordered."""
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    symbols = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    starts = np.cumsum(lengths) - lengths
-    anchors = np.concatenate([_window_minima(symbols[a : a + PIECE + SPAN - 1])[starts[(starts >= a) & (starts < a + PIECE)] - a] for a in range(0, len(symbols) - SPAN + 1, PIECE)])
-    _, group, members = np.unique(anchors, return_inverse=True, return_counts=True)
-    alone = members[group] == 1
-    rest = np.flatnonzero(~alone)
-    single = np.flatnonzero(alone)
-    s, first, last, value = single, np.zeros(len(single), dtype=np.int64), lengths[single] - SPAN, ids[single]
-    parts, rest, at = [(s, first, last, value)], rest[np.argsort(group[rest], kind="stable")], 0
+    anchor, low, high = _shared(np.frombuffer(b"".join(strings), dtype=np.uint8), lengths)
+    rest, none = np.flatnonzero(low <= high), np.flatnonzero(low > high)
+    left, right = rest[low[rest] > 0], rest[high[rest] < lengths[rest] - SPAN]
+    zero = np.zeros(len(strings), dtype=np.int64)
+    parts = [(k, a, z, ids[k]) for k, a, z in ((none, zero[none], lengths[none] - SPAN), (left, zero[left], low[left] - 1), (right, high[right] + 1, lengths[right] - SPAN))]
+    rest, at = rest[np.argsort(anchor[rest], kind="stable")], 0
     while at < len(rest):  # strings of one anchor stay together; small collections stay in a processor's cache
-        end = int(np.searchsorted(group[rest], group[rest[min(at + COLLECTION, len(rest)) - 1]], side="right"))
+        end = int(np.searchsorted(anchor[rest], anchor[rest[min(at + COLLECTION, len(rest)) - 1]], side="right"))
         some = rest[at:end]
-        found = _ordered_least([strings[k] for k in some.tolist()], ids[some], folder)
-        parts.append((some[found[0]], *found[1:]))
+        s, first, last, value = _ordered_least([strings[k][a:z] for k, a, z in zip(some.tolist(), low[some].tolist(), (high[some] + SPAN).tolist())], ids[some], folder)
+        s = some[s]
+        parts.append((s, first + low[s], last + low[s], value))
         at = end
     s, first, last, value = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((first, s))
@@ -379,8 +444,6 @@ def _blocks(folder: str, buckets: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, base = common.file_system(folder)
-        fs.create_dir(base, recursive=True)
         ids: list[int | None] = []
         texts: list[bytes] = []
         held, seq = 0, 0
@@ -389,11 +452,7 @@ def _blocks(folder: str, buckets: int):
             nonlocal held, seq
             number = part << 24 | seq
             block = Block(np.array([_LAST_ID if d is None else d for d in ids], dtype=np.int64), np.array([d is not None for d in ids], dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64), np.frombuffer(b"".join(texts), dtype=np.uint8))
-            name = f"{base}/{number}"
-            tmp = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(tmp) as f:
-                f.write(block.image())
-            fs.move(tmp, name)
+            _write(folder, str(number), block.image())
             bucket, low, several, _ = block.hashes(buckets)
             at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, dtype=np.int64)
             rows = {"bucket": [-1 - number % buckets], "block": [number], "hashes": [b""], "several": [b""]}
@@ -448,7 +507,13 @@ def _strings(folder: str, buckets: int):
         block = Block.read(folder, number)
         masks = dict(zip(t.column("bucket").to_pylist(), t.column("mask").to_pylist()))
         chosen, place, bucket = _chosen(block, buckets, masks)
-        held, least, most, _ = block.strings(chosen, place, bucket)
+        held, least, most, own = block.strings(chosen, place, bucket)
+        # where each string stands in the block, for the last pass: how often, and its first windows
+        runs = np.flatnonzero(own >= 0)
+        runs = runs[np.argsort(own[runs], kind="stable")]
+        count = np.bincount(own[runs], minlength=len(held))
+        _write(folder, f"{number}.runs", zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<i8").tobytes() for x in (np.array([len(held)]), count, block.first[runs]))))
+        press = zstandard.ZstdCompressor(level=3)
         rows = {"bucket": [], "block": [], "start": [], "lengths": [], "symbols": [], "ids": []}
         data, owner = block.b.tobytes(), bucket[place[held]]
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
@@ -458,7 +523,7 @@ def _strings(folder: str, buckets: int):
             rows["block"].append(number)
             rows["start"].append(a)
             rows["lengths"].append((end - first).astype(np.uint8).tobytes())
-            rows["symbols"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(data[x:y] for x, y in zip(first.tolist(), end.tolist()))))
+            rows["symbols"].append(press.compress(b"".join(data[x:y] for x, y in zip(first.tolist(), end.tolist()))))
             rows["ids"].append(np.stack((least[a:z], most[a:z]), axis=1).astype("<i8").tobytes())
         return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("ids", pa.binary())]))
 
@@ -467,24 +532,17 @@ def _strings(folder: str, buckets: int):
 
 def _answers(t: pa.Table, folder: str) -> pa.Table:
     """A bucket's strings to runs of windows that an earlier document holds, for each block that asked."""
-    known: dict[bytes, int] = {}
-    least: list[int] = []
-    asked: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for row in t.to_pylist():
-        lengths = np.frombuffer(row["lengths"], dtype=np.uint8)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        data = zstandard.ZstdDecompressor().decompress(row["symbols"])
-        ids = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, 2)
-        numbers = np.empty(len(lengths), dtype=np.int64)
-        for i, (a, z, d) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), ids[:, 0].tolist())):
-            at = known.setdefault(data[a:z], len(known))
-            if at == len(least):
-                least.append(d)
-            elif d < least[at]:
-                least[at] = d
-            numbers[i] = at
-        asked.append((row["block"], row["start"], numbers, ids[:, 1]))
-    string, first, last, value = least_ids(list(known), np.array(least, dtype=np.int64), folder)
+    press, rows = zstandard.ZstdDecompressor(), t.to_pylist()
+    lengths = np.frombuffer(b"".join(r["lengths"] for r in rows), dtype=np.uint8).astype(np.int64)
+    data = b"".join(press.decompress(r["symbols"]) for r in rows)
+    ids = np.frombuffer(b"".join(r["ids"] for r in rows), dtype="<i8").reshape(-1, 2)
+    ends = np.cumsum(lengths)
+    number, some = distinct(np.frombuffer(data, dtype=np.uint8), ends - lengths, ends)
+    known = [data[a:z] for a, z in zip((ends - lengths)[some].tolist(), ends[some].tolist())]
+    ids_of = np.full(len(known), _LAST_ID)
+    np.minimum.at(ids_of, number, ids[:, 0])
+    string, first, last, value = least_ids(known, ids_of, folder)
+    asked = zip([r["block"] for r in rows], [r["start"] for r in rows], *(np.split(x, np.cumsum([len(r["lengths"]) for r in rows])[:-1]) for x in (number, ids[:, 1])))
     runs = np.bincount(string, minlength=len(known))
     at = np.cumsum(runs) - runs
     out = {"block": [], "string": [], "first": [], "last": [], "least": []}
@@ -503,32 +561,30 @@ def _answers(t: pa.Table, folder: str) -> pa.Table:
     return pa.table(out, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("string", "first", "last", "least"))]))
 
 
-def _cut(folder: str, buckets: int):
-    def run(masks_: pa.Table, answers: pa.Table) -> pa.Table:
-        number = masks_.column("block")[0].as_py()
-        block = Block.read(folder, number)
-        masks = dict(zip(masks_.column("bucket").to_pylist(), masks_.column("mask").to_pylist()))
-        *_, own = block.strings(*_chosen(block, buckets, masks))
-        covered = np.zeros(len(block.b) + 1, dtype=np.int32)
+def _cut(folder: str):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        number = blocks.column("block")[0].as_py()
+        doc_ids, named_, lengths, text = _texts(folder, number)
+        covered = np.zeros(len(text) + 1, dtype=np.int32)
         if answers.num_rows:
             string, first, last, least = (
                 np.concatenate([np.frombuffer(x, dtype=kind) for x in answers.column(c).to_pylist()]).astype(np.int64)
                 for c, kind in (("string", "<i8"), ("first", np.uint8), ("last", np.uint8), ("least", "<i8"))
             )
-            runs = np.flatnonzero(own >= 0)
-            runs = runs[np.argsort(own[runs], kind="stable")]
-            a, z = np.searchsorted(own[runs], string), np.searchsorted(own[runs], string, side="right")
-            answer = np.repeat(np.arange(len(string)), z - a)
-            which = runs[np.repeat(a, z - a) + np.arange(len(answer)) - np.repeat(np.cumsum(z - a) - (z - a), z - a)]
-            earlier = least[answer] < block.doc_ids[block.text[which]]
+            data = np.frombuffer(_read(folder, f"{number}.runs"), "<i8")
+            count, windows = data[1 : 1 + data[0]], data[1 + data[0] :]
+            a, n = (np.cumsum(count) - count)[string], count[string]
+            answer = np.repeat(np.arange(len(string)), n)
+            which = windows[np.repeat(a, n) + np.arange(len(answer)) - np.repeat(np.cumsum(n) - n, n)]
+            earlier = least[answer] < doc_ids[np.searchsorted(np.cumsum(lengths), which, side="right")]
             answer, which = answer[earlier], which[earlier]
-            np.add.at(covered, block.first[which] + first[answer], 1)
-            np.add.at(covered, block.first[which] + last[answer] + SPAN, -1)
-        gone = np.cumsum(covered[:-1]) > 0
+            np.add.at(covered, which + first[answer], 1)
+            np.add.at(covered, which + last[answer] + SPAN, -1)
+        gone = np.cumsum(covered[:-1], dtype=np.int32, out=covered[:-1]) > 0
         rows = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}
         end = 0
-        for d, named, n in zip(block.doc_ids.tolist(), block.named.tolist(), block.lengths.tolist()):
-            b, g = block.b[end : end + n], gone[end : end + n]
+        for d, named, n in zip(doc_ids.tolist(), named_.tolist(), lengths.tolist()):
+            b, g = text[end : end + n], gone[end : end + n]
             end += n
             edges = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8)))
             rows["doc_id"].append(d if named else None)
@@ -547,15 +603,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, folder = max(16, -(-int(total) // BUCKET_BYTES)), common.new_path(spark, "suffix-blocks")
-    # the work of a group is in its texts, not in the rows that name them, so partitions are not merged by their bytes
-    parts, places = min(-(-buckets // 4), PARTITIONS), min(buckets, PARTITIONS)
+    # the work of a group is in its texts, not in the rows that name them, so partitions are not merged by their bytes; twice as
+    # many as there are groups, so that few hold more than one
+    parts, places = min(2 * buckets, PARTITIONS), min(max(16, -(-2 * int(total) // BLOCK_BYTES)), PARTITIONS)
     files = f"{folder}-rounds"
     sent = rows.mapInArrow(_blocks(folder, buckets), "bucket long, block long, hashes binary, several binary")
     masks = common.materialize(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, mask binary"), "suffix-masks")
     asked = masks.repartition(places, "block").groupBy("block").applyInArrow(_strings(folder, buckets), "bucket long, block long, start long, lengths binary, symbols binary, ids binary")
     answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _answers(t, files), "block long, string binary, first binary, last binary, least binary")
     answers = common.materialize(answers, "suffix-answers")
-    cut = masks.repartition(places, "block").groupBy("block").cogroup(answers.repartition(places, "block").groupBy("block")).applyInArrow(_cut(folder, buckets), "doc_id long, n_bytes long, spans array<long>, kept string")
+    every = masks.filter(F.col("bucket") < 0).select("block")  # each block has one row of its own
+    cut = every.repartition(places, "block").groupBy("block").cogroup(answers.repartition(places, "block").groupBy("block")).applyInArrow(_cut(folder), "doc_id long, n_bytes long, spans array<long>, kept string")
     return cut.withColumnRenamed("kept", "kept_sha256")
 
 

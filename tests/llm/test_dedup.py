@@ -136,6 +136,68 @@ def test_spans_of_many_blocks_and_files(spark, tmp_path, monkeypatch):
     assert all(least[strings[s][i : i + 50]] == v for s, a, z, v in zip(*got) for i in range(a, z + 1)) and len(least) < sum(len(s) - 49 for s in strings)
 
 
+def runs_as_strings(texts):
+    """The distinct strings of all runs of windows in texts."""
+    block = suffix_dedup.Block(np.arange(len(texts)), np.ones(len(texts)), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), dtype=np.uint8))
+    bucket, _, _, place = block.hashes(16)
+    held, *_ = block.strings(np.ones(len(bucket), dtype=bool), place, bucket)
+    return [block.b[block.first[r] : block.last[r] + suffix_dedup.SPAN].tobytes() for r in held]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_least_ids_of_periodic_texts_and_shared_parts(seed):
+    """Windows that are left out of the transform are those that no other string holds, also where an anchor stands often."""
+    rng = random.Random(seed)
+    letters = b"abcdefghijkl"[: rng.choice([1, 2, 3, 12])]
+    word = lambda n: bytes(rng.choice(letters) for _ in range(n))
+    shared = [word(rng.randint(20, 75)) for _ in range(6)] + [word(rng.randint(1, 30)) * 40 for _ in range(6)]
+    strings = runs_as_strings([word(rng.randint(0, 40)) + rng.choice(shared)[rng.randint(0, 9) :] + word(rng.randint(0, 40)) + rng.choice(shared) for _ in range(60)])
+    ids = np.array(rng.sample(range(len(strings)), len(strings)), dtype=np.int64)
+    least = {}
+    for s, d in zip(strings, ids.tolist()):
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(least.get(s[i : i + 50], d), d)
+    got = {(s, i): v for s, a, z, v in zip(*suffix_dedup.least_ids(strings, ids)) for i in range(a, z + 1)}
+    assert got == {(k, i): least[s[i : i + 50]] for k, s in enumerate(strings) for i in range(len(s) - 49)}
+
+
+def test_strings_that_meet_by_chance_are_not_ordered(monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    phrases, passage, ordered, build = [word(40) for _ in range(5)], word(70), [], suffix_dedup.build
+    monkeypatch.setattr(suffix_dedup, "build", lambda symbols, lengths, folder=None: ordered.append((len(lengths), len(symbols))) or build(symbols, lengths, folder))
+    strings = runs_as_strings([word(60) + rng.choice(phrases) + word(60) for _ in range(300)])
+    suffix_dedup.least_ids(strings, np.arange(len(strings)))
+    assert not ordered  # 40 bytes in common, and so their anchors, but no window
+    strings = runs_as_strings([word(60) + passage + word(60) for _ in range(50)])
+    got = suffix_dedup.least_ids(strings, np.arange(len(strings)))
+    assert 50 <= sum(n for n, _ in ordered) < len(strings) / 2 and len(got[0]) > len(strings)
+
+
+def test_the_last_pass_reads_where_strings_stand(spark, tmp_path, monkeypatch):
+    """Anchors are found twice, for hashes and for strings; the cut takes the places that were written with the strings."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    folder, text = f"file://{tmp_path}", prose(random.Random(8), 40)
+    (sent,) = suffix_dedup._blocks(folder, 16)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, "x", text]})]))
+    masks = pa.Table.from_batches([sent]).drop_columns(["hashes", "several"]).append_column("mask", pa.array([b"\xff" * len(h) for h in sent.column("hashes").to_pylist()]))
+    asked = suffix_dedup._strings(folder, 16)(masks)
+    answers = pa.concat_tables([suffix_dedup._answers(asked.slice(k, 1), folder) for k in range(asked.num_rows)])
+    monkeypatch.setattr(suffix_dedup, "anchored_runs", None)
+    cut = suffix_dedup._cut(folder)(masks.slice(0, 1).select(["block"]), answers).to_pydict()
+    assert cut["doc_id"] == [1, 2, 3] and cut["spans"] == [[], [], [0, len(text)]]
+
+
+def test_rows_between_blocks_and_buckets():
+    """Each block sends a row to each bucket that it touches, so 6 GB of text make no more than 300,000."""
+    total = 6 << 30
+    assert total // suffix_dedup.BLOCK_BYTES * (total // suffix_dedup.BUCKET_BYTES) <= 300_000
+
+
 def morse(n, a="a", b="b"):
     """Strings whose polynomial hashes modulo 2**64 are equal, from 1,024 characters on, when the letters change places."""
     return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
