@@ -464,7 +464,7 @@ def _blocks(folder: str, buckets: int):
             ids.clear()
             texts.clear()
             held, seq = 0, seq + 1
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]))
+            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]))
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
@@ -513,7 +513,7 @@ def _strings(folder: str, buckets: int):
         runs = runs[np.argsort(own[runs], kind="stable")]
         count = np.bincount(own[runs], minlength=len(held))
         _write(folder, f"{number}.runs", zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<i8").tobytes() for x in (np.array([len(held)]), count, block.first[runs]))))
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         rows = {"bucket": [], "block": [], "start": [], "lengths": [], "symbols": [], "ids": []}
         data, owner = block.b.tobytes(), bucket[place[held]]
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
@@ -525,7 +525,7 @@ def _strings(folder: str, buckets: int):
             rows["lengths"].append((end - first).astype(np.uint8).tobytes())
             rows["symbols"].append(press.compress(b"".join(data[x:y] for x, y in zip(first.tolist(), end.tolist()))))
             rows["ids"].append(np.stack((least[a:z], most[a:z]), axis=1).astype("<i8").tobytes())
-        return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("ids", pa.binary())]))
+        return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("ids", pa.binary())]))
 
     return run
 
@@ -603,14 +603,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, folder = max(16, -(-int(total) // BUCKET_BYTES)), common.new_path(spark, "suffix-blocks")
-    # the work of a group is in its texts, not in the rows that name them, so partitions are not merged by their bytes; twice as
-    # many as there are groups, so that few hold more than one
-    parts, places = min(2 * buckets, PARTITIONS), min(max(16, -(-2 * int(total) // BLOCK_BYTES)), PARTITIONS)
+    # the work of a group is in its texts, not in the rows that name them, so partitions are not merged by their bytes; each bucket
+    # has its own, and there are twice as many as blocks, so that few hold more than one
+    parts, places = min(buckets, PARTITIONS), min(max(16, -(-2 * int(total) // BLOCK_BYTES)), PARTITIONS)
     files = f"{folder}-rounds"
-    sent = rows.mapInArrow(_blocks(folder, buckets), "bucket long, block long, hashes binary, several binary")
-    masks = common.materialize(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, mask binary"), "suffix-masks")
-    asked = masks.repartition(places, "block").groupBy("block").applyInArrow(_strings(folder, buckets), "bucket long, block long, start long, lengths binary, symbols binary, ids binary")
-    answers = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _answers(t, files), "block long, string binary, first binary, last binary, least binary")
+    sent = rows.mapInArrow(_blocks(folder, buckets), "bucket int, block long, hashes binary, several binary")
+    masks = common.materialize(sent.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(_repeated, "block long, bucket int, mask binary"), "suffix-masks")
+    asked = masks.repartition(places, "block").groupBy("block").applyInArrow(_strings(folder, buckets), "bucket int, block long, start long, lengths binary, symbols binary, ids binary")
+    answers = asked.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _answers(t, files), "block long, string binary, first binary, last binary, least binary")
     answers = common.materialize(answers, "suffix-answers")
     every = masks.filter(F.col("bucket") < 0).select("block")  # each block has one row of its own
     cut = every.repartition(places, "block").groupBy("block").cogroup(answers.repartition(places, "block").groupBy("block")).applyInArrow(_cut(folder), "doc_id long, n_bytes long, spans array<long>, kept string")
