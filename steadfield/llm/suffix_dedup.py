@@ -376,17 +376,17 @@ def _shared(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
             same = h == np.repeat(anchor[a:z], lengths[a:z])[: len(h)]
             same = np.append(same, False)
             several[a:z] = np.add.reduceat(same, np.stack((at, at + lengths[a:z] - GRAM + 1), axis=1).ravel(), dtype=np.int64)[::2] > 1
-    low, high = last + 1, np.full(len(lengths), -1)
+    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+    met, low, high = members[group] > 1, last + 1, np.full(len(lengths), -1)
     edges = [width * k // DISTANCES for k in range(DISTANCES + 1)]
     for a, z in zip(edges, edges[1:]):  # windows that start a to z - 1 bytes before their anchor
-        some = np.flatnonzero((place >= a) & (place - last < z))
+        some = np.flatnonzero(met & (place >= a) & (place - last < z))
         first = (start + place)[some] - a
         _, which, count = np.unique(string_hashes(symbols, first, first + SPAN - (z - 1 - a)), return_inverse=True, return_counts=True)
         some = some[count[which] > 1]
         low[some] = np.minimum(low[some], np.maximum(place[some] - (z - 1), 0))
         high[some] = np.maximum(high[some], np.minimum(place[some] - a, last[some]))
-    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
-    whole = ((np.bincount(group, weights=several) > 0) & (members > 1))[group]
+    whole = met & (np.bincount(group, weights=several) > 0)[group]
     return anchor, np.where(whole, 0, low), np.where(whole, last, high)
 
 
@@ -532,17 +532,18 @@ def _strings(folder: str, buckets: int):
 
 def _answers(t: pa.Table, folder: str) -> pa.Table:
     """A bucket's strings to runs of windows that an earlier document holds, for each block that asked."""
-    press, rows = zstandard.ZstdDecompressor(), t.to_pylist()
-    lengths = np.frombuffer(b"".join(r["lengths"] for r in rows), dtype=np.uint8).astype(np.int64)
-    data = b"".join(press.decompress(r["symbols"]) for r in rows)
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), dtype="<i8").reshape(-1, 2)
-    ends = np.cumsum(lengths)
+    press, sizes = zstandard.ZstdDecompressor(), t.column("lengths").to_pylist()
+    lengths, ids = np.frombuffer(b"".join(sizes), dtype=np.uint8).astype(np.int64), np.frombuffer(b"".join(t.column("ids").to_pylist()), dtype="<i8").reshape(-1, 2)
+    data, ends = bytearray(), np.cumsum(lengths)
+    for x in t.column("symbols"):
+        data += press.decompress(x.as_py())
     number, some = distinct(np.frombuffer(data, dtype=np.uint8), ends - lengths, ends)
-    known = [data[a:z] for a, z in zip((ends - lengths)[some].tolist(), ends[some].tolist())]
+    known = [bytes(data[a:z]) for a, z in zip((ends - lengths)[some].tolist(), ends[some].tolist())]
+    del data
     ids_of = np.full(len(known), _LAST_ID)
     np.minimum.at(ids_of, number, ids[:, 0])
     string, first, last, value = least_ids(known, ids_of, folder)
-    asked = zip([r["block"] for r in rows], [r["start"] for r in rows], *(np.split(x, np.cumsum([len(r["lengths"]) for r in rows])[:-1]) for x in (number, ids[:, 1])))
+    asked = zip(t.column("block").to_pylist(), t.column("start").to_pylist(), *(np.split(x, np.cumsum([len(x) for x in sizes])[:-1]) for x in (number, ids[:, 1])))
     runs = np.bincount(string, minlength=len(known))
     at = np.cumsum(runs) - runs
     out = {"block": [], "string": [], "first": [], "last": [], "least": []}
